@@ -1,3 +1,4 @@
 """Imports every query module so that its queries register."""
 
 from docsift.plans import search_queries  # noqa: F401
+from docsift.plans import text_queries  # noqa: F401
