@@ -25,7 +25,7 @@ def path_depth(p) -> Column:
     p = _c(p)
     return F.when(F.length(p) == 0, F.lit(0)).otherwise(
         F.length(p) - F.length(F.regexp_replace(p, "/", "")) + 1
-    )
+    ).cast("long")
 
 
 def separator_count(p, sep: str = "/") -> Column:

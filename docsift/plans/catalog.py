@@ -2,3 +2,5 @@
 
 from docsift.plans import search_queries  # noqa: F401
 from docsift.plans import text_queries  # noqa: F401
+from docsift.plans import facet_queries  # noqa: F401
+from docsift.plans import tag_queries  # noqa: F401

@@ -37,3 +37,19 @@ def str_list(items) -> str:
 
 def in_list(items) -> str:
     return "(" + ", ".join(q(x) for x in items) + ")"
+
+
+def ancestors(expr: str, sep: str = "/") -> str:
+    """All prefixes of a hierarchy ('' -> [''], callers filter empty paths)."""
+    parts = f"string_split({expr}, {q(sep)})"
+    return (f"list_transform(range(1, len({parts}) + 1), "
+            f"lambda i: array_to_string(list_slice({parts}, 1, i), {q(sep)}))")
+
+
+def depth(expr: str) -> str:
+    return (f"CAST(CASE WHEN length({expr}) = 0 THEN 0 "
+            f"ELSE length({expr}) - length(replace({expr}, '/', '')) + 1 END AS BIGINT)")
+
+
+def parent(expr: str) -> str:
+    return f"CASE WHEN strpos({expr}, '/') = 0 THEN NULL ELSE regexp_replace({expr}, '/[^/]*$', '') END"
