@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 from docsift.plans.registry import registry  # noqa: E402
 from docsift.session import get_spark  # noqa: E402
@@ -22,7 +23,7 @@ from docsift.sources.tables import TABLES, table_path  # noqa: E402
 
 
 def canon(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return "NULL"
     if isinstance(v, float):
         if math.isnan(v):
