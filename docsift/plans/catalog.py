@@ -6,3 +6,4 @@ from docsift.plans import facet_queries  # noqa: F401
 from docsift.plans import tag_queries  # noqa: F401
 from docsift.plans import vector_queries  # noqa: F401
 from docsift.plans import incremental_queries  # noqa: F401
+from docsift.plans import rule_queries  # noqa: F401
