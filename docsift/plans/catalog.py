@@ -8,3 +8,4 @@ from docsift.plans import vector_queries  # noqa: F401
 from docsift.plans import incremental_queries  # noqa: F401
 from docsift.plans import rule_queries  # noqa: F401
 from docsift.plans import scalar_queries  # noqa: F401
+from docsift.plans import nlp_queries  # noqa: F401
