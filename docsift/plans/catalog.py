@@ -10,3 +10,4 @@ from docsift.plans import rule_queries  # noqa: F401
 from docsift.plans import scalar_queries  # noqa: F401
 from docsift.plans import nlp_queries  # noqa: F401
 from docsift.plans import source_queries  # noqa: F401
+from docsift.plans import stream_queries  # noqa: F401
