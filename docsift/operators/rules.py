@@ -15,11 +15,14 @@ YEAR_PATTERN = r"[\(\.+](20[0-9]{2})[\)\.+]"  # fixed value
 CODE_PATTERN = r"([A-Z]{4})-[0-9]{3} (.*)"  # fixed value
 EXIF_DATE_FORMAT = "yyyy:MM:dd HH:mm:ss"  # fixed value
 
-EMPTY = F.array().cast("array<string>")
+
+
+def _empty() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _when(cond: Column, tags: Column) -> Column:
-    return F.when(cond, tags).otherwise(EMPTY)
+    return F.when(cond, tags).otherwise(_empty())
 
 
 def tag_genre(col: str = "genre") -> Column:
