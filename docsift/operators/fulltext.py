@@ -83,30 +83,39 @@ def _weight(weights: dict[str, float]) -> Column:
     return expr.otherwise(F.lit(0.0))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], weights: dict[str, float] | None = None,
+def bm25(postings: DataFrame, lengths: DataFrame | None, terms: list[str], weights: dict[str, float] | None = None,
          fields: list[str] | None = None, require_all: bool = True,
-         k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+         k1: float = BM25_K1, b: float = BM25_B, stats: DataFrame | None = None) -> DataFrame:
     """Weighted BM25 of the documents matching ``terms``.
 
     idf = ln((N - n + 0.5) / (n + 0.5)) floored at 1e-6; the field weight
     multiplies tf; document length sums all fields.  ``require_all`` gives
     the implicit AND (T6), otherwise OR (T7).  ``fields`` restricts matching
     and scoring to those fields (T10).  Returns (id, score).
+
+    With a persisted index (see ``build_text_index``) the postings carry the
+    document length ``dl`` and ``stats`` holds N and avgdl, so a query reads
+    only the postings rows of its terms: no join, no scan of other tables.
     """
     weights = weights or FIELD_WEIGHTS
     qterms = sorted(set(fold_terms(terms)))
     p = postings.where(F.col("token").isin(qterms))
     if fields is not None:
         p = p.where(F.col("field").isin(list(fields)))
-    f = p.groupBy("id", "token").agg(F.sum(F.col("tf") * _weight(weights)).alias("f"))
+    has_dl = "dl" in postings.columns
+    keys = ["id", "token"] + (["dl"] if has_dl else [])
+    f = p.groupBy(*keys).agg(F.sum(F.col("tf") * _weight(weights)).alias("f"))
+    if not has_dl:
+        f = f.join(lengths, "id")
     n = f.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    n_docs = lengths.select(F.count(F.lit(1))).scalar()
-    avgdl = lengths.select(F.avg("dl")).scalar()
+    if stats is None:
+        stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    n_docs = stats.select("n_docs").scalar()
+    avgdl = stats.select("avgdl").scalar()
     idf_raw = F.ln((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf_raw <= 0, F.lit(IDF_FLOOR)).otherwise(idf_raw)
     # n holds one row per query term: bounded by the request, safe to broadcast.
     scored = (f.join(F.broadcast(n), "token")
-              .join(lengths, "id")
               .select("id", "token",
                       (idf * F.col("f") * (k1 + 1)
                        / (F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s")))
@@ -116,6 +125,34 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], weights: dic
     return agg.select("id", "score")
 
 
+class TextIndex:
+    """A persisted text index: postings (token, id, field, tf, dl) laid out
+    range-partitioned and sorted by token, plus a one-row stats table."""
+
+    def __init__(self, postings: DataFrame, stats: DataFrame):
+        self.postings = postings
+        self.stats = stats
+
+    def bm25(self, terms, **kw) -> DataFrame:
+        return bm25(self.postings, None, terms, stats=self.stats, **kw)
+
+
+def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id") -> TextIndex:
+    """T4 + I12: build postings, attach each document's length (one join on
+    id at build time instead of one per query), write them token-ordered, and
+    write N / avgdl as a one-row table."""
+    lengths = doc_lengths(docs, fields, id_col)
+    post = build_postings(docs, fields, id_col).join(lengths, "id")
+    write_postings(post, f"{path}/postings")
+    lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")) \
+        .write.mode("overwrite").parquet(f"{path}/stats")
+    return open_text_index(docs.sparkSession, path)
+
+
+def open_text_index(spark, path: str) -> TextIndex:
+    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+
+
 def match_all(postings: DataFrame, terms: list[str], fields: list[str] | None = None) -> DataFrame:
     """Ids having every term in some field (no scoring)."""
     q = sorted(set(fold_terms(terms)))

@@ -45,7 +45,8 @@ def chunk_tokens(docs: DataFrame, n: int = CHUNK_TOKENS, col: str = "content") -
     n_chunks = F.ceil(F.size("_t") / n).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(n_chunks - 1, F.lit(0))),
                          lambda c: F.slice("_t", c * n + 1, n))
-    ex = base.where(F.size("_t") > 0).select("id", F.posexplode(chunks).alias("chunk", "toks"))
+    chunks = F.when(F.size("_t") > 0, chunks).otherwise(F.array().cast("array<array<string>>"))
+    ex = base.select("id", F.posexplode(chunks).alias("chunk", "toks"))
     framed = F.concat(F.array(F.lit(CLS)), F.col("toks"), F.array(F.lit(SEP)),
                       F.array_repeat(F.lit(PAD), F.lit(n) - F.size("toks")))
     return ex.select("id", F.col("chunk").cast("long").alias("chunk"), F.size("toks").cast("long").alias("n_tokens"),
@@ -60,8 +61,11 @@ def merge_label_spans(docs: DataFrame, col: str = "content") -> DataFrame:
     base = docs.select("id", F.transform(tokens_lower(col), lambda t: F.when(F.length(t) >= ENTITY_MIN_LENGTH,
                                                                              F.lit("ENT")).otherwise(F.lit("O")))
                        .alias("_l"))
-    base = base.where(F.size("_l") > 0).select("id", "_l", F.filter(
-        F.sequence(F.lit(1), F.size("_l")),
+    # no separate emptiness filter: it would be pushed below the projection and
+    # tokenize every text twice; an empty token list simply yields no span
+    positions = F.when(F.size("_l") > 0, F.sequence(F.lit(1), F.size("_l"))).otherwise(F.array().cast("array<int>"))
+    base = base.select("id", "_l", F.filter(
+        positions,
         lambda i: (i == 1) | (F.try_element_at(F.col("_l"), i) != F.try_element_at(F.col("_l"), i - 1))).alias("_st"))
     spans = F.transform("_st", lambda s, k: F.struct(
         (s - 1).cast("long").alias("start"),

@@ -11,6 +11,7 @@ from docsift.operators import search as S
 from docsift.plans import sqlfrag as Q
 from docsift.plans.common import IDX_CTE, doc_index
 from docsift.plans.registry import query
+from docsift.session import scratch_dir
 from docsift.sources.fixtures import Fixtures, with_fixtures
 
 FIELDS = list(T.FIELD_WEIGHTS)
@@ -43,10 +44,24 @@ def bm25_cte(terms, weights=None, fields=None, require_all=True, name="sc") -> s
             f"GROUP BY ff.id{having})")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, sf_dir) -> T.TextIndex:
+    """The corpus text index of ``sf_dir``, built once per application into
+    the shared checkpoint folder and reused by every text query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = scratch_dir(spark, "text-index")
+        T.build_text_index(Fixtures(spark, sf_dir).corpus, path)
+        _INDEXES[key] = path
+    return T.open_text_index(spark, _INDEXES[key])
+
+
 def _text_index(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    docs = fx.corpus
-    return fx, docs, T.build_postings(docs), T.doc_lengths(docs)
+    ix = text_index(spark, sf_dir)
+    return fx, fx.corpus, ix.postings, ix
 
 
 QUERY_TERMS = ["estion", "ated"]
@@ -62,7 +77,7 @@ WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf
 ORDER BY sort_var DESC, i.id ASC LIMIT 60""", IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS)))
 def search_text_bm25_page(spark, sf_dir):
     fx, docs, post, lens = _text_index(spark, sf_dir)
-    scores = T.bm25(post, lens, FLAG_REQ.terms)
+    scores = lens.bm25(FLAG_REQ.terms)
     return S.search_page(doc_index(fx), FLAG_REQ, scores=scores)
 
 
@@ -73,7 +88,7 @@ WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf
     IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS)))
 def search_text_totals(spark, sf_dir):
     fx, docs, post, lens = _text_index(spark, sf_dir)
-    return S.hit_totals(doc_index(fx), FLAG_REQ, scores=T.bm25(post, lens, FLAG_REQ.terms))
+    return S.hit_totals(doc_index(fx), FLAG_REQ, scores=lens.bm25(FLAG_REQ.terms))
 
 
 @query("tokenize_standard", "T1", with_fixtures(["corpus"], f"""
@@ -127,7 +142,7 @@ OR_TERMS = ["estion", "ated", "whon"]
 SELECT id, round(score, 6) AS score FROM sc""", _postings_cte() + ",\n" + bm25_cte(OR_TERMS, require_all=False)))
 def bm25_any_terms(spark, sf_dir):
     _, _, post, lens = _text_index(spark, sf_dir)
-    return T.bm25(post, lens, OR_TERMS, require_all=False).select("id", F.round("score", 6).alias("score"))
+    return lens.bm25(OR_TERMS, require_all=False).select("id", F.round("score", 6).alias("score"))
 
 
 @query("match_all_terms", "T6", with_fixtures(["corpus"], f"""
@@ -171,7 +186,7 @@ SELECT id, round(score, 6) AS score FROM sc""",
     _postings_cte() + ",\n" + bm25_cte(["de", "y3"], fields=NOPATH, require_all=False)))
 def match_fields_no_path(spark, sf_dir):
     _, _, post, lens = _text_index(spark, sf_dir)
-    return T.bm25(post, lens, ["de", "y3"], fields=NOPATH, require_all=False).select(
+    return lens.bm25(["de", "y3"], fields=NOPATH, require_all=False).select(
         "id", F.round("score", 6).alias("score"))
 
 
