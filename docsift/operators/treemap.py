@@ -14,6 +14,8 @@ checkpoint folder, so a lost executor never replays earlier levels.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,13 @@ def treemap(docs: DataFrame, threshold: float = TREEMAP_THRESHOLD, path_col: str
             size_col: str = "size", checkpoint_every: int = 1) -> DataFrame:
     """(path, size) entries after merging small entries upward."""
     ensure_checkpoint_dir(docs.sparkSession)
+    # entries materialised once: the input (often a join) is read a single time
     flat = (docs.groupBy(F.col(path_col).alias("path")).agg(F.sum(size_col).cast("long").alias("size"))
-            .withColumn("depth", path_depth(F.col("path"))))
-    # threshold in bytes as a scalar subquery: floor(total x threshold)
-    cut = docs.select(F.floor(F.coalesce(F.sum(size_col).cast("double"), F.lit(0.0)) * threshold)
-                      .cast("long")).scalar()
-    max_depth = flat.agg(F.max("depth")).first()[0] or 0
+            .withColumn("depth", path_depth(F.col("path")))).checkpoint(eager=True)
+    top = flat.agg(F.max("depth").alias("d"), F.sum("size").cast("double").alias("t")).first()
+    max_depth = top["d"] or 0
+    # threshold in bytes: floor(total x threshold)
+    cut = F.lit(int(math.floor((top["t"] or 0.0) * threshold))).cast("long")
     cur = flat
     for i, d in enumerate(range(max_depth, 1, -1)):
         level = cur.where(F.col("depth") == d)
