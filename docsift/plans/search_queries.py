@@ -18,7 +18,7 @@ SLICE_WHERE = ("(path = 'src1' OR starts_with(path, 'src1/')) AND size BETWEEN 1
 PAGE_COLS = "id, index_id, name, path, size, mtime, mime"
 
 
-@query("search_filtered_page", "O6/O1/F1/F4/F5", with_fixtures(["corpus", "mime"], f"""
+@query("search_filtered_page", "O6/O1/F1/F4/F5/F11", with_fixtures(["corpus", "mime"], f"""
 SELECT {PAGE_COLS}, size AS sort_var FROM idx WHERE {SLICE_WHERE}
 ORDER BY size DESC, id ASC LIMIT 60""", IDX_CTE))
 def search_filtered_page(spark, sf_dir):

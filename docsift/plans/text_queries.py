@@ -70,7 +70,7 @@ FLAG_REQ = S.SearchRequest(terms=QUERY_TERMS, mime_types=["text/plain", "text/ht
                            sort="score", sort_asc=False, page_size=60)
 
 
-@query("search_text_bm25_page", "O6/O2/T5/T6", with_fixtures(["corpus", "mime"], f"""
+@query("search_text_bm25_page", "O6/O2/T5/T6/J4", with_fixtures(["corpus", "mime"], f"""
 SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, round(sc.score, 6) AS sort_var
 FROM idx i JOIN sc ON i.id = sc.id
 WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf')

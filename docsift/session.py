@@ -23,19 +23,42 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.shuffle.partitions": "8",
 }
+# Only for a new local session: a cluster sizes its own shuffles (AQE then
+# coalesces small partitions and splits skewed ones).
+LOCAL_CONF = {"spark.sql.shuffle.partitions": "8"}
+
+
+# Settings only a new JVM can take.
+STATIC_CONF = ("spark.ui.enabled", "spark.ui.showConsoleProgress", "spark.driver.memory")
 
 
 def get_spark(master: str | None = None, app: str = "docsift", conf: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
+    """A session with docsift's defaults for every setting the submitter did
+    not set.  An existing (cluster) session keeps its own values: defaults are
+    applied only to keys absent from its SparkConf."""
+    from pyspark import SparkContext
+
     merged = dict(DEFAULT_CONF)
+    active = SparkContext._active_spark_context
+    if active is None and (master or "").startswith("local"):
+        merged.update(LOCAL_CONF)
     merged.update(conf or {})
-    for k, v in merged.items():
-        builder = builder.config(k, v)
-    spark = builder.getOrCreate()
+    if active is None:
+        builder = SparkSession.builder.appName(app)
+        if master:
+            builder = builder.master(master)
+        for k, v in merged.items():
+            builder = builder.config(k, v)
+        spark = builder.getOrCreate()
+    else:
+        spark = SparkSession.builder.getOrCreate()
+        given = active.getConf()
+        for k, v in merged.items():
+            if k not in STATIC_CONF and not given.contains(k) and k not in (conf or {}):
+                spark.conf.set(k, v)
+            elif k in (conf or {}) and k not in STATIC_CONF:
+                spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
