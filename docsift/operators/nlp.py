@@ -1,15 +1,13 @@
 """Token-level text operators.
 
-A document is one row, so anything that stays within a document is done
-row-locally with array expressions (no shuffle): fixed-size chunks and
-label spans.  Character offsets need a running sum over the tokens of a
-document; that is a window partitioned by document id, whose largest group
-is one document's tokens.
+A document is one row, so everything that stays within a document is done
+row-locally (no shuffle): fixed-size chunks and label spans with array
+expressions, character offsets with a running sum in a vectorised pandas UDF.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.text import WORD_TOKEN
@@ -23,19 +21,36 @@ def tokens_lower(col: str = "content"):
     return F.regexp_extract_all(F.lower(F.col(col)), F.lit(WORD_TOKEN), 0)
 
 
+def _token_starts(word_lengths, sep_lengths):
+    """Pandas UDF body: start offset of each token = running sum of the
+    separator and token lengths before it (numpy per row, Arrow batches)."""
+    import numpy as np
+    import pandas as pd
+
+    out = []
+    for w, s in zip(word_lengths, sep_lengths):
+        w = np.asarray(w, dtype=np.int64)
+        s = np.asarray(s, dtype=np.int64)[: len(w)]
+        out.append(np.cumsum(s + w) - w)
+    return pd.Series(out)
+
+
 def tokenize_with_offsets(docs: DataFrame, col: str = "content") -> DataFrame:
     """(id, pos, token, start): lower-case word tokens and the character
-    offset where each starts in the original text."""
-    words = F.regexp_extract_all(F.col(col), F.lit(WORD_TOKEN), 0)
-    seps = F.split(F.col(col), WORD_TOKEN, -1)
-    base = docs.select("id", words.alias("_w"), seps.alias("_s"))
-    pieces = F.zip_with("_w", F.slice("_s", 1, F.greatest(F.size("_w"), F.lit(1))),
-                        lambda w, s: F.struct(w.alias("w"), (F.length(w) + F.coalesce(F.length(s), F.lit(0)))
-                                              .alias("step")))
-    rows = base.select("id", F.posexplode(pieces).alias("pos", "p")).where(F.col("p.w").isNotNull())
-    w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offset where each starts in the original text.
+
+    Tokens and separators come from built-in regex functions; only the running
+    sum of their lengths runs in a vectorised pandas UDF, row by row, so the
+    tokens of a document are never shuffled or regrouped."""
+    starts = F.pandas_udf(_token_starts, "array<long>")
+    base = docs.select("id", F.regexp_extract_all(F.col(col), F.lit(WORD_TOKEN), 0).alias("_w"),
+                       F.split(F.col(col), WORD_TOKEN, -1).alias("_s"))
+    lens = base.select("id", "_w", starts(F.transform("_w", lambda x: F.length(x).cast("long")),
+                                          F.transform("_s", lambda x: F.length(x).cast("long"))).alias("_st"))
+    rows = lens.select("id", F.posexplode(F.arrays_zip(F.col("_w").alias("w"), F.col("_st").alias("st")))
+                       .alias("pos", "p"))
     return rows.select("id", F.col("pos").cast("long").alias("pos"), F.lower(F.col("p.w")).alias("token"),
-                       (F.sum(F.col("p.step")).over(w) - F.length(F.col("p.w"))).cast("long").alias("start"))
+                       F.col("p.st").alias("start"))
 
 
 def chunk_tokens(docs: DataFrame, n: int = CHUNK_TOKENS, col: str = "content") -> DataFrame:

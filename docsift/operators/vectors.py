@@ -75,10 +75,13 @@ def more_like(docs: DataFrame, emb: DataFrame, doc_id: int, k: int, model_id: in
 
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salt_col: str,
-                    salts: int = 64) -> DataFrame:
+                    salts: int | None = None) -> DataFrame:
     """Top-k rows per group in two rounds: first per (group, salt) - so a
-    group holding a third of all rows is split over ``salts`` tasks - then
-    per group over at most ``salts x k`` survivors."""
+    group holding a third of all rows is split over ``salts`` tasks (default:
+    the shuffle partition count, at least 64) - then per group over at most
+    ``salts x k`` survivors."""
+    if salts is None:
+        salts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     first = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))

@@ -15,7 +15,7 @@ from docsift.operators.vectors import top_k_per_group
 
 
 def keep_last_n(runs: DataFrame, n: int, group: str = "job", ts: str = "started", id_col: str = "id",
-                salts: int = 64) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """Runs older than the newest ``n`` of their job (newest = latest
     start, then highest id); ``n < 0`` keeps everything (returns no rows)."""
     if n < 0:
