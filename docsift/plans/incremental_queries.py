@@ -34,11 +34,12 @@ SID = "((CAST({i} AS BIGINT) << 32) | {c})"
 INDEX_CTE = f"""ix AS (SELECT {SID.format(i='index_id', c='id')} AS sid, index_id, id, path, name, mtime, size FROM corpus),
 inc AS (SELECT {SID.format(i=1, c='id')} AS sid, CAST(1 AS INT) AS index_id, id, path, name, mtime, size FROM new),
 upserted AS (SELECT * FROM ix WHERE sid NOT IN (SELECT sid FROM inc) UNION ALL SELECT * FROM inc)"""
-PREV_DELETES = "prev AS (SELECT id FROM corpus WHERE id % 10 IN (3, 9))"
+PREV_DELETES = "prev AS (SELECT id FROM corpus WHERE id NOT IN (SELECT id FROM old))"
 
 
 def _prev(fx):
-    return fx.corpus.where((F.col("id") % 10).isin(3, 9)).select("id")
+    """The previous run's delete list: documents missing from the old snapshot."""
+    return fx.corpus.select("id").join(fx.old.select("id"), "id", "left_anti")
 
 
 @query("snapshot_diff", "I1", with_fixtures(["corpus", "old", "new"], "SELECT * FROM d", DIFF_CTE))
@@ -92,13 +93,13 @@ def index_delete(spark, sf_dir):
 
 @query("copy_vectors", "I6", with_fixtures(["emb"], f"""
 SELECT sid, model_id, start, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM (
-  SELECT {SID.format(i=1, c='id')} AS sid, model_id, start, embedding FROM emb WHERE id % 2 = 0
+  SELECT {SID.format(i=1, c='id')} AS sid, model_id, start, embedding FROM emb WHERE model_id = 1
   UNION ALL
   SELECT {SID.format(i=1, c='id')} AS sid, model_id, start, list_reverse(embedding) AS embedding FROM emb
-  WHERE id % 2 <> 0)"""))
+  WHERE model_id <> 1)"""))
 def copy_vectors(spark, sf_dir):
     e = Fixtures(spark, sf_dir).emb.withColumn("sid", pack_sid(F.lit(1), "id"))
-    existing = e.where(F.col("id") % 2 == 0).select("sid", "model_id", "start", "embedding")
+    existing = e.where(F.col("model_id") == 1).select("sid", "model_id", "start", "embedding")
     incoming = e.select("sid", "model_id", "start", F.reverse("embedding").alias("embedding"))
     out = I.copy_vectors(existing, incoming)
     return out.select("sid", "model_id", "start",
@@ -145,14 +146,14 @@ def check_constraints(spark, sf_dir):
     return I.check_constraints(fx.model, recs)
 
 
-@query("pending_deletes", "J7", with_fixtures(["corpus", "new"], """
+@query("pending_deletes", "J7", with_fixtures(["corpus", "old", "new"], """
 SELECT id FROM prev WHERE id IN (SELECT id FROM new)""", PREV_DELETES))
 def pending_deletes(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     return I.pending_deletes(_prev(fx), fx.new)
 
 
-@query("missing_pairs", "J8", with_fixtures(["corpus", "tags"], """
+@query("missing_pairs", "J8", with_fixtures(["corpus", "tags", "old"], """
 SELECT id, tag, 'left' AS side FROM (SELECT id, tag FROM tags EXCEPT ALL SELECT id, tag FROM target)
 UNION ALL SELECT id, tag, 'right' AS side FROM (SELECT id, tag FROM target EXCEPT ALL SELECT id, tag FROM tags)""",
     __import__("docsift.plans.tag_queries", fromlist=["TARGET_CTE"]).TARGET_CTE))

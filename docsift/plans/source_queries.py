@@ -86,7 +86,7 @@ FROM (SELECT r, CASE WHEN op = 0 THEN [a, source] ELSE [a] END AS lines FROM (
 @query("bulk_payload", "S12", _bulk_sql())
 def bulk_payload(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    prev = fx.corpus.where((F.col("id") % 10).isin(3, 9)).select("id")
+    prev = fx.corpus.select("id").join(fx.old.select("id"), "id", "left_anti")
     dl = I.delete_list(fx.old, fx.new, prev).withColumn("index_id", F.lit(1))
     rows = fx.new.withColumn("index_id", F.lit(1))
     return K.bulk_payload(rows, dl, ["name", "path", "size"])
@@ -133,6 +133,10 @@ def facet_tsv(spark, sf_dir):
     return spark.read.text(out)
 
 
+def fx_labels(spark, sf_dir):
+    return Fixtures(spark, sf_dir).labels
+
+
 def _tree(spark, sf_dir, archive=False):
     c = Fixtures(spark, sf_dir).corpus
     root = scratch_dir(spark, "tree")
@@ -156,9 +160,12 @@ def scan_list(spark, sf_dir):
     c, root = _tree(spark, sf_dir)
     plain = root[5:] if root.startswith("file:") else root
     rel = full_rel_path("path", "name", "extension")
-    listed = c.select(F.when(F.col("id") % 2 == 0, rel).otherwise(F.concat(F.lit(plain + "/"), rel)).alias("value"))
-    ghosts = c.where(F.col("id") % 5 == 0).select(F.concat(F.lit("ghost/"), F.col("id").cast("string"),
-                                                          F.lit(".txt")).alias("value"))
+    # English documents are listed by absolute path, the others relative to the root;
+    # every labelled document also lists a file that does not exist
+    listed = c.select(F.when(F.col("path").contains("/en"), F.concat(F.lit(plain + "/"), rel)).otherwise(rel)
+                      .alias("value"))
+    ghosts = fx_labels(spark, sf_dir).select(F.concat(F.lit("ghost/"), F.col("doc_id").cast("string"),
+                                                      F.lit(".txt")).alias("value"))
     list_path = scratch_dir(spark, "list")
     listed.unionByName(ghosts).write.mode("overwrite").text(list_path)
     files = FS.scan_files(spark, root)

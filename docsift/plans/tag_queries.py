@@ -14,16 +14,23 @@ COLOURED = r"regexp_matches(tag, '\.#[0-9a-fA-F]{6}')"
 TAG_ID = f"CASE WHEN {COLOURED} THEN regexp_replace(tag, '\\.[^.]*$', '') ELSE tag END"
 COLOUR = f"CASE WHEN {COLOURED} THEN string_split(tag, '.')[-1] END"
 
-# Index-side tag set for the sync queries: some scan tags missing, some stale.
+# Index-side tag set for the sync queries, as an earlier run wrote it: language
+# tags only for documents of the old snapshot, and quality tags from the
+# older toxicity rule.
 TARGET_CTE = """target AS (
-  SELECT id, index_id, tag FROM tags WHERE id % 5 <> 0
-  UNION ALL SELECT id, index_id, 'old.#000000' AS tag FROM corpus WHERE id % 7 = 0)"""
+  SELECT t.id, t.index_id, t.tag FROM tags t WHERE starts_with(t.tag, 'lang.') AND t.id IN (SELECT id FROM old)
+  UNION ALL SELECT l.doc_id AS id, CAST(1 + l.doc_id % 3 AS INT) AS index_id,
+                   CASE WHEN l.toxic = 0 THEN 'quality.high.#00ff00' ELSE 'quality.low.#ff0000' END AS tag
+  FROM labels l)"""
 
 
 def _target(fx):
-    t = fx.tags.where(F.col("id") % 5 != 0).select("id", "index_id", "tag")
-    stale = fx.corpus.where(F.col("id") % 7 == 0).select("id", "index_id", F.lit("old.#000000").alias("tag"))
-    return t.unionByName(stale)
+    lang = (fx.tags.where(F.col("tag").startswith("lang.")).join(fx.old.select("id"), "id", "left_semi")
+            .select("id", "index_id", "tag"))
+    quality = fx.labels.select(F.col("doc_id").alias("id"), (1 + F.col("doc_id") % 3).cast("int").alias("index_id"),
+                               F.when(F.col("toxic") == 0, F.lit("quality.high.#00ff00"))
+                               .otherwise(F.lit("quality.low.#ff0000")).alias("tag"))
+    return lang.unionByName(quality)
 
 
 @query("tags_any_filter", "F7/J6", with_fixtures(["corpus", "tags"], """
@@ -89,7 +96,7 @@ def distinct_tags(spark, sf_dir):
     return G.distinct_tags(Fixtures(spark, sf_dir).tags)
 
 
-@query("tag_sync_diff", "U3", with_fixtures(["corpus", "tags"], """
+@query("tag_sync_diff", "U3", with_fixtures(["corpus", "tags", "old"], """
 SELECT id, tag, 'insert' AS op FROM (SELECT id, tag FROM tags EXCEPT SELECT id, tag FROM target)
 UNION ALL
 SELECT id, tag, 'delete' AS op FROM (SELECT id, tag FROM target EXCEPT SELECT id, tag FROM tags)""", TARGET_CTE))
@@ -98,7 +105,7 @@ def tag_sync_diff(spark, sf_dir):
     return G.tag_sync_diff(fx.tags, _target(fx))
 
 
-@query("sync_tags", "I9", with_fixtures(["corpus", "tags"], """
+@query("sync_tags", "I9", with_fixtures(["corpus", "tags", "old"], """
 SELECT DISTINCT id, tag FROM tags WHERE index_id = 1""", TARGET_CTE))
 def sync_tags(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
