@@ -140,15 +140,28 @@ class TextIndex:
 
 
 def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id") -> TextIndex:
-    """T4 + I12: build postings, attach each document's length (one join on
-    id at build time instead of one per query), write them token-ordered, and
-    write N / avgdl as a one-row table."""
-    lengths = doc_lengths(docs, fields, id_col)
-    post = build_postings(docs, fields, id_col).join(lengths, "id")
+    """T4 + I12: tokenize every field once, carry the document length on each
+    posting (so no query joins back to a length table), write the postings
+    token-ordered, and write N / avgdl as a one-row table.
+
+    The length is computed on the document row from the same token arrays
+    that are exploded, so the text is tokenized a single time; grouping by
+    (token, id, field, dl) adds no groups because dl depends on id only."""
+    toks = docs.select(F.col(id_col).alias("id"),
+                       *[standard_tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
+    dl = functools.reduce(lambda a, b: a + b, [F.coalesce(F.size(f"_t{i}"), F.lit(0)) for i in range(len(fields))])
+    arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t{i}").alias("toks")) for i, f in enumerate(fields)])
+    rows = toks.select("id", dl.cast("long").alias("dl"), F.inline(arr))
+    post = (rows.select("id", "dl", "field", F.explode("toks").alias("token"))
+            .groupBy("token", "id", "field", "dl").agg(F.count(F.lit(1)).alias("tf"))
+            .select("token", "id", "field", "tf", "dl"))
     write_postings(post, f"{path}/postings")
-    lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")) \
-        .write.mode("overwrite").parquet(f"{path}/stats")
-    return open_text_index(docs.sparkSession, path)
+    spark = docs.sparkSession
+    n_docs = docs.select(F.count(F.lit(1))).scalar()
+    total = spark.read.parquet(f"{path}/postings").select(F.sum("tf").cast("double")).scalar()
+    (spark.range(1).select(n_docs.alias("n_docs"), (F.coalesce(total, F.lit(0.0)) / n_docs).alias("avgdl"))
+     .write.mode("overwrite").parquet(f"{path}/stats"))
+    return open_text_index(spark, path)
 
 
 def open_text_index(spark, path: str) -> TextIndex:

@@ -90,6 +90,23 @@ def index_upsert(index: DataFrame, incoming: DataFrame, index_id: int) -> DataFr
     return keep.unionByName(inc.select(*index.columns))
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """The search index stored as parquet partitioned by ``index_id``."""
+    index.write.mode("overwrite").partitionBy("index_id").parquet(path)
+
+
+def upsert_stored_index(spark, path: str, incoming: DataFrame, index_id: int) -> None:
+    """I4 on a stored index: only the ``index_id`` partition is read (partition
+    pruning) and rewritten (dynamic partition overwrite); other indices'
+    files are untouched.  The merged partition is checkpointed to the shared
+    folder before the overwrite, because a job may not overwrite what it reads."""
+    ensure_checkpoint_dir(spark)
+    part = spark.read.parquet(path).where(F.col("index_id") == index_id)
+    merged = index_upsert(part, incoming, index_id).checkpoint(eager=True)
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("index_id").parquet(path))
+
+
 def index_delete(index: DataFrame, deletes: DataFrame, index_id: int) -> DataFrame:
     """Drop the delete-list documents of one index (packed ids, Q2)."""
     gone = deletes.select(pack_sid(F.lit(index_id), "id").alias("sid"))

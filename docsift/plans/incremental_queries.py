@@ -80,6 +80,16 @@ def index_upsert(spark, sf_dir):
     return I.index_upsert(_index(fx), fx.new, 1)
 
 
+@query("index_upsert_stored", "I4", with_fixtures(["corpus", "new"], "SELECT * FROM upserted", INDEX_CTE))
+def index_upsert_stored(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    path = scratch_dir(spark, "doc-index")
+    I.write_index(_index(fx), path)
+    I.upsert_stored_index(spark, path, fx.new, 1)
+    t = spark.read.parquet(path)
+    return t.select("sid", F.col("index_id").cast("int").alias("index_id"), "id", "path", "name", "mtime", "size")
+
+
 @query("index_delete", "I5", with_fixtures(["corpus", "old", "new"], f"""
 SELECT * FROM upserted WHERE sid NOT IN (
   SELECT {SID.format(i=1, c='id')} FROM (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from docsift.operators import nlp as N
 from docsift.operators import windows as W
