@@ -5,8 +5,8 @@ The query vector is either a literal array or a scalar subquery (one row,
 planned once and broadcast as a value), so scoring is a narrow projection of
 the vector table and top-k is ``orderBy(...).limit(k)`` (per-partition top-k,
 then ``k x partitions`` rows merged).  Batches of query vectors (V5) are
-size-checked before they are broadcast, and the per-query top-k runs in two
-salted rounds so that no query's candidate list lands in one task.
+size-checked before they are shipped, and the per-query top-k never lands a
+query's whole candidate list in one task (see ``top_k_per_group``).
 """
 
 from __future__ import annotations
@@ -76,17 +76,27 @@ def more_like(docs: DataFrame, emb: DataFrame, doc_id: int, k: int, model_id: in
 
 def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int, salt_col: str,
                     salts: int | None = None) -> DataFrame:
-    """Top-k rows per group in two rounds: first per (group, salt) - so a
-    group holding a third of all rows is split over ``salts`` tasks (default:
-    the shuffle partition count, at least 64) - then per group over at most
-    ``salts x k`` survivors."""
+    """Top-k rows per group, adding a ``rank`` column, without ever holding a
+    whole group in one task.
+
+    For k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` a single
+    ``row_number() <= k`` window suffices: the optimizer inserts a partial
+    WindowGroupLimit before the shuffle, so each group arrives with at most
+    k rows per input partition.  Above the threshold the limit is done in two
+    explicit rounds: per (group, salt) - a group holding a third of all rows
+    is split over ``salts`` tasks (default: the shuffle partition count, at
+    least 64) - then per group over at most ``salts x k`` survivors."""
+    spark = df.sparkSession
+    w2 = Window.partitionBy(*group).orderBy(*order)
+    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k <= threshold:
+        return df.withColumn("rank", F.row_number().over(w2).cast("long")).where(F.col("rank") <= k)
     if salts is None:
-        salts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     first = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
              .where(F.col("_r") <= k).drop("_r", "_salt"))
-    w2 = Window.partitionBy(*group).orderBy(*order)
     return first.withColumn("rank", F.row_number().over(w2).cast("long")).where(F.col("rank") <= k)
 
 

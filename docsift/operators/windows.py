@@ -1,9 +1,9 @@
 """Retention of job runs.
 
-``keep_last_n`` finds, per job, the n-th newest run with a two-round salted
-top-n (no job's runs ever sit in one task, even if one job owns a third of
-all runs), then marks every older run with a join on the per-job threshold table
-(one row per job).
+``keep_last_n`` finds, per job, the n-th newest run with a top-n that never
+holds a job's runs in one task (``top_k_per_group``: partial group limits
+before the shuffle, or salted rounds for large n), then marks every older run
+with a join on the per-job threshold table (one row per job).
 """
 
 from __future__ import annotations

@@ -50,8 +50,11 @@ def merge_label_spans(spark, sf_dir):
 
 
 @query("keep_last_n", "W2", with_fixtures(["runs"], """
-SELECT id, job, started FROM (
+SELECT id, job, epoch_us(started) AS started_us FROM (
   SELECT id, job, started, row_number() OVER (PARTITION BY job ORDER BY started DESC, id DESC) AS rn FROM runs)
 WHERE rn > 100"""))
 def keep_last_n(spark, sf_dir):
-    return W.keep_last_n(Fixtures(spark, sf_dir).runs, 100).select("id", "job", "started")
+    from pyspark.sql import functions as F
+
+    return W.keep_last_n(Fixtures(spark, sf_dir).runs, 100).select(
+        "id", "job", F.unix_micros("started").alias("started_us"))

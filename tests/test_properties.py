@@ -79,11 +79,12 @@ def test_dense_ids_equal_row_number(spark):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
-def test_top_k_per_group_equals_window(spark):
-    df = spark.range(0, 2000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 37 % 101).alias("v"))
-    got = V.top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 5, "id", salts=7)
+@pytest.mark.parametrize("k", [5, 1500])
+def test_top_k_per_group_equals_window(spark, k):
+    df = spark.range(0, 6000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") * 37 % 101).alias("v"))
+    got = V.top_k_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], k, "id", salts=7)
     w = Window.partitionBy("g").orderBy(F.col("v").desc(), "id")
-    want = df.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
+    want = df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
     assert sorted(got.collect()) == sorted(want.collect())
 
 
