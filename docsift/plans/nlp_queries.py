@@ -57,4 +57,4 @@ def keep_last_n(spark, sf_dir):
     from pyspark.sql import functions as F
 
     return W.keep_last_n(Fixtures(spark, sf_dir).runs, 100).select(
-        "id", "job", F.unix_micros("started").alias("started_us"))
+        "id", "job", F.unix_micros(F.col("started").cast("timestamp")).alias("started_us"))
