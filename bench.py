@@ -26,6 +26,7 @@ HEADLINE = [
     "postings_stats",          # full inverted-index build
     "bm25_any_terms",
     "highlight_snippet",
+    "search_page_highlight",
     "path_index",
     "mime_facet",
     "tag_facet_hierarchy",

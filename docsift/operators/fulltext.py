@@ -270,6 +270,22 @@ def highlight(docs: DataFrame, terms: list[str], field: str = "content", n: int
     return docs.select("id", snippet.alias("snippet"))
 
 
+def highlight_page(docs: DataFrame, page: DataFrame, terms: list[str], field: str = "content",
+                   n: int = SNIPPET_TOKENS, id_col: str = "id") -> DataFrame:
+    """T13 for one result page: the page (at most ``MAX_PAGE`` rows, so its
+    ids are a bounded list) is fetched first and its ids become a literal
+    ``IN`` filter on the documents - pushed into the scan, so only the page's
+    texts are read and highlighted, never the whole corpus."""
+    from docsift.operators.search import MAX_PAGE
+
+    ids = [r[0] for r in page.select(id_col).limit(MAX_PAGE + 1).collect()]
+    if len(ids) > MAX_PAGE:
+        raise ValueError(f"a page holds at most {MAX_PAGE} rows")
+    texts = docs.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), field)
+    snippets = highlight(texts, terms, field, n)
+    return page.join(snippets.withColumnRenamed("id", id_col), id_col, "left")
+
+
 def highlight_full(docs: DataFrame, terms: list[str], field: str = "content") -> DataFrame:
     """The whole text with every hit word wrapped in <mark>; separators kept."""
     q = fold_terms(terms)

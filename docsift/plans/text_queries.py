@@ -254,6 +254,21 @@ def highlight_snippet(spark, sf_dir):
     return T.highlight(hits, QUERY_TERMS)
 
 
+@query("search_page_highlight", "O6/T13", with_fixtures(["corpus", "mime"], """
+SELECT pg.id, pg.name, pg.sort_var, hl.snippet FROM pg LEFT JOIN hl ON pg.id = hl.id""",
+    IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS) + """,
+pg AS (SELECT i.id, i.name, round(sc.score, 6) AS sort_var
+       FROM idx i JOIN sc ON i.id = sc.id
+       WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf')
+       ORDER BY sort_var DESC, i.id ASC LIMIT 60),
+m AS (SELECT id FROM pg),
+hl AS (""" + _highlight_sql() + ")"))
+def search_page_highlight(spark, sf_dir):
+    fx, docs, post, ix = _text_index(spark, sf_dir)
+    page = S.search_page(doc_index(fx), FLAG_REQ, scores=ix.bm25(FLAG_REQ.terms), columns=["id", "name"])
+    return T.highlight_page(docs, page, QUERY_TERMS).select("id", "name", "sort_var", "snippet")
+
+
 def _highlight_full_sql() -> str:
     qt = Q.str_list(T.fold_terms(QUERY_TERMS))
     return f"""
