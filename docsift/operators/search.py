@@ -191,11 +191,15 @@ def filter_documents(docs: DataFrame, req: SearchRequest) -> DataFrame:
 
 
 def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None = None,
-                tags: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+                tags: DataFrame | None = None, columns: list[str] | None = None,
+                emb: DataFrame | None = None) -> DataFrame:
     """Filters + optional text scores + sort + keyset page.
 
     ``scores`` is (id, score) from a text match (T5/T6...); when given, only
-    matching documents are candidates (inner join, J4).
+    matching documents are candidates (inner join, J4).  With
+    ``sort='embedding'`` the request's vector is compared with each
+    document's vector of ``req.model`` (one per document, Q7); documents
+    without one score -1 (J5, V2).
     """
     req.validate()
     hits = filter_documents(docs, req)
@@ -205,6 +209,14 @@ def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None =
     if scores is not None:
         hits = hits.join(scores, "id", "inner")
         score_col = "score"
+    if req.sort == "embedding":
+        from docsift.operators.vectors import _arr, cosine_sim, model_vectors
+
+        vec = model_vectors(emb, req.model or 1).select(F.col("id").alias("_vid"), F.col("embedding").alias("_v"))
+        hits = hits.join(vec, hits["id"] == vec["_vid"], "left").withColumn("_q", _arr(req.embedding))
+        hits = hits.withColumn("similarity", F.round(F.when(F.col("_v").isNull(), F.lit(-1.0))
+                                                     .otherwise(cosine_sim(F.col("_q"), F.col("_v"))), 6))
+        hits = hits.drop("_vid", "_v", "_q")
     hits = hits.withColumn("sort_var", sort_value(req, score_col))
     hits = page_after(hits, req.after, req.sort_asc)
     page = sort_page(hits, req.sort_asc, req.page_size)

@@ -118,3 +118,45 @@ def unseen_hits(spark, sf_dir):
     page2 = S.search_page(d, S.SearchRequest(sort="size", page_size=120), columns=["id", "size"])
     page1 = S.search_page(d, S.SearchRequest(sort="size", page_size=60), columns=["id"])
     return S.unseen_hits(page2, page1).select("id", "size")
+
+
+TAG_REQ = S.SearchRequest(tags=["lang.en", "quality"], path="src0", sort="mtime", sort_asc=False, page_size=100)
+
+
+@query("search_tagged_page", "O6/F7/F5", with_fixtures(["corpus", "mime", "tags"], f"""
+SELECT {PAGE_COLS}, mtime AS sort_var FROM idx i
+WHERE (path = 'src0' OR starts_with(path, 'src0/'))
+  AND EXISTS (SELECT 1 FROM tags t WHERE t.id = i.id
+              AND (starts_with(t.tag, 'lang.en.') OR starts_with(t.tag, 'quality.')))
+ORDER BY mtime DESC, id ASC LIMIT 100""", IDX_CTE))
+def search_tagged_page(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return S.search_page(doc_index(fx), TAG_REQ, tags=fx.tags)
+
+
+@query("search_tagged_totals", "A9/F7", with_fixtures(["corpus", "mime", "tags"], """
+SELECT count(*) AS total_count, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size FROM idx i
+WHERE (path = 'src0' OR starts_with(path, 'src0/'))
+  AND EXISTS (SELECT 1 FROM tags t WHERE t.id = i.id
+              AND (starts_with(t.tag, 'lang.en.') OR starts_with(t.tag, 'quality.')))""", IDX_CTE))
+def search_tagged_totals(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    return S.hit_totals(doc_index(fx), TAG_REQ, tags=fx.tags)
+
+
+@query("search_by_embedding_page", "O6/O4/V2/J5", with_fixtures(["corpus", "mime", "emb"], f"""
+SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, round(CASE WHEN e.embedding IS NULL THEN -1.0
+       ELSE coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), -1.0) END, 6)
+       AS sort_var
+FROM idx i LEFT JOIN (SELECT * FROM emb WHERE model_id = 1 AND start = 0) e ON i.id = e.id,
+     (SELECT embedding AS v FROM emb WHERE id = 7 AND model_id = 1 AND start = 0) q
+WHERE i.mime IN ('text/plain', 'text/html', 'application/pdf')
+ORDER BY sort_var DESC, i.id ASC LIMIT 30""", IDX_CTE))
+def search_by_embedding_page(spark, sf_dir):
+    from docsift.operators.vectors import vector_of
+
+    fx = Fixtures(spark, sf_dir)
+    req = S.SearchRequest(mime_types=["text/plain", "text/html", "application/pdf"], sort="embedding",
+                          sort_asc=False, page_size=30, model=1)
+    req.embedding = vector_of(fx.emb, 7)
+    return S.search_page(doc_index(fx), req, emb=fx.emb)
