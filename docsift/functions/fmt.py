@@ -54,8 +54,10 @@ def human_time(sec) -> Column:
 
 
 def human_date(epoch) -> Column:
-    """UTC 'yyyy-MM-dd' (session time zone pinned to UTC)."""
-    return F.date_format(F.timestamp_seconds(_c(epoch)), "yyyy-MM-dd")
+    """UTC 'yyyy-MM-dd' of an epoch second, computed as whole days after
+    1970-01-01 so the result does not depend on the session time zone."""
+    days = F.floor(_c(epoch) / 86400).cast("int")
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM-dd")
 
 
 def dms_to_decimal(dms, ref) -> Column:

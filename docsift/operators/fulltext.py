@@ -47,6 +47,11 @@ def fold_terms(terms: list[str]) -> list[str]:
 
 # ------------------------------------------------------------------ indexing
 
+def _size0(arr: Column) -> Column:
+    """Array length, 0 for NULL (whatever the session's size-of-null rule)."""
+    return F.when(arr.isNull(), F.lit(0)).otherwise(F.size(arr))
+
+
 def field_tokens(docs: DataFrame, fields=tuple(FIELD_WEIGHTS), id_col: str = "id") -> DataFrame:
     """(id, field, token) per token occurrence."""
     arr = F.array(*[F.struct(F.lit(f).alias("field"), standard_tokens(F.col(f)).alias("toks")) for f in fields])
@@ -62,7 +67,7 @@ def build_postings(docs: DataFrame, fields=tuple(FIELD_WEIGHTS), id_col: str = "
 def doc_lengths(docs: DataFrame, fields=tuple(FIELD_WEIGHTS), id_col: str = "id") -> DataFrame:
     """Per-document token count summed over the fields; row-local, no shuffle."""
     total = functools.reduce(lambda a, b: a + b,
-                             [F.coalesce(F.size(standard_tokens(F.col(f))), F.lit(0)) for f in fields])
+                             [_size0(standard_tokens(F.col(f))) for f in fields])
     return docs.select(F.col(id_col).alias("id"), total.cast("long").alias("dl"))
 
 
@@ -149,7 +154,7 @@ def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id
     (token, id, field, dl) adds no groups because dl depends on id only."""
     toks = docs.select(F.col(id_col).alias("id"),
                        *[standard_tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
-    dl = functools.reduce(lambda a, b: a + b, [F.coalesce(F.size(f"_t{i}"), F.lit(0)) for i in range(len(fields))])
+    dl = functools.reduce(lambda a, b: a + b, [_size0(F.col(f"_t{i}")) for i in range(len(fields))])
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t{i}").alias("toks")) for i, f in enumerate(fields)])
     rows = toks.select("id", dl.cast("long").alias("dl"), F.inline(arr))
     post = (rows.select("id", "dl", "field", F.explode("toks").alias("token"))

@@ -57,4 +57,6 @@ def keep_last_n(spark, sf_dir):
     from pyspark.sql import functions as F
 
     return W.keep_last_n(Fixtures(spark, sf_dir).runs, 100).select(
-        "id", "job", F.unix_micros(F.col("started").cast("timestamp")).alias("started_us"))
+        "id", "job",
+        # microseconds since the epoch of the zone-less start time, independent of the session zone
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', started)").alias("started_us"))
