@@ -57,7 +57,7 @@ def dense_ids(df: DataFrame, key: str, base, partitions: int | None = None) -> D
             .drop("_pid", "_mid", "_off"))
 
 
-def apply_snapshot(old: DataFrame, new: DataFrame, fresh_ids: bool = True) -> DataFrame:
+def apply_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     """Next document table: unchanged rows kept, modified rows replaced
     with their id kept (Q1), new rows get ids after the old maximum in key
     order, deleted rows dropped.  Adds ``status``."""

@@ -20,10 +20,6 @@ REL_SQL = REL.format(f=f"({FILE})")
 SID_SQL = "((CAST(index_id AS BIGINT) << 32) | id)"
 
 
-def _rel(c):
-    return full_rel_path("path", "name", "extension")
-
-
 @query("path_functions", "P1/P2/P4", with_fixtures(["corpus"], f"""
 SELECT id, rel, {Q.parent('rel')} AS parent, {Q.depth('path')} AS depth, sid,
        printf('%08x.%08x', sid >> 32, sid & 4294967295) AS sid_text,

@@ -50,7 +50,7 @@ _INDEXES: dict[tuple[str, str], str] = {}
 def text_index(spark, sf_dir) -> T.TextIndex:
     """The corpus text index of ``sf_dir``, built once per application into
     the shared checkpoint folder and reused by every text query."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.conf.get("spark.app.id", "app"), sf_dir)
     if key not in _INDEXES:
         path = scratch_dir(spark, "text-index")
         T.build_text_index(Fixtures(spark, sf_dir).corpus, path)

@@ -59,28 +59,48 @@ def get_spark(master: str | None = None, app: str = "docsift", conf: dict | None
                 spark.conf.set(k, v)
             elif k in (conf or {}) and k not in STATIC_CONF:
                 spark.conf.set(k, v)
-    spark.sparkContext.setLogLevel("ERROR")
+    sc = _context(spark)
+    if sc is not None:
+        sc.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect sessions have no context)
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` from the session.  Only when it is unset
-    (local runs, tests) is a scratch folder created and set.
+    Reads ``spark.checkpoint.dir`` from the session.  Only a local session
+    without one (tests, local runs) gets a scratch folder of its own; a
+    cluster session without one is refused, since a machine-local folder
+    would not survive the loss of that machine.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    sc = _context(spark)
+    if sc is not None and sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir() or configured
+        if sc is not None:
+            sc.setCheckpointDir(configured)
+            return sc.getCheckpointDir() or configured
+        return configured
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    if not str(master).startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder for cluster runs")
     local = tempfile.mkdtemp(prefix="docsift-ckpt-", dir=os.environ.get("DOCSIFT_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir() or local
+    if sc is not None:
+        sc.setCheckpointDir(local)
+        return sc.getCheckpointDir() or local
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
