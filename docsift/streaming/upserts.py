@@ -36,8 +36,8 @@ LOG_SCHEMA = "id long, path string, name string, mtime long, size long, key stri
 
 
 def current_documents(spark: SparkSession, base: DataFrame, log_dir: str, before: int | None = None) -> DataFrame:
-    """Base table plus the newest logged row per file key (only batches
-    before ``before``, so a retried batch never sees its own earlier try)."""
+    """The table as of now (a read-time view): base plus the newest logged
+    row per file key (only batches before ``before``, if given)."""
     b = file_key(base.select(*DOC_COLS)).withColumn("batch", F.lit(-1).cast("long"))
     log = _read_or_empty(spark, log_dir, LOG_SCHEMA)
     if before is not None:
@@ -48,19 +48,27 @@ def current_documents(spark: SparkSession, base: DataFrame, log_dir: str, before
 
 
 def upsert_documents_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: DataFrame,
-                           log_dir: str) -> None:
-    """One micro-batch of ST1: resolve ids against the current table and
-    append the rows under ``batch=<id>``."""
+                           log_dir: str, base_max: int) -> None:
+    """One micro-batch of ST1: resolve ids against the base and the log and
+    append the rows under ``batch=<id>``.
+
+    Only the batch's keys are looked up (the batch is joined to the key and
+    id columns of base and log; nothing is aggregated over the whole table),
+    and the next free id is the base maximum - computed once when the stream
+    starts - or the largest id already logged."""
     rows = file_key(batch.select("path", "name", "mtime", "size"))
     rows = rows.groupBy("key").agg(F.max_by(F.struct("path", "name", "mtime", "size"), "mtime").alias("r")) \
         .select("key", "r.*")
-    cur = current_documents(spark, base, log_dir, before=batch_id)
-    known = rows.join(cur.select("key", "id"), "key", "inner")
-    fresh = rows.join(cur.select("key"), "key", "left_anti")
-    top = cur.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    log = _read_or_empty(spark, log_dir, LOG_SCHEMA).where(F.col("batch") < batch_id)
+    keys = file_key(base.select("id", "path", "name")).select("key", "id").unionByName(log.select("key", "id"))
+    # a key found in both base and log carries the same id: drop repeats after the join
+    known = rows.join(keys, "key", "inner").dropDuplicates(["key"])
+    fresh = rows.join(keys.select("key"), "key", "left_anti")
+    top = F.greatest(F.lit(base_max).cast("long"),
+                     log.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar())
     numbered = dense_ids(fresh, "key", top).withColumnRenamed("new_id", "id")
-    out = known.unionByName(numbered.select(*known.columns)).withColumn("batch", F.lit(batch_id).cast("long"))
-    out.select(*[c for c in LOG_SCHEMA_COLS]).write.mode("overwrite").parquet(f"{log_dir}/batch={batch_id}")
+    out = known.unionByName(numbered.select(*known.columns))
+    out.select(*LOG_SCHEMA_COLS).write.mode("overwrite").parquet(f"{log_dir}/batch={batch_id}")
 
 
 LOG_SCHEMA_COLS = ["id", "path", "name", "mtime", "size", "key"]
@@ -70,10 +78,11 @@ def stream_documents(spark: SparkSession, source_dir: str, schema, base: DataFra
                      files_per_trigger: int = 1) -> DataFrame:
     """ST1: run the stream to completion (availableNow) and return the table."""
     log_dir = f"{work_dir}/log"
+    base_max = base.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one scalar, once
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: upsert_documents_batch(spark, df, bid, base, log_dir))
+         .foreachBatch(lambda df, bid: upsert_documents_batch(spark, df, bid, base, log_dir, base_max))
          .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -241,3 +241,18 @@ def test_import_without_session():
     out = subprocess.run([sys.executable, "-c", code], cwd=REPO, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
     assert int(out.stdout.strip().splitlines()[-1]) > 100
+
+
+def test_stream_batch_retry_is_idempotent(spark):
+    """A retried micro-batch overwrites only its own log partition."""
+    from docsift.session import scratch_dir
+    from docsift.streaming import upserts as U
+
+    fx = Fixtures(spark, SF_SMALL)
+    log_dir = scratch_dir(spark, "retry") + "/log"
+    base_max = fx.old.agg(F.max("id")).first()[0]
+    U.upsert_documents_batch(spark, fx.new, 0, fx.old, log_dir, base_max)
+    first = sorted(spark.read.parquet(log_dir).collect())
+    U.upsert_documents_batch(spark, fx.new, 0, fx.old, log_dir, base_max)
+    assert sorted(spark.read.parquet(log_dir).collect()) == first
+    assert U.current_documents(spark, fx.old, log_dir).count() == 220
