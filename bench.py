@@ -25,6 +25,7 @@ HEADLINE = [
     "hit_totals",
     "postings_stats",          # full inverted-index build
     "bm25_any_terms",
+    "match_phrase",
     "highlight_snippet",
     "search_page_highlight",
     "path_index",

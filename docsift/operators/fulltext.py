@@ -145,9 +145,10 @@ class TextIndex:
 
 
 def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id") -> TextIndex:
-    """T4 + I12: tokenize every field once, carry the document length on each
-    posting (so no query joins back to a length table), write the postings
-    token-ordered, and write N / avgdl as a one-row table.
+    """T4 + I12: tokenize every field once, carry the document length and the
+    token positions on each posting (so no query joins back to a length table
+    or re-reads text), write the postings token-ordered, and write N / avgdl
+    as a one-row table.
 
     The length is computed on the document row from the same token arrays
     that are exploded, so the text is tokenized a single time; grouping by
@@ -157,9 +158,11 @@ def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id
     dl = functools.reduce(lambda a, b: a + b, [_size0(F.col(f"_t{i}")) for i in range(len(fields))])
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t{i}").alias("toks")) for i, f in enumerate(fields)])
     rows = toks.select("id", dl.cast("long").alias("dl"), F.inline(arr))
-    post = (rows.select("id", "dl", "field", F.explode("toks").alias("token"))
-            .groupBy("token", "id", "field", "dl").agg(F.count(F.lit(1)).alias("tf"))
-            .select("token", "id", "field", "tf", "dl"))
+    # positional postings: the token positions of each (token, document, field)
+    post = (rows.select("id", "dl", "field", F.posexplode("toks").alias("p", "token"))
+            .groupBy("token", "id", "field", "dl")
+            .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.col("p").cast("int"))).alias("pos"))
+            .select("token", "id", "field", "tf", "dl", "pos"))
     write_postings(post, f"{path}/postings")
     spark = docs.sparkSession
     n_docs = docs.select(F.count(F.lit(1))).scalar()
@@ -202,10 +205,20 @@ def match_prefix(postings: DataFrame, prefix: str) -> DataFrame:
 
 
 def match_phrase(docs: DataFrame, postings: DataFrame, phrase: list[str], field: str = "content") -> DataFrame:
-    """Adjacent tokens in order.  Candidates come from the postings (all
-    phrase tokens present in the field); adjacency is then verified on the
-    candidates' own token arrays, row-locally."""
+    """Adjacent tokens in order.  With positional postings (``pos``) the
+    match is decided on the postings alone: per document, some position p of
+    the first word has word i at p + i for every i.  Without positions the
+    candidates (all words present) are verified on their token arrays."""
     words = fold_terms(phrase)
+    if "pos" in postings.columns:
+        uniq = sorted(set(words))
+        p = postings.where(F.col("token").isin(uniq) & (F.col("field") == field)).select("id", "token", "pos")
+        per_doc = (p.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "pos"))).alias("m"))
+                   .where(F.size("m") == len(uniq)))
+        ok = F.exists(F.col("m")[words[0]], lambda q: functools.reduce(
+            lambda a, b: a & b,
+            [F.array_contains(F.col("m")[w], q + i) for i, w in enumerate(words) if i > 0], F.lit(True)))
+        return per_doc.where(ok).select("id")
     cand = match_all(postings, words, [field])
     needle = " " + " ".join(words) + " "
     hay = F.concat(F.lit(" "), F.array_join(standard_tokens(F.col(field)), " "), F.lit(" "))
