@@ -144,11 +144,13 @@ class TextIndex:
         return bm25(self.postings, None, terms, stats=self.stats, **kw)
 
 
-def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id") -> TextIndex:
-    """T4 + I12: tokenize every field once, carry the document length and the
-    token positions on each posting (so no query joins back to a length table
-    or re-reads text), write the postings token-ordered, and write N / avgdl
-    as a one-row table.
+def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id",
+                     positions: bool = False) -> TextIndex:
+    """T4 + I12: tokenize every field once, carry the document length (and,
+    with ``positions``, the token positions) on each posting, so no query
+    joins back to a length table or re-reads text; write the postings
+    token-ordered, and write N / avgdl as a one-row table.  Positions roughly
+    double the build cost; they let phrase queries run on the index alone.
 
     The length is computed on the document row from the same token arrays
     that are exploded, so the text is tokenized a single time; grouping by
@@ -158,11 +160,17 @@ def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id
     dl = functools.reduce(lambda a, b: a + b, [_size0(F.col(f"_t{i}")) for i in range(len(fields))])
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t{i}").alias("toks")) for i, f in enumerate(fields)])
     rows = toks.select("id", dl.cast("long").alias("dl"), F.inline(arr))
-    # positional postings: the token positions of each (token, document, field)
-    post = (rows.select("id", "dl", "field", F.posexplode("toks").alias("p", "token"))
-            .groupBy("token", "id", "field", "dl")
-            .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list(F.col("p").cast("int"))).alias("pos"))
-            .select("token", "id", "field", "tf", "dl", "pos"))
+    if positions:
+        # positional postings: the positions of each (token, document, field),
+        # as a set (phrase matching only tests membership, so no sort)
+        post = (rows.select("id", "dl", "field", F.posexplode("toks").alias("p", "token"))
+                .groupBy("token", "id", "field", "dl")
+                .agg(F.collect_list(F.col("p").cast("int")).alias("pos"))
+                .select("token", "id", "field", F.size("pos").cast("long").alias("tf"), "dl", "pos"))
+    else:
+        post = (rows.select("id", "dl", "field", F.explode("toks").alias("token"))
+                .groupBy("token", "id", "field", "dl").agg(F.count(F.lit(1)).alias("tf"))
+                .select("token", "id", "field", "tf", "dl"))
     write_postings(post, f"{path}/postings")
     spark = docs.sparkSession
     n_docs = docs.select(F.count(F.lit(1))).scalar()

@@ -256,3 +256,16 @@ def test_stream_batch_retry_is_idempotent(spark):
     U.upsert_documents_batch(spark, fx.new, 0, fx.old, log_dir, base_max)
     assert sorted(spark.read.parquet(log_dir).collect()) == first
     assert U.current_documents(spark, fx.old, log_dir).count() == 200  # every key of old or new
+
+
+def test_phrase_positional_equals_text_verified(spark):
+    from docsift.operators import fulltext as T
+    from docsift.session import scratch_dir
+
+    c = Fixtures(spark, SF_SMALL).corpus
+    plain = T.build_text_index(c, scratch_dir(spark, "ix"))
+    pos = T.build_text_index(c, scratch_dir(spark, "ixp"), positions=True)
+    for phrase in (["of", "the"], ["the", "of", "the"], ["in", "the"]):
+        a = sorted(r[0] for r in T.match_phrase(c, plain.postings, phrase).collect())
+        b = sorted(r[0] for r in T.match_phrase(c, pos.postings, phrase).collect())
+        assert a == b
