@@ -5,11 +5,12 @@ bottom-up one depth at a time until the top level: an entry at depth d that
 stays small is added to its parent at depth d-1 (created if absent), and the
 parent is judged with the merged size at the next step.  Bytes are conserved.
 
-Each step touches only the rows of one depth: split by the threshold, a
-``groupBy(parent).sum`` with map-side partial sums, a union.  The loop runs
-``max depth`` times (one scalar reaches the driver) and the running table is
-cut from its lineage at every level with ``checkpoint()`` into the shared
-checkpoint folder, so a lost executor never replays earlier levels.
+Each step touches only the rows of one depth plus the sums carried up from
+the level below: a ``groupBy(path).sum`` and a ``groupBy(parent).sum``, both
+with map-side partial sums.  The loop runs ``max depth`` times (one row of
+scalars reaches the driver, once) and the carried rows are cut from their
+lineage at every level with ``checkpoint()`` into the shared checkpoint
+folder, so a lost executor never replays earlier levels.
 """
 
 from __future__ import annotations
@@ -26,9 +27,16 @@ TREEMAP_THRESHOLD = 0.0005  # fixed value: fraction of the total size
 
 
 def treemap(docs: DataFrame, threshold: float = TREEMAP_THRESHOLD, path_col: str = "path",
-            size_col: str = "size", checkpoint_every: int = 1) -> DataFrame:
-    """(path, size) entries after merging small entries upward."""
-    ensure_checkpoint_dir(docs.sparkSession)
+            size_col: str = "size") -> DataFrame:
+    """(path, size) entries after merging small entries upward.
+
+    Work per level is proportional to that level: the entries at depth d plus
+    what the level below carried up are summed per path; entries at or above
+    the threshold are final, the others are summed per parent and carried to
+    depth d - 1.  Only the carried rows (checkpointed each level) cross from
+    one level to the next, so the table is not re-shuffled once per level."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     # entries materialised once: the input (often a join) is read a single time
     flat = (docs.groupBy(F.col(path_col).alias("path")).agg(F.sum(size_col).cast("long").alias("size"))
             .withColumn("depth", path_depth(F.col("path")))).checkpoint(eager=True)
@@ -36,17 +44,24 @@ def treemap(docs: DataFrame, threshold: float = TREEMAP_THRESHOLD, path_col: str
     max_depth = top["d"] or 0
     # threshold in bytes: floor(total x threshold)
     cut = F.lit(int(math.floor((top["t"] or 0.0) * threshold))).cast("long")
-    cur = flat
-    for i, d in enumerate(range(max_depth, 1, -1)):
-        level = cur.where(F.col("depth") == d)
-        small = level.where(F.col("size") < cut)
-        rest = cur.where(F.col("depth") != d).unionByName(level.where(F.col("size") >= cut))
-        moved = small.select(path_parent(F.col("path")).alias("path"), "size")
-        merged = (rest.select("path", "size").unionByName(moved)
-                  .groupBy("path").agg(F.sum("size").cast("long").alias("size"))
-                  .withColumn("depth", path_depth(F.col("path"))))
-        cur = merged.checkpoint(eager=True) if checkpoint_every and (i + 1) % checkpoint_every == 0 else merged
-    return cur.select("path", "size")
+    finals = [flat.where(F.col("depth") == 0).select("path", "size")]  # top-level files stay as they are
+    carried = None
+    for d in range(max_depth, 0, -1):
+        level = flat.where(F.col("depth") == d).select("path", "size")
+        if carried is not None:
+            level = (level.unionByName(carried).groupBy("path")
+                     .agg(F.sum("size").cast("long").alias("size")))
+        if d == 1:  # top-level entries have no parent to merge into
+            finals.append(level)
+            break
+        finals.append(level.where(F.col("size") >= cut))
+        carried = (level.where(F.col("size") < cut)
+                   .groupBy(path_parent(F.col("path")).alias("path"))
+                   .agg(F.sum("size").cast("long").alias("size"))).checkpoint(eager=True)
+    out = finals[0]
+    for f in finals[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def treemap_tree(entries: DataFrame) -> DataFrame:
