@@ -60,15 +60,22 @@ def dense_ids(df: DataFrame, key: str, base, partitions: int | None = None) -> D
 def apply_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     """Next document table: unchanged rows kept, modified rows replaced
     with their id kept (Q1), new rows get ids after the old maximum in key
-    order, deleted rows dropped.  Adds ``status``."""
-    d = snapshot_diff(old, new).select("key", "old_id", "status")
-    n = file_key(new)
+    order, deleted rows dropped.  Adds ``status``.
+
+    One full outer join on the key carries the new snapshot's columns, so the
+    classification and the new rows come out of a single shuffle."""
     cols = [c for c in new.columns if c != "id"]
-    kept = (n.join(d.where(F.col("status").isin(UNCHANGED, MODIFIED)), "key")
-            .select(F.col("old_id").alias("id"), *cols, "status"))
-    fresh = n.join(d.where(F.col("status") == NEW).select("key", "status"), "key")
+    o = file_key(old).select("key", F.col("id").alias("_old_id"), F.col("mtime").alias("_old_mtime"))
+    n = file_key(new).select("key", *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
+    j = o.join(n, "key", "full_outer").where(F.col("_in_new").isNotNull())
+    status = (F.when(F.col("_old_id").isNull(), F.lit(NEW))
+              .when(F.col("_old_mtime") == F.col("_n_mtime"), F.lit(UNCHANGED))
+              .otherwise(F.lit(MODIFIED)))
+    j = j.select("key", "_old_id", *[F.col(f"_n_{c}").alias(c) for c in cols], status.alias("status"))
+    kept = j.where(F.col("status") != NEW).select(F.col("_old_id").alias("id"), *cols, "status")
     base = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    numbered = dense_ids(fresh, "key", base).select(F.col("new_id").alias("id"), *cols, "status")
+    numbered = dense_ids(j.where(F.col("status") == NEW), "key", base).select(
+        F.col("new_id").alias("id"), *cols, "status")
     return kept.unionByName(numbered)
 
 
