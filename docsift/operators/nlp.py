@@ -72,21 +72,20 @@ def merge_label_spans(docs: DataFrame, col: str = "content") -> DataFrame:
     """Consecutive tokens with one label become one span (id, start, end,
     label, n_words), positions 0-based; label ENT for tokens longer than 8
     characters, else O.  Span starts are the positions where the label
-    changes - found row-locally, so no window or shuffle is needed."""
-    base = docs.select("id", F.transform(tokens_lower(col), lambda t: F.when(F.length(t) >= ENTITY_MIN_LENGTH,
-                                                                             F.lit("ENT")).otherwise(F.lit("O")))
-                       .alias("_l"))
-    # no separate emptiness filter: it would be pushed below the projection and
-    # tokenize every text twice; an empty token list simply yields no span
-    positions = F.when(F.size("_l") > 0, F.sequence(F.lit(1), F.size("_l"))).otherwise(F.array().cast("array<int>"))
-    base = base.select("id", "_l", F.filter(
-        positions,
-        lambda i: (i == 1) | (F.try_element_at(F.col("_l"), i) != F.try_element_at(F.col("_l"), i - 1))).alias("_st"))
+    changes - found row-locally, so no window or shuffle is needed.  Labels
+    are kept as booleans until the spans are built."""
+    base = docs.select("id", F.transform(tokens_lower(col), lambda t: F.length(t) >= ENTITY_MIN_LENGTH).alias("_e"))
+    # the previous token's label, aligned with each token (the first has none)
+    prev = F.concat(F.array(F.lit(None).cast("boolean")), F.slice("_e", 1, F.greatest(F.size("_e") - 1, F.lit(0))))
+    base = base.select("id", "_e", F.filter(
+        F.transform(F.zip_with("_e", prev, lambda a, b: b.isNull() | (a != b)),
+                    lambda c, i: F.when(c, i + 1)),
+        lambda x: x.isNotNull()).alias("_st"))
     spans = F.transform("_st", lambda s, k: F.struct(
         (s - 1).cast("long").alias("start"),
         (F.when(k + 1 < F.size("_st"), F.try_element_at(F.col("_st"), k + 2) - 2)
-         .otherwise(F.size("_l") - 1)).cast("long").alias("end"),
-        F.try_element_at(F.col("_l"), s).alias("label")))
+         .otherwise(F.size("_e") - 1)).cast("long").alias("end"),
+        F.when(F.try_element_at(F.col("_e"), s), F.lit("ENT")).otherwise(F.lit("O")).alias("label")))
     out = base.select("id", F.inline(spans))
     return out.select("id", "start", "end", "label", (F.col("end") - F.col("start") + 1).alias("n_words"))
 
