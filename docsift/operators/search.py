@@ -278,3 +278,27 @@ def suggest_paths(paths: DataFrame, text: str, n: int = 65536, col: str = "path"
     has_prefix = pref.select(F.count(F.lit(1)).alias("n")).scalar() > 0
     chosen = allc.where((F.col("_rank") == 0) | ~has_prefix)
     return chosen.orderBy(F.length(c), c).limit(n).select(col)
+
+
+# Fields searched when "search in path" is off (T10, Q9: applies to every term).
+TEXT_FIELDS_NO_PATH = ["name", "content", "title"]
+
+
+def search(docs: DataFrame, req: SearchRequest, index=None, tags: DataFrame | None = None,
+           emb: DataFrame | None = None, columns: list[str] | None = None):
+    """O6 in one call: the request's text terms (BM25 over the text index,
+    path field only when ``search_in_path``), phrase, tag and embedding parts,
+    the page, and - when ``fetch_aggregations`` - the totals (A9).
+    Returns ``(page, totals_or_None)``."""
+    scores = None
+    if req.terms:
+        fields = None if req.search_in_path else TEXT_FIELDS_NO_PATH
+        scores = index.bm25(req.terms, fields=fields)
+    if req.phrase:
+        from docsift.operators.fulltext import match_phrase
+
+        ids = match_phrase(docs, index.postings, req.phrase)
+        scores = ids.withColumn("score", F.lit(0.0)) if scores is None else scores.join(ids, "id", "left_semi")
+    page = search_page(docs, req, scores=scores, tags=tags, columns=columns, emb=emb)
+    totals = hit_totals(docs, req, scores=scores, tags=tags) if req.fetch_aggregations else None
+    return page, totals

@@ -67,7 +67,8 @@ def _text_index(spark, sf_dir):
 QUERY_TERMS = ["estion", "ated"]
 FLAG_REQ = S.SearchRequest(terms=QUERY_TERMS, mime_types=["text/plain", "text/html", "application/json",
                                                            "application/pdf"],
-                           sort="score", sort_asc=False, page_size=60)
+                           sort="score", sort_asc=False, page_size=60, search_in_path=True,
+                           fetch_aggregations=True)
 
 
 @query("search_text_bm25_page", "O6/O2/T5/T6/J4", with_fixtures(["corpus", "mime"], f"""
@@ -76,9 +77,9 @@ FROM idx i JOIN sc ON i.id = sc.id
 WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf')
 ORDER BY sort_var DESC, i.id ASC LIMIT 60""", IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS)))
 def search_text_bm25_page(spark, sf_dir):
-    fx, docs, post, lens = _text_index(spark, sf_dir)
-    scores = lens.bm25(FLAG_REQ.terms)
-    return S.search_page(doc_index(fx), FLAG_REQ, scores=scores)
+    fx, docs, post, ix = _text_index(spark, sf_dir)
+    page, _ = S.search(doc_index(fx), FLAG_REQ, index=ix)
+    return page
 
 
 @query("search_text_totals", "A9/T6", with_fixtures(["corpus", "mime"], """
@@ -87,8 +88,9 @@ FROM idx i JOIN sc ON i.id = sc.id
 WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf')""",
     IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS)))
 def search_text_totals(spark, sf_dir):
-    fx, docs, post, lens = _text_index(spark, sf_dir)
-    return S.hit_totals(doc_index(fx), FLAG_REQ, scores=lens.bm25(FLAG_REQ.terms))
+    fx, docs, post, ix = _text_index(spark, sf_dir)
+    _, totals = S.search(doc_index(fx), FLAG_REQ, index=ix)
+    return totals
 
 
 @query("tokenize_standard", "T1", with_fixtures(["corpus"], f"""
@@ -178,15 +180,15 @@ def match_prefix(spark, sf_dir):
     return T.match_prefix(post, "Estio")
 
 
-NOPATH = ["name", "content", "title"]
+NOPATH = S.TEXT_FIELDS_NO_PATH
 
 
 @query("match_fields_no_path", "T10", with_fixtures(["corpus"], """
 SELECT id, round(score, 6) AS score FROM sc""",
     _postings_cte() + ",\n" + bm25_cte(["de", "y3"], fields=NOPATH, require_all=False)))
 def match_fields_no_path(spark, sf_dir):
-    _, _, post, lens = _text_index(spark, sf_dir)
-    return lens.bm25(["de", "y3"], fields=NOPATH, require_all=False).select(
+    _, _, post, ix = _text_index(spark, sf_dir)
+    return ix.bm25(["de", "y3"], fields=S.TEXT_FIELDS_NO_PATH, require_all=False).select(
         "id", F.round("score", 6).alias("score"))
 
 
@@ -284,3 +286,20 @@ def highlight_full(spark, sf_dir):
     _, docs, post, _ = _text_index(spark, sf_dir)
     hits = docs.join(T.match_all(post, QUERY_TERMS), "id", "left_semi")
     return T.highlight_full(hits, QUERY_TERMS)
+
+
+PHRASE_REQ = S.SearchRequest(terms=["the"], phrase=["of", "the"], sort="size", sort_asc=True, page_size=50,
+                             size_min=100_000)
+
+
+@query("search_phrase_page", "O6/T8/T10", with_fixtures(["corpus", "mime"], f"""
+SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, i.size AS sort_var
+FROM idx i JOIN sc ON i.id = sc.id
+WHERE i.size >= 100000
+  AND contains(' ' || array_to_string({Q.tokens('i.content')}, ' ') || ' ', ' of the ')
+ORDER BY sort_var ASC, i.id ASC LIMIT 50""",
+    IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(["the"], fields=S.TEXT_FIELDS_NO_PATH)))
+def search_phrase_page(spark, sf_dir):
+    fx, docs, post, ix = _text_index(spark, sf_dir)
+    page, _ = S.search(doc_index(fx), PHRASE_REQ, index=ix)
+    return page
