@@ -137,9 +137,12 @@ def _compact_sql() -> str:
 
 @query("compact_index", "I12", _compact_sql())
 def compact_index(spark, sf_dir):
-    c = Fixtures(spark, sf_dir).corpus
+    """Rewrite the existing text index's postings into a fresh, token-ordered
+    layout (what an index merge does after many incremental loads)."""
+    from docsift.plans.text_queries import text_index
+
     out = scratch_dir(spark, "postings")
-    T.write_postings(T.build_postings(c), out)
+    T.write_postings(text_index(spark, sf_dir).postings.select("token", "id", "field", "tf"), out)
     return spark.read.parquet(out)
 
 
