@@ -167,10 +167,14 @@ def read_archives(spark: SparkSession, root: str, mode: str = "shallow") -> Data
 def write_tree(docs: DataFrame, root: str, archive: bool = False) -> None:
     """Write each document's content as a file ``root/<path>/<name>.<ext>``
     (or as a one-member zip ``root/<path>/<name>.zip``), with the document's
-    mtime.  Runs inside the tasks, one file per row, on the shared folder."""
+    mtime.  Runs inside the tasks, one file per row; ``root`` must be a
+    POSIX path every executor mounts (the listing sources then read it like
+    any file tree).  A retried task rewrites the same files."""
     base = root.rstrip("/")
     if base.startswith("file:"):
         base = base[5:]
+    if "://" in base or base.split("/")[0].endswith(":"):
+        raise ValueError(f"write_tree needs a mounted POSIX folder, not {root!r}")
 
     def run(batches):
         import os
