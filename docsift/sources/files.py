@@ -96,6 +96,7 @@ def truncate_content(df: DataFrame, n: int = DEFAULT_CONTENT_SIZE, col: str = "c
 # ------------------------------------------------------------------ archives
 
 ARCHIVE_MODES = ("skip", "list", "shallow", "recurse")
+MEMBERS_PER_BATCH = 256
 MEMBER_SCHEMA = "archive string, member string, size long, depth int, content binary"
 
 
@@ -141,6 +142,8 @@ def expand_archives(archives: DataFrame, mode: str = "shallow") -> DataFrame:
     if mode == "skip":
         return archives.sparkSession.createDataFrame([], MEMBER_SCHEMA)
 
+    cols = ["archive", "member", "size", "depth", "content"]
+
     def run(batches):
         import pandas as pd
 
@@ -149,7 +152,11 @@ def expand_archives(archives: DataFrame, mode: str = "shallow") -> DataFrame:
             for rel, data in zip(pdf["rel_path"], pdf["content"]):
                 for member, size, depth, body in _members(bytes(data), "", 1, mode):
                     rows.append((rel, member, int(size), depth, body))
-            yield pd.DataFrame(rows, columns=["archive", "member", "size", "depth", "content"])
+                    if len(rows) >= MEMBERS_PER_BATCH:  # stream members out, never a whole archive set
+                        yield pd.DataFrame(rows, columns=cols)
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=cols)
 
     return archives.select("rel_path", "content").mapInPandas(run, MEMBER_SCHEMA)
 
