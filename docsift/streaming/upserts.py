@@ -78,6 +78,9 @@ def stream_documents(spark: SparkSession, source_dir: str, schema, base: DataFra
                      files_per_trigger: int = 1) -> DataFrame:
     """ST1: run the stream to completion (availableNow) and return the table."""
     log_dir = f"{work_dir}/log"
+    # an empty partition makes the log exist before the first batch reads it
+    spark.createDataFrame([], "id long, path string, name string, mtime long, size long, key string") \
+        .write.mode("overwrite").parquet(f"{log_dir}/batch=-1")
     base_max = base.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one scalar, once
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
@@ -106,6 +109,8 @@ def stream_tag_edits(spark: SparkSession, source_dir: str, schema, tags: DataFra
                      files_per_trigger: int = 1) -> DataFrame:
     """ST2: run the edit stream to completion and return the resulting tags."""
     state_dir = f"{work_dir}/state"
+    # the empty state version the first batch folds into
+    spark.createDataFrame([], EDIT_STATE_SCHEMA).write.mode("overwrite").parquet(f"{state_dir}/v=-1")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     q = (stream.writeStream
