@@ -17,7 +17,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import WORD_SPLIT, WORD_TOKEN, fold, standard_tokens
+from docsift.functions.text import WORD_TOKEN, fold, standard_tokens
 
 # Field weights of the ranking (name, content, title, path).
 FIELD_WEIGHTS = {"name": 8.0, "content": 3.0, "title": 8.0, "path": 5.0}
@@ -282,8 +282,10 @@ def highlight(docs: DataFrame, terms: list[str], field: str = "content", n: int
     base = base.select("id", "_ot", "_ft", F.filter(
         F.sequence(F.lit(1), F.greatest(F.size("_ft"), F.lit(1))),
         lambda i: _is_term(F.try_element_at(F.col("_ft"), i), q)).alias("_hits"))
+    # hits are ascending and at most n of them fit in a window of n tokens, so
+    # the count for the hit at index k only looks at the n hits from k on
     base = base.select("id", "_ot", "_ft", "_hits", F.transform(
-        "_hits", lambda p: F.size(F.filter("_hits", lambda r: (r >= p) & (r < p + n)))).alias("_cnt"))
+        "_hits", lambda p, k: F.size(F.filter(F.slice("_hits", k + 1, n), lambda r: r < p + n))).alias("_cnt"))
     otoks, ftoks, hits, counts = F.col("_ot"), F.col("_ft"), F.col("_hits"), F.col("_cnt")
     start = F.when(F.size(hits) == 0, F.lit(1)).otherwise(
         F.try_element_at(hits, F.array_position(counts, F.array_max(counts)).cast("int")))
@@ -292,8 +294,7 @@ def highlight(docs: DataFrame, terms: list[str], field: str = "content", n: int
                                                F.concat(F.lit("<mark>"), F.try_element_at(otoks, i), F.lit("</mark>")))
                          .otherwise(F.try_element_at(otoks, i)))
     snippet = F.when(F.size(otoks) == 0, F.lit("")).otherwise(F.array_join(marked, " "))
-    docs = base
-    return docs.select("id", snippet.alias("snippet"))
+    return base.select("id", snippet.alias("snippet"))
 
 
 def highlight_page(docs: DataFrame, page: DataFrame, terms: list[str], field: str = "content",
@@ -323,10 +324,3 @@ def highlight_full(docs: DataFrame, terms: list[str], field: str = "content") ->
                             F.when(_is_term(fold(w), q), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w),
                             F.coalesce(s, F.lit(""))))
     return docs.select("id", F.concat(F.try_element_at(seps, F.lit(1)), F.array_join(pieces, "")).alias("marked"))
-
-
-__all__ = [
-    "FIELD_WEIGHTS", "METADATA_BOOSTS", "WORD_SPLIT", "build_postings", "doc_lengths", "bm25", "match_all",
-    "match_any", "match_not", "match_prefix", "match_phrase", "match_fuzzy", "trigram_postings", "highlight",
-    "highlight_full", "write_postings", "fold_terms",
-]

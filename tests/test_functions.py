@@ -91,3 +91,27 @@ def test_tar_archives(spark):
     assert rows[0]["content"] is None
     full = FS.read_archives(spark, root, "shallow").first()
     assert bytes(full["content"]) == b"hello tar"
+
+
+def _brute_snippet(text, terms, n):
+    import re as _re
+
+    words = _re.findall(r"[^\W_]+", text)
+    hits = [i for i, w in enumerate(words) if w.lower() in terms]
+    if not hits:
+        start = 0
+    else:
+        counts = [sum(1 for r in hits if p <= r < p + n) for p in hits]
+        start = hits[counts.index(max(counts))]
+    window = words[start:start + n]
+    return " ".join(f"<mark>{w}</mark>" if w.lower() in terms else w for w in window)
+
+
+def test_highlight_window_rule(spark):
+    from docsift.operators import fulltext as T
+
+    texts = ["a x a x x x x x x b b b x x", "nothing here at all", "b", "x " * 30 + "a b a b a", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
+    got = {r["id"]: r["snippet"] for r in T.highlight(df, ["a", "b"], n=5).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _brute_snippet(t, {"a", "b"}, 5), (i, got[i])
