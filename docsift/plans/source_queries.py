@@ -51,9 +51,9 @@ SRC_FIELDS = ["name", "path", "extension", "size", "mtime"]
 
 
 @query("export_ndjson", "S11", with_fixtures(["corpus"], """
-SELECT to_json(struct_pack(_id := printf('%08x.%08x', index_id, id), _index := 'docs',
+SELECT CAST(to_json(struct_pack(_id := printf('%08x.%08x', index_id, id), _index := 'docs',
        _source := struct_pack(name := name, path := path, extension := extension, size := size, mtime := mtime)))
-       AS value
+       AS VARCHAR) AS value
 FROM corpus"""))
 def export_ndjson(spark, sf_dir):
     c = Fixtures(spark, sf_dir).corpus
@@ -67,8 +67,8 @@ BULK_CTE = """dl AS (
   WHERE id NOT IN (SELECT id FROM new)),
 ops AS (
   SELECT 0 AS op, ((CAST(1 AS BIGINT) << 32) | id) AS sid,
-         to_json(struct_pack(name := name, path := path, size := size)) AS source FROM new
-  UNION ALL SELECT 1 AS op, ((CAST(1 AS BIGINT) << 32) | id) AS sid, NULL AS source FROM dl),
+         CAST(to_json(struct_pack(name := name, path := path, size := size)) AS VARCHAR) AS source FROM new
+  UNION ALL SELECT 1 AS op, ((CAST(1 AS BIGINT) << 32) | id) AS sid, CAST(NULL AS VARCHAR) AS source FROM dl),
 numbered AS (SELECT *, row_number() OVER (ORDER BY op, sid) AS r FROM ops)"""
 
 

@@ -156,7 +156,7 @@ def suggest_tags_no_colour(spark, sf_dir):
 
 @query("parse_tags", "P14/P15", with_fixtures(["tags"], f"""
 SELECT tag, {TAG_ID} AS tag_id, {COLOUR} AS colour, {COLOURED} AS is_leaf,
-       round(0.2126 * r + 0.7152 * g + 0.0722 * b, 4) AS luminance,
+       CAST(round(0.2126 * r + 0.7152 * g + 0.0722 * b, 4) AS DOUBLE) AS luminance,
        CASE WHEN {COLOURED} THEN CASE WHEN 0.2126 * r + 0.7152 * g + 0.0722 * b > 50 THEN '#000' ELSE '#fff' END END
        AS fg
 FROM (SELECT tag,

@@ -202,7 +202,7 @@ def _fuzzy_sql() -> str:
     every = " AND ".join(f"(contains({cn}, {Q.q(g)}) OR contains({nn}, {Q.q(g)}))" for g in grams)
     score = " + ".join(f"(CASE WHEN contains({cn}, {Q.q(g)}) THEN 1.0 ELSE 0.0 END + "
                        f"CASE WHEN contains({nn}, {Q.q(g)}) THEN 3.0 ELSE 0.0 END)" for g in grams)
-    return f"SELECT id, round({score}, 6) AS score FROM corpus WHERE {every}"
+    return f"SELECT id, CAST(round({score}, 6) AS DOUBLE) AS score FROM corpus WHERE {every}"
 
 
 @query("match_fuzzy", "T11", with_fixtures(["corpus"], _fuzzy_sql()))

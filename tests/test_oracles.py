@@ -35,11 +35,22 @@ def _rows(pdf):
     return cols, sorted("|".join(_canon(x) for x in r) for r in pdf[cols].itertuples(index=False, name=None))
 
 
+# Spark type -> DuckDB type of the same values.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 @pytest.mark.parametrize("name", WITH_ORACLE)
 def test_matches_oracle(spark, duck, name):
     spec = REG[name]
-    got = spec.build(spark, SF_SMALL).toPandas()
-    want = duck.sql(spec.oracle).df()
+    df = spec.build(spark, SF_SMALL)
+    rel = duck.sql(spec.oracle)
+    spark_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    duck_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    assert spark_types == duck_types
+    got = df.toPandas()
+    want = rel.df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)
     assert gc == wc
