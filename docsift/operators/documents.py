@@ -91,7 +91,8 @@ def file_class(mime: str = "mime", size: str = "size") -> Column:
 def typed_documents(docs: DataFrame, mime_dim: DataFrame, ext_col: str = "extension") -> DataFrame:
     """Only documents whose extension has a known media type (inner join)."""
     dim = F.broadcast(mime_dim.select(F.lower("extension").alias("_ext"), F.col("mime")))
-    return docs.join(dim, F.lower(F.col(ext_col)) == F.col("_ext"), "inner").drop("_ext")
+    base = docs.drop("mime") if "mime" in docs.columns else docs
+    return base.join(dim, F.lower(F.col(ext_col)) == F.col("_ext"), "inner").drop("_ext")
 
 
 def index_documents(corpus: DataFrame, mime_dim: DataFrame) -> DataFrame:

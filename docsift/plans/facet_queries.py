@@ -129,10 +129,11 @@ def suggest_paths_contains(spark, sf_dir):
     return S.suggest_paths(paths, "DE/Y")
 
 
-def _treemap_sql(levels: int = 5) -> str:
-    """Unrolled bottom-up merge for the five-level tree fixture."""
-    parts = [f"e{levels} AS (SELECT path, CAST(sum(size) AS BIGINT) AS size FROM tree GROUP BY path)",
-             "thr AS (SELECT CAST(floor(CAST(sum(size) AS DOUBLE) * 0.0005) AS BIGINT) AS cut FROM tree)"]
+def _treemap_sql(levels: int = 5, src: str = "tree") -> str:
+    """Unrolled bottom-up merge over ``src`` (path, size) whose paths have at
+    most ``levels`` segments (the tree fixture has five)."""
+    parts = [f"e{levels} AS (SELECT path, CAST(sum(size) AS BIGINT) AS size FROM {src} GROUP BY path)",
+             f"thr AS (SELECT CAST(floor(CAST(sum(size) AS DOUBLE) * 0.0005) AS BIGINT) AS cut FROM {src})"]
     for d in range(levels, 1, -1):
         src = f"e{d}"
         parts.append(

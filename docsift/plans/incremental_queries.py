@@ -210,3 +210,43 @@ def descendants(spark, sf_dir):
     c = Fixtures(spark, sf_dir).corpus
     dirs = c.where(path_depth(F.col("path")) == 2).select(F.col("path").alias("dir")).distinct()
     return I.descendants(c, dirs)
+
+
+def _index_summary_sql() -> str:
+    from docsift.plans.common import IDX_CTE
+    from docsift.plans.facet_queries import PI_CTE, _treemap_sql
+    from docsift.plans.scalar_queries import REL_SQL
+    from docsift.plans.text_queries import _postings_cte
+
+    ctes = (PI_CTE + ",\n" + _postings_cte() + ",\n"
+            + f"tmsrc AS (SELECT {REL_SQL} AS path, size FROM corpus WHERE parent IS NULL),\n"
+            + _treemap_sql(4, "tmsrc"))
+    body = """
+SELECT 'documents' AS "table", count(*) AS n_rows FROM corpus
+UNION ALL SELECT 'text', count(*) FROM post
+UNION ALL SELECT 'mime_index', count(*) FROM (SELECT DISTINCT index_id, mime FROM idx WHERE mime IS NOT NULL)
+UNION ALL SELECT 'path_index', count(*) FROM pi
+UNION ALL SELECT 'date_range', 1
+UNION ALL SELECT 'size_histogram', count(DISTINCT size // 5000000) FROM corpus
+UNION ALL SELECT 'date_histogram', count(DISTINCT mtime // 2629800) FROM corpus
+UNION ALL SELECT 'mime_totals', count(DISTINCT m.mime) FROM corpus c JOIN mime m ON lower(c.extension) = lower(m.extension)
+UNION ALL SELECT 'treemap', count(*) FROM e1
+UNION ALL SELECT 'tags', count(*) FROM tags
+UNION ALL SELECT 'vectors', count(*) FROM emb"""
+    return with_fixtures(["corpus", "mime", "tags", "emb"], body, ctes)
+
+
+@query("index_build_summary", "I4/T4/A4/A10/A13", _index_summary_sql())
+def index_build_summary(spark, sf_dir):
+    """Build every index table (documents, text, facets, statistics, tags,
+    vectors) and report the rows of each."""
+    from functools import reduce
+
+    from docsift.operators.indexer import FACET_TABLES, build_index
+
+    fx = Fixtures(spark, sf_dir)
+    ix = build_index(fx.corpus, scratch_dir(spark, "search-index"), fx.mime, fx.tags, fx.emb)
+    parts = [("documents", ix.documents), ("text", ix.text.postings)] + \
+        [(t, getattr(ix, t)) for t in FACET_TABLES] + [("tags", ix.tags), ("vectors", ix.vectors)]
+    frames = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table"), "n_rows") for t, df in parts]
+    return reduce(lambda a, b: a.unionByName(b), frames)
