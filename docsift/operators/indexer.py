@@ -41,6 +41,13 @@ class SearchIndex:
         for t in FACET_TABLES + ("tags", "vectors"):
             setattr(self, t, spark.read.parquet(f"{path}/{t}"))
 
+    def search(self, req, columns: list[str] | None = None):
+        """O6 against the stored tables: an ``index_ids`` filter prunes the
+        document partitions; text terms read only their postings."""
+        from docsift.operators.search import search
+
+        return search(self.documents, req, index=self.text, tags=self.tags, emb=self.vectors, columns=columns)
+
 
 def build_index(corpus: DataFrame, out: str, mime_dim: DataFrame | None = None, tags: DataFrame | None = None,
                 emb: DataFrame | None = None) -> SearchIndex:

@@ -212,6 +212,23 @@ def descendants(spark, sf_dir):
     return I.descendants(c, dirs)
 
 
+_SEARCH_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def search_index(spark, sf_dir):
+    """The complete search index of ``sf_dir``, built once per application
+    into the shared checkpoint folder."""
+    from docsift.operators.indexer import SearchIndex, build_index
+
+    key = (spark.conf.get("spark.app.id", "app"), sf_dir)
+    if key not in _SEARCH_INDEXES:
+        fx = Fixtures(spark, sf_dir)
+        path = scratch_dir(spark, "search-index")
+        build_index(fx.corpus, path, fx.mime, fx.tags, fx.emb)
+        _SEARCH_INDEXES[key] = path
+    return SearchIndex(spark, _SEARCH_INDEXES[key])
+
+
 def _index_summary_sql() -> str:
     from docsift.plans.common import IDX_CTE
     from docsift.plans.facet_queries import PI_CTE, _treemap_sql
@@ -242,10 +259,9 @@ def index_build_summary(spark, sf_dir):
     vectors) and report the rows of each."""
     from functools import reduce
 
-    from docsift.operators.indexer import FACET_TABLES, build_index
+    from docsift.operators.indexer import FACET_TABLES
 
-    fx = Fixtures(spark, sf_dir)
-    ix = build_index(fx.corpus, scratch_dir(spark, "search-index"), fx.mime, fx.tags, fx.emb)
+    ix = search_index(spark, sf_dir)
     parts = [("documents", ix.documents), ("text", ix.text.postings)] + \
         [(t, getattr(ix, t)) for t in FACET_TABLES] + [("tags", ix.tags), ("vectors", ix.vectors)]
     frames = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table"), "n_rows") for t, df in parts]

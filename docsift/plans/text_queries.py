@@ -303,3 +303,21 @@ def search_phrase_page(spark, sf_dir):
     fx, docs, post, ix = _text_index(spark, sf_dir)
     page, _ = S.search(doc_index(fx), PHRASE_REQ, index=ix)
     return page
+
+
+STORED_REQ = S.SearchRequest(terms=QUERY_TERMS + ["the"], index_ids=[1, 2], sort="score", sort_asc=False,
+                             page_size=60, search_in_path=True)
+
+
+@query("search_stored_index_page", "O6/F3/T5", with_fixtures(["corpus", "mime"], """
+SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, round(sc.score, 6) AS sort_var
+FROM idx i JOIN sc ON i.id = sc.id
+WHERE i.index_id IN (1, 2)
+ORDER BY sort_var DESC, i.id ASC LIMIT 60""",
+    IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS + ["the"])))
+def search_stored_index_page(spark, sf_dir):
+    from docsift.plans.incremental_queries import search_index
+
+    page, _ = search_index(spark, sf_dir).search(STORED_REQ)
+    return page.select("id", F.col("index_id").cast("int").alias("index_id"), "name", "path", "size", "mtime",
+                       "mime", "sort_var")
