@@ -153,24 +153,13 @@ def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id
     double the build cost; they let phrase queries run on the index alone.
 
     The length is computed on the document row from the same token arrays
-    that are exploded, so the text is tokenized a single time; grouping by
-    (token, id, field, dl) adds no groups because dl depends on id only."""
+    the postings come from, so the text is tokenized a single time."""
     toks = docs.select(F.col(id_col).alias("id"),
                        *[standard_tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
     dl = functools.reduce(lambda a, b: a + b, [_size0(F.col(f"_t{i}")) for i in range(len(fields))])
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t{i}").alias("toks")) for i, f in enumerate(fields)])
     rows = toks.select("id", dl.cast("long").alias("dl"), F.inline(arr))
-    if positions:
-        # positional postings: the positions of each (token, document, field),
-        # as a set (phrase matching only tests membership, so no sort)
-        post = (rows.select("id", "dl", "field", F.posexplode("toks").alias("p", "token"))
-                .groupBy("token", "id", "field", "dl")
-                .agg(F.collect_list(F.col("p").cast("int")).alias("pos"))
-                .select("token", "id", "field", F.size("pos").cast("long").alias("tf"), "dl", "pos"))
-    else:
-        post = (rows.select("id", "dl", "field", F.explode("toks").alias("token"))
-                .groupBy("token", "id", "field", "dl").agg(F.count(F.lit(1)).alias("tf"))
-                .select("token", "id", "field", "tf", "dl"))
+    post = _document_postings(rows, positions)
     write_postings(post, f"{path}/postings")
     spark = docs.sparkSession
     n_docs = docs.select(F.count(F.lit(1))).scalar()
@@ -180,6 +169,23 @@ def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id
     return open_text_index(spark, path)
 
 
+def _document_postings(rows: DataFrame, positions: bool) -> DataFrame:
+    """Postings of the (document, field) token rows: one explode and a
+    ``groupBy`` whose map-side partial aggregation already yields the final
+    counts (all tokens of a document come from one row, hence one task), so
+    the shuffle carries postings, not token occurrences.  With ``positions``
+    the positions of each posting are collected as a set (phrase matching
+    only tests membership)."""
+    if positions:
+        return (rows.select("id", "dl", "field", F.posexplode("toks").alias("p", "token"))
+                .groupBy("token", "id", "field", "dl")
+                .agg(F.collect_list(F.col("p").cast("int")).alias("pos"))
+                .select("token", "id", "field", F.size("pos").cast("long").alias("tf"), "dl", "pos"))
+    return (rows.select("id", "dl", "field", F.explode("toks").alias("token"))
+            .groupBy("token", "id", "field", "dl").agg(F.count(F.lit(1)).alias("tf"))
+            .select("token", "id", "field", "tf", "dl"))
+
+
 def open_text_index(spark, path: str) -> TextIndex:
     return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
