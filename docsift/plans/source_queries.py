@@ -180,3 +180,21 @@ FROM corpus"""))
 def expand_archives(spark, sf_dir):
     _, root = _tree(spark, sf_dir, archive=True)
     return FS.read_archives(spark, root, "shallow").select("archive", "member", "size", "depth")
+
+
+@query("scan_documents", "S1/S2/S3/S5/S6/S7/P5", with_fixtures(["corpus", "mime"], f"""
+SELECT rel_path, path, name, extension, size, mtime, mime, checksum, n_chars FROM (
+  SELECT {REL_SQL} AS rel_path, i.path, i.name, i.extension, CAST(strlen(i.content) AS BIGINT) AS size, i.mtime,
+         i.mime, sha1(i.content) AS checksum, CAST(length(substring(i.content, 1, 32768)) AS BIGINT) AS n_chars
+  FROM idx i)
+WHERE length(rel_path) - length(replace(rel_path, '/', '')) <= 2
+  AND NOT regexp_matches(rel_path, '{EXCLUDE}')
+  AND NOT coalesce(list_bool_or(list_transform({Q.ancestors('rel_path')}[1:-2],
+                                                lambda a: regexp_matches(a, '{EXCLUDE}'))), false)""",
+    IDX_CTE))
+def scan_documents(spark, sf_dir):
+    fx = Fixtures(spark, sf_dir)
+    _, root = _tree(spark, sf_dir)
+    docs = FS.scan_documents(spark, root, fx.mime, depth=2, exclude=EXCLUDE)
+    return docs.select("rel_path", "path", "name", "extension", "size", "mtime", "mime", "checksum",
+                       F.length("content").cast("long").alias("n_chars"))
