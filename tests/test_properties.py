@@ -269,3 +269,37 @@ def test_phrase_positional_equals_text_verified(spark):
         a = sorted(r[0] for r in T.match_phrase(c, plain.postings, phrase).collect())
         b = sorted(r[0] for r in T.match_phrase(c, pos.postings, phrase).collect())
         assert a == b
+
+
+def test_scan_export_counts(spark):
+    """The reference's own scenario on printed NDJSON: full scan n lines;
+    after deleting two files n - 2; after adding three n + 1, of which three
+    are new (the increment); a no-op rescan prints the same."""
+    from docsift.operators.documents import mime_dimension
+    from docsift.session import scratch_dir
+    from docsift.sources import sinks as K
+
+    root = tempfile.mkdtemp(prefix="docsift-ndjson-")
+    for i in range(5):
+        _write(root, f"msdoc/test{i}.doc", f"document {i}")
+    dim = mime_dimension(spark)
+
+    def export(extra=None):
+        d = FS.scan_documents(spark, root, dim).withColumn("id", F.xxhash64("rel_path")) \
+            .withColumn("index_id", F.lit(1))
+        if extra is not None:
+            d = d.where(extra)
+        out = scratch_dir(spark, "ndjson")
+        K.export_ndjson(d, out, ["name", "path", "extension", "size", "mtime", "mime"])
+        return spark.read.text(out).count()
+
+    n = export()
+    assert n == 5
+    os.remove(os.path.join(root, "msdoc/test0.doc"))
+    os.remove(os.path.join(root, "msdoc/test1.doc"))
+    assert export() == n - 2
+    for name in ("a.txt", "b.txt", "c.txt"):
+        _write(root, f"new/{name}", "fresh")
+    assert export() == n + 1
+    assert export(F.col("path") == "new") == 3
+    assert export() == n + 1
