@@ -222,7 +222,8 @@ def match_phrase(docs: DataFrame, postings: DataFrame, phrase: list[str], field:
     """Adjacent tokens in order.  With positional postings (``pos``) the
     match is decided on the postings alone: per document, some position p of
     the first word has word i at p + i for every i.  Without positions the
-    candidates (all words present) are verified on their token arrays."""
+    candidates (all words present) are verified with one regex on their
+    folded text."""
     words = fold_terms(phrase)
     if "pos" in postings.columns:
         uniq = sorted(set(words))
@@ -234,9 +235,11 @@ def match_phrase(docs: DataFrame, postings: DataFrame, phrase: list[str], field:
             [F.array_contains(F.col("m")[w], q + i) for i, w in enumerate(words) if i > 0], F.lit(True)))
         return per_doc.where(ok).select("id")
     cand = match_all(postings, words, [field])
-    needle = " " + " ".join(words) + " "
-    hay = F.concat(F.lit(" "), F.array_join(standard_tokens(F.col(field)), " "), F.lit(" "))
-    return docs.join(cand, "id", "left_semi").where(F.instr(hay, needle) > 0).select("id")
+    # adjacency of tokens = the words separated only by non-word characters
+    # in the folded text: one regex scan per candidate, no token arrays
+    sep = r"[^\p{L}\p{N}]"
+    pattern = f"(^|{sep})" + f"{sep}+".join(f"\\Q{w}\\E" for w in words) + f"({sep}|$)"
+    return docs.join(cand, "id", "left_semi").where(fold(F.col(field)).rlike(pattern)).select("id")
 
 
 def match_fuzzy(docs: DataFrame, text: str, in_path: bool = False) -> DataFrame:
