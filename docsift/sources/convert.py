@@ -26,6 +26,9 @@ def markup_to_text(html) -> Column:
 
 
 def json_to_text(js) -> Column:
-    """Scalar values of a JSON object, in document order, joined by spaces."""
+    """The values of a JSON object - or of every object of an NDJSON text,
+    one per line - in document order, joined by spaces."""
     c = F.col(js) if isinstance(js, str) else js
-    return F.array_join(F.map_values(F.from_json(c, "map<string,string>")), " ")
+    lines = F.filter(F.split(c, "\n"), lambda line: F.trim(line) != "")
+    values = F.transform(lines, lambda line: F.array_join(F.map_values(F.from_json(line, "map<string,string>")), " "))
+    return F.array_join(values, " ")

@@ -77,6 +77,7 @@ def test_markup_and_json_text(spark):
            "<body><p>Fish &amp;chips &lt;b&gt;</p>\n<p>x</p></body></html>"
     assert _one(spark, C.markup_to_text(F.col("v")), html) == "Fish &chips <b> x"
     assert _one(spark, C.json_to_text(F.col("v")), '{"a": "one two", "b": 3}') == "one two 3"
+    assert _one(spark, C.json_to_text(F.col("v")), '{"a": "x"}\n{"b": 2, "c": "y"}\n') == "x 2 y"
 
 
 def test_tar_archives(spark):
