@@ -321,3 +321,15 @@ def search_stored_index_page(spark, sf_dir):
     page, _ = search_index(spark, sf_dir).search(STORED_REQ)
     return page.select("id", F.col("index_id").cast("int").alias("index_id"), "name", "path", "size", "mtime",
                        "mime", "sort_var")
+
+
+@query("mime_facet_for_text_query", "A6/T6", with_fixtures(["corpus", "mime"], """
+SELECT i.mime, count(*) AS count FROM idx i JOIN sc ON i.id = sc.id WHERE i.mime IS NOT NULL
+GROUP BY i.mime ORDER BY count DESC, i.mime LIMIT 10000""",
+    IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(["the", "and"])))
+def mime_facet_for_text_query(spark, sf_dir):
+    from docsift.operators import facets as A
+
+    fx, docs, post, ix = _text_index(spark, sf_dir)
+    hits = doc_index(fx).join(ix.bm25(["the", "and"]).select("id"), "id", "left_semi")
+    return A.mime_facet_for_query(hits)
