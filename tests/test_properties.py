@@ -303,3 +303,34 @@ def test_scan_export_counts(spark):
     assert export() == n + 1
     assert export(F.col("path") == "new") == 3
     assert export() == n + 1
+
+
+def test_stored_upsert_touches_one_partition(spark):
+    """Upserting scan index 1 rewrites only the index_id=1 folder."""
+    import glob
+
+    from docsift.functions.ids import pack_sid
+    from docsift.session import scratch_dir
+
+    fx = Fixtures(spark, SF_SMALL)
+    index = fx.corpus.select(pack_sid("index_id", "id").alias("sid"), "index_id", "id", "path", "name", "mtime", "size")
+    path = scratch_dir(spark, "stored")
+    I.write_index(index, path)
+    local = path[5:] if path.startswith("file:") else path
+
+    def files(i):
+        return sorted((p, os.path.getmtime(p)) for p in glob.glob(f"{local}/index_id={i}/*.parquet"))
+
+    before = {i: files(i) for i in (1, 2, 3)}
+    I.upsert_stored_index(spark, path, fx.new, 1)
+    assert files(2) == before[2] and files(3) == before[3]
+    assert files(1) != before[1]
+    got = spark.read.parquet(path)
+    assert got.count() == I.index_upsert(index, fx.new, 1).count()
+
+
+def test_tags_any_excludes_the_exact_tag(spark):
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    tags = spark.createDataFrame([(1, "a"), (2, "a.b"), (3, "ab.c")], "id long, tag string")
+    got = sorted(r["id"] for r in S.tags_any(docs, tags, ["a"]).collect())
+    assert got == [2]  # strictly below 'a' with a '.' boundary; 'a' itself and 'ab.c' do not match
