@@ -10,7 +10,8 @@ reads, each laid out for its access path:
 * ``mime_index``, ``path_index``, ``date_range``, ``size_histogram``,
   ``date_histogram``, ``mime_totals``, ``treemap`` - precomputed facets and
   statistics (a facet request reads a few rows instead of the documents);
-* ``tags``, ``vectors`` - tag rows and vectors keyed by document id.
+* ``tags``, ``vectors`` - tag rows and vectors keyed by document id, the
+  vectors with a pre-normalised copy so similarity is one dot product.
 
 Each table is one Spark job with its own partitioning; nothing passes
 through the driver except the treemap's per-level scalars.
@@ -26,6 +27,7 @@ from docsift.operators import facets as A
 from docsift.operators.documents import index_documents, mime_dimension
 from docsift.operators.fulltext import TextIndex, build_text_index, open_text_index
 from docsift.operators.treemap import treemap
+from docsift.operators.vectors import knn_unit, model_vectors, unit_vectors
 
 FACET_TABLES = ("mime_index", "path_index", "date_range", "size_histogram", "date_histogram", "mime_totals",
                 "treemap")
@@ -48,6 +50,13 @@ class SearchIndex:
 
         return search(self.documents, req, index=self.text, tags=self.tags, emb=self.vectors, columns=columns)
 
+    def more_like(self, doc_id: int, k: int, model_id: int = 1, columns: list[str] | None = None) -> DataFrame:
+        """V4 on the stored vectors: the document's unit vector (a scalar
+        subquery) against every stored unit vector - one dot product per row."""
+        q = (model_vectors(self.vectors, model_id).where(F.col("id") == doc_id)
+             .select(F.col("unit")).scalar())
+        return knn_unit(self.documents.select(*(columns or ["id", "name"])), self.vectors, q, k, model_id)
+
 
 def build_index(corpus: DataFrame, out: str, mime_dim: DataFrame | None = None, tags: DataFrame | None = None,
                 emb: DataFrame | None = None) -> SearchIndex:
@@ -70,5 +79,5 @@ def build_index(corpus: DataFrame, out: str, mime_dim: DataFrame | None = None,
     empty_tags = spark.createDataFrame([], "id long, index_id int, tag string")
     (tags if tags is not None else empty_tags).write.mode("overwrite").parquet(f"{out}/tags")
     empty_emb = spark.createDataFrame([], "id long, model_id int, start int, embedding array<float>")
-    (emb if emb is not None else empty_emb).write.mode("overwrite").parquet(f"{out}/vectors")
+    unit_vectors(emb if emb is not None else empty_emb).write.mode("overwrite").parquet(f"{out}/vectors")
     return SearchIndex(spark, out)

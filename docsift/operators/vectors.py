@@ -198,3 +198,21 @@ def export_documents(docs: DataFrame, tags: DataFrame, emb: DataFrame, models: D
     v = vectors_as_map(emb, models).withColumnRenamed("vectors", "emb")
     j = docs.select("id", *fields).join(t, "id", "left").join(v, "id", "left")
     return j.select("id", F.to_json(F.struct(*fields, "tag", "emb")).alias("json"))
+
+
+def unit_vectors(emb: DataFrame) -> DataFrame:
+    """Vectors with a pre-normalised copy (``unit``, NULL for a zero vector),
+    written once at index time so that scoring is a single dot product."""
+    n = norm("embedding")
+    return emb.withColumn("unit", F.when(n > 0, F.transform("embedding", lambda x: x.cast("double") / n)))
+
+
+def knn_unit(docs: DataFrame, vectors: DataFrame, q_unit, k: int, model_id: int = 1,
+             id_col: str = "id") -> DataFrame:
+    """V2 over pre-normalised vectors: similarity = q_unit . unit (documents
+    without a vector of the model score -1), best first, ties by id."""
+    vec = model_vectors(vectors, model_id).select(F.col("id").alias("_vid"), F.col("unit").alias("_u"))
+    j = docs.join(vec, docs[id_col] == vec["_vid"], "left").withColumn("_q", _arr(q_unit))
+    sim = F.when(F.col("_u").isNull() | F.col("_q").isNull(), F.lit(-1.0)).otherwise(dot(F.col("_q"), F.col("_u")))
+    scored = j.withColumn("similarity", F.round(sim, 6)).drop("_vid", "_u", "_q")
+    return scored.orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(k)

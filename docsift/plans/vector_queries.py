@@ -139,3 +139,10 @@ def export_documents(spark, sf_dir):
         "id", F.to_json(F.struct(F.col("r.name").alias("name"), F.col("r.mime").alias("mime"),
                                  F.col("r.tag").alias("tag"))).alias("json"),
         F.array_join(F.array_sort(F.map_keys("r.emb")), ",").alias("models"))
+
+
+@query("more_like_stored", "V4/V2", with_fixtures(["corpus", "emb"], _knn_sql(MORE_LIKE_DOC, 10)))
+def more_like_stored(spark, sf_dir):
+    from docsift.plans.incremental_queries import search_index
+
+    return search_index(spark, sf_dir).more_like(MORE_LIKE_DOC, 10)
