@@ -3,9 +3,10 @@ file lists, path splitting, checksums, content bounds and archive members.
 
 Listing uses Spark's ``binaryFile`` source with recursive lookup; selecting
 only path, length and modification time leaves file contents unread.
-Archive expansion is the one place that needs Python inside tasks
-(``zipfile``/``tarfile`` in ``mapInPandas``): it runs per archive, in
-parallel over all archives, and streams members without collecting anything.
+Two functions here run Python inside tasks, both through ``mapInPandas``:
+archive expansion (``zipfile``/``tarfile``, per archive, members streamed out
+in bounded batches) and ``write_tree``, which materialises documents as files
+for the listing queries.
 """
 
 from __future__ import annotations
