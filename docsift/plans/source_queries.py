@@ -104,14 +104,15 @@ REGISTRY_CTE = """used AS (SELECT DISTINCT c.index_id, e.model_id, m.name FROM e
 
 
 @query("index_registry", "S14", with_fixtures(["corpus", "emb", "model"], """
-SELECT p.index_id, 'index' || CAST(p.index_id AS VARCHAR) AS name, p.n_docs, p.version, u.models FROM
-  (SELECT index_id, count(*) AS n_docs, max(mtime) AS version FROM corpus GROUP BY index_id) p
+SELECT p.index_id, 'index' || CAST(p.index_id AS VARCHAR) AS name, p.n_docs, CAST(1 AS BIGINT) AS version,
+       p.timestamp, u.models FROM
+  (SELECT index_id, count(*) AS n_docs, max(mtime) AS timestamp FROM corpus GROUP BY index_id) p
   LEFT JOIN (SELECT index_id, string_agg(name, ',' ORDER BY model_id) AS models FROM used GROUP BY index_id) u
   ON p.index_id = u.index_id""", REGISTRY_CTE))
 def index_registry(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     r = K.index_registry(fx.corpus, fx.emb, fx.model)
-    return r.select("index_id", "name", "n_docs", "version",
+    return r.select("index_id", "name", "n_docs", "version", "timestamp",
                     F.array_join(F.transform("models", lambda m: m["name"]), ",").alias("models"))
 
 

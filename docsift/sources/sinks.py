@@ -58,16 +58,20 @@ def union_indices(frames: dict[int, DataFrame]) -> DataFrame:
 
 
 def index_registry(docs: DataFrame, emb: DataFrame, models: DataFrame) -> DataFrame:
-    """One row per index: name, document count, newest mtime, and the
+    """One row per index: name, version (the latest run that wrote one of
+    its documents, from a ``version`` column when the documents carry one,
+    else 1), timestamp (newest modification time), document count, and the
     models that have vectors in it (pre-aggregated before the join)."""
-    per = docs.groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("mtime").alias("version"))
+    ver = F.max("version").cast("long") if "version" in docs.columns else F.lit(1).cast("long")
+    per = docs.groupBy("index_id").agg(F.count(F.lit(1)).alias("n_docs"), ver.alias("version"),
+                                       F.max("mtime").alias("timestamp"))
     ids = docs.select("id", "index_id")
     used = (emb.select("id", "model_id").join(ids, "id").select("index_id", "model_id").distinct()
             .join(F.broadcast(models.select(F.col("id").alias("model_id"), "name")), "model_id"))
     m = used.groupBy("index_id").agg(F.array_sort(F.collect_list(F.struct("model_id", "name"))).alias("models"))
     return (per.join(m, "index_id", "left")
             .select("index_id", F.concat(F.lit("index"), F.col("index_id").cast("string")).alias("name"),
-                    "n_docs", "version", "models"))
+                    "n_docs", "version", "timestamp", "models"))
 
 
 def distinct_models(registry: DataFrame) -> DataFrame:
