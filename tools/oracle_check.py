@@ -22,6 +22,10 @@ from docsift.session import get_spark  # noqa: E402
 from docsift.sources.tables import TABLES, table_path  # noqa: E402
 
 
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+              "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def canon(v):
     if v is None or v is pd.NA or v is pd.NaT:
         return "NULL"
@@ -66,7 +70,8 @@ def main():
         spec = reg[name]
         t0 = time.time()
         try:
-            sp = spec.build(spark, sf_dir).toPandas()
+            sdf = spec.build(spark, sf_dir)
+            sp = sdf.toPandas()
         except Exception as e:  # noqa: BLE001
             print(f"SPARK-ERR {name}: {str(e)[:400]}")
             bad += 1
@@ -76,11 +81,18 @@ def main():
             print(f"ROWS-ONLY {name}: rows={len(sp)} {ts:.1f}s")
             continue
         try:
-            ob = con.sql(spec.oracle).df()
+            rel = con.sql(spec.oracle)
+            ob = rel.df()
         except Exception as e:  # noqa: BLE001
             print(f"ORACLE-ERR {name}: {str(e)[:400]}")
             bad += 1
             continue
+        st = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+        ot = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        if st != ot:
+            print(f"TYPES {name}: spark={st} oracle={ot}")
+            bad += 1
+            continue
         sc, sr = rows_of(sp)
         oc, orows = rows_of(ob)
         if sc != oc:
