@@ -334,3 +334,14 @@ def test_tags_any_excludes_the_exact_tag(spark):
     tags = spark.createDataFrame([(1, "a"), (2, "a.b"), (3, "ab.c")], "id long, tag string")
     got = sorted(r["id"] for r in S.tags_any(docs, tags, ["a"]).collect())
     assert got == [2]  # strictly below 'a' with a '.' boundary; 'a' itself and 'ab.c' do not match
+
+
+def test_unit_vector_knn_equals_cosine(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    docs = fx.corpus.select("id", "name")
+    q = V.vector_of(fx.emb, 7)
+    exact = [(r["id"], r["similarity"]) for r in V.knn_exact(docs, fx.emb, q, 15).collect()]
+    units = V.unit_vectors(fx.emb)
+    qu = units.where("id = 7 AND model_id = 1 AND start = 0").select("unit").scalar()
+    fast = [(r["id"], r["similarity"]) for r in V.knn_unit(docs, units, qu, 15).collect()]
+    assert exact == fast
