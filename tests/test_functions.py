@@ -116,3 +116,19 @@ def test_highlight_window_rule(spark):
     got = {r["id"]: r["snippet"] for r in T.highlight(df, ["a", "b"], n=5).collect()}
     for i, t in enumerate(texts):
         assert got[i] == _brute_snippet(t, {"a", "b"}, 5), (i, got[i])
+
+
+def test_check_dims_and_constraints(spark):
+    from docsift.operators import incremental as I
+    from docsift.operators import vectors as V
+
+    emb = spark.createDataFrame([(1, 1, 0, [0.1, 0.2]), (2, 1, 0, [0.1]), (3, 9, 0, [0.3])],
+                                "id long, model_id int, start int, embedding array<float>")
+    models = spark.createDataFrame([(1, "m", "p1", 2, "flat"), (1000, "a-very-long-name", "p1", 2, "odd")],
+                                   "id int, name string, path string, size int, type string")
+    bad = sorted((r["id"], r["dims"]) for r in V.check_dims(emb, models).collect())
+    assert bad == [(2, 2), (3, None)]
+    recs = spark.createDataFrame([(1, '{"a": 1}'), (2, "not json")], "id long, json_data string")
+    got = sorted((r["what"], r["key"]) for r in I.check_constraints(models, recs).collect())
+    assert got == [("json", "2"), ("model_id", "1000"), ("model_name", "a-very-long-name"),
+                   ("model_path", "p1"), ("model_type", "odd")]
