@@ -345,3 +345,19 @@ def test_unit_vector_knn_equals_cosine(spark):
     qu = units.where("id = 7 AND model_id = 1 AND start = 0").select("unit").scalar()
     fast = [(r["id"], r["similarity"]) for r in V.knn_unit(docs, units, qu, 15).collect()]
     assert exact == fast
+
+
+def test_tag_edit_fold_is_order_independent(spark):
+    from docsift.operators import tags as G
+    from docsift.session import scratch_dir
+    from docsift.streaming import upserts as U
+
+    edits = Fixtures(spark, SF_SMALL).tag_edits
+    state = scratch_dir(spark, "fold")
+    spark.createDataFrame([], U.EDIT_STATE_SCHEMA).write.parquet(f"{state}/v=-1")
+    # later edits arrive first: batch 0 holds the newest half
+    U.fold_tag_edits_batch(spark, edits.where("seq >= 500"), 0, state)
+    U.fold_tag_edits_batch(spark, edits.where("seq < 500"), 1, state)
+    got = sorted(spark.read.parquet(f"{state}/v=1").select("id", "tag", "op").collect())
+    want = sorted(G.latest_edits(edits).select("id", "tag", "op").collect())
+    assert got == want
