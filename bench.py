@@ -68,7 +68,7 @@ def main() -> None:
     times: dict[str, float] = {}
     # the text index is built once (as an indexer would) and timed on its own;
     # text queries then read only the postings rows of their terms
-    from docsift.plans.text_queries import text_index
+    from docsift.plans.common import text_index
 
     t0 = time.perf_counter()
     text_index(spark, sf_dir)

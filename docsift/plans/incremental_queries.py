@@ -10,6 +10,7 @@ from docsift.functions.paths import path_depth
 from docsift.operators import fulltext as T
 from docsift.operators import incremental as I
 from docsift.plans import sqlfrag as Q
+from docsift.plans.common import search_index, text_index
 from docsift.plans.registry import query
 from docsift.session import scratch_dir
 from docsift.sources.fixtures import Fixtures, with_fixtures
@@ -139,8 +140,6 @@ def _compact_sql() -> str:
 def compact_index(spark, sf_dir):
     """Rewrite the existing text index's postings into a fresh, token-ordered
     layout (what an index merge does after many incremental loads)."""
-    from docsift.plans.text_queries import text_index
-
     out = scratch_dir(spark, "postings")
     T.write_postings(text_index(spark, sf_dir).postings.select("token", "id", "field", "tf"), out)
     return spark.read.parquet(out)
@@ -212,25 +211,7 @@ def descendants(spark, sf_dir):
     return I.descendants(c, dirs)
 
 
-_SEARCH_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def search_index(spark, sf_dir):
-    """The complete search index of ``sf_dir``, built once per application
-    into the shared checkpoint folder."""
-    from docsift.operators.indexer import SearchIndex, build_index
-
-    key = (spark.conf.get("spark.app.id", "app"), sf_dir)
-    if key not in _SEARCH_INDEXES:
-        fx = Fixtures(spark, sf_dir)
-        path = scratch_dir(spark, "search-index")
-        build_index(fx.corpus, path, fx.mime, fx.tags, fx.emb)
-        _SEARCH_INDEXES[key] = path
-    return SearchIndex(spark, _SEARCH_INDEXES[key])
-
-
 def _index_summary_sql() -> str:
-    from docsift.plans.common import IDX_CTE
     from docsift.plans.facet_queries import PI_CTE, _treemap_sql
     from docsift.plans.scalar_queries import REL_SQL
     from docsift.plans.text_queries import _postings_cte

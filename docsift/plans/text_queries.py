@@ -9,9 +9,8 @@ from docsift.functions.text import WORD_TOKEN, standard_tokens
 from docsift.operators import fulltext as T
 from docsift.operators import search as S
 from docsift.plans import sqlfrag as Q
-from docsift.plans.common import IDX_CTE, doc_index
+from docsift.plans.common import IDX_CTE, doc_index, search_index, text_index
 from docsift.plans.registry import query
-from docsift.session import scratch_dir
 from docsift.sources.fixtures import Fixtures, with_fixtures
 
 FIELDS = list(T.FIELD_WEIGHTS)
@@ -44,20 +43,6 @@ def bm25_cte(terms, weights=None, fields=None, require_all=True, name="sc") -> s
             f"GROUP BY ff.id{having})")
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def text_index(spark, sf_dir) -> T.TextIndex:
-    """The corpus text index of ``sf_dir``, built once per application into
-    the shared checkpoint folder and reused by every text query."""
-    key = (spark.conf.get("spark.app.id", "app"), sf_dir)
-    if key not in _INDEXES:
-        path = scratch_dir(spark, "text-index")
-        T.build_text_index(Fixtures(spark, sf_dir).corpus, path)
-        _INDEXES[key] = path
-    return T.open_text_index(spark, _INDEXES[key])
-
-
 def _text_index(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     ix = text_index(spark, sf_dir)
@@ -316,8 +301,6 @@ WHERE i.index_id IN (1, 2)
 ORDER BY sort_var DESC, i.id ASC LIMIT 60""",
     IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS + ["the"])))
 def search_stored_index_page(spark, sf_dir):
-    from docsift.plans.incremental_queries import search_index
-
     page, _ = search_index(spark, sf_dir).search(STORED_REQ)
     return page.select("id", F.col("index_id").cast("int").alias("index_id"), "name", "path", "size", "mtime",
                        "mime", "sort_var")

@@ -143,6 +143,6 @@ def export_documents(spark, sf_dir):
 
 @query("more_like_stored", "V4/V2", with_fixtures(["corpus", "emb"], _knn_sql(MORE_LIKE_DOC, 10)))
 def more_like_stored(spark, sf_dir):
-    from docsift.plans.incremental_queries import search_index
+    from docsift.plans.common import search_index
 
     return search_index(spark, sf_dir).more_like(MORE_LIKE_DOC, 10)
