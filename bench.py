@@ -6,8 +6,9 @@ Runs each query of ``HEADLINE`` on ``$BENCH_SF_DIR`` (default
  "queries": {name: seconds}, "sf": <scale factor>}.
 Every query runs to completion through the ``noop`` sink (all rows computed,
 nothing collected).  Before timing, the JVM is warmed up by running the
-headline queries once on the smallest scale factor (sf0.001, if present), as a
-long-running service would be warm; that run is not counted.  The corpus text
+headline queries once on a smaller scale factor (``$BENCH_WARM_SF``, default
+sf0.01, when present), as a long-running service would be warm; that run is
+not counted and shares no data or index with the measured one.  The corpus text
 index of the measured scale factor is built once and timed as
 ``text_index_build``.
 """
@@ -59,7 +60,7 @@ def main() -> None:
     if len(sys.argv) > 1:
         names = [n for n in names if any(a in n for a in sys.argv[1:])]
 
-    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
+    warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), os.environ.get("BENCH_WARM_SF", "sf0.01"))
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
     for name in names:  # warm-up on tiny data, not counted
