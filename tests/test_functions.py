@@ -132,3 +132,23 @@ def test_check_dims_and_constraints(spark):
     got = sorted((r["what"], r["key"]) for r in I.check_constraints(models, recs).collect())
     assert got == [("json", "2"), ("model_id", "1000"), ("model_name", "a-very-long-name"),
                    ("model_path", "p1"), ("model_type", "odd")]
+
+
+def test_search_request_validation_and_totals(spark):
+    import pytest
+
+    from docsift.operators import search as S
+
+    with pytest.raises(ValueError):
+        S.SearchRequest(page_size=0).validate()
+    with pytest.raises(ValueError):
+        S.SearchRequest(page_size=1001).validate()
+    with pytest.raises(ValueError):
+        S.SearchRequest(after=(1,)).validate()
+    docs = spark.createDataFrame([(1, 1, "a", "p", 10, 5, "text/plain"), (2, 2, "b", "p/q", 20, 6, None)],
+                                 "id long, index_id int, name string, path string, size long, mtime long, mime string")
+    page, totals = S.search(docs, S.SearchRequest(sort="size", page_size=10))
+    assert totals is None and [r["id"] for r in page.collect()] == [2, 1]
+    page, totals = S.search(docs, S.SearchRequest(sort="id", sort_asc=True, path="p", fetch_aggregations=True))
+    assert [r["id"] for r in page.collect()] == [1, 2]
+    assert tuple(totals.first()) == (2, 30)
