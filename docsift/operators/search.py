@@ -248,10 +248,15 @@ def hide_duplicates(hits: DataFrame, order: list[tuple[str, bool]], checksum: st
     Written as a min-aggregate per checksum (map-side combined, so a checksum
     shared by a third of all rows costs one partial row per task) and a semi
     join back, instead of a window that would pull a hot checksum into one task.
-    Descending keys are negated through ``struct`` ordering via ``desc`` flags.
+    Descending keys (numeric) are negated so one ``min(struct)`` gives the
+    first hit in result order.
     """
+    numeric = {f.name for f in hits.schema.fields
+               if f.dataType.typeName() in ("long", "integer", "short", "byte", "double", "float", "decimal")}
     keys = []
     for col, asc in order:
+        if not asc and col not in numeric:
+            raise ValueError(f"descending key {col!r} must be numeric (it is negated inside the struct order)")
         c = F.col(col)
         keys.append(c if asc else -c)
     keys.append(F.col(id_col))
