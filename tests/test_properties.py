@@ -361,3 +361,32 @@ def test_tag_edit_fold_is_order_independent(spark):
     got = sorted(spark.read.parquet(f"{state}/v=1").select("id", "tag", "op").collect())
     want = sorted(G.latest_edits(edits).select("id", "tag", "op").collect())
     assert got == want
+
+
+def _brute_treemap(entries, threshold):
+    """Bottom-up merge, level by level, in plain Python."""
+    import math
+
+    sizes = {}
+    for p, s in entries:
+        sizes[p] = sizes.get(p, 0) + s
+    cut = int(math.floor(sum(sizes.values()) * threshold))
+    depth = max(p.count("/") + 1 for p in sizes)
+    for d in range(depth, 1, -1):
+        for p in [p for p in list(sizes) if p.count("/") + 1 == d and sizes[p] < cut]:
+            parent = p.rsplit("/", 1)[0]
+            sizes[parent] = sizes.get(parent, 0) + sizes.pop(p)
+    return sorted(sizes.items())
+
+
+def test_treemap_matches_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    entries = []
+    for i in range(400):
+        parts = [f"d{rnd.randint(0, 3)}" for _ in range(rnd.randint(0, 4))] + [f"f{i}"]
+        entries.append(("/".join(parts), rnd.choice([1, 10, 100, 5000, 200000])))
+    df = spark.createDataFrame(entries, "path string, size long")
+    got = sorted((r["path"], r["size"]) for r in TM.treemap(df, threshold=0.01).collect())
+    assert got == _brute_treemap(entries, 0.01)
