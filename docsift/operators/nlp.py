@@ -77,10 +77,11 @@ def merge_label_spans(docs: DataFrame, col: str = "content") -> DataFrame:
     base = docs.select("id", F.transform(tokens_lower(col), lambda t: F.length(t) >= ENTITY_MIN_LENGTH).alias("_e"))
     # the previous token's label, aligned with each token (the first has none)
     prev = F.concat(F.array(F.lit(None).cast("boolean")), F.slice("_e", 1, F.greatest(F.size("_e") - 1, F.lit(0))))
-    base = base.select("id", "_e", F.filter(
-        F.transform(F.zip_with("_e", prev, lambda a, b: b.isNull() | (a != b)),
-                    lambda c, i: F.when(c, i + 1)),
-        lambda x: x.isNotNull()).alias("_st"))
+    # (zip_with pads the shorter array, so an empty token list needs its own branch)
+    starts = F.filter(F.transform(F.zip_with("_e", prev, lambda a, b: b.isNull() | (a != b)),
+                                  lambda c, i: F.when(c, i + 1)), lambda x: x.isNotNull())
+    base = base.select("id", "_e", F.when(F.size("_e") > 0, starts).otherwise(F.array().cast("array<int>"))
+                       .alias("_st"))
     spans = F.transform("_st", lambda s, k: F.struct(
         (s - 1).cast("long").alias("start"),
         (F.when(k + 1 < F.size("_st"), F.try_element_at(F.col("_st"), k + 2) - 2)

@@ -152,3 +152,27 @@ def test_search_request_validation_and_totals(spark):
     page, totals = S.search(docs, S.SearchRequest(sort="id", sort_asc=True, path="p", fetch_aggregations=True))
     assert [r["id"] for r in page.collect()] == [1, 2]
     assert tuple(totals.first()) == (2, 30)
+
+
+def test_offsets_and_spans_brute_force(spark):
+    import regex
+
+    from docsift.operators import nlp as N
+
+    texts = ["Hello, wonderful world of extraordinary things!", "  leading spaces and trailing  ", "",
+             "a bb ccccccccc dddddddddd e fffffffffff", "ünïcödé wörds ålso wørk"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
+    got = sorted((r["id"], r["pos"], r["token"], r["start"]) for r in N.tokenize_with_offsets(df).collect())
+    want = sorted((i, k, m.group(0).lower(), m.start())
+                  for i, t in enumerate(texts) for k, m in enumerate(regex.finditer(r"[\p{L}\p{N}]+", t)))
+    assert got == want
+    spans = sorted(tuple(r) for r in N.merge_label_spans(df).collect())
+    exp = []
+    for i, t in enumerate(texts):
+        labels = ["ENT" if len(m.group(0)) > 8 else "O" for m in regex.finditer(r"[\p{L}\p{N}]+", t.lower())]
+        start = 0
+        for k in range(1, len(labels) + 1):
+            if k == len(labels) or labels[k] != labels[start]:
+                exp.append((i, start, k - 1, labels[start], k - start))
+                start = k
+    assert spans == sorted(exp)
