@@ -176,3 +176,39 @@ def test_offsets_and_spans_brute_force(spark):
                 exp.append((i, start, k - 1, labels[start], k - start))
                 start = k
     assert spans == sorted(exp)
+
+
+def test_bm25_brute_force(spark):
+    import math
+
+    import regex
+
+    from docsift.operators import fulltext as T
+    from docsift.session import scratch_dir
+
+    rows = [(1, "alpha beta", "beta gamma beta", "Alpha", "x/alpha"),
+            (2, "gamma", "alpha alpha alpha delta", "t", "y"),
+            (3, "delta", "epsilon", "beta", "x/beta"),
+            (4, "zeta", "", "", "")]
+    df = spark.createDataFrame(rows, "id long, name string, content string, title string, path string")
+    ix = T.build_text_index(df, scratch_dir(spark, "bm25"))
+    got = {r["id"]: round(r["score"], 9) for r in ix.bm25(["alpha", "beta"], require_all=False).collect()}
+
+    def toks(s):
+        return [t.lower() for t in regex.findall(r"[\p{L}\p{N}]+", s)]
+
+    fields = ["name", "content", "title", "path"]
+    docs = {r[0]: {f: toks(v) for f, v in zip(fields, r[1:])} for r in rows}
+    dl = {i: sum(len(v) for v in d.values()) for i, d in docs.items()}
+    avgdl = sum(dl.values()) / len(dl)
+    want = {}
+    for term in ["alpha", "beta"]:
+        n = sum(1 for d in docs.values() if any(term in v for v in d.values()))
+        idf = math.log((len(docs) - n + 0.5) / (n + 0.5))
+        idf = 1e-6 if idf <= 0 else idf
+        for i, d in docs.items():
+            f = sum(T.FIELD_WEIGHTS[fl] * d[fl].count(term) for fl in fields)
+            if f:
+                s = idf * f * (T.BM25_K1 + 1) / (f + T.BM25_K1 * (1 - T.BM25_B + T.BM25_B * dl[i] / avgdl))
+                want[i] = want.get(i, 0.0) + s
+    assert got == {i: round(v, 9) for i, v in want.items()}
