@@ -390,3 +390,18 @@ def test_treemap_matches_brute_force(spark):
     df = spark.createDataFrame(entries, "path string, size long")
     got = sorted((r["path"], r["size"]) for r in TM.treemap(df, threshold=0.01).collect())
     assert got == _brute_treemap(entries, 0.01)
+
+
+def test_tag_edits_brute_force(spark):
+    from docsift.operators import tags as G
+
+    fx = Fixtures(spark, SF_SMALL)
+    base = {(r["id"], r["tag"]) for r in fx.tags.select("id", "tag").collect()}
+    state = set(base)
+    for r in sorted(fx.tag_edits.collect(), key=lambda r: r["seq"]):
+        if r["op"] == "add":
+            state.add((r["id"], r["tag"]))
+        else:
+            state.discard((r["id"], r["tag"]))
+    got = {(r["id"], r["tag"]) for r in G.apply_tag_edits(fx.tags, fx.tag_edits).collect()}
+    assert got == state
