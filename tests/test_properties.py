@@ -405,3 +405,17 @@ def test_tag_edits_brute_force(spark):
             state.discard((r["id"], r["tag"]))
     got = {(r["id"], r["tag"]) for r in G.apply_tag_edits(fx.tags, fx.tag_edits).collect()}
     assert got == state
+
+
+def test_keep_last_n_brute_force(spark):
+    fx = Fixtures(spark, SF_SMALL)
+    rows = fx.runs.collect()
+    by_job = {}
+    for r in rows:
+        by_job.setdefault(r["job"], []).append((r["started"], r["id"]))
+    want = set()
+    for job, runs in by_job.items():
+        for started, rid in sorted(runs, reverse=True)[25:]:
+            want.add(rid)
+    got = {r["id"] for r in W.keep_last_n(fx.runs, 25).collect()}
+    assert got == want
