@@ -419,3 +419,17 @@ def test_keep_last_n_brute_force(spark):
             want.add(rid)
     got = {r["id"] for r in W.keep_last_n(fx.runs, 25).collect()}
     assert got == want
+
+
+def test_path_index_brute_force(spark):
+    d = doc_index(Fixtures(spark, SF_SMALL)).select("index_id", "path")
+    want = {}
+    for r in d.collect():
+        if not r["path"]:
+            continue
+        parts = r["path"].split("/")
+        for k in range(1, len(parts) + 1):
+            key = (r["index_id"], "/".join(parts[:k]))
+            want[key] = want.get(key, 0) + 1
+    got = {(r["index_id"], r["path"]): r["count"] for r in A.path_index(d).collect()}
+    assert got == want
