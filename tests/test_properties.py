@@ -433,3 +433,25 @@ def test_path_index_brute_force(spark):
             want[key] = want.get(key, 0) + 1
     got = {(r["index_id"], r["path"]): r["count"] for r in A.path_index(d).collect()}
     assert got == want
+
+
+def test_tag_facet_and_dedupe_brute_force(spark):
+    from docsift.operators import tags as G
+
+    fx = Fixtures(spark, SF_SMALL)
+    want = {}
+    for r in fx.tags.collect():
+        parts = r["tag"].split(".")
+        for k in range(1, len(parts) + 1):
+            want.setdefault(".".join(parts[:k]), set()).add(r["id"])
+    got = {r["tag"]: r["count"] for r in G.tag_facet_hierarchy(fx.tags).collect()}
+    assert got == {t: len(ids) for t, ids in want.items()}
+
+    c = fx.corpus.select("id", "checksum", "size")
+    rows = c.collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: (-r["size"], r["id"])):
+        if r["checksum"] is not None:
+            first.setdefault(r["checksum"], r["id"])
+    expect = {r["id"] for r in rows if r["checksum"] is None} | set(first.values())
+    assert {r["id"] for r in S.hide_duplicates(c, [("size", False)]).collect()} == expect
