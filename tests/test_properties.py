@@ -455,3 +455,15 @@ def test_tag_facet_and_dedupe_brute_force(spark):
             first.setdefault(r["checksum"], r["id"])
     expect = {r["id"] for r in rows if r["checksum"] is None} | set(first.values())
     assert {r["id"] for r in S.hide_duplicates(c, [("size", False)]).collect()} == expect
+
+
+def test_mime_tree_brute_force(spark):
+    d = doc_index(Fixtures(spark, SF_SMALL))
+    mimes = [r["mime"] for r in d.select("mime").collect() if r["mime"] is not None]
+    want = {(None, None): len(mimes)}
+    for m in mimes:
+        cat = m.split("/")[0]
+        want[(cat, None)] = want.get((cat, None), 0) + 1
+        want[(cat, m)] = want.get((cat, m), 0) + 1
+    got = {(r["category"], r["mime"]): r["count"] for r in A.mime_tree(d).collect()}
+    assert got == want
