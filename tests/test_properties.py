@@ -467,3 +467,17 @@ def test_mime_tree_brute_force(spark):
         want[(cat, m)] = want.get((cat, m), 0) + 1
     got = {(r["category"], r["mime"]): r["count"] for r in A.mime_tree(d).collect()}
     assert got == want
+
+
+def test_path_tree_level_brute_force(spark):
+    pi = A.path_index(doc_index(Fixtures(spark, SF_SMALL)))
+    rows = [(r["path"], r["count"], r["depth"]) for r in pi.where("index_id = 1").collect()]
+    cand = sorted((p, c) for p, c, d in rows if 2 <= d <= 4 and (p == "src0" or p.startswith("src0/")) and len(p) > 4)
+    listed, want = [], set()
+    for p, c in cand:  # the client rule: in path order, skip entries below a listed one
+        if any(p.startswith(q + "/") for q in listed):
+            continue
+        listed.append(p)
+        want.add((p, c))
+    got = {(r["path"], r["count"]) for r in A.path_tree_level(pi, 1, "src0", 1).collect()}
+    assert got == want
