@@ -481,3 +481,14 @@ def test_path_tree_level_brute_force(spark):
         want.add((p, c))
     got = {(r["path"], r["count"]) for r in A.path_tree_level(pi, 1, "src0", 1).collect()}
     assert got == want
+
+
+def test_suggest_paths_brute_force(spark):
+    pi = A.path_index(doc_index(Fixtures(spark, SF_SMALL)))
+    paths = sorted({r["path"] for r in pi.select("path").collect()})
+    for text in ("src0/", "DE/Y", "nothing-here"):
+        pref = [p for p in paths if p.startswith(text)]
+        pool = pref if pref else [p for p in paths if text.lower() in p.lower()]
+        want = sorted(pool, key=lambda p: (len(p), p))
+        got = [r["path"] for r in S.suggest_paths(pi.select("path").distinct(), text).collect()]
+        assert got == want
