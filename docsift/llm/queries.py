@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docsift.llm.common import table
 
@@ -22,3 +23,33 @@ def op9_token_counts(spark, sf_dir):
     from docsift.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), limit=4096)
+
+
+@_query
+def op3_packing(spark, sf_dir):
+    from docsift.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), window=2048).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset",
+        "sequence_tokens", "step_group")
+
+
+@_query
+def op10_warc(spark, sf_dir):
+    from docsift.llm.common import shared_path
+    from docsift.llm.warc import payload_digests, write_archive
+
+    pages = table(spark, sf_dir, "pages")
+    archive = write_archive(pages, shared_path(spark, "warc"), revisit_bytes=1000)
+    return payload_digests(archive, pages)
+
+
+ORACLES["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest,
+             max(page_id) OVER (PARTITION BY html) AS origin FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN origin END AS refers_to
+FROM r
+"""
