@@ -53,3 +53,63 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND origin <> page_id THEN origin END AS refers_to
 FROM r
 """
+
+
+@_query
+def op1_mixing(spark, sf_dir):
+    from docsift.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, block_words=4,
+                       shard_words=1 << 16, seed=17).drop("source_no", "shard")
+
+
+# Lists every quotient of every source and shard (one per block of 4 words);
+# a source has fewer than 1024 shards here, so there is one super-shard.
+ORACLES["op1_mixing"] = """
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('17/' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place
+  FROM documents),
+src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
+  FROM base GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][(no % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size AS cap FROM src),
+levels AS (  -- the level if exactly the sources that fill up before this one are full
+  SELECT a.no, a.cap / a.w AS fill,
+         (1.5::DOUBLE * (SELECT sum(source_size) FROM src)::DOUBLE - coalesce(sum(b.cap), 0)) /
+         ((SELECT sum(w) FROM weighed) - coalesce(sum(b.w), 0)) AS level
+  FROM weighed a LEFT JOIN weighed b ON b.cap / b.w < a.cap / a.w OR (b.cap / b.w = a.cap / a.w AND b.no < a.no)
+  GROUP BY a.no, a.cap, a.w),
+final AS (SELECT arg_min(level, fill) AS level FROM levels WHERE fill > level),
+tgt AS (SELECT *, least(cap, w * coalesce((SELECT level FROM final), 1e300)) AS target FROM weighed),
+seats AS (SELECT round(sum(target) / 4)::BIGINT AS n FROM tgt),
+quot AS (SELECT no, target / (2 * s + 1) AS q FROM tgt, range(0, (target / 4)::BIGINT * 2 + 8) r(s) WHERE target > 0),
+won AS (SELECT no, count(*) AS quota FROM
+        (SELECT no, row_number() OVER (ORDER BY q DESC, no) AS rank FROM quot) WHERE rank <= (SELECT n FROM seats) GROUP BY no),
+placed AS (
+  SELECT b.*, t.no, t.source_size, t.target, coalesce(w.quota, 0) AS source_quota,
+         place % greatest(1, ceil(t.source_size / 65536))::BIGINT AS shard
+  FROM base b JOIN tgt t ON b.source IS NOT DISTINCT FROM t.source LEFT JOIN won w ON w.no = t.no),
+sh AS (SELECT no, shard, sum(size)::BIGINT AS words, max(source_quota) AS source_quota FROM placed GROUP BY no, shard),
+shquot AS (SELECT no, shard, source_quota, words / (2 * s + 1) AS q
+           FROM sh, range(0, greatest(source_quota, 0) + 1) r(s) WHERE words > 0),
+shwon AS (SELECT no, shard, count(*) AS quota FROM
+          (SELECT *, row_number() OVER (PARTITION BY no ORDER BY q DESC, shard) AS rank FROM shquot)
+          WHERE rank <= source_quota GROUP BY no, shard),
+plan AS (
+  SELECT sh.no, sh.shard, words, least(coalesce(quota, 0) * 4, 2 * words) AS take,
+         CASE WHEN words > 0 THEN ('0x' || substr(md5('18/' || sh.no || '/' || sh.shard), 1, 8))::BIGINT
+                                  % ceil(words / 4)::BIGINT * 4 ELSE 0 END AS start
+  FROM sh LEFT JOIN shwon USING (no, shard)),
+run AS (SELECT *, CASE WHEN words > 0 THEN take // words ELSE 0 END AS passes,
+               CASE WHEN words > 0 THEN take % words ELSE 0 END AS run FROM plan),
+stream AS (
+  SELECT p.doc_id, p.size, p.source_size, p.target, r.*,
+         sum(p.size) OVER (PARTITION BY p.no, p.shard ORDER BY p.place, p.doc_id NULLS FIRST, p.size
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stop
+  FROM placed p JOIN run r ON r.no = p.no AND r.shard = p.shard)
+SELECT doc_id, size, source_size, target,
+       (passes * size + greatest(0, least(stop, start + run, words) - greatest(stop - size, start))
+        + greatest(0, least(stop, start + run - words) - greatest(stop - size, 0)))::BIGINT AS taken
+FROM stream
+"""
