@@ -1,7 +1,7 @@
 """WARC archives with a two-level capture index.
 
-Writing: every page becomes one gzip member.  Pages are range-partitioned on
-(reversed-host URL key, page id) and each task writes one archive and one index
+Writing: pages are range-partitioned on (reversed-host URL key, page id), each
+becomes one gzip member, and each task writes one archive and one index
 file to the shared folder.  An index file holds the sorted capture lines in
 compressed blocks, then a sparse directory with the first capture of every
 block, then a fixed footer that says where the directory is.  The files of a
@@ -143,30 +143,24 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 1000, id_col
     written each; several rows with the largest id are responses alike.  An
     empty table gives an archive without parts.  Other columns are not read."""
     rows = only(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
-    rows = rows.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("html"))
-    meta = rows.select("page_id", "url", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size"))
-    origin = (meta.where((F.col("size") >= revisit_bytes) & F.col("page_id").isNotNull()).groupBy("digest", "size")
-              .agg(F.max(F.struct("page_id", "url")).alias("origin")))
-    origin = origin.select("digest", "size", F.col("origin.page_id").alias("origin_id"), F.col("origin.url").alias("origin_url"),
-                           F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, BLOCK_BYTES, "html"):
-            ids, urls, digests, sizes, payloads = (c.to_pylist() for c in batch.columns)
-            members = [response_member(*x) for x in zip(ids, urls, digests, payloads)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(members, pa.binary())],
-                                             names=["page_id", "url", "digest", "size", "member"])
-
-    packed = rows.select("page_id", "url", F.sha1("html").alias("digest"), F.octet_length("html").cast("long").alias("size"),
-                         "html").mapInArrow(pack, "page_id long, url string, digest string, size long, member binary")
-    packed = packed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    marked = packed.join(origin, ["digest", "size", "salt"], "left")
-    revisit = F.col("origin_id").isNotNull() & ~F.col("origin_id").eqNullSafe(F.col("page_id"))
-    marked = marked.select(url_key(F.col("url")).alias("key"), "page_id", "url", "digest",
-                           F.when(~revisit, F.col("member")).alias("member"),
-                           F.when(revisit, F.col("origin_id")).alias("origin_id"),
-                           F.when(revisit, F.col("origin_url")).alias("origin_url"))
-    ranged = marked.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    rows = rows.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long"), "url", F.sha1(html).alias("digest"),
+                       F.octet_length(html).cast("long").alias("size"), html.alias("html"))
+    large = rows.drop("html").where(F.col("size") >= revisit_bytes)
+    origin = large.groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("origin"), F.count(F.lit(1)).alias("n"))
+    origin = origin.where((F.col("n") > 1) & F.col("origin.page_id").isNotNull()).select(
+        "digest", "size", F.col("origin.page_id").alias("origin_id"), F.col("origin.url").alias("origin_url"),
+        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # marks: which pages revisit which origin, joined on digests alone; payloads
+    # travel once, to their range, where a mark stands before its page
+    salted = large.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    marks = salted.join(origin, ["digest", "size", "salt"]).where(~F.col("origin_id").eqNullSafe(F.col("page_id")))
+    marks = marks.select("key", "page_id", "digest", "origin_id", "origin_url").distinct()
+    both = rows.drop("size").withColumn("is_page", F.lit(True)).unionByName(
+        marks.withColumn("is_page", F.lit(False)), allowMissingColumns=True)
+    order = ["key", "page_id", "is_page", "digest"]
+    ranged = both.select(*order, "url", "html", "origin_id", "origin_url").repartitionByRange("key", "page_id")
+    ranged = ranged.sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _write_part(path, batches)
@@ -192,14 +186,23 @@ def _write_part(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         blocks.append(data)
         lines.clear()
 
-    for batch in batches:
-        for key, page_id, url, digest, member, origin_id, origin_url in zip(*(c.to_pylist() for c in batch.columns)):
+    marks, marked = {}, None
+    for batch in (x for b in batches for x in chunked([b], BLOCK_BYTES, "html")):
+        for key, page_id, is_page, digest, url, html, origin_id, origin_url in zip(*(c.to_pylist() for c in batch.columns)):
+            if not is_page:
+                if marked != (key, page_id):
+                    marks, marked = {}, (key, page_id)
+                marks[digest] = (origin_id, origin_url)
+                continue
             if store is None:
                 store, folder = _files(path)
                 store.create_dir(folder, recursive=True)
                 archive = store.open_output_stream(f"{folder}/{name}.warc.gz", compression=None)
-            kind = "response" if member is not None else "revisit"
-            member = member if member is not None else revisit_member(page_id, url, digest, origin_id, origin_url)
+            origin = marks.get(digest) if marked == (key, page_id) else None
+            if origin:
+                kind, member = "revisit", revisit_member(page_id, url, digest, *origin)
+            else:
+                kind, member = "response", response_member(page_id, url, digest, html)
             archive.write(member)
             lines.append(((key, page_id), f"{key}\t{'' if page_id is None else page_id}\t{kind}\t{at}\t{len(member)}".encode()))
             at += len(member)
@@ -293,8 +296,8 @@ def read_captures(archive: Archive, requests: DataFrame, url_col: str = "url", i
     ``refers_to_url`` request the response."""
     page_id = F.lit(None).cast("long") if id_col is None else F.col(f"`{id_col}`").cast("long")
     wanted = requests.select(url_key(F.col(f"`{url_col}`")).alias("key"), page_id.alias("page_id")).distinct()
-    wanted = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
     parts, whole_url = archive.parts, id_col is None
+    wanted = wanted.repartitionByRange(max(len(parts), 1), "key", "page_id").sortWithinPartitions("key", "page_id")
     if not parts:
         return archive.spark.createDataFrame([], SCHEMA)
 
