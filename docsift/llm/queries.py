@@ -113,3 +113,11 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(stop, start + run - words) - greatest(stop - size, 0)))::BIGINT AS taken
 FROM stream
 """
+
+
+@_query
+def op6_toxicity(spark, sf_dir):
+    from docsift.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
