@@ -121,3 +121,10 @@ def op6_toxicity(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op8_simhash(spark, sf_dir):
+    from docsift.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)

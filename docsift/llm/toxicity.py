@@ -96,8 +96,7 @@ def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray,
     row_of = np.repeat(np.arange(len(rows)), lengths)
     value = ratio[flat]
     n, w = max(len(rows), 1), np.zeros(len(ratio))
-    rate = labels.mean() if len(labels) else 0.0
-    bias = float(np.log((rate * n + 0.5) / ((1 - rate) * n + 0.5)))
+    bias = float(np.log((labels.sum() + 0.5) / ((1 - labels).sum() + 0.5)))
     sum_w, sum_b = np.full(len(ratio), 1e-8), 1e-8
     for i in range(steps):
         z = bias + (np.bincount(row_of, weights=w[flat] * value, minlength=n) if len(flat) else 0.0)
@@ -178,6 +177,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
 
     # at most max_rows short lists of selected features
     picked = rows.mapInArrow(select, "label int, features binary").collect()
+    picked.sort(key=lambda r: (r.label, bytes(r.features)))  # the same sums in every run
     lists = [np.frombuffer(r.features, np.int32).astype(np.int64) for r in picked]
     weights, bias = fit_logistic(lists, np.array([r.label for r in picked], dtype=np.float64), ratio, penalty)
     return ToxicityModel(buckets, weights.astype(np.float32), bias)
