@@ -128,3 +128,10 @@ def op8_simhash(spark, sf_dir):
     from docsift.llm.simhash import simhash_duplicates
 
     return simhash_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+
+
+@_query
+def op7_embedding_dedup(spark, sf_dir):
+    from docsift.llm.embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9, window=32)
