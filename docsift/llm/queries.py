@@ -135,3 +135,11 @@ def op7_embedding_dedup(spark, sf_dir):
     from docsift.llm.embedding_dedup import embedding_duplicates
 
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9, window=32)
+
+
+@_query
+def op4_vp_tree(spark, sf_dir):
+    from docsift.llm.vp_tree import nearest_vectors
+
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_vectors(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, factor=0.2)
