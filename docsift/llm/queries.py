@@ -143,3 +143,11 @@ def op4_vp_tree(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings")
     return nearest_vectors(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, factor=0.2)
+
+
+@_query
+def op5_suffix_dedup(spark, sf_dir):
+    from docsift.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
