@@ -18,6 +18,9 @@ position in fifteen is one.
    decides.  Equal surroundings are sorted once.
 4. The covered stretches go back to their documents, which cut them out.
 
+Of documents with one text only that with the smallest id is compared with
+others; the rest are covered whole.
+
 Rows travel as packed blocks of arrays.  Buckets and blocks grow in number with
 the input, so one bucket holds about ``BUCKET_BYTES`` of text.
 """
@@ -25,17 +28,17 @@ the input, so one bucket holds about ``BUCKET_BYTES`` of text.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import byte_block, chunked, field_type, only
+from docsift.llm.common import byte_block, chunked, field_type, materialise, only
 from docsift.llm.suffix_sort import sort_suffixes
 
 SPAN, SEED = 50, 20
@@ -44,17 +47,17 @@ BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 SEGMENT = 1 << 20      # of a long text, looked at at a time
 RECORDS = 1 << 17      # surroundings packed at a time
-LOW48 = np.uint64((1 << 48) - 1)
+LOW40 = np.uint64((1 << 40) - 1)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed block; numbers byte plane by byte plane."""
     parts, head = [], struct.pack("<B", len(arrays))
     for a in arrays:
         a = np.ascontiguousarray(a)
         head += struct.pack("<3sI", a.dtype.str[1:].encode().ljust(3), a.size)
         parts.append(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(parts))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
@@ -212,7 +215,8 @@ def _packed_documents(rows: DataFrame, blocks: int) -> DataFrame:
             ids, (data, offsets) = batch.column(0).to_numpy(), byte_block(batch.column(1))
             for block, (rows_of,) in _split(block_of(ids, blocks), np.arange(len(ids))):
                 texts = [data[offsets[i]:offsets[i + 1]] for i in rows_of.tolist()]
-                yield _block(1, block, 0, pack(ids[rows_of], np.array([len(t) for t in texts], np.int64), np.concatenate(texts)))
+                yield _block(1, block, 0, pack(ids[rows_of], np.array([len(t) for t in texts], np.int64),
+                                                np.concatenate(texts), level=5))
 
     return rows.mapInArrow(run, BLOCKS)
 
@@ -243,14 +247,37 @@ def _with_documents(blocks: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 if table is not None:
                     lo, hi = np.searchsorted(table[0], doc), np.searchsorted(table[0], doc, side="right")
                     if lo < hi:
-                        tag = xxhash.xxh32_intdigest(text.tobytes())
+                        tag = zlib.crc32(text)
                         a, b = np.searchsorted(table[1][lo:hi], [tag, tag + 1])
                         if a < b:
                             found = [x[lo + a:lo + b] for x in table]
                 yield doc, text, found
 
 
-def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
+def later_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, tag, size) of the texts that a smaller id has too."""
+    meta = rows.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("size"),
+                       F.crc32("text").alias("tag")).where(F.col("size") >= SPAN)
+    first = meta.groupBy("digest", "size").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    first = first.where(F.col("first_id") < F.col("last_id"))
+    return meta.join(first, ["digest", "size"]).where(F.col("doc_id") > F.col("first_id")).select("doc_id", "tag", "size")
+
+
+def _copy_blocks(copies: DataFrame, buckets: int, stretches: bool) -> DataFrame:
+    """Copies by block: as stretches over the whole text, or as anchors of
+    bucket -1, which say that the text needs none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag, size = (c.to_numpy() for c in batch.columns)
+            none, tag = np.zeros(len(doc), dtype=np.int64), tag.astype(np.uint32)
+            rest = (none, size) if stretches else (none.astype(np.uint32), none.astype(np.uint64))
+            for block, found in _split(block_of(doc, buckets), doc, tag, *rest):
+                yield _block(0, block, 0 if stretches else -1, pack(*found))
+
+    return copies.mapInArrow(run, BLOCKS)
+
+
+def repeated_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
     """Blocks (kind 0) of document id, text tag, start and end of stretches
     that an earlier document has; ``rows``: (doc_id, text), no nulls."""
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,12 +290,12 @@ def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
                 at.append(a)
                 h.append(x)
                 sizes.append(len(a))
-                tags.append(xxhash.xxh32_intdigest(text.tobytes()) if len(a) else 0)
+                tags.append(zlib.crc32(text) if len(a) else 0)
             at, h = np.concatenate(at).astype(np.uint32), np.concatenate(h)
             of = np.repeat(np.arange(len(ids)), sizes)
             bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             tags = np.array(tags, dtype=np.uint32)
-            for b, (hashes, doc, pos) in _split(bucket, h & LOW48, of, at):
+            for b, (hashes, doc, pos) in _split(bucket, h & LOW40, of, at):
                 yield _block(0, b, 0, pack(hashes, np.diff(ids[doc], prepend=0), tags[doc], pos))
 
     def keep_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +323,11 @@ def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
             for bucket, found in _split(columns[0], *columns[1:]):
                 order = np.argsort(found[0], kind="stable")  # equal texts side by side pack well
                 found = [f[order] for f in found]
-                yield _block(0, bucket, 0, pack(*found[:-1], found[-1].ravel()))
+                yield _block(0, bucket, 0, pack(*found[:-1], found[-1].ravel(), level=3))
 
         reach = np.arange(-BEFORE, SPAN)
         for doc, text, found in _with_documents(batches):
-            if found is None:
+            if found is None or found[4].min() < 0:  # nothing shared, or a copy
                 continue
             _, tag, pos, h, bucket = found
             pos = pos.astype(np.int64)
@@ -336,8 +363,9 @@ def repeated_stretches(rows: DataFrame, buckets: int) -> DataFrame:
         return df.repartition(buckets, "key").sortWithinPartitions("key", "kind")
 
     anchors = dealt(rows.mapInArrow(list_anchors, BLOCKS)).mapInArrow(keep_shared, BLOCKS)
-    around = dealt(anchors.unionByName(_packed_documents(rows, buckets))).mapInArrow(surroundings, BLOCKS)
-    return dealt(around).mapInArrow(compare, BLOCKS)
+    parts = anchors.unionByName(_packed_documents(rows, buckets)).unionByName(_copy_blocks(copies, buckets, False))
+    around = dealt(parts).mapInArrow(surroundings, BLOCKS)
+    return dealt(around).mapInArrow(compare, BLOCKS).unionByName(_copy_blocks(copies, buckets, True))
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,7 +390,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = rows.where(F.col("doc_id").isNotNull())
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-total // bucket_bytes))
-    stretches = repeated_stretches(known, buckets)
+    stretches = repeated_stretches(known, materialise(later_copies(known)), buckets)
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                         T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
                         T.StructField("kept", T.BinaryType())])
