@@ -151,3 +151,10 @@ def op5_suffix_dedup(spark, sf_dir):
 
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op2_lm_scoring(spark, sf_dir):
+    from docsift.llm.lm_scoring import score_language
+
+    return score_language(table(spark, sf_dir, "documents"))
