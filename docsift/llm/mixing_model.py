@@ -28,10 +28,10 @@ HASHED, INPUTS = 2, 3    # the first input is the code's own prediction
 SLOT_BITS = (22, 22)
 SLOTS = tuple(1 << b for b in SLOT_BITS)
 LANE, STEP = 4096, 64
-PRIOR = 0.2              # added to both counts of a context
+PRIOR = 0.1              # added to both counts of a context
 SCALE = 12.0             # stretched predictions are kept as integers / SCALE
 LIMIT = 127
-RATE = 0.004
+RATE = 0.008
 PAIRS = 1024             # two-byte contexts, most frequent first, with a code of their own
 _GAP = bytes(8)
 _LOWER = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
@@ -180,7 +180,7 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.where(seen & (x == 0), 1, x).astype(np.int8)
 
 
-def start_weights(main: float = 0.5, rest: float = 0.3, share: float = 0.15) -> np.ndarray:
+def start_weights(main: float = 0.45, rest: float = 0.35, share: float = 0.25) -> np.ndarray:
     """Weights by gate: the longest context that has been seen leads."""
     out = np.zeros((1 << HASHED, INPUTS), dtype=np.float32)
     for gate in range(len(out)):
