@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import WORD_PATTERN, materialise, only
+from docsift.llm.common import WORD_PATTERN, materialise
 
 SUPER = 1024
+# The table of sources goes to every task up to so many rows, and by a shuffle beyond.
+SMALL = 10_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -83,30 +85,39 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = 4,
-                shard_words: int = 1 << 16, seed: int = 17) -> DataFrame:
+                shard_words: int = 1 << 16, seed: int = 17, carry: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``size`` (words), ``source_size``,
     ``target`` (of its source), ``taken`` (words that the mix takes of it,
-    repeats counted; at most ``most`` times ``size``), ``source_no`` and
-    ``shard``.
+    repeats counted; at most ``most`` times ``size``), ``source_no``,
+    ``shard``, and what is taken: ``passes`` over the whole document and
+    ``runs``, spans of words [start, end) taken besides.  With ``carry`` the
+    whole input row is in the struct ``row``.
 
     A null text has size 0; a null source is a source of its own, last in
     order; a null id is ordered by the empty text; repeated rows count each
     and may take different shares of their shard; an empty table or one
     without words takes nothing.  Other columns are not read."""
-    rows = only(docs, id_col, text_col, source_col).toDF("doc_id", "text", "source")
-    base = materialise(rows.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
+                       word_count(F.col(f"`{text_col}`")).alias("size"), *kept)
+    base = materialise(rows.drop("row"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, weights, share, most).withColumn("_all", F.lit(0)).withColumn(
         "_seats", F.round(F.sum("target").over(Window.partitionBy("_all")) / block_words).cast("long"))
     sources = sainte_lague(sources, ["_all"], ["source_no"], "target", "_seats", "_source_quota")
     sources = materialise(sources.select("source", "source_no", "source_size", "target", "_source_quota"))
 
-    placed = base.join(sources, base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    if sources.count() <= SMALL:
+        sources = F.broadcast(sources)
+    rows = rows if carry else base
+    placed = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
     place = seeded(F.col("doc_id"), seed=seed)
     placed = placed.withColumn("_place", place).withColumn("shard", F.col("_place") % shards)
 
-    shard = (placed.groupBy("source_no", "shard").agg(F.sum("size").alias("_words"), F.max("_source_quota").alias("_source_quota"))
+    sized = placed.drop("row") if not carry else base.join(sources, base["source"].eqNullSafe(sources["source"])).withColumn(
+        "shard", place % shards)
+    shard = (sized.groupBy("source_no", "shard").agg(F.sum("size").alias("_words"), F.max("_source_quota").alias("_source_quota"))
              .withColumn("_super", F.floor(F.col("shard") / SUPER).cast("long")))
     shard = materialise(shard)
     supers = shard.groupBy("source_no", "_super").agg(F.sum("_words").alias("_super_words"),
@@ -126,9 +137,39 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start, end = F.col("_end") - F.col("size"), F.col("_end")
 
     def overlap(a: Column, b: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(end, b) - F.greatest(start, a))
+        """Words of the document within [a, b) of its stream."""
+        low, high = F.greatest(a, start), F.least(b, end)
+        return F.when(low < high, F.struct((low - start).cast("long").alias("start"), (high - start).cast("long").alias("end")))
 
     stop = F.col("_from") + F.col("_run")
-    taken = (F.col("_passes") * F.col("size") + overlap(F.col("_from"), F.least(stop, F.col("_words")))
-             + overlap(F.lit(0), stop - F.col("_words")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source_no", "shard")
+    runs = F.array_compact(F.array(overlap(F.col("_from"), F.least(stop, F.col("_words"))),
+                                   overlap(F.lit(0).cast("long"), stop - F.col("_words"))))
+    out = out.withColumn("runs", runs)
+    taken = F.col("_passes") * F.col("size") + F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source_no", "shard",
+                      F.col("_passes").alias("passes"), "runs", *(["row"] if carry else []))
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", **options) -> DataFrame:
+    """The mix as documents with the columns of ``docs``: a row for every pass
+    over a document, and one for each run of its words taken besides (with the
+    white space before them; ``length_col`` is their length in characters).
+    Documents of which nothing is taken, such as those without words, go."""
+    mixed = mix_sources(docs, text_col=text_col, carry=True, **options).where(F.col("taken") > 0)
+    whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("passes")), lambda _: F.struct(
+        F.lit(0).cast("long").alias("start"), F.lit(-1).cast("long").alias("end")))).otherwise(F.slice("runs", 1, 0))
+    parts = mixed.select("row", F.explode(F.concat(whole, F.col("runs"))).alias("part"))
+    text = F.col(f"row.`{text_col}`")
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD_PATTERN), F.lit(0))
+    cut = F.when(F.col("part.end") < 0, text).otherwise(F.array_join(F.slice(
+        pieces, (F.col("part.start") + 1).cast("int"), (F.col("part.end") - F.col("part.start")).cast("int")), ""))
+    parts = parts.select("row", cut.alias("_text"))
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("_text").alias(c))
+        elif c == length_col:
+            columns.append(F.length("_text").cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"row.`{c}`").alias(c))
+    return parts.select(*columns)

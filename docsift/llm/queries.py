@@ -60,7 +60,7 @@ def op1_mixing(spark, sf_dir):
     from docsift.llm.mixing import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0, block_words=4,
-                       shard_words=1 << 16, seed=17).drop("source_no", "shard")
+                       shard_words=1 << 16, seed=17).drop("source_no", "shard", "passes", "runs")
 
 
 # Lists every quotient of every source and shard (one per block of 4 words);

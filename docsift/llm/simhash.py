@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,15 +200,40 @@ def _rows(a: np.ndarray, b: np.ndarray, chunk: int) -> pa.RecordBatch:
 
 def fingerprint_components(prints: DataFrame, bits: int = 4) -> DataFrame:
     """For rows (``doc_id``, ``fp``): every distinct ``fp`` with its
-    ``component_id``, the smallest id reachable by links (null if none has an
-    id)."""
+    ``component`` (the smallest fingerprint of it) and ``component_id``, the
+    smallest id reachable by links (null if none has an id)."""
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     labels = connected_components(near_links(nodes.select("fp"), bits)).toDF("fp", "label")
     linked_nodes = nodes.join(labels, "fp")
     smallest = linked_nodes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    mapped = linked_nodes.join(smallest, "label").select("fp", "component_id", F.lit(True).alias("linked"))
+    mapped = linked_nodes.join(smallest, "label").select("fp", "component_id", "label")
+    alone = F.col("label").isNull()
     return nodes.join(mapped, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"))
+        "fp", F.coalesce("label", "fp").alias("component"), F.when(alone, F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without the
+    near-duplicates: of every component the document with the smallest id stays.
+
+    Rows that share an id are one document, of which the first by text stays.
+    Of a component without any id the first row by text stays.  Null texts are
+    texts without words; an empty table stays empty."""
+    prints = materialise(with_fingerprints(only(docs, id_col, text_col).toDF("doc_id", "text"), shingle, out="fp").select("doc_id", "fp"))
+    groups = materialise(fingerprint_components(prints, bits))
+    kept = prints.join(groups, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    repeated = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    if repeated.limit(1).count():
+        one = Window.partitionBy(id_col).orderBy(F.col(f"`{text_col}`"))
+        named = named.withColumn("_place", F.row_number().over(one)).where(F.col("_place") == 1).drop("_place")
+    lost = groups.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    if not lost.limit(1).count():
+        return named
+    nameless = with_fingerprints(docs.where(F.col(f"`{id_col}`").isNull()), shingle, text_col, "_print")
+    first = Window.partitionBy("_component").orderBy(F.col(f"`{text_col}`"))
+    nameless = nameless.join(lost, F.col("_print") == F.col("_fp")).withColumn("_place", F.row_number().over(first))
+    return named.unionByName(nameless.where(F.col("_place") == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def simhash_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,6 +246,6 @@ def simhash_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col:
     gives no rows; other columns are not read."""
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
     prints = materialise(with_fingerprints(rows, shingle, out="fp").select("doc_id", "fp"))
-    found = prints.join(fingerprint_components(prints, bits), "fp")
+    found = prints.join(fingerprint_components(prints, bits).drop("component"), "fp")
     return found.select(F.col("doc_id").cast(field_type(docs, id_col)), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import byte_block, chunked, field_type, materialise, only
+from docsift.llm.common import byte_block, chunked, field_type, materialise
 from docsift.llm.suffix_sort import sort_suffixes
 
 SPAN, SEED = 50, 20
@@ -200,34 +200,46 @@ def _split(key: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple]:
         yield int(key[s]), [a[order[s:e]] for a in arrays]
 
 
-def _block(kind: int, key: int, other: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([kind], pa.int32()), pa.array([other]), pa.array([data], pa.binary())],
-                                      names=["key", "kind", "other", "data"])
+def _block(kind: int, key: int, other: int, data: bytes, rows: bytes | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([kind], pa.int32()), pa.array([other]), pa.array([data], pa.binary()),
+                                       pa.array([rows], pa.binary())], names=["key", "kind", "other", "data", "rows"])
 
 
-BLOCKS = "key long, kind int, other long, data binary"
+BLOCKS = "key long, kind int, other long, data binary, rows binary"
 
 
 def _packed_documents(rows: DataFrame, blocks: int) -> DataFrame:
-    """Documents by block: ids, text lengths and texts, kind 1."""
+    """Documents by block: ids, text lengths and texts, kind 1; the columns of
+    ``rows`` behind the first two travel along as an Arrow stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, 4 * CHUNK_BYTES):
             ids, (data, offsets) = batch.column(0).to_numpy(), byte_block(batch.column(1))
             for block, (rows_of,) in _split(block_of(ids, blocks), np.arange(len(ids))):
                 texts = [data[offsets[i]:offsets[i + 1]] for i in rows_of.tolist()]
                 yield _block(1, block, 0, pack(ids[rows_of], np.array([len(t) for t in texts], np.int64),
-                                                np.concatenate(texts), level=5))
+                                                np.concatenate(texts), level=5), _stream(batch, rows_of))
 
     return rows.mapInArrow(run, BLOCKS)
 
 
+def _stream(batch: pa.RecordBatch, rows: np.ndarray) -> bytes | None:
+    """The carried columns of some rows."""
+    if batch.num_columns == 2:
+        return None
+    carried = batch.select(range(2, batch.num_columns)).take(pa.array(rows))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, carried.schema) as writer:
+        writer.write_batch(carried)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
 def _with_documents(blocks: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(ids, tags, other, arrays) of what was sent to a block, sorted by id and
-    tag, with each (id, tag, text) of its documents."""
+    """(id, text, found, carried row) of each document; ``found``: what was
+    sent to its block for its id and tag, as arrays, or None."""
     now, sent = None, []
     table = None
     for batch in blocks:
-        for key, kind, other, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, kind, other, data, rows in zip(*(c.to_pylist() for c in batch.columns)):
             if key != now:
                 now, sent, table = key, [], None
             if kind == 0:
@@ -242,7 +254,8 @@ def _with_documents(blocks: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                     table = [x[order] for x in table]
             ids, lengths, texts = unpack(data)
             ends = np.cumsum(lengths)
-            for doc, s, e in zip(ids.tolist(), (ends - lengths).tolist(), ends.tolist()):
+            rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_all() if rows is not None else None
+            for i, (doc, s, e) in enumerate(zip(ids.tolist(), (ends - lengths).tolist(), ends.tolist())):
                 text, found = texts[s:e], None
                 if table is not None:
                     lo, hi = np.searchsorted(table[0], doc), np.searchsorted(table[0], doc, side="right")
@@ -251,7 +264,7 @@ def _with_documents(blocks: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                         a, b = np.searchsorted(table[1][lo:hi], [tag, tag + 1])
                         if a < b:
                             found = [x[lo + a:lo + b] for x in table]
-                yield doc, text, found
+                yield doc, text, found, (rows, i)
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
@@ -326,7 +339,7 @@ def repeated_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> Data
                 yield _block(0, bucket, 0, pack(*found[:-1], found[-1].ravel(), level=3))
 
         reach = np.arange(-BEFORE, SPAN)
-        for doc, text, found in _with_documents(batches):
+        for doc, text, found, _ in _with_documents(batches):
             if found is None or found[4].min() < 0:  # nothing shared, or a copy
                 continue
             _, tag, pos, h, bucket = found
@@ -376,28 +389,33 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[first], end[np.append(first[1:] - 1, len(end) - 1)]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES,
+                   carry: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``,
     ``spans`` (the maximal removed runs, as start and end) and ``kept`` (the
-    bytes that stay, joined).
+    bytes that stay, joined).  With ``carry`` the other columns of the input
+    are in the struct ``row``.
 
     A null text is an empty one.  A row with a null id stands outside the order
     of ids: nothing is removed from it and it covers nothing.  Rows with one id
     do not cover each other.  Texts of less than ``SPAN`` bytes stay whole; an
-    empty table gives no rows; other columns are not read.  Ids are integers."""
-    rows = only(docs, id_col, text_col).toDF("doc_id", "text")
-    rows = rows.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    empty table gives no rows.  Ids are integers."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if carry else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *row)
     known = rows.where(F.col("doc_id").isNotNull())
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    plain = known.select("doc_id", "text")
+    total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-total // bucket_bytes))
-    stretches = repeated_stretches(known, materialise(later_copies(known)), buckets)
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
-                        T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
-                        T.StructField("kept", T.BinaryType())])
+    stretches = repeated_stretches(plain, materialise(later_copies(plain)), buckets)
+    fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
+              T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
+              T.StructField("kept", T.BinaryType())]
+    out = T.StructType(fields + ([rows.schema["row"]] if others else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for doc, text, found in _with_documents(batches):
+        held, carried, n = [], [], 0
+        for doc, text, found, place in _with_documents(batches):
             starts, ends, kept = [], [], text
             if found is not None:
                 s, e = merge_spans(found[2], found[3])
@@ -406,24 +424,67 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     stay[a:b] = False
                 starts, ends, kept = s.tolist(), e.tolist(), text[stay]
             held.append((doc, len(text), len(text) - len(kept), starts, ends, kept.tobytes()))
+            carried.append(place)
             n += len(kept) + 64
             if n >= CHUNK_BYTES:
-                yield _out(held)
-                held, n = [], 0
+                yield _out(held, carried)
+                held, carried, n = [], [], 0
         if held:
-            yield _out(held)
+            yield _out(held, carried)
 
     both = stretches.unionByName(_packed_documents(known, buckets)).repartition(buckets, "key").sortWithinPartitions("key", "kind")
     found = both.mapInArrow(cut, out)
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends"), F.col("text").cast("binary").alias("kept"))
+        F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends"), F.col("text").cast("binary").alias("kept"),
+        *(["row"] if others else []))
     result = found.unionByName(nameless)
     return result.select(F.col("doc_id").cast(field_type(docs, id_col)), "n_bytes", "n_removed",
-                         F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "kept")
+                         F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).alias("spans"), "kept",
+                         *(["row"] if others else []))
 
 
-def _out(rows: list[tuple]) -> pa.RecordBatch:
+def _out(rows: list[tuple], carried: list[tuple]) -> pa.RecordBatch:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                                      names=["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"])
+    names = ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"]
+    arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    if carried[0][0] is not None:
+        parts, at = [], 0
+        while at < len(carried):  # runs of rows of one table
+            stop = at
+            while stop < len(carried) and carried[stop][0] is carried[at][0]:
+                stop += 1
+            parts.append(carried[at][0].slice(carried[at][1], stop - at).column("row"))
+            at = stop
+        arrays.append(pa.chunked_array([c for p in parts for c in p.chunks]).combine_chunks())
+        names.append("row")
+    return pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars",
+                    bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of ``docs`` with the repeats cut out of ``text_col``
+    (``length_col`` becomes its length in characters); bytes of a character
+    that was cut in two go as well.  A null text comes back empty."""
+    found = remove_repeats(docs, id_col, text_col, bucket_bytes, carry=True)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunked(batches, CHUNK_BYTES, "kept"):
+            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            columns = [pa.array(texts, pa.string()) if n == "kept" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [c for c in found.columns if c in ("doc_id", "kept", "row")]
+    schema = T.StructType([T.StructField("kept", T.StringType()) if n == "kept" else found.schema[n] for n in names])
+    texts = found.select(*names).mapInArrow(decode, schema)
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("kept").alias(c))
+        elif c == id_col:
+            columns.append(F.col("doc_id").alias(c))
+        elif c == length_col:
+            columns.append(F.length("kept").cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col(f"row.`{c}`").alias(c))
+    return texts.select(*columns)
