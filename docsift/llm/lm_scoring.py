@@ -19,19 +19,17 @@ passes read the same chunks.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.llm import mixing_model as model
-from docsift.llm.common import byte_block, chunked, crc32_remainder, field_type, materialise, only, words_of
+from docsift.llm.common import LOWER_SPACE_BYTES, byte_block, chunked, crc32_remainder, field_type, materialise, only
 from docsift.llm.suffix_dedup import pack, unpack
 
 CHUNK_BYTES = 8 << 20
@@ -160,12 +158,31 @@ def _train_tables(chunks: DataFrame, code) -> list[np.ndarray]:
     return tables
 
 
-def _vocabulary(texts: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray]:
-    """Distinct words of a chunk as places in the sorted array of their hashes."""
-    distinct = list(set().union(*texts))
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in distinct], dtype=np.uint64)
-    sorted_hashes, place = np.unique(hashes, return_inverse=True)
-    return dict(zip(distinct, place.tolist())), sorted_hashes
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and the words of each text.
+    A hash is the sum of the word's bytes, each times the random number of its
+    place, spread over all bits."""
+    room = np.frombuffer((b" ".join(texts) + b" ").translate(LOWER_SPACE_BYTES), dtype=np.uint8)
+    letter = room != 32
+    before = np.concatenate([[False], letter[:-1]])
+    start, end = np.flatnonzero(letter & ~before), np.flatnonzero(~letter & before)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    at = np.arange(len(room), dtype=np.int32)
+    place = at - np.maximum.accumulate(np.where(letter & ~before, at, np.int32(0)))
+    longest = int((end - start).max())
+    factors = np.random.default_rng(20).integers(0, 1 << 63, size=longest + 1, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    terms = factors[np.minimum(place, longest)]
+    terms *= room.astype(np.uint64) + np.uint64(1)
+    bounds = np.empty(2 * len(start), dtype=np.int64)
+    bounds[0::2], bounds[1::2] = start, end
+    h = np.add.reduceat(terms, bounds)[0::2]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    stops = np.searchsorted(start, np.cumsum(sizes))
+    return h, np.diff(stops, prepend=0)
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -180,15 +197,9 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 _, flags, texts = _texts(data)
-                words = [words_of(t) for t in texts]
-                place, hashes = _vocabulary(words)
-                counts = np.zeros(len(hashes), dtype=np.int64)
-                learned: Counter = Counter()
-                for w, f in zip(words, flags.tolist()):
-                    if f & 4:
-                        learned.update(w)
-                for w, n in learned.items():
-                    counts[place[w]] += n
+                words, sizes = word_hashes(texts)
+                hashes, place = np.unique(words, return_inverse=True)
+                counts = np.bincount(place, weights=np.repeat((flags & 4) > 0, sizes), minlength=len(hashes))
                 bucket = _bucket(hashes, buckets)
                 for b in np.unique(bucket).tolist():
                     mine = bucket == b
@@ -242,8 +253,8 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chunks = materialise(_pack_chunks(rows))
     code = spark.sparkContext.broadcast(_train_code(chunks))
     tables = spark.sparkContext.broadcast(_train_tables(chunks, code))
-    n_chunks, train_texts, total = rows.agg(
-        F.lit(0), F.coalesce(F.sum(F.when(F.col("flag") == 4, 1)), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    train_texts, total = rows.agg(F.coalesce(F.sum(F.when(F.col("flag") == 4, 1)), F.lit(0)),
+                                  F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_chunks = chunks.count()
     counts = _word_counts(chunks, max(4, -(-total // bucket_bytes)))
     known = dict(counts.where(F.col("key") == -1).groupBy("kind").agg(F.sum("other")).collect())
@@ -268,22 +279,20 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     replies[other] = unpack(data)[0]
                     continue
                 ids, flags, texts = _texts(data)
-                words = [words_of(t) for t in texts]
-                place, hashes = _vocabulary(words)
+                words, sizes = word_hashes(texts)
+                hashes, place = np.unique(words, return_inverse=True)
                 bucket, c = _bucket(hashes, buckets), np.zeros(len(hashes), dtype=np.int64)
                 for b, n in replies.items():
                     c[bucket == b] = n
                 logs = np.log10((c + SMOOTH) / whole)
                 end = math.log10((train_texts + SMOOTH) / whole)
-                base, seen = np.empty(len(texts)), np.empty(len(texts), dtype=np.int64)
-                for i, w in enumerate(words):
-                    at = np.fromiter(map(place.__getitem__, w), dtype=np.int64, count=len(w))
-                    base[i] = logs[at].sum() + end
-                    seen[i] = np.count_nonzero(c[at]) + (train_texts > 0)
+                text_of = np.repeat(np.arange(len(texts)), sizes)
+                base = np.bincount(text_of, weights=logs[place], minlength=len(texts)) + end
+                seen = np.bincount(text_of, weights=c[place] > 0, minlength=len(texts)).astype(np.int64) + (train_texts > 0)
                 bits = np.concatenate([model.score_block(code.value, tables.value, b, start) for b in _blocks(texts)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2).astype(bool)),
-                    pa.array(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1), pa.array(seen),
+                    pa.array(sizes + 1), pa.array(seen),
                     pa.array(np.full(len(texts), tokens, dtype=np.int64)), pa.array(base), pa.array(-bits * math.log10(2)),
                     pa.array(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))], names=schema.names)
 

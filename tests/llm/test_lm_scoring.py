@@ -12,7 +12,7 @@ from conftest import SF_SMALL
 from docsift.llm import mixing_model as mm
 from docsift.llm import queries
 from docsift.llm.common import words_of
-from docsift.llm.lm_scoring import score_language
+from docsift.llm.lm_scoring import score_language, word_hashes
 
 
 def base_rows(rows):
@@ -53,6 +53,17 @@ def test_awkward(spark):
     compare(score_language(docs(spark, [(held, "no training at all")])).collect(), [(held, "no training at all")])
 
 
+def test_word_hashes_tell_words_apart():
+    texts = [b"", b" \t ", b"The the THE then", b"ab ba a b aab", "é\u0085x é".encode(), b"w" * 5000 + b" " + b"w" * 5001]
+    hashes, sizes = word_hashes(texts)
+    words = [words_of(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    flat = [x for w in words for x in w]
+    assert len({(a, b) for a, b in zip(flat, hashes.tolist())}) == len(set(flat)) == len(set(hashes.tolist()))
+    assert word_hashes([b"then the"])[0].tolist() == [hashes[flat.index(b"then")], hashes[flat.index(b"the")]]  # in any chunk
+    assert word_hashes([b" ", b""])[1].tolist() == [0, 0] and word_hashes([])[1].tolist() == []
+
+
 def code_and_tables(texts):
     flat = np.zeros(mm.SYMBOLS << 16, dtype=np.uint32)
     mm.pair_counts(texts, flat)
