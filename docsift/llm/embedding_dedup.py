@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import field_type, materialise
-from docsift.llm.components import connected_components
+from docsift.llm.common import field_type, materialise, tidy
+from docsift.llm.components import FOREST_LINKS, connected_components, forest
 from docsift.llm.vectors import component_type, matrix, packed_vectors, unit, vector_classes
 
 KEY_BITS = 63
@@ -66,12 +66,13 @@ def _keyed(classes: DataFrame, kind: str, passes: int, seed: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lane, pa.array(key)],
                                                      names=["class_no", "vec", "lane", "key"])
 
-    return classes.select("class_no", "vec").mapInArrow(run, "class_no long, vec binary, lane long, key long")
+    return classes.select("class_no", "vec").mapInArrow(tidy(run), "class_no long, vec binary, lane long, key long")
 
 
 def projection_links(classes: DataFrame, kind: str, threshold: float, window: int, passes: int, seed: int) -> DataFrame:
-    """(``a``, ``b``): pairs of classes within ``window`` places of each other
-    in some pass whose cosine is at least ``threshold``."""
+    """(``a``, ``b``): links with the components of all pairs of classes that
+    are within ``window`` places of each other in some pass and have a cosine of
+    at least ``threshold``."""
     order = ["lane", "key", "class_no"]
     rows = _keyed(classes, kind, passes, seed).repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -85,9 +86,12 @@ def projection_links(classes: DataFrame, kind: str, threshold: float, window: in
                 yield _pairs(ids[hit], ids[hit + step])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of one partition, and its first and last rows for the next scan."""
+        """Pairs of one partition, cut down to forests of their components, and
+        its first and last rows for the next scan."""
         part = TaskContext.get().partitionId()
         head: list = []
+        near: list = []
+        n_near = 0
         held = None  # the last rows so far, of one lane
         for batch in (b.slice(s, 4096) for b in batches for s in range(0, b.num_rows, 4096)):
             ids, vecs, lanes = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
@@ -101,8 +105,15 @@ def projection_links(classes: DataFrame, kind: str, threshold: float, window: in
                 if held is not None and held[1] == lanes[s]:
                     old = len(held[0])
                     x, i, v = np.concatenate([held[2], x]), np.concatenate([held[0], i]), held[3] + v
-                yield from _tagged(compare(i, np.full(len(i), lanes[s]), x, old))
+                for pairs in compare(i, np.full(len(i), lanes[s]), x, old):
+                    near.append(pairs)
+                    n_near += pairs.num_rows
+                if n_near >= FOREST_LINKS:
+                    yield _tagged(near)
+                    near, n_near = [], 0
                 held = (i[-window:], lanes[s], x[-window:], v[-window:])
+        if near:
+            yield _tagged(near)
         if held is not None:
             for row in head:
                 yield _edge(part - 1, 1, *row)
@@ -129,9 +140,9 @@ def projection_links(classes: DataFrame, kind: str, threshold: float, window: in
                         yield _pairs(np.array([near[h][0] for h in hit]), np.full(len(hit), i))
 
     schema = "a long, b long, side int, vec binary, lane long, place int"
-    found = materialise(rows.mapInArrow(scan, schema))
+    found = materialise(rows.mapInArrow(tidy(scan), schema))
     edges = found.where(F.col("side") >= 0).select(F.col("b").alias("border"), "side", F.col("a").alias("class_no"), "vec", "lane", "place")
-    crossing = edges.repartition("border").sortWithinPartitions("border", "side", "place").mapInArrow(border, LINK)
+    crossing = edges.repartition("border").sortWithinPartitions("border", "side", "place").mapInArrow(tidy(border), LINK)
     return found.where(F.col("side") < 0).select("a", "b").unionByName(crossing)
 
 
@@ -139,12 +150,13 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
 
-def _tagged(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p in pairs:
-        n = p.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [*p.columns, pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
-            names=["a", "b", "side", "vec", "lane", "place"])
+def _tagged(pairs: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """A forest with the components of the pairs, as rows of no border."""
+    a, b = forest(*(np.concatenate([p.column(i).to_numpy() for p in pairs]) for i in (0, 1)))
+    n = len(a)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(b), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+        names=["a", "b", "side", "vec", "lane", "place"])
 
 
 def _edge(border: int, side: int, class_no: int, vec: bytes, lane: int, place: int) -> pa.RecordBatch:
@@ -194,7 +206,7 @@ def count_links(members: DataFrame, kind: str, threshold: float) -> DataFrame:
         if held:
             yield emit(now, held)
 
-    counted = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "class_no long, links long")
+    counted = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(run), "class_no long, links long")
     return counted.groupBy("class_no").agg(F.sum("links").alias("links"))
 
 
