@@ -36,10 +36,10 @@ def separator_count(p, sep: str = "/") -> Column:
 def hierarchy_tokens(p, sep: str = "/") -> Column:
     """All prefixes of a hierarchy: 'a/b/c' -> ['a', 'a/b', 'a/b/c']; '' -> []."""
     p = _c(p)
-    parts = F.split(p, "\\" + sep if sep in ".|/" else sep)
+    # each prefix is cut from the text itself: no list is split again per level
     toks = F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, F.lit(1), i), sep),
+        F.sequence(F.lit(1), F.coalesce(separator_count(p, sep), F.lit(0)) + 1),
+        lambda i: F.call_function("substring_index", p, F.lit(sep), i),
     )
     return F.when(p.isNull(), F.lit(None)).when(F.length(p) == 0, F.array().cast("array<string>")).otherwise(toks)
 

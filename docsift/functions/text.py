@@ -39,13 +39,11 @@ def standard_tokens(text) -> Column:
 
 
 def trigrams(text) -> Column:
-    """Character 3-grams of folded lower-case text (none below 3 chars)."""
-    t = fold(text)
-    return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3))
-    )
-
-
-def plain_tokens(text) -> Column:
-    """Lower-case word tokens without folding (used for spans and offsets)."""
-    return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_TOKEN), 0)
+    """Character 3-grams of folded lower-case text (none below 3 chars).
+    Characters are cut once and joined with their neighbours, so the work is
+    linear in the text."""
+    chars = F.regexp_extract_all(fold(text), F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(chars), F.lit(0))
+    two = F.zip_with(chars, F.slice(chars, F.lit(2), n), lambda a, b: F.concat(a, b))
+    three = F.zip_with(two, F.slice(chars, F.lit(3), n), lambda a, b: F.concat(a, b))
+    return F.filter(three, lambda g: g.isNotNull())

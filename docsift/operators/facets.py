@@ -16,8 +16,6 @@ from docsift.operators.documents import major_mime, typed_documents
 
 SIZE_BUCKET = 5_000_000  # fixed value: bytes per size bin
 DATE_BUCKET = 2_629_800  # fixed value: seconds per date bin (about a month)
-MAX_PATHS = 65536  # fixed value: largest directory listing
-MAX_MIME_BUCKETS = 10000  # fixed value: media-type facet size
 
 
 def size_histogram(docs: DataFrame, bucket: int = SIZE_BUCKET, col: str = "size") -> DataFrame:
@@ -49,10 +47,16 @@ def mime_facet(mime_idx: DataFrame) -> DataFrame:
     return mime_idx.groupBy("mime").agg(F.sum("count").cast("long").alias("count"))
 
 
-def mime_facet_for_query(hits: DataFrame, top: int = MAX_MIME_BUCKETS) -> DataFrame:
-    """Media-type counts over the hits of a query, biggest first."""
-    return (hits.where(F.col("mime").isNotNull()).groupBy("mime").agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.col("count").desc(), F.col("mime")).limit(top))
+def first_rows(df: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` rows of an ordered frame; all of them without ``n``."""
+    return df if n is None else df.limit(n)
+
+
+def mime_facet_for_query(hits: DataFrame, top: int | None = None) -> DataFrame:
+    """Media-type counts over the hits of a query, biggest first; all
+    types, or the ``top`` ones of a top-k request."""
+    counts = hits.where(F.col("mime").isNotNull()).groupBy("mime").agg(F.count(F.lit(1)).alias("count"))
+    return first_rows(counts.orderBy(F.col("count").desc(), F.col("mime")), top)
 
 
 def mime_tree(index_docs: DataFrame) -> DataFrame:
@@ -79,14 +83,15 @@ def path_index(index_docs: DataFrame) -> DataFrame:
 
 
 def path_children(paths: DataFrame, index_id: int | None, depth_min: int, depth_max: int,
-                  prefix: str | None = None, limit: int = MAX_PATHS) -> DataFrame:
-    """Directories between two depths, optionally at/below a prefix."""
+                  prefix: str | None = None, limit: int | None = None) -> DataFrame:
+    """Directories between two depths, optionally at/below a prefix; all
+    of them, or the first ``limit`` by path."""
     cond = F.col("depth").between(depth_min, depth_max)
     if index_id is not None:
         cond = cond & (F.col("index_id") == index_id)
     if prefix:
         cond = cond & under(F.col("path"), prefix)
-    return paths.where(cond).orderBy("path", "index_id").limit(limit).select("index_id", "path", "count")
+    return first_rows(paths.where(cond).orderBy("path", "index_id"), limit).select("index_id", "path", "count")
 
 
 def path_tree_level(paths: DataFrame, index_id: int, node: str | None, node_depth: int) -> DataFrame:

@@ -17,7 +17,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.functions.text import WORD_TOKEN, fold, standard_tokens
+from docsift.functions.text import WORD_TOKEN, fold, standard_tokens, trigrams
 
 # Field weights of the ranking (name, content, title, path).
 FIELD_WEIGHTS = {"name": 8.0, "content": 3.0, "title": 8.0, "path": 5.0}
@@ -114,9 +114,16 @@ def bm25(postings: DataFrame, lengths: DataFrame | None, terms: list[str], weigh
     f = p.groupBy(*keys).agg(F.sum(F.col("tf") * _weight(weights)).alias("f"))
     if not has_dl:
         f = f.join(lengths, "id")
-    n = f.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     if stats is None:
         stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    return score_matches(f, stats, len(qterms) if require_all else None, k1, b)
+
+
+def score_matches(f: DataFrame, stats: DataFrame, all_of: int | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """BM25 (id, score) of the matches (id, token, dl, f), where ``token`` is
+    a term, a phrase or a prefix and ``f`` its weighted count in the document;
+    with ``all_of`` only documents that match so many of them."""
+    n = f.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     n_docs = stats.select("n_docs").scalar()
     avgdl = stats.select("avgdl").scalar()
     idf_raw = F.ln((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -127,8 +134,8 @@ def bm25(postings: DataFrame, lengths: DataFrame | None, terms: list[str], weigh
                       (idf * F.col("f") * (k1 + 1)
                        / (F.col("f") + k1 * (1 - b + b * F.col("dl") / avgdl))).alias("s")))
     agg = scored.groupBy("id").agg(F.sum("s").alias("score"), F.count(F.lit(1)).alias("_nt"))
-    if require_all:
-        agg = agg.where(F.col("_nt") == len(qterms))
+    if all_of is not None:
+        agg = agg.where(F.col("_nt") == all_of)
     return agg.select("id", "score")
 
 
@@ -143,6 +150,27 @@ class TextIndex:
     def bm25(self, terms, **kw) -> DataFrame:
         return bm25(self.postings, None, terms, stats=self.stats, **kw)
 
+    def prefix_scores(self, prefix: str, fields: list[str] | None = None) -> DataFrame:
+        """T9 ranked: all tokens with the prefix count as one term."""
+        start = fold_terms([prefix])[0]
+        p = self.postings.where(F.col("token").startswith(start))
+        if fields is not None:
+            p = p.where(F.col("field").isin(list(fields)))
+        f = p.groupBy("id", "dl").agg(F.sum(F.col("tf") * _weight(FIELD_WEIGHTS)).alias("f"))
+        return score_matches(f.withColumn("token", F.lit(start)), self.stats)
+
+    def phrase_scores(self, docs: DataFrame, phrase: list[str], field: str = "content") -> DataFrame:
+        """T8 ranked: the occurrences of the phrase in ``field`` count as those
+        of one term; only texts that hold all its words are read."""
+        words = fold_terms(phrase)
+        cand = match_all(self.postings, words, [field])
+        found = docs.join(cand, "id", "left_semi").select("id", F.regexp_count(
+            fold(F.col(field)), F.lit(phrase_pattern(words, False))).alias("tf")).where(F.col("tf") > 0)
+        lengths = self.postings.where((F.col("token") == words[0]) & (F.col("field") == field)).select("id", "dl")
+        f = found.join(lengths, "id").select("id", F.lit(" ".join(words)).alias("token"), "dl",
+                                             (F.col("tf") * FIELD_WEIGHTS[field]).alias("f"))
+        return score_matches(f, self.stats)
+
 
 def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id",
                      positions: bool = False) -> TextIndex:
@@ -235,11 +263,16 @@ def match_phrase(docs: DataFrame, postings: DataFrame, phrase: list[str], field:
             [F.array_contains(F.col("m")[w], q + i) for i, w in enumerate(words) if i > 0], F.lit(True)))
         return per_doc.where(ok).select("id")
     cand = match_all(postings, words, [field])
-    # adjacency of tokens = the words separated only by non-word characters
-    # in the folded text: one regex scan per candidate, no token arrays
+    return docs.join(cand, "id", "left_semi").where(fold(F.col(field)).rlike(phrase_pattern(words))).select("id")
+
+
+def phrase_pattern(words: list[str], consume: bool = True) -> str:
+    """Adjacent tokens in a folded text: the words separated only by non-word
+    characters; one regex scan per candidate, no token arrays.  Without
+    ``consume`` the character behind a match may begin the next one."""
     sep = r"[^\p{L}\p{N}]"
-    pattern = f"(^|{sep})" + f"{sep}+".join(f"\\Q{w}\\E" for w in words) + f"({sep}|$)"
-    return docs.join(cand, "id", "left_semi").where(fold(F.col(field)).rlike(pattern)).select("id")
+    body = f"{sep}+".join(f"\\Q{w}\\E" for w in words)
+    return f"(^|{sep}){body}({sep}|$)" if consume else f"(?<![\\p{{L}}\\p{{N}}]){body}(?![\\p{{L}}\\p{{N}}])"
 
 
 def match_fuzzy(docs: DataFrame, text: str, in_path: bool = False) -> DataFrame:
@@ -263,10 +296,28 @@ def trigram_postings(docs: DataFrame, fields: list[str], id_col: str = "id") ->
     """T2 index: distinct (gram, id, field)."""
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("txt")) for f in fields])
     rows = docs.select(F.col(id_col).alias("id"), F.inline(arr))
-    t = fold(F.col("txt"))
-    grams = F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, 3)))
-    return rows.select("id", "field", F.explode(grams).alias("gram")).distinct()
+    return rows.select("id", "field", F.explode(trigrams("txt")).alias("gram")).distinct()
+
+
+def write_trigram_index(docs: DataFrame, path: str, fields=tuple(FUZZY_BOOSTS), id_col: str = "id") -> None:
+    """T2 stored: (gram, id, field) in gram order, so that a fuzzy search
+    reads the rows of its grams only."""
+    grams = trigram_postings(docs, list(fields), id_col)
+    (grams.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.mode("overwrite").parquet(path))
+
+
+def match_fuzzy_index(grams: DataFrame, text: str, in_path: bool = False) -> DataFrame:
+    """T11 on the stored 3-grams: the same (id, score) as ``match_fuzzy``
+    without a look at any text."""
+    q = fold_terms([text])[0]
+    wanted = sorted({q[i:i + 3] for i in range(max(len(q) - 2, 0))})
+    fields = ["content", "name"] + (["path"] if in_path else [])
+    boost = None
+    for f in fields:
+        boost = F.when(F.col("field") == f, FUZZY_BOOSTS[f]) if boost is None else boost.when(F.col("field") == f, FUZZY_BOOSTS[f])
+    hits = grams.where(F.col("gram").isin(wanted) & F.col("field").isin(fields))
+    found = hits.groupBy("id").agg(F.count_distinct("gram").alias("_n"), F.sum(boost).alias("score"))
+    return found.where(F.col("_n") == len(wanted)).select("id", "score")
 
 
 # --------------------------------------------------------------- highlights
@@ -308,18 +359,20 @@ def highlight(docs: DataFrame, terms: list[str], field: str = "content", n: int
 
 def highlight_page(docs: DataFrame, page: DataFrame, terms: list[str], field: str = "content",
                    n: int = SNIPPET_TOKENS, id_col: str = "id") -> DataFrame:
-    """T13 for one result page: the page (at most ``MAX_PAGE`` rows, so its
-    ids are a bounded list) is fetched first and its ids become a literal
-    ``IN`` filter on the documents - pushed into the scan, so only the page's
-    texts are read and highlighted, never the whole corpus."""
+    """T13 for one result page: the page (at most ``MAX_PAGE`` rows, a bounded
+    list) is computed once and its ids become a literal ``IN`` filter on the
+    documents, pushed into the scan: only the page's texts are tokenized and
+    highlighted.  Documents stored in id order skip the other row groups; in
+    any other layout their ids are still read."""
     from docsift.operators.search import MAX_PAGE
 
-    ids = [r[0] for r in page.select(id_col).limit(MAX_PAGE + 1).collect()]
-    if len(ids) > MAX_PAGE:
+    rows = page.limit(MAX_PAGE + 1).collect()
+    if len(rows) > MAX_PAGE:
         raise ValueError(f"a page holds at most {MAX_PAGE} rows")
-    texts = docs.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("id"), field)
+    shown = docs.sparkSession.createDataFrame(rows, page.schema)
+    texts = docs.where(F.col(id_col).isin([r[id_col] for r in rows])).select(F.col(id_col).alias("id"), field)
     snippets = highlight(texts, terms, field, n)
-    return page.join(snippets.withColumnRenamed("id", id_col), id_col, "left")
+    return shown.join(snippets.withColumnRenamed("id", id_col), id_col, "left")
 
 
 def highlight_full(docs: DataFrame, terms: list[str], field: str = "content") -> DataFrame:

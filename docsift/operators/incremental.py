@@ -4,8 +4,9 @@ J7-J11).
 A snapshot diff is one full outer join on the file key; everything after it
 is unions and anti joins on keys, so each step shuffles only on the key.
 Fresh ids for new files are a distributed dense numbering: the new rows are
-range-partitioned on the key, each partition numbers its own rows, and the
-per-partition counts (one row per partition) give the offsets.
+range-partitioned on the key and written once, numbered inside each partition;
+the per-partition counts of those same rows (one row per partition) give the
+offsets.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.ids import pack_sid
 from docsift.functions.paths import path_ancestors, path_depth
-from docsift.session import ensure_checkpoint_dir
+from docsift.session import ensure_checkpoint_dir, scratch_dir
 
 UNCHANGED, MODIFIED, NEW, DELETED = "unchanged", "modified", "new", "deleted"
 
@@ -43,11 +44,17 @@ def dense_ids(df: DataFrame, key: str, base, partitions: int | None = None) -> D
     """Number rows 1..n in ``key`` order without a single-partition window:
     range-partition on the key, number rows inside each partition, and add
     the running count of the earlier partitions (a table of one row per
-    partition).  ``base`` (a column, e.g. a scalar subquery) is added."""
+    partition).  ``base`` (a column, e.g. a scalar subquery) is added.
+
+    The partitioned rows are checkpointed with their partition and place: range
+    bounds come from a sample, and a second evaluation of the same plan (with
+    other columns, say) would draw other bounds, so counts and rows must come
+    from one and the same evaluation."""
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, F.col(key)).sortWithinPartitions(key)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+              .withColumn("_mid", F.monotonically_increasing_id())).checkpoint(eager=True)
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,20 +65,31 @@ def dense_ids(df: DataFrame, key: str, base, partitions: int | None = None) -> D
 
 
 def apply_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Next document table: unchanged rows kept, modified rows replaced
-    with their id kept (Q1), new rows get ids after the old maximum in key
-    order, deleted rows dropped.  Adds ``status``.
+    """Next document table: unchanged rows kept with all their columns,
+    modified rows replaced by the new listing with their id kept (Q1), new rows
+    get ids after the old maximum in key order, deleted rows dropped.  Columns
+    that only the old table has (parsed data, version) are NULL on replaced and
+    new rows until they are parsed again.  Adds ``status``.
 
-    One full outer join on the key carries the new snapshot's columns, so the
+    One full outer join on the key carries both sides' columns, so the
     classification and the new rows come out of a single shuffle."""
-    cols = [c for c in new.columns if c != "id"]
-    o = file_key(old).select("key", F.col("id").alias("_old_id"), F.col("mtime").alias("_old_mtime"))
-    n = file_key(new).select("key", *[F.col(c).alias(f"_n_{c}") for c in cols], F.lit(True).alias("_in_new"))
+    old_cols = [c for c in old.columns if c != "id"]
+    new_cols = [c for c in new.columns if c != "id"]
+    types = {f.name: f.dataType for f in [*new.schema.fields, *old.schema.fields]}
+    cols = new_cols + [c for c in old_cols if c not in new_cols]
+    o = file_key(old).select("key", F.col("id").alias("_old_id"), *[F.col(c).alias(f"_o_{c}") for c in old_cols])
+    n = file_key(new).select("key", *[F.col(c).alias(f"_n_{c}") for c in new_cols], F.lit(True).alias("_in_new"))
     j = o.join(n, "key", "full_outer").where(F.col("_in_new").isNotNull())
     status = (F.when(F.col("_old_id").isNull(), F.lit(NEW))
-              .when(F.col("_old_mtime") == F.col("_n_mtime"), F.lit(UNCHANGED))
+              .when(F.col("_o_mtime") == F.col("_n_mtime"), F.lit(UNCHANGED))
               .otherwise(F.lit(MODIFIED)))
-    j = j.select("key", "_old_id", *[F.col(f"_n_{c}").alias(c) for c in cols], status.alias("status"))
+    j = j.withColumn("status", status)
+
+    def value(c: str):
+        fresh = F.col(f"_n_{c}") if c in new_cols else F.lit(None).cast(types[c])
+        return F.when(F.col("status") == UNCHANGED, F.col(f"_o_{c}") if c in old_cols else fresh).otherwise(fresh).alias(c)
+
+    j = j.select("key", "_old_id", *[value(c) for c in cols], "status")
     kept = j.where(F.col("status") != NEW).select(F.col("_old_id").alias("id"), *cols, "status")
     base = old.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     numbered = dense_ids(j.where(F.col("status") == NEW), "key", base).select(
@@ -79,14 +97,12 @@ def apply_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(numbered)
 
 
-def delete_list(old: DataFrame, new: DataFrame, previous: DataFrame | None = None) -> DataFrame:
-    """Ids to remove from the search index: deleted files plus the earlier
-    list, minus ids whose file is present again."""
-    d = snapshot_diff(old, new)
-    gone = d.where(F.col("status") == DELETED).select(F.col("old_id").alias("id"))
-    lst = gone if previous is None else gone.unionByName(previous.select("id"))
-    present = new.select("id")
-    return lst.distinct().join(present, "id", "left_anti")
+def delete_list(old: DataFrame, applied: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Ids to remove from the search index: documents of the old table
+    that the applied one (I2, which gives the ids) no longer has, plus the
+    earlier list, minus ids that are present again."""
+    lst = old.select("id") if previous is None else old.select("id").unionByName(previous.select("id"))
+    return lst.distinct().join(applied.select("id"), "id", "left_anti")
 
 
 def index_upsert(index: DataFrame, incoming: DataFrame, index_id: int) -> DataFrame:
@@ -128,11 +144,29 @@ def copy_vectors(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.unionByName(add.select(*existing.columns))
 
 
-def record_version(docs: DataFrame, status_col: str = "status", prev_version: int = 1) -> DataFrame:
-    """Rows written by this run carry version ``prev + 1``; unchanged
-    rows keep the version that wrote them."""
-    v = F.when(F.col(status_col) == UNCHANGED, F.lit(prev_version)).otherwise(F.lit(prev_version + 1))
-    return docs.withColumn("version", v.cast("long"))
+def record_version(applied: DataFrame, version: int, status_col: str = "status") -> DataFrame:
+    """Rows written by this run carry its ``version``; unchanged rows keep
+    the version of the run that wrote them, which ``apply_snapshot`` carries
+    along (``version - 1`` if the table had none yet)."""
+    earlier = F.col("version") if "version" in applied.columns else F.lit(None).cast("long")
+    v = F.when(F.col(status_col) == UNCHANGED, F.coalesce(earlier, F.lit(version - 1))).otherwise(F.lit(version))
+    return applied.withColumn("version", v.cast("long"))
+
+
+def run_entry(applied: DataFrame, deleted: DataFrame, version: int, timestamp: int) -> DataFrame:
+    """The run's line of the run log: version, time and how many
+    documents it found new, modified, unchanged and deleted."""
+    of = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0))
+    n = applied.agg(*[F.coalesce(of(s), F.lit(0)).cast("long").alias(s) for s in (NEW, MODIFIED, UNCHANGED)])
+    gone = deleted.agg(F.count(F.lit(1)).cast("long").alias(DELETED))
+    return n.withColumn(DELETED, gone.select(DELETED).scalar()).select(
+        F.lit(version).cast("long").alias("version"), F.lit(timestamp).cast("long").alias("timestamp"), NEW, MODIFIED, UNCHANGED, DELETED)
+
+
+def append_run(entry: DataFrame, path: str) -> None:
+    """Add a run's line to the stored run log; a repeated write of one version
+    replaces its own line only."""
+    (entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
 
 
 def ingest_fields(docs: DataFrame) -> DataFrame:
@@ -183,19 +217,42 @@ def root_document(docs: DataFrame, max_rounds: int = 32) -> DataFrame:
     """Climb ``parent`` links to the top document by pointer jumping:
     each round replaces a row's ancestor by that ancestor's ancestor, so a
     chain of length L needs log2(L) rounds.  The loop stops when no row moved
-    (one count per round reaches the driver); every round is checkpointed."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    cur = docs.select("id", F.coalesce("parent", "id").alias("anc"))
+    (one count per round reaches the driver).
+
+    Only the distinct ancestors climb: the members of one archive share one
+    parent, so a round joins one row per ancestor, and the members are mapped
+    once at the end.  Every round is written as a table and read again, so
+    that the next one plans with true sizes.  Links that run in a circle never
+    settle; they raise ``ValueError`` (``max_rounds`` rounds settle any chain of
+    2**32 links)."""
+    spark = docs.sparkSession
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch_dir(spark, "climb")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    start = written(docs.select("id", F.coalesce("parent", "id").alias("anc")))
+    heads = start.select(F.col("anc").alias("id")).distinct()
+    cur = heads.join(start, "id", "left").select("id", F.coalesce("anc", "id").alias("anc"))
+    cur = written(cur)
     for _ in range(max_rounds):
         step = cur.alias("c").join(cur.alias("p"), F.col("c.anc") == F.col("p.id"), "left").select(
             F.col("c.id").alias("id"), F.coalesce(F.col("p.anc"), F.col("c.anc")).alias("anc"),
             (F.col("p.anc").isNotNull() & (F.col("p.anc") != F.col("c.anc"))).alias("moved"))
-        step = step.checkpoint(eager=True)
+        step = written(step)
         moved = step.where("moved").limit(1).count()
         cur = step.select("id", "anc")
         if moved == 0:
             break
-    return cur.select("id", F.col("anc").alias("root"))
+    else:
+        raise ValueError("parent links run in a circle")
+    # a link that runs in a circle of a power of two may come to rest on itself
+    circle = cur.join(start.withColumnRenamed("anc", "_up"), cur["anc"] == start["id"], "inner").where(F.col("_up") != start["id"])
+    if circle.limit(1).count():
+        raise ValueError("parent links run in a circle")
+    tops = cur.select(F.col("id").alias("anc"), F.col("anc").alias("root"))
+    return start.join(tops, "anc").select("id", "root")
 
 
 def descendants(docs: DataFrame, dirs: DataFrame, dir_col: str = "dir") -> DataFrame:

@@ -11,24 +11,32 @@ whatever the table size.
 from __future__ import annotations
 
 import functools
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.paths import under
 from docsift.functions.tags import tag_strict_prefixes
+from docsift.operators.facets import first_rows
 
 MAX_PAGE = 1000  # fixed value: largest page a request may ask for
 DEFAULT_PAGE = 60  # fixed value: UI page size
+SCORE_PLACES = 14  # fixed value: decimal places of a score used as sort value
 
 
 @dataclass
 class SearchRequest:
-    """One search request; absent fields add no predicate."""
+    """One search request; absent fields add no predicate.  Documents match
+    all of ``terms``, the ``phrase``, some word with the ``prefix``, any of
+    ``any_terms``, none of ``none_terms`` and the 3-grams of ``fuzzy``."""
 
     terms: list[str] | None = None
     phrase: list[str] | None = None
+    any_terms: list[str] | None = None
+    none_terms: list[str] | None = None
+    prefix: str | None = None
+    fuzzy: str | None = None
     path: str | None = None
     size_min: int = 0
     size_max: int = 0
@@ -39,20 +47,31 @@ class SearchRequest:
     seed: int = 0
     fetch_aggregations: bool = False
     sort: str = "score"  # score | size | mtime | name | id | random | embedding
-    sort_asc: bool = False
+    sort_asc: bool = True
     index_ids: list[int] | None = None
     mime_types: list[str] | None = None
     tags: list[str] | None = None
+    tags_all: list[str] | None = None
+    has_model: int | None = None  # only documents with a vector of this model
+    highlight: bool = False
+    context: int = 20  # tokens of a snippet
     search_in_path: bool = False
     embedding: list[float] | None = None
     model: int | None = None
-    extra: dict = field(default_factory=dict)
 
     def validate(self) -> None:
         if not (1 <= self.page_size <= MAX_PAGE):
             raise ValueError(f"page_size must be in 1..{MAX_PAGE}")
         if self.after is not None and len(self.after) != 2:
             raise ValueError("after must be (sort_value, id)")
+        if (self.embedding is not None or self.sort == "embedding") and self.model is None:
+            raise ValueError("an embedding needs its model")
+        if self.sort == "embedding" and self.embedding is None:
+            raise ValueError("sorting by embedding needs one")
+
+    def words(self) -> list[str]:
+        """Words that a snippet marks."""
+        return [*(self.terms or []), *(self.any_terms or []), *(self.phrase or [])]
 
 
 # ---------------------------------------------------------------- predicates
@@ -153,7 +172,7 @@ def sort_value(req: SearchRequest, score_col: str | None = None) -> Column:
     if sort == "score" and score_col is None:
         sort = "id"  # no text query: fall back to id
     if sort == "score":
-        return F.round(F.col(score_col), 6)
+        return F.round(F.col(score_col), SCORE_PLACES)
     if sort == "random":
         return random_key(req.seed)
     if sort == "embedding":
@@ -190,6 +209,22 @@ def filter_documents(docs: DataFrame, req: SearchRequest) -> DataFrame:
     return docs.where(pred)
 
 
+def matching_documents(docs: DataFrame, req: SearchRequest, tags: DataFrame | None = None,
+                       emb: DataFrame | None = None) -> DataFrame:
+    """All predicates of a request but the text ones."""
+    from docsift.operators.tags import tags_all
+    from docsift.operators.vectors import has_embedding
+
+    hits = filter_documents(docs, req)
+    if req.tags:
+        hits = tags_any(hits, tags, req.tags)
+    if req.tags_all:
+        hits = tags_all(hits, tags, req.tags_all)
+    if req.has_model is not None:
+        hits = has_embedding(hits, emb, req.has_model)
+    return hits
+
+
 def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None = None,
                 tags: DataFrame | None = None, columns: list[str] | None = None,
                 emb: DataFrame | None = None) -> DataFrame:
@@ -202,9 +237,7 @@ def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None =
     without one score -1 (J5, V2).
     """
     req.validate()
-    hits = filter_documents(docs, req)
-    if req.tags:
-        hits = tags_any(hits, tags, req.tags)
+    hits = matching_documents(docs, req, tags, emb)
     score_col = None
     if scores is not None:
         hits = hits.join(scores, "id", "inner")
@@ -212,7 +245,7 @@ def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None =
     if req.sort == "embedding":
         from docsift.operators.vectors import _arr, cosine_sim, model_vectors
 
-        vec = model_vectors(emb, req.model or 1).select(F.col("id").alias("_vid"), F.col("embedding").alias("_v"))
+        vec = model_vectors(emb, req.model).select(F.col("id").alias("_vid"), F.col("embedding").alias("_v"))
         hits = hits.join(vec, hits["id"] == vec["_vid"], "left").withColumn("_q", _arr(req.embedding))
         hits = hits.withColumn("similarity", F.round(F.when(F.col("_v").isNull(), F.lit(-1.0))
                                                      .otherwise(cosine_sim(F.col("_q"), F.col("_v"))), 6))
@@ -225,11 +258,9 @@ def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None =
 
 
 def hit_totals(docs: DataFrame, req: SearchRequest, scores: DataFrame | None = None,
-               tags: DataFrame | None = None) -> DataFrame:
+               tags: DataFrame | None = None, emb: DataFrame | None = None) -> DataFrame:
     """Total count and size of a request, independent of paging."""
-    hits = filter_documents(docs, req)
-    if req.tags:
-        hits = tags_any(hits, tags, req.tags)
+    hits = matching_documents(docs, req, tags, emb)
     if scores is not None:
         hits = hits.join(scores.select("id"), "id", "left_semi")
     return hits.agg(F.count(F.lit(1)).alias("total_count"),
@@ -273,37 +304,68 @@ def top_by(df: DataFrame, col: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.col(col).desc(), F.col(tie).asc()).limit(n)
 
 
-def suggest_paths(paths: DataFrame, text: str, n: int = 65536, col: str = "path") -> DataFrame:
+def suggest_paths(paths: DataFrame, text: str, n: int | None = None, col: str = "path") -> DataFrame:
     """Directories starting with ``text``; when none does, those that
-    contain it ignoring case.  Shortest first, then alphabetical."""
+    contain it ignoring case.  Shortest first, then alphabetical; all of them,
+    or the first ``n``."""
     c = F.col(col)
     pref = paths.where(c.startswith(text)).select(col, F.lit(0).alias("_rank"))
     cont = paths.where(~c.startswith(text) & F.lower(c).contains(text.lower())).select(col, F.lit(1).alias("_rank"))
     allc = pref.unionByName(cont)
     has_prefix = pref.select(F.count(F.lit(1)).alias("n")).scalar() > 0
     chosen = allc.where((F.col("_rank") == 0) | ~has_prefix)
-    return chosen.orderBy(F.length(c), c).limit(n).select(col)
+    return first_rows(chosen.orderBy(F.length(c), c), n).select(col)
 
 
 # Fields searched when "search in path" is off (T10, Q9: applies to every term).
 TEXT_FIELDS_NO_PATH = ["name", "content", "title"]
 
 
-def search(docs: DataFrame, req: SearchRequest, index=None, tags: DataFrame | None = None,
-           emb: DataFrame | None = None, columns: list[str] | None = None):
-    """O6 in one call: the request's text terms (BM25 over the text index,
-    path field only when ``search_in_path``), phrase, tag and embedding parts,
-    the page, and - when ``fetch_aggregations`` - the totals (A9).
-    Returns ``(page, totals_or_None)``."""
-    scores = None
+def text_scores(docs: DataFrame, req: SearchRequest, index, grams: DataFrame | None = None) -> DataFrame | None:
+    """(id, score) of the documents that match the text parts of a request,
+    the scores of the parts added up; None if it has none.  ``grams`` is the
+    stored 3-gram index; without it a fuzzy part reads the texts."""
+    from docsift.operators import fulltext as T
+
+    fields = None if req.search_in_path else TEXT_FIELDS_NO_PATH
+    parts = []
     if req.terms:
-        fields = None if req.search_in_path else TEXT_FIELDS_NO_PATH
-        scores = index.bm25(req.terms, fields=fields)
+        parts.append(index.bm25(req.terms, fields=fields))
+    if req.any_terms:
+        parts.append(index.bm25(req.any_terms, fields=fields, require_all=False))
+    if req.prefix:
+        parts.append(index.prefix_scores(req.prefix, fields))
     if req.phrase:
-        from docsift.operators.fulltext import match_phrase
+        parts.append(index.phrase_scores(docs, req.phrase))
+    if req.fuzzy:
+        parts.append(T.match_fuzzy(docs, req.fuzzy, req.search_in_path) if grams is None
+                     else T.match_fuzzy_index(grams, req.fuzzy, req.search_in_path))
+    if not parts:
+        return None
+    scores = parts[0]
+    for p in parts[1:]:
+        scores = scores.join(p.withColumnRenamed("score", "_s"), "id").select("id", (F.col("score") + F.col("_s")).alias("score"))
+    return scores
+
 
-        ids = match_phrase(docs, index.postings, req.phrase)
-        scores = ids.withColumn("score", F.lit(0.0)) if scores is None else scores.join(ids, "id", "left_semi")
+def search(docs: DataFrame, req: SearchRequest, index=None, tags: DataFrame | None = None,
+           emb: DataFrame | None = None, columns: list[str] | None = None, grams: DataFrame | None = None):
+    """O6 in one call: the request's text parts (BM25 over the text index,
+    path field only when ``search_in_path``), its filters, tag and vector
+    parts, the page with the snippets asked for, and - when
+    ``fetch_aggregations`` - the totals (A9).  Returns ``(page,
+    totals_or_None)``; ``highlight`` adds ``snippet`` and the marked name."""
+    from docsift.operators import fulltext as T
+
+    req.validate()
+    scores = text_scores(docs, req, index, grams)
+    if req.none_terms:
+        docs = T.match_not(docs, index.postings, req.none_terms)
     page = search_page(docs, req, scores=scores, tags=tags, columns=columns, emb=emb)
-    totals = hit_totals(docs, req, scores=scores, tags=tags) if req.fetch_aggregations else None
+    if req.highlight:
+        words = req.words()
+        page = T.highlight_page(docs, page, words, n=req.context)
+        names = T.highlight_full(page.select("id", "name"), words, "name").withColumnRenamed("marked", "name_marked")
+        page = page.join(names, "id", "left")
+    totals = hit_totals(docs, req, scores=scores, tags=tags, emb=emb) if req.fetch_aggregations else None
     return page, totals

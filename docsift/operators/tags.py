@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.tags import is_coloured, tag_colour, tag_id, tag_prefixes
+from docsift.operators.facets import first_rows
 
-MAX_TAG_SUGGESTIONS = 100  # fixed value
-MAX_TAG_BUCKETS = 65535  # fixed value
 
 
 def tags_all(docs: DataFrame, tags: DataFrame, query_tags: list[str], require_all: bool = True,
@@ -37,11 +36,12 @@ def tag_counts(tags: DataFrame) -> DataFrame:
     return tags.groupBy("tag").agg(F.count(F.lit(1)).alias("count"))
 
 
-def tag_facet_hierarchy(tags: DataFrame, top: int = MAX_TAG_BUCKETS) -> DataFrame:
-    """Distinct documents per tag prefix, biggest first."""
-    return (tags.select("id", F.explode(tag_prefixes("tag")).alias("tag")).groupBy("tag")
-            .agg(F.count_distinct("id").alias("count"))
-            .orderBy(F.col("count").desc(), F.col("tag")).limit(top))
+def tag_facet_hierarchy(tags: DataFrame, top: int | None = None) -> DataFrame:
+    """Distinct documents per tag prefix, biggest first; all prefixes, or
+    the ``top`` ones of a top-k request."""
+    counts = (tags.select("id", F.explode(tag_prefixes("tag")).alias("tag")).groupBy("tag")
+              .agg(F.count_distinct("id").alias("count")))
+    return first_rows(counts.orderBy(F.col("count").desc(), F.col("tag")), top)
 
 
 def first_per_tag_id(tags: DataFrame) -> DataFrame:
@@ -116,15 +116,15 @@ def refresh_tag_arrays(arrays: DataFrame, new_tags: DataFrame, touched: DataFram
     return untouched.unionByName(fresh).unionByName(emptied)
 
 
-def suggest_tags(tags: DataFrame, prefix: str, n: int = MAX_TAG_SUGGESTIONS) -> DataFrame:
-    """Distinct tags starting with ``prefix``, ordered."""
-    return tags.where(F.col("tag").startswith(prefix)).select("tag").distinct().orderBy("tag").limit(n)
+def suggest_tags(tags: DataFrame, prefix: str, n: int | None = None) -> DataFrame:
+    """Distinct tags starting with ``prefix``, ordered; all, or the first ``n``."""
+    return first_rows(tags.where(F.col("tag").startswith(prefix)).select("tag").distinct().orderBy("tag"), n)
 
 
-def suggest_tags_no_colour(tags: DataFrame, prefix: str, n: int = MAX_TAG_SUGGESTIONS) -> DataFrame:
+def suggest_tags_no_colour(tags: DataFrame, prefix: str, n: int | None = None) -> DataFrame:
     """As O8, one per tag id (colour ignored), first tag kept."""
     cand = tags.where(F.col("tag").startswith(prefix))
-    return first_per_tag_id(cand).orderBy("tag_id").limit(n).select("tag_id", "tag")
+    return first_rows(first_per_tag_id(cand).orderBy("tag_id"), n).select("tag_id", "tag")
 
 
 def parse_tags(tags: DataFrame) -> DataFrame:

@@ -3,19 +3,24 @@
 Similarity is a codegen'd ``zip_with`` + ``aggregate`` in double precision.
 The query vector is either a literal array or a scalar subquery (one row,
 planned once and broadcast as a value), so scoring is a narrow projection of
-the vector table and top-k is ``orderBy(...).limit(k)`` (per-partition top-k,
-then ``k x partitions`` rows merged).  Batches of query vectors (V5) are
-size-checked before they are shipped, and the per-query top-k never lands a
-query's whole candidate list in one task (see ``top_k_per_group``).
+the vector table; the top-k is taken there (per-partition top-k, then
+``k x partitions`` rows merged) and only its k rows meet the documents.
+Batches of query vectors (V5) travel in blocks to shards of the vector table,
+and only each shard's k best per query leave a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KNN_CANDIDATES = 600  # fixed value: approximate kNN candidates
-MAX_BATCH_QUERIES = 10_000  # broadcast bound for V5 query batches
+ANN_BITS = 6  # hyperplanes of the approximate index: 64 buckets
+JOIN_SHARD = 16_384  # vectors one task of the kNN join holds
 
 
 def _arr(v) -> Column:
@@ -51,16 +56,33 @@ def model_vectors(emb: DataFrame, model_id: int, start: int | None = 0) -> DataF
     return e
 
 
+def nearest_documents(docs: DataFrame, scored: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """The ``k`` documents with the best ``similarity`` of ``scored`` (id,
+    similarity), ties by id; documents that are not in ``scored`` count as -1.
+
+    The k best are taken from the narrow (id, similarity) rows; those k rows
+    (bounded by the request) then fetch their documents.  Documents without a
+    vector are looked up only if they can be among the k."""
+    ids = docs.select(F.col(id_col).alias("id"))
+    best = (scored.join(ids, "id", "left_semi").orderBy(F.col("similarity").desc(), "id").limit(k)).collect()
+    spark = docs.sparkSession
+    top = spark.createDataFrame([tuple(r) for r in best], "_vid long, similarity double")
+    if len(best) < k or best[-1].similarity <= -1.0:
+        without = (ids.join(scored.select("id"), "id", "left_anti").orderBy("id").limit(k)
+                   .select(F.col("id").alias("_vid"), F.lit(-1.0).alias("similarity")))
+        top = top.unionByName(without)
+    found = docs.join(F.broadcast(top), docs[id_col] == top["_vid"]).drop("_vid")
+    return found.orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(k)
+
+
 def knn_exact(docs: DataFrame, emb: DataFrame, q, k: int, model_id: int = 1,
               id_col: str = "id") -> DataFrame:
     """Documents by cosine similarity to ``q``, best first; documents
     without a vector of the model score -1 and sort last; ties by id."""
-    vec = model_vectors(emb, model_id).select(F.col("id").alias("_vid"), F.col("embedding").alias("_v"))
     # the query vector becomes a column first: a subquery may not sit inside a lambda
-    j = docs.join(vec, docs[id_col] == vec["_vid"], "left").withColumn("_q", _arr(q))
-    sim = F.when(F.col("_v").isNull(), F.lit(-1.0)).otherwise(cosine_sim(F.col("_q"), F.col("_v")))
-    scored = j.withColumn("similarity", F.round(sim, 6)).drop("_vid", "_v", "_q")
-    return scored.orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(k)
+    vec = model_vectors(emb, model_id).select("id", "embedding").withColumn("_q", _arr(q))
+    scored = vec.select("id", F.round(cosine_sim(F.col("_q"), F.col("embedding")), 6).alias("similarity"))
+    return nearest_documents(docs, scored, k, id_col)
 
 
 def vector_of(emb: DataFrame, doc_id: int, model_id: int = 1) -> Column:
@@ -79,70 +101,132 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list[Column], k: int
     """Top-k rows per group, adding a ``rank`` column, without ever holding a
     whole group in one task.
 
-    For k up to ``spark.sql.optimizer.windowGroupLimitThreshold`` a single
-    ``row_number() <= k`` window suffices: the optimizer inserts a partial
-    WindowGroupLimit before the shuffle, so each group arrives with at most
-    k rows per input partition.  Above the threshold the limit is done in two
-    explicit rounds: per (group, salt) - a group holding a third of all rows
-    is split over ``salts`` tasks (default: the shuffle partition count, at
-    least 64) - then per group over at most ``salts x k`` survivors."""
+    The limit is done in two rounds, whatever ``k`` is: per (group, salt) - a
+    group holding a third of all rows is split over ``salts`` tasks (default:
+    the shuffle partition count, at least 64) - then per group over at most
+    ``salts x k`` survivors."""
     spark = df.sparkSession
-    w2 = Window.partitionBy(*group).orderBy(*order)
-    threshold = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k <= threshold:
-        return df.withColumn("rank", F.row_number().over(w2).cast("long")).where(F.col("rank") <= k)
     if salts is None:
         salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts))
     w1 = Window.partitionBy(*group, "_salt").orderBy(*order)
     first = (df.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1))
              .where(F.col("_r") <= k).drop("_r", "_salt"))
+    w2 = Window.partitionBy(*group).orderBy(*order)
     return first.withColumn("rank", F.row_number().over(w2).cast("long")).where(F.col("rank") <= k)
 
 
-def knn_join(queries: DataFrame, emb: DataFrame, k: int, model_id: int = 1,
-             max_queries: int = MAX_BATCH_QUERIES) -> DataFrame:
-    """V5: for each query document, its ``k`` nearest other documents.
-
-    The query batch is counted first and refused above ``max_queries``; under
-    the bound it is broadcast as one array value and every document row scores
-    all queries in one projection (no shuffle of the vector table).
-    """
-    qv = (model_vectors(emb, model_id).join(queries.select(F.col("id")), "id", "left_semi")
-          .select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")))
-    n = qv.count()
-    if n > max_queries:
-        raise ValueError(f"query batch of {n} vectors exceeds the broadcast bound {max_queries}")
-    # one array value, evaluated once as a scalar subquery (no join at all)
-    batch = qv.agg(F.collect_list(F.struct("qid", "qvec"))).scalar()
-    vec = model_vectors(emb, model_id).select("id", "embedding").withColumn("_qs", batch)
-    scored = (vec.select("id", F.explode(F.transform("_qs", lambda s: F.struct(
-                  s["qid"].alias("qid"), F.round(cosine_sim(s["qvec"], F.col("embedding")), 6).alias("similarity"))))
-                  .alias("m"))
-              .select(F.col("m.qid").alias("qid"), "id", F.col("m.similarity").alias("similarity"))
-              .where(F.col("qid") != F.col("id")))
-    return top_k_per_group(scored, ["qid"], [F.col("similarity").desc(), F.col("id").asc()], k, "id")
-
-
-def knn_approx(emb: DataFrame, q: list[float], k: int, model_id: int = 1,
-               candidates: int = KNN_CANDIDATES, bucket_length: float = 0.5, tables: int = 4,
-               seed: int = 7) -> DataFrame:
-    """V3: approximate nearest neighbours: random-projection LSH on unit
-    vectors proposes ``candidates`` rows, exact cosine re-ranks them."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    vec = model_vectors(emb, model_id).select(
-        "id", "embedding",
-        array_to_vector(F.transform("embedding", lambda x: x / norm("embedding"))).alias("unit"))
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=tables, seed=seed)
-    model = lsh.fit(vec)
-    qn = sum(x * x for x in q) ** 0.5 or 1.0
-    key = Vectors.dense([x / qn for x in q])
-    cand = model.approxNearestNeighbors(vec, key, candidates)
-    return (cand.select("id", F.round(cosine_sim(q, F.col("embedding")), 6).alias("similarity"))
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """Vectors of a list column as double arrays; a NULL vector is empty."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return [values[s:e] if ok else values[:0] for ok, s, e in zip(valid, offsets[:-1], offsets[1:])]
+
+
+def _unit_matrix(vectors: list[np.ndarray], dims: int) -> np.ndarray:
+    """Unit vectors as rows, shorter ones filled up with zeros; zero and
+    non-finite vectors become NaN rows."""
+    x = np.zeros((len(vectors), dims))
+    for i, v in enumerate(vectors):
+        x[i, :len(v)] = v
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, length, out=np.full_like(x, np.nan), where=(length > 0) & np.isfinite(length))
+
+
+def knn_join(queries: DataFrame, emb: DataFrame, k: int, model_id: int = 1, shard_rows: int = JOIN_SHARD,
+             block_rows: int = 1024) -> DataFrame:
+    """V5: for each query document, its ``k`` nearest other documents (qid,
+    id, similarity, rank).
+
+    The vector table is dealt to shards; the query vectors go to every shard
+    and are compared there block by block, as a matrix product.  A task holds
+    one shard and one block and hands on the k best of each query, so no list
+    of all pairs exists anywhere and any number of queries is served."""
+    vec = model_vectors(emb, model_id).select("id", "embedding")
+    shards = max(1, -(-vec.count() // shard_rows))
+    held = vec.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "embedding")
+    asked = vec.join(queries.select("id").distinct(), "id", "left_semi").select(
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "embedding")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, vectors = None, [], []
+        for batch in (b.slice(s, block_rows) for b in batches for s in range(0, b.num_rows, block_rows)):
+            shard, kind, number = (batch.column(i).to_numpy() for i in range(3))
+            rows = _rows(batch.column(3))
+            cuts = np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(shard)]):
+                if shard[s] != now:
+                    now, ids, vectors = shard[s], [], []
+                if kind[s] == 0:
+                    ids.extend(number[s:e].tolist())
+                    vectors.extend(rows[s:e])
+                elif ids:
+                    dims = max(map(len, vectors + rows[s:e]))
+                    yield _best(number[s:e], _unit_matrix(rows[s:e], dims), np.array(ids), _unit_matrix(vectors, dims), k)
+
+    order = ["shard", "kind"]
+    found = (held.unionByName(asked).repartition("shard").sortWithinPartitions(*order)
+             .mapInArrow(search, "qid long, id long, similarity double").withColumn("similarity", F.round("similarity", 6)))
+    return top_k_per_group(found, ["qid"], [F.col("similarity").desc(), F.col("id").asc()], k, "id")
+
+
+def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best rows of a shard for each query, itself left out."""
+    sim = q @ x.T
+    sim[np.isnan(sim)] = -1.0
+    sim = np.where(ids[None, :] == qid[:, None], -np.inf, sim)
+    rank = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, 6)), axis=1)[:, :k]
+    best = np.take_along_axis(sim, rank, axis=1)
+    at, column = np.nonzero(np.isfinite(best))
+    return pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[rank[at, column]]), pa.array(best[at, column])],
+                                      names=["qid", "id", "similarity"])
+
+
+def ann_planes(dims: int, bits: int = ANN_BITS) -> list[list[int]]:
+    """Normals of the fixed hyperplanes: small integers by rule, so that any
+    engine computes the same buckets."""
+    return [[(31 * j + 17 * d + 7 * j * d + d * d) % 11 - 5 for d in range(dims)] for j in range(bits)]
+
+
+def ann_bucket(v, dims: int, bits: int = ANN_BITS) -> Column:
+    """Bucket of a vector: bit j tells on which side of hyperplane j it lies."""
+    out = F.lit(0)
+    for j, plane in enumerate(ann_planes(dims, bits)):
+        out = out + F.when(dot(v, F.array(*[F.lit(float(x)) for x in plane])) >= 0, 1 << j).otherwise(0)
+    return out.cast("int")
+
+
+def write_ann_index(emb: DataFrame, path: str, dims: int, bits: int = ANN_BITS) -> None:
+    """V3 index: vectors with their bucket, partitioned by it, so that a
+    search reads only the folders of the buckets that it probes."""
+    rows = emb.withColumn("bucket", ann_bucket(F.col("embedding"), dims, bits))
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def knn_approx(index: DataFrame, q: list[float], k: int, model_id: int = 1, candidates: int = KNN_CANDIDATES,
+               docs: DataFrame | None = None, bits: int = ANN_BITS) -> DataFrame:
+    """V3: approximate nearest neighbours on the stored index (id,
+    similarity).  Buckets are probed by the number of hyperplanes that part
+    them from the query, ring by ring, until ``candidates`` (at least ``k``)
+    vectors are there or all are; these are re-ranked exactly.  With ``docs``
+    only vectors of those documents count, before the k nearest are taken."""
+    vec = model_vectors(index, model_id)
+    if docs is not None:
+        vec = vec.join(docs.select("id"), "id", "left_semi")
+    qb = 0
+    for j, plane in enumerate(ann_planes(len(q), bits)):
+        qb |= (sum(a * b for a, b in zip(q, plane)) >= 0) << j
+    sizes = vec.groupBy("bucket").count().collect()  # a row a bucket: 2**bits at most
+    probed, total = [], 0
+    for ring in range(bits + 1):
+        if total >= max(candidates, k):
+            break
+        here = [r for r in sizes if (r["bucket"] ^ qb).bit_count() == ring]
+        probed += [r["bucket"] for r in here]
+        total += sum(r["count"] for r in here)
+    return (vec.where(F.col("bucket").isin(probed))
+            .select("id", F.round(cosine_sim(q, F.col("embedding")), 6).alias("similarity"))
             .orderBy(F.col("similarity").desc(), F.col("id")).limit(k))
 
 
@@ -202,17 +286,17 @@ def export_documents(docs: DataFrame, tags: DataFrame, emb: DataFrame, models: D
 
 def unit_vectors(emb: DataFrame) -> DataFrame:
     """Vectors with a pre-normalised copy (``unit``, NULL for a zero vector),
-    written once at index time so that scoring is a single dot product."""
+    written once at index time so that scoring is a single dot product.  The
+    norm is an argument of the lambda's list, not of each element."""
     n = norm("embedding")
-    return emb.withColumn("unit", F.when(n > 0, F.transform("embedding", lambda x: x.cast("double") / n)))
+    lengths = F.array_repeat(n, F.size("embedding"))
+    return emb.withColumn("unit", F.when(n > 0, F.zip_with("embedding", lengths, lambda x, y: x.cast("double") / y)))
 
 
 def knn_unit(docs: DataFrame, vectors: DataFrame, q_unit, k: int, model_id: int = 1,
              id_col: str = "id") -> DataFrame:
     """V2 over pre-normalised vectors: similarity = q_unit . unit (documents
     without a vector of the model score -1), best first, ties by id."""
-    vec = model_vectors(vectors, model_id).select(F.col("id").alias("_vid"), F.col("unit").alias("_u"))
-    j = docs.join(vec, docs[id_col] == vec["_vid"], "left").withColumn("_q", _arr(q_unit))
+    vec = model_vectors(vectors, model_id).select("id", F.col("unit").alias("_u")).withColumn("_q", _arr(q_unit))
     sim = F.when(F.col("_u").isNull() | F.col("_q").isNull(), F.lit(-1.0)).otherwise(dot(F.col("_q"), F.col("_u")))
-    scored = j.withColumn("similarity", F.round(sim, 6)).drop("_vid", "_u", "_q")
-    return scored.orderBy(F.col("similarity").desc(), F.col(id_col).asc()).limit(k)
+    return nearest_documents(docs, vec.select("id", F.round(sim, 6).alias("similarity")), k, id_col)

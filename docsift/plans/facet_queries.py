@@ -60,7 +60,7 @@ def mime_facet(spark, sf_dir):
 
 @query("mime_facet_for_query", "A6", with_fixtures(["corpus", "mime"], """
 SELECT mime, count(*) AS count FROM idx WHERE size >= 1000000 AND mime IS NOT NULL
-GROUP BY mime ORDER BY count DESC, mime LIMIT 10000""", IDX_CTE))
+GROUP BY mime""", IDX_CTE))
 def mime_facet_for_query(spark, sf_dir):
     hits = S.filter_documents(doc_index(Fixtures(spark, sf_dir)), S.SearchRequest(size_min=1_000_000))
     return A.mime_facet_for_query(hits)
@@ -73,19 +73,25 @@ def mime_tree(spark, sf_dir):
     return A.mime_tree(doc_index(Fixtures(spark, sf_dir)))
 
 
-@query("date_range", "A8", with_fixtures(["corpus"], """
-SELECT CAST(coalesce(min(mtime), 0) AS BIGINT) AS date_min,
+_RANGE = """SELECT '{what}' AS what, CAST(coalesce(min(mtime), 0) AS BIGINT) AS date_min,
        CAST(CASE WHEN coalesce(min(mtime), 0) = coalesce(max(mtime), 1) THEN coalesce(max(mtime), 1) + 1
                  ELSE coalesce(max(mtime), 1) END AS BIGINT) AS date_max
-FROM corpus"""))
-def date_range(spark, sf_dir):
-    return A.date_range(Fixtures(spark, sf_dir).corpus)
+FROM corpus WHERE {where}"""
+_RANGES = {"all": "true", "none": "size < 0", "newest": "mtime = (SELECT max(mtime) FROM corpus)"}
 
 
-@query("date_range_empty", "A8", with_fixtures(["corpus"], """
-SELECT CAST(0 AS BIGINT) AS date_min, CAST(1 AS BIGINT) AS date_max"""))
-def date_range_empty(spark, sf_dir):
-    return A.date_range(Fixtures(spark, sf_dir).corpus.where(F.col("size") < 0))
+@query("date_range", "A8", with_fixtures(["corpus"], " UNION ALL ".join(
+    _RANGE.format(what=k, where=v) for k, v in _RANGES.items())))
+def date_range(spark, sf_dir):
+    """Of all documents, of none, and of one moment."""
+    c = Fixtures(spark, sf_dir).corpus
+    parts = {"all": c, "none": c.where(F.col("size") < 0),
+             "newest": c.where(F.col("mtime") == c.select(F.max("mtime")).scalar())}
+    out = None
+    for what, docs in parts.items():
+        row = A.date_range(docs).select(F.lit(what).alias("what"), "date_min", "date_max")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("path_index", "A10", with_fixtures(["corpus", "mime"], "SELECT * FROM pi", PI_CTE))
@@ -96,7 +102,7 @@ def path_index(spark, sf_dir):
 @query("path_children", "A11", with_fixtures(["corpus", "mime"], """
 SELECT index_id, path, count FROM pi
 WHERE depth BETWEEN 2 AND 3 AND index_id = 1 AND (path = 'src0' OR starts_with(path, 'src0/'))
-ORDER BY path, index_id LIMIT 65536""", PI_CTE))
+""", PI_CTE))
 def path_children(spark, sf_dir):
     return A.path_children(_pi(spark, sf_dir), 1, 2, 3, "src0")
 
@@ -115,7 +121,7 @@ def path_tree_level(spark, sf_dir):
 
 @query("suggest_paths", "O7", with_fixtures(["corpus", "mime"], """
 SELECT path FROM (SELECT DISTINCT path FROM pi) WHERE starts_with(path, 'src0/')
-ORDER BY length(path), path LIMIT 65536""", PI_CTE))
+""", PI_CTE))
 def suggest_paths(spark, sf_dir):
     paths = _pi(spark, sf_dir).select("path").distinct()
     return S.suggest_paths(paths, "src0/")
@@ -123,7 +129,7 @@ def suggest_paths(spark, sf_dir):
 
 @query("suggest_paths_contains", "O7", with_fixtures(["corpus", "mime"], """
 SELECT path FROM (SELECT DISTINCT path FROM pi) WHERE contains(lower(path), 'de/y')
-ORDER BY length(path), path LIMIT 65536""", PI_CTE))
+""", PI_CTE))
 def suggest_paths_contains(spark, sf_dir):
     paths = _pi(spark, sf_dir).select("path").distinct()
     return S.suggest_paths(paths, "DE/Y")

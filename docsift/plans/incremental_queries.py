@@ -32,8 +32,9 @@ applied AS (
          nk.path, nk.name, nk.mtime, nk.size, d.status
   FROM nk JOIN d ON nk.key = d.key WHERE d.status = 'new')"""
 SID = "((CAST({i} AS BIGINT) << 32) | {c})"
-INDEX_CTE = f"""ix AS (SELECT {SID.format(i='index_id', c='id')} AS sid, index_id, id, path, name, mtime, size FROM corpus),
-inc AS (SELECT {SID.format(i=1, c='id')} AS sid, CAST(1 AS INT) AS index_id, id, path, name, mtime, size FROM new),
+INDEX_CTE = APPLY_CTE + f""",
+ix AS (SELECT {SID.format(i='index_id', c='id')} AS sid, index_id, id, path, name, mtime, size FROM corpus),
+inc AS (SELECT {SID.format(i=1, c='id')} AS sid, CAST(1 AS INT) AS index_id, id, path, name, mtime, size FROM applied),
 upserted AS (SELECT * FROM ix WHERE sid NOT IN (SELECT sid FROM inc) UNION ALL SELECT * FROM inc)"""
 PREV_DELETES = "prev AS (SELECT id FROM corpus WHERE id NOT IN (SELECT id FROM old))"
 
@@ -64,10 +65,14 @@ def apply_snapshot(spark, sf_dir):
 
 @query("delete_list", "I3", with_fixtures(["corpus", "old", "new"], """
 SELECT DISTINCT id FROM (SELECT old_id AS id FROM d WHERE status = 'deleted' UNION ALL SELECT id FROM prev)
-WHERE id NOT IN (SELECT id FROM new)""", DIFF_CTE + ",\n" + PREV_DELETES))
+WHERE id NOT IN (SELECT id FROM applied)""", APPLY_CTE + ",\n" + PREV_DELETES))
 def delete_list(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return I.delete_list(fx.old, fx.new, _prev(fx))
+    return I.delete_list(fx.old, I.apply_snapshot(fx.old, fx.new), _prev(fx))
+
+
+def _applied(fx):
+    return I.apply_snapshot(fx.old, fx.new).drop("status")
 
 
 def _index(fx):
@@ -75,18 +80,18 @@ def _index(fx):
                             "size")
 
 
-@query("index_upsert", "I4", with_fixtures(["corpus", "new"], "SELECT * FROM upserted", INDEX_CTE))
+@query("index_upsert", "I4", with_fixtures(["corpus", "old", "new"], "SELECT * FROM upserted", INDEX_CTE))
 def index_upsert(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return I.index_upsert(_index(fx), fx.new, 1)
+    return I.index_upsert(_index(fx), _applied(fx), 1)
 
 
-@query("index_upsert_stored", "I4", with_fixtures(["corpus", "new"], "SELECT * FROM upserted", INDEX_CTE))
+@query("index_upsert_stored", "I4", with_fixtures(["corpus", "old", "new"], "SELECT * FROM upserted", INDEX_CTE))
 def index_upsert_stored(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     path = scratch_dir(spark, "doc-index")
     I.write_index(_index(fx), path)
-    I.upsert_stored_index(spark, path, fx.new, 1)
+    I.upsert_stored_index(spark, path, _applied(fx), 1)
     t = spark.read.parquet(path)
     return t.select("sid", F.col("index_id").cast("int").alias("index_id"), "id", "path", "name", "mtime", "size")
 
@@ -95,15 +100,15 @@ def index_upsert_stored(spark, sf_dir):
 SELECT * FROM upserted WHERE sid NOT IN (
   SELECT {SID.format(i=1, c='id')} FROM (
     SELECT DISTINCT id FROM (SELECT old_id AS id FROM d WHERE status = 'deleted' UNION ALL SELECT id FROM prev)
-    WHERE id NOT IN (SELECT id FROM new)))""", INDEX_CTE + ",\n" + DIFF_CTE + ",\n" + PREV_DELETES))
+    WHERE id NOT IN (SELECT id FROM applied)))""", INDEX_CTE + ",\n" + PREV_DELETES))
 def index_delete(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    up = I.index_upsert(_index(fx), fx.new, 1)
-    return I.index_delete(up, I.delete_list(fx.old, fx.new, _prev(fx)), 1)
+    applied = _applied(fx)
+    return I.index_delete(I.index_upsert(_index(fx), applied, 1), I.delete_list(fx.old, applied, _prev(fx)), 1)
 
 
 @query("copy_vectors", "I6", with_fixtures(["emb"], f"""
-SELECT sid, model_id, start, round(CAST(embedding[1] AS DOUBLE), 5) AS first FROM (
+SELECT sid, model_id, start, array_to_string(list_transform(embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ',') AS vector FROM (
   SELECT {SID.format(i=1, c='id')} AS sid, model_id, start, embedding FROM emb WHERE model_id = 1
   UNION ALL
   SELECT {SID.format(i=1, c='id')} AS sid, model_id, start, list_reverse(embedding) AS embedding FROM emb
@@ -113,15 +118,70 @@ def copy_vectors(spark, sf_dir):
     existing = e.where(F.col("model_id") == 1).select("sid", "model_id", "start", "embedding")
     incoming = e.select("sid", "model_id", "start", F.reverse("embedding").alias("embedding"))
     out = I.copy_vectors(existing, incoming)
-    return out.select("sid", "model_id", "start",
-                      F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+    return out.select("sid", "model_id", "start", F.array_join(F.transform(
+        "embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",").alias("vector"))
 
 
 @query("record_version", "I10", with_fixtures(["corpus", "old", "new"], """
 SELECT id, CAST(CASE WHEN status = 'unchanged' THEN 1 ELSE 2 END AS BIGINT) AS version FROM applied""", APPLY_CTE))
 def record_version(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
-    return I.record_version(I.apply_snapshot(fx.old, fx.new)).select("id", "version")
+    return I.record_version(I.apply_snapshot(fx.old, fx.new), 2).select("id", "version")
+
+
+# A third listing: some files go, some change, and some that were gone come back.
+THIRD_WHERE, THIRD_MTIME, BACK_MTIME = "size % 7 <> 3", "CASE WHEN size % 5 = 0 THEN mtime + 10 ELSE mtime END", "mtime + 1"
+THREE_CTE = f"""l1 AS (SELECT {KEY} AS key, mtime FROM old),
+l2 AS (SELECT {KEY} AS key, mtime FROM new),
+l3 AS (SELECT {KEY} AS key, {THIRD_MTIME} AS mtime FROM new WHERE {THIRD_WHERE}
+       UNION ALL SELECT key, {BACK_MTIME} AS mtime FROM l1 WHERE key NOT IN (SELECT key FROM l2)),
+t1 AS (SELECT key, mtime, row_number() OVER (ORDER BY key) AS id, 1 AS version FROM l1),
+t2 AS (SELECT l.key, l.mtime, t.id, CASE WHEN t.mtime = l.mtime THEN t.version ELSE 2 END AS version FROM l2 l JOIN t1 t ON l.key = t.key
+       UNION ALL SELECT key, mtime, (SELECT max(id) FROM t1) + row_number() OVER (ORDER BY key), 2
+       FROM l2 WHERE key NOT IN (SELECT key FROM t1)),
+t3 AS (SELECT l.key, l.mtime, t.id, CASE WHEN t.mtime = l.mtime THEN t.version ELSE 3 END AS version FROM l3 l JOIN t2 t ON l.key = t.key
+       UNION ALL SELECT key, mtime, (SELECT max(id) FROM t2) + row_number() OVER (ORDER BY key), 3
+       FROM l3 WHERE key NOT IN (SELECT key FROM t2))"""
+
+
+def _three_runs(spark, sf_dir):
+    """Three scans one after another; each table is written before the next
+    run reads it, and each run adds its line to the run log."""
+    fx = Fixtures(spark, sf_dir)
+    cols = ["path", "name", "mtime", "size"]
+    gone = I.file_key(fx.old).join(I.file_key(fx.new).select("key"), "key", "left_anti").select(*cols)
+    third = fx.new.where(THIRD_WHERE).withColumn("mtime", F.expr(THIRD_MTIME)).select(*cols).unionByName(
+        gone.withColumn("mtime", F.expr(BACK_MTIME)))
+    table = spark.createDataFrame([], "id long, path string, name string, mtime long, size long, version long")
+    out, log = scratch_dir(spark, "runs"), scratch_dir(spark, "run-log")
+    for version, listing in enumerate([fx.old.select(*cols), fx.new.select(*cols), third], 1):
+        applied = I.record_version(I.apply_snapshot(table, listing), version)
+        applied.write.parquet(f"{out}/{version}")
+        applied = spark.read.parquet(f"{out}/{version}")
+        I.append_run(I.run_entry(applied, I.delete_list(table, applied), version, 1000 * version), log)
+        table = applied.drop("status")
+    return table, spark.read.parquet(log)
+
+
+@query("three_runs", "I10/I2", with_fixtures(["corpus", "old", "new"], """
+SELECT key, CAST(id AS BIGINT) AS id, mtime, CAST(version AS BIGINT) AS version FROM t3""", THREE_CTE))
+def three_runs(spark, sf_dir):
+    return I.file_key(_three_runs(spark, sf_dir)[0]).select("key", "id", "mtime", "version")
+
+
+def _log_sql(old: str, new: str, version: int) -> str:
+    return f"""SELECT CAST({version} AS BIGINT) AS version, CAST({1000 * version} AS BIGINT) AS timestamp,
+  (SELECT count(*) FROM {new} WHERE key NOT IN (SELECT key FROM {old})) AS "new",
+  (SELECT count(*) FROM {new} n JOIN {old} o ON n.key = o.key WHERE n.mtime <> o.mtime) AS modified,
+  (SELECT count(*) FROM {new} n JOIN {old} o ON n.key = o.key WHERE n.mtime = o.mtime) AS unchanged,
+  (SELECT count(*) FROM {old} WHERE key NOT IN (SELECT key FROM {new})) AS deleted"""
+
+
+@query("run_log", "I10", with_fixtures(["corpus", "old", "new"], " UNION ALL ".join([
+    _log_sql("(SELECT key, mtime FROM t1 WHERE false)", "t1", 1), _log_sql("t1", "t2", 2), _log_sql("t2", "t3", 3)]), THREE_CTE))
+def run_log(spark, sf_dir):
+    log = _three_runs(spark, sf_dir)[1]
+    return log.select(F.col("version").cast("long").alias("version"), "timestamp", "new", "modified", "unchanged", "deleted")
 
 
 @query("ingest_fields", "I11", with_fixtures(["corpus"], f"""

@@ -93,20 +93,14 @@ def search_path_prefix(spark, sf_dir):
     return c.where(S.path_prefix("src1")).select("id", "path")
 
 
-@query("search_index_none", "F3", with_fixtures(["corpus"], "SELECT id FROM corpus WHERE false"))
-def search_index_none(spark, sf_dir):
-    c = Fixtures(spark, sf_dir).corpus
-    return c.where(S.conjunction([S.index_in([])])).select("id")
-
-
 @query("hide_duplicates", "W1", with_fixtures(["corpus"], """
 SELECT id, checksum, size FROM (
   SELECT id, checksum, size,
          row_number() OVER (PARTITION BY checksum ORDER BY size DESC, id ASC) AS rn
-  FROM corpus WHERE size >= 40960)
+  FROM corpus)
 WHERE checksum IS NULL OR rn = 1"""))
 def hide_duplicates(spark, sf_dir):
-    c = Fixtures(spark, sf_dir).corpus.where(F.col("size") >= 40960).select("id", "checksum", "size")
+    c = Fixtures(spark, sf_dir).corpus.select("id", "checksum", "size")
     return S.hide_duplicates(c, [("size", False)])
 
 
@@ -115,8 +109,8 @@ SELECT p.id, p.size FROM (SELECT id, size FROM idx ORDER BY size DESC, id ASC LI
 WHERE p.id NOT IN (SELECT id FROM idx ORDER BY size DESC, id ASC LIMIT 60)""", IDX_CTE))
 def unseen_hits(spark, sf_dir):
     d = doc_index(Fixtures(spark, sf_dir))
-    page2 = S.search_page(d, S.SearchRequest(sort="size", page_size=120), columns=["id", "size"])
-    page1 = S.search_page(d, S.SearchRequest(sort="size", page_size=60), columns=["id"])
+    page2 = S.search_page(d, S.SearchRequest(sort="size", sort_asc=False, page_size=120), columns=["id", "size"])
+    page1 = S.search_page(d, S.SearchRequest(sort="size", sort_asc=False, page_size=60), columns=["id"])
     return S.unseen_hits(page2, page1).select("id", "size")
 
 

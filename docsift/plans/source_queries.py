@@ -64,31 +64,32 @@ def export_ndjson(spark, sf_dir):
 
 BULK_CTE = """dl AS (
   SELECT DISTINCT id FROM (SELECT old_id AS id FROM d WHERE status = 'deleted' UNION ALL SELECT id FROM prev)
-  WHERE id NOT IN (SELECT id FROM new)),
+  WHERE id NOT IN (SELECT id FROM applied)),
 ops AS (
   SELECT 0 AS op, ((CAST(1 AS BIGINT) << 32) | id) AS sid,
-         CAST(to_json(struct_pack(name := name, path := path, size := size)) AS VARCHAR) AS source FROM new
+         CAST(to_json(struct_pack(name := name, path := path, size := size)) AS VARCHAR) AS source FROM applied
   UNION ALL SELECT 1 AS op, ((CAST(1 AS BIGINT) << 32) | id) AS sid, CAST(NULL AS VARCHAR) AS source FROM dl),
 numbered AS (SELECT *, row_number() OVER (ORDER BY op, sid) AS r FROM ops)"""
 
 
 def _bulk_sql():
-    from docsift.plans.incremental_queries import DIFF_CTE, PREV_DELETES
+    from docsift.plans.incremental_queries import APPLY_CTE, PREV_DELETES
 
     return with_fixtures(["corpus", "old", "new"], """
 SELECT CAST((r - 1) // 70 AS BIGINT) AS batch, CAST(r AS BIGINT) AS row, CAST(p - 1 AS INT) AS part, lines[p] AS line
 FROM (SELECT r, CASE WHEN op = 0 THEN [a, source] ELSE [a] END AS lines FROM (
         SELECT *, '{"' || CASE WHEN op = 0 THEN 'index' ELSE 'delete' END || '":{"_id":"'
                || printf('%08x.%08x', sid >> 32, sid & 4294967295) || '","_index":"docs"}}' AS a FROM numbered)),
-     LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS p)""", DIFF_CTE + ",\n" + PREV_DELETES + ",\n" + BULK_CTE)
+     LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS p)""", APPLY_CTE + ",\n" + PREV_DELETES + ",\n" + BULK_CTE)
 
 
 @query("bulk_payload", "S12", _bulk_sql())
 def bulk_payload(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     prev = fx.corpus.select("id").join(fx.old.select("id"), "id", "left_anti")
-    dl = I.delete_list(fx.old, fx.new, prev).withColumn("index_id", F.lit(1))
-    rows = fx.new.withColumn("index_id", F.lit(1))
+    applied = I.apply_snapshot(fx.old, fx.new)
+    dl = I.delete_list(fx.old, applied, prev).withColumn("index_id", F.lit(1))
+    rows = applied.withColumn("index_id", F.lit(1))
     return K.bulk_payload(rows, dl, ["name", "path", "size"])
 
 

@@ -16,19 +16,20 @@ KEY = "CASE WHEN length(path) = 0 THEN name ELSE path || '/' || name END"
 
 
 @query("stream_documents", "ST1", with_fixtures(["corpus", "old", "new"], f"""
-SELECT coalesce(n.key, o.key) AS key, o.id AS kept_id, coalesce(n.mtime, o.mtime) AS mtime,
-       coalesce(n.size, o.size) AS size
+SELECT coalesce(n.key, o.key) AS key,
+       coalesce(o.id, (SELECT max(id) FROM old) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY n.size % 3, n.key)) AS id,
+       coalesce(n.mtime, o.mtime) AS mtime, coalesce(n.size, o.size) AS size
 FROM (SELECT {KEY} AS key, id, mtime, size FROM old) o
 FULL OUTER JOIN (SELECT {KEY} AS key, mtime, size FROM new) n ON o.key = n.key"""))
 def stream_documents(spark, sf_dir):
+    """The new listing arrives in three files, one after another; fresh ids
+    follow the order of arrival."""
     fx = Fixtures(spark, sf_dir)
     src = scratch_dir(spark, "doc-stream")
-    fx.new.repartition(4).write.mode("overwrite").parquet(src)
-    work = scratch_dir(spark, "doc-upsert")
-    base = fx.old
-    out = U.stream_documents(spark, src, fx.new.schema, base, work)
-    top = base.select(F.max("id")).scalar()
-    return out.select("key", F.when(F.col("id") <= top, F.col("id")).alias("kept_id"), "mtime", "size")
+    for part in range(3):
+        fx.new.where(F.col("size") % 3 == part).coalesce(1).write.mode("append").parquet(src)
+    out = U.stream_documents(spark, src, fx.new.schema, fx.old, scratch_dir(spark, "doc-upsert"))
+    return out.select("key", "id", "mtime", "size")
 
 
 @query("stream_tag_edits", "ST2", with_fixtures(["tags", "tag_edits"], "SELECT id, tag FROM edited", EDITS_CTE))

@@ -67,7 +67,7 @@ def tag_counts(spark, sf_dir):
 
 @query("tag_facet_hierarchy", "A16", with_fixtures(["tags"], f"""
 SELECT tag, count(DISTINCT id) AS count FROM (SELECT id, unnest({Q.ancestors('tag', '.')}) AS tag FROM tags)
-GROUP BY tag ORDER BY count DESC, tag LIMIT 65535"""))
+GROUP BY tag"""))
 def tag_facet_hierarchy(spark, sf_dir):
     return G.tag_facet_hierarchy(Fixtures(spark, sf_dir).tags)
 
@@ -144,14 +144,14 @@ def refresh_tag_arrays(spark, sf_dir):
 @query("suggest_tags", "O8", with_fixtures(["tags"], """
 SELECT DISTINCT tag FROM tags WHERE starts_with(tag, 'lang.') ORDER BY tag LIMIT 100"""))
 def suggest_tags(spark, sf_dir):
-    return G.suggest_tags(Fixtures(spark, sf_dir).tags, "lang.")
+    return G.suggest_tags(Fixtures(spark, sf_dir).tags, "lang.", 100)
 
 
 @query("suggest_tags_no_colour", "O9", with_fixtures(["tags"], f"""
 SELECT tag_id, min(tag) AS tag FROM (SELECT DISTINCT tag, {TAG_ID} AS tag_id FROM tags WHERE starts_with(tag, 'q'))
 GROUP BY tag_id ORDER BY tag_id LIMIT 100"""))
 def suggest_tags_no_colour(spark, sf_dir):
-    return G.suggest_tags_no_colour(Fixtures(spark, sf_dir).tags, "q")
+    return G.suggest_tags_no_colour(Fixtures(spark, sf_dir).tags, "q", 100)
 
 
 @query("parse_tags", "P14/P15", with_fixtures(["tags"], f"""

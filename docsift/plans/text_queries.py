@@ -60,11 +60,11 @@ FLAG_REQ = S.SearchRequest(terms=QUERY_TERMS, mime_types=["text/plain", "text/ht
 SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, round(sc.score, 6) AS sort_var
 FROM idx i JOIN sc ON i.id = sc.id
 WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf')
-ORDER BY sort_var DESC, i.id ASC LIMIT 60""", IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS)))
+ORDER BY round(sc.score, 14) DESC, i.id ASC LIMIT 60""", IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS)))
 def search_text_bm25_page(spark, sf_dir):
     fx, docs, post, ix = _text_index(spark, sf_dir)
     page, _ = S.search(doc_index(fx), FLAG_REQ, index=ix)
-    return page
+    return page.withColumn("sort_var", F.round("sort_var", 6))
 
 
 @query("search_text_totals", "A9/T6", with_fixtures(["corpus", "mime"], """
@@ -247,13 +247,13 @@ SELECT pg.id, pg.name, pg.sort_var, hl.snippet FROM pg LEFT JOIN hl ON pg.id = h
 pg AS (SELECT i.id, i.name, round(sc.score, 6) AS sort_var
        FROM idx i JOIN sc ON i.id = sc.id
        WHERE i.mime IN ('text/plain', 'text/html', 'application/json', 'application/pdf')
-       ORDER BY sort_var DESC, i.id ASC LIMIT 60),
+       ORDER BY round(sc.score, 14) DESC, i.id ASC LIMIT 60),
 m AS (SELECT id FROM pg),
 hl AS (""" + _highlight_sql() + ")"))
 def search_page_highlight(spark, sf_dir):
     fx, docs, post, ix = _text_index(spark, sf_dir)
     page = S.search_page(doc_index(fx), FLAG_REQ, scores=ix.bm25(FLAG_REQ.terms), columns=["id", "name"])
-    return T.highlight_page(docs, page, QUERY_TERMS).select("id", "name", "sort_var", "snippet")
+    return T.highlight_page(docs, page, QUERY_TERMS).select("id", "name", F.round("sort_var", 6).alias("sort_var"), "snippet")
 
 
 def _highlight_full_sql() -> str:
@@ -298,17 +298,17 @@ STORED_REQ = S.SearchRequest(terms=QUERY_TERMS + ["the"], index_ids=[1, 2], sort
 SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, round(sc.score, 6) AS sort_var
 FROM idx i JOIN sc ON i.id = sc.id
 WHERE i.index_id IN (1, 2)
-ORDER BY sort_var DESC, i.id ASC LIMIT 60""",
+ORDER BY round(sc.score, 14) DESC, i.id ASC LIMIT 60""",
     IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(QUERY_TERMS + ["the"])))
 def search_stored_index_page(spark, sf_dir):
     page, _ = search_index(spark, sf_dir).search(STORED_REQ)
     return page.select("id", F.col("index_id").cast("int").alias("index_id"), "name", "path", "size", "mtime",
-                       "mime", "sort_var")
+                       "mime", F.round("sort_var", 6).alias("sort_var"))
 
 
 @query("mime_facet_for_text_query", "A6/T6", with_fixtures(["corpus", "mime"], """
 SELECT i.mime, count(*) AS count FROM idx i JOIN sc ON i.id = sc.id WHERE i.mime IS NOT NULL
-GROUP BY i.mime ORDER BY count DESC, i.mime LIMIT 10000""",
+GROUP BY i.mime""",
     IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(["the", "and"])))
 def mime_facet_for_text_query(spark, sf_dir):
     from docsift.operators import facets as A

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docsift.operators import vectors as V
 from docsift.plans.registry import query
+from docsift.session import scratch_dir
 from docsift.sources.fixtures import Fixtures, with_fixtures
 
 QUERY_DOC = 7
@@ -57,12 +58,54 @@ def knn_join(spark, sf_dir):
     return V.knn_join(queries, fx.emb, 5).select("qid", "id", "similarity", "rank")
 
 
-@query("knn_approx", "V3")
-def knn_approx(spark, sf_dir):
+def _approx_sql(where: str = "true", dims: int = 64) -> str:
+    sides = " + ".join(
+        f"CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), {[float(x) for x in plane]}::DOUBLE[]) >= 0 THEN {1 << j} ELSE 0 END"
+        for j, plane in enumerate(V.ann_planes(dims)))
+    return f"""
+SELECT id, similarity FROM (
+  SELECT v.id, round(coalesce({_COS.format(a='v.embedding', b='q.embedding')}, -1.0), 6) AS similarity,
+         bit_count(xor(v.bucket, q.bucket)) AS ring
+  FROM vec v, (SELECT * FROM vec_all ORDER BY id LIMIT 1) q)
+WHERE ring <= (SELECT min(r) FROM (
+  SELECT r, (SELECT count(*) FROM vec v WHERE bit_count(xor(v.bucket, (SELECT bucket FROM vec_all ORDER BY id LIMIT 1))) <= r) AS n
+  FROM range(0, 7) t(r)) WHERE n >= 50 OR r = 6)
+ORDER BY similarity DESC, id LIMIT 20""", f"""vec_all AS (
+  SELECT id, embedding, ({sides})::INT AS bucket FROM emb WHERE model_id = 1 AND start = 0),
+vec AS (SELECT * FROM vec_all WHERE {where})"""
+
+
+def _approx(spark, sf_dir, docs=None):
     fx = Fixtures(spark, sf_dir)
     first = fx.emb.where((F.col("model_id") == 1) & (F.col("start") == 0)).orderBy("id").select("embedding").first()
     q = [float(x) for x in first[0]]
-    return V.knn_approx(fx.emb, q, 20)
+    path = scratch_dir(spark, "ann-index")
+    V.write_ann_index(fx.emb.where(F.col("model_id") == 1), path, len(q))
+    return V.knn_approx(spark.read.parquet(path), q, 20, candidates=50, docs=docs(fx) if docs else None)
+
+
+@query("knn_approx", "V3", with_fixtures(["emb"], *_approx_sql()))
+def knn_approx(spark, sf_dir):
+    return _approx(spark, sf_dir)
+
+
+@query("knn_approx_filtered", "V3", with_fixtures(["corpus", "emb"], *_approx_sql(
+    "id IN (SELECT id FROM corpus WHERE size >= 1000000)")))
+def knn_approx_filtered(spark, sf_dir):
+    return _approx(spark, sf_dir, lambda fx: fx.corpus.where(F.col("size") >= 1000000).select("id"))
+
+
+@query("knn_approx_recall", "V3/V2", with_fixtures(["emb"], "SELECT true AS good_recall"))
+def knn_approx_recall(spark, sf_dir):
+    """Whether the approximate search finds most of the 10 exact neighbours."""
+    fx = Fixtures(spark, sf_dir)
+    first = fx.emb.where((F.col("model_id") == 1) & (F.col("start") == 0)).orderBy("id").select("id", "embedding").first()
+    q = [float(x) for x in first[1]]
+    path = scratch_dir(spark, "ann-index")
+    V.write_ann_index(fx.emb.where(F.col("model_id") == 1), path, len(q))
+    exact = V.knn_exact(fx.emb.select("id").distinct(), fx.emb, q, 10).select("id")
+    near = V.knn_approx(spark.read.parquet(path), q, 10).select("id")
+    return exact.join(near, "id").agg((F.count(F.lit(1)) >= 9).alias("good_recall"))
 
 
 @query("best_chunk", "V6", with_fixtures(["emb"], f"""
@@ -106,25 +149,27 @@ def has_embedding(spark, sf_dir):
 
 @query("vectors_as_map", "A19", with_fixtures(["emb", "model"], """
 SELECT e.id, string_agg(m.path, ',' ORDER BY m.path) AS models, count(*) AS n_vectors,
-       CAST(sum(len(e.embedding)) AS BIGINT) AS n_values
+       string_agg(array_to_string(list_transform(e.embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ','), ';' ORDER BY m.path) AS vectors
 FROM emb e JOIN model m ON e.model_id = m.id WHERE e.start = 0 GROUP BY e.id"""))
 def vectors_as_map(spark, sf_dir):
     fx = Fixtures(spark, sf_dir)
     m = V.vectors_as_map(fx.emb, fx.model)
     return m.select("id", F.array_join(F.map_keys("vectors"), ",").alias("models"),
                     F.size("vectors").cast("long").alias("n_vectors"),
-                    F.aggregate(F.map_values("vectors"), F.lit(0).cast("long"),
-                                lambda acc, v: acc + F.size(v)).alias("n_values"))
+                    F.array_join(F.transform(F.map_values("vectors"), lambda v: F.array_join(F.transform(
+                        v, lambda x: F.format_string("%.4f", x.cast("double"))), ",")), ";").alias("vectors"))
 
 
 @query("export_documents", "J3", with_fixtures(["corpus", "mime", "tags", "emb", "model"], """
 SELECT c.id,
        '{"name":' || to_json(c.name) || CASE WHEN i.mime IS NULL THEN '' ELSE ',"mime":' || to_json(i.mime) END
        || CASE WHEN t.tags IS NULL THEN '' ELSE ',"tag":' || to_json(t.tags) END || '}' AS json,
-       v.models
+       v.models, v.vectors
 FROM corpus c JOIN idx i ON c.id = i.id
 LEFT JOIN (SELECT id, list_sort(list_distinct(list(tag))) AS tags FROM tags GROUP BY id) t ON c.id = t.id
-LEFT JOIN (SELECT e.id, string_agg(m.path, ',' ORDER BY m.path) AS models
+LEFT JOIN (SELECT e.id, string_agg(m.path, ',' ORDER BY m.path) AS models,
+                  string_agg(array_to_string(list_transform(e.embedding, lambda x: printf('%.4f', CAST(x AS DOUBLE))), ','), ';'
+                             ORDER BY m.path) AS vectors
            FROM emb e JOIN model m ON e.model_id = m.id WHERE e.start = 0 GROUP BY e.id) v ON c.id = v.id""",
     __import__("docsift.plans.common", fromlist=["IDX_CTE"]).IDX_CTE))
 def export_documents(spark, sf_dir):
@@ -138,7 +183,9 @@ def export_documents(spark, sf_dir):
     return out.select("id", parsed.alias("r")).select(
         "id", F.to_json(F.struct(F.col("r.name").alias("name"), F.col("r.mime").alias("mime"),
                                  F.col("r.tag").alias("tag"))).alias("json"),
-        F.array_join(F.array_sort(F.map_keys("r.emb")), ",").alias("models"))
+        F.array_join(F.map_keys("r.emb"), ",").alias("models"),
+        F.array_join(F.transform(F.map_values("r.emb"), lambda v: F.array_join(F.transform(
+            v, lambda x: F.format_string("%.4f", x.cast("double"))), ",")), ";").alias("vectors"))
 
 
 @query("more_like_stored", "V4/V2", with_fixtures(["corpus", "emb"], _knn_sql(MORE_LIKE_DOC, 10)))

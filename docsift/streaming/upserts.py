@@ -8,10 +8,16 @@ batch id; the current table is the base plus the newest log row per key
 (a ``max_by`` aggregate).  Appends make the sink idempotent: a retried batch
 overwrites its own ``batch=N`` partition and nothing else.
 
+Ids are looked up in a key table (key, id), partitioned by a hash of the key:
+it is written once from the base when the stream starts, a batch reads only the
+partitions of its own keys and adds its new keys under its batch number.
+
 ST2 - tag edits: each micro-batch folds its edits into a state table holding
-the latest (op, seq) per (id, tag).  Folding is a ``max_by`` on ``seq``, which
-is order-independent, so the final tags equal the batch result however the
-files are split into micro-batches.
+the latest (op, seq) per (id, tag), partitioned by a hash of the id; only the
+partitions that a batch touches are read and rewritten.  Folding is a
+``max_by`` on ``seq``, which is order-independent and idempotent, so the final
+tags equal the batch result however the files are split into micro-batches and
+however often one is retried.
 """
 
 from __future__ import annotations
@@ -21,15 +27,21 @@ from pyspark.sql import functions as F
 
 from docsift.operators.incremental import dense_ids, file_key
 from docsift.operators.tags import apply_tag_edits
+from docsift.session import ensure_checkpoint_dir
 
 DOC_COLS = ["id", "path", "name", "mtime", "size"]
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001  (no batch written yet)
-        return spark.createDataFrame([], schema)
+KEY_PARTITIONS = 256
+
+
+def _part(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(KEY_PARTITIONS)).cast("int").alias("part")
+
+
+def _touched(df: DataFrame) -> list[int]:
+    """Partitions that a batch touches: at most ``KEY_PARTITIONS`` numbers."""
+    return [r[0] for r in df.select("part").distinct().collect()]
 
 
 LOG_SCHEMA = "id long, path string, name string, mtime long, size long, key string, batch long"
@@ -39,7 +51,7 @@ def current_documents(spark: SparkSession, base: DataFrame, log_dir: str, before
     """The table as of now (a read-time view): base plus the newest logged
     row per file key (only batches before ``before``, if given)."""
     b = file_key(base.select(*DOC_COLS)).withColumn("batch", F.lit(-1).cast("long"))
-    log = _read_or_empty(spark, log_dir, LOG_SCHEMA)
+    log = spark.read.schema(LOG_SCHEMA).parquet(log_dir)
     if before is not None:
         log = log.where(F.col("batch") < before)
     allrows = b.unionByName(log.select(*b.columns))
@@ -47,28 +59,37 @@ def current_documents(spark: SparkSession, base: DataFrame, log_dir: str, before
     return latest.select("key", *[F.col(f"r.{c}").alias(c) for c in DOC_COLS])
 
 
-def upsert_documents_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: DataFrame,
+KEY_SCHEMA = "key string, id long, batch long, part int"
+
+
+def write_key_table(base: DataFrame, keys_dir: str) -> None:
+    """The key table of the base, as batch -1."""
+    keys = file_key(base.select("id", "path", "name")).select("key", "id", F.lit(-1).cast("long").alias("batch"), _part("key"))
+    keys.repartition("part").write.mode("overwrite").partitionBy("batch", "part").parquet(keys_dir)
+
+
+def upsert_documents_batch(spark: SparkSession, batch: DataFrame, batch_id: int, keys_dir: str,
                            log_dir: str, base_max: int) -> None:
-    """One micro-batch of ST1: resolve ids against the base and the log and
-    append the rows under ``batch=<id>``.
+    """One micro-batch of ST1: resolve ids against the key table and append
+    the rows under ``batch=<id>``.
 
-    Only the batch's keys are looked up (the batch is joined to the key and
-    id columns of base and log; nothing is aggregated over the whole table),
-    and the next free id is the base maximum - computed once when the stream
-    starts - or the largest id already logged."""
+    Only the key partitions of the batch's own keys are read; the next free id
+    follows the base maximum - computed once when the stream starts - or the
+    largest id that an earlier batch logged."""
     rows = file_key(batch.select("path", "name", "mtime", "size"))
     rows = rows.groupBy("key").agg(F.max_by(F.struct("path", "name", "mtime", "size"), "mtime").alias("r")) \
-        .select("key", "r.*")
-    log = _read_or_empty(spark, log_dir, LOG_SCHEMA).where(F.col("batch") < batch_id)
-    keys = file_key(base.select("id", "path", "name")).select("key", "id").unionByName(log.select("key", "id"))
-    # a key found in both base and log carries the same id: drop repeats after the join
-    known = rows.join(keys, "key", "inner").dropDuplicates(["key"])
-    fresh = rows.join(keys.select("key"), "key", "left_anti")
+        .select("key", "r.*").withColumn("part", _part("key")).checkpoint(eager=True)
+    parts = _touched(rows)
+    keys = spark.read.schema(KEY_SCHEMA).parquet(keys_dir).where((F.col("batch") < batch_id) & F.col("part").isin(parts))
+    found = rows.join(keys.select("key", "id"), "key", "left")
+    log = spark.read.schema(LOG_SCHEMA).parquet(log_dir).where(F.col("batch") < batch_id)
     top = F.greatest(F.lit(base_max).cast("long"),
                      log.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar())
-    numbered = dense_ids(fresh, "key", top).withColumnRenamed("new_id", "id")
-    out = known.unionByName(numbered.select(*known.columns))
-    out.select(*LOG_SCHEMA_COLS).write.mode("overwrite").parquet(f"{log_dir}/batch={batch_id}")
+    fresh = dense_ids(found.where(F.col("id").isNull()).drop("id"), "key", top).withColumnRenamed("new_id", "id")
+    added = fresh.select("key", "id", F.lit(batch_id).cast("long").alias("batch"), "part")
+    (added.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "part").parquet(keys_dir))
+    out = found.where(F.col("id").isNotNull()).select(*LOG_SCHEMA_COLS).unionByName(fresh.select(*LOG_SCHEMA_COLS))
+    out.write.mode("overwrite").parquet(f"{log_dir}/batch={batch_id}")
 
 
 LOG_SCHEMA_COLS = ["id", "path", "name", "mtime", "size", "key"]
@@ -77,47 +98,53 @@ LOG_SCHEMA_COLS = ["id", "path", "name", "mtime", "size", "key"]
 def stream_documents(spark: SparkSession, source_dir: str, schema, base: DataFrame, work_dir: str,
                      files_per_trigger: int = 1) -> DataFrame:
     """ST1: run the stream to completion (availableNow) and return the table."""
-    log_dir = f"{work_dir}/log"
+    ensure_checkpoint_dir(spark)
+    log_dir, keys_dir = f"{work_dir}/log", f"{work_dir}/keys"
     # an empty partition makes the log exist before the first batch reads it
     spark.createDataFrame([], "id long, path string, name string, mtime long, size long, key string") \
         .write.mode("overwrite").parquet(f"{log_dir}/batch=-1")
+    write_key_table(base, keys_dir)
     base_max = base.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one scalar, once
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: upsert_documents_batch(spark, df, bid, base, log_dir, base_max))
+         .foreachBatch(lambda df, bid: upsert_documents_batch(spark, df, bid, keys_dir, log_dir, base_max))
          .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return current_documents(spark, base, log_dir)
 
 
-EDIT_STATE_SCHEMA = "id long, tag string, op string, seq long"
+EDIT_STATE_SCHEMA = "id long, tag string, op string, seq long, part int"
 
 
-def fold_tag_edits_batch(spark: SparkSession, batch: DataFrame, batch_id: int, state_dir: str) -> None:
-    """One micro-batch of ST2: latest edit per (id, tag) over state and batch,
-    written as the next state version."""
-    prev = _read_or_empty(spark, f"{state_dir}/v={batch_id - 1}", EDIT_STATE_SCHEMA)
-    both = prev.unionByName(batch.select("id", "tag", "op", "seq"))
-    latest = both.groupBy("id", "tag").agg(F.max_by(F.struct("op", "seq"), "seq").alias("r")) \
-        .select("id", "tag", F.col("r.op").alias("op"), F.col("r.seq").alias("seq"))
-    latest.write.mode("overwrite").parquet(f"{state_dir}/v={batch_id}")
+def fold_tag_edits_batch(spark: SparkSession, batch: DataFrame, state_dir: str) -> None:
+    """One micro-batch of ST2: latest edit per (id, tag) over state and batch;
+    the partitions that the batch touches are replaced, the others stay.  The
+    merged rows are checkpointed first, because a job may not overwrite what it
+    reads."""
+    edits = batch.select("id", "tag", "op", "seq").withColumn("part", _part("id"))
+    parts = _touched(edits)
+    state = spark.read.schema(EDIT_STATE_SCHEMA).parquet(state_dir).where(F.col("part").isin(parts))
+    both = state.unionByName(edits)
+    latest = both.groupBy("part", "id", "tag").agg(F.max_by(F.struct("op", "seq"), "seq").alias("r")) \
+        .select("id", "tag", "r.op", "r.seq", "part").checkpoint(eager=True)
+    (latest.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("part").parquet(state_dir))
 
 
 def stream_tag_edits(spark: SparkSession, source_dir: str, schema, tags: DataFrame, work_dir: str,
                      files_per_trigger: int = 1) -> DataFrame:
     """ST2: run the edit stream to completion and return the resulting tags."""
+    ensure_checkpoint_dir(spark)
     state_dir = f"{work_dir}/state"
-    # the empty state version the first batch folds into
-    spark.createDataFrame([], EDIT_STATE_SCHEMA).write.mode("overwrite").parquet(f"{state_dir}/v=-1")
+    # an empty partition makes the state exist before the first batch reads it
+    spark.createDataFrame([], "id long, tag string, op string, seq long").write.mode("overwrite").parquet(f"{state_dir}/part=-1")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_dir))
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: fold_tag_edits_batch(spark, df, bid, state_dir))
+         .foreachBatch(lambda df, _: fold_tag_edits_batch(spark, df, state_dir))
          .option("checkpointLocation", f"{work_dir}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    versions = _read_or_empty(spark, state_dir, EDIT_STATE_SCHEMA + ", v long")
-    state = versions.where(F.col("v") == versions.select(F.max("v")).scalar()).drop("v")
-    return apply_tag_edits(tags, state)
+    return apply_tag_edits(tags, spark.read.schema(EDIT_STATE_SCHEMA).parquet(state_dir).drop("part"))

@@ -145,9 +145,12 @@ def test_search_request_validation_and_totals(spark):
         S.SearchRequest(page_size=1001).validate()
     with pytest.raises(ValueError):
         S.SearchRequest(after=(1,)).validate()
+    with pytest.raises(ValueError):
+        S.SearchRequest(embedding=[1.0]).validate()
+    assert S.SearchRequest().sort_asc
     docs = spark.createDataFrame([(1, 1, "a", "p", 10, 5, "text/plain"), (2, 2, "b", "p/q", 20, 6, None)],
                                  "id long, index_id int, name string, path string, size long, mtime long, mime string")
-    page, totals = S.search(docs, S.SearchRequest(sort="size", page_size=10))
+    page, totals = S.search(docs, S.SearchRequest(sort="size", sort_asc=False, page_size=10))
     assert totals is None and [r["id"] for r in page.collect()] == [2, 1]
     page, totals = S.search(docs, S.SearchRequest(sort="id", sort_asc=True, path="p", fetch_aggregations=True))
     assert [r["id"] for r in page.collect()] == [1, 2]
