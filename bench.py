@@ -27,7 +27,7 @@ HEADLINE = [
     "search_text_bm25_page",   # flagship: filtered, BM25-ranked first page
     "search_filtered_page",    # filters + size sort + page
     "hit_totals",
-    "postings_stats",          # full inverted-index build
+    "postings_stats",          # reads the finished index (its build is text_index_build)
     "bm25_any_terms",
     "match_phrase",
     "highlight_snippet",

@@ -19,8 +19,10 @@ MIN_VIDEO_SIZE = 1024 * 64  # fixed value: smaller videos are not media-parsed
 MIN_IMAGE_SIZE = 512  # fixed value: smaller images are not media-parsed
 
 # Media types per routing class.
-RAW_TYPES = ["image/x-canon-cr2", "image/x-canon-crw", "image/x-nikon-nef", "image/x-sony-arw",
-             "image/x-adobe-dng", "image/x-olympus-orf", "image/x-panasonic-rw2", "image/x-fuji-raf"]
+RAW_TYPES = ["image/x-adobe-dng", "image/x-canon-cr2", "image/x-canon-crw", "image/x-dcraw", "image/x-epson-erf",
+             "image/x-fuji-raf", "image/x-kodak-dcr", "image/x-kodak-k25", "image/x-kodak-kdc", "image/x-minolta-mrw",
+             "image/x-nikon-nef", "image/x-olympus-orf", "image/x-panasonic-raw", "image/x-pentax-pef",
+             "image/x-sigma-x3f", "image/x-sony-arw", "image/x-sony-sr2", "image/x-sony-srf"]
 EBOOK_TYPES = ["application/pdf", "application/epub+zip"]
 MARKUP_TYPES = ["text/html", "text/xml", "application/xml", "application/xhtml+xml"]
 FONT_TYPES = ["application/x-font-ttf", "application/x-font-otf", "application/vnd.ms-fontobject"]
@@ -38,9 +40,11 @@ EMPTY_MIME = "application/x-empty"  # fixed value: zero-byte files
 
 
 def mime_dimension(spark: SparkSession) -> DataFrame:
-    """(mime_id, extension, mime) built from Python's own type registry."""
-    mimetypes.init()
-    rows = sorted({(ext.lstrip(".").lower(), t) for ext, t in mimetypes.types_map.items()})
+    """(mime_id, extension, mime) of the types that Python itself defines;
+    what the host's type files add is left out, so that ids and types are the
+    same on every machine."""
+    types = mimetypes.MimeTypes().types_map[True]
+    rows = sorted({(ext.lstrip(".").lower(), t) for ext, t in types.items()})
     return spark.createDataFrame(
         [(i + 1, e, t) for i, (e, t) in enumerate(rows)], "mime_id int, extension string, mime string"
     )
@@ -133,6 +137,12 @@ def get_documents(docs: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFr
     return docs.join(ids.select(id_col), id_col, "left_semi")
 
 
+# What a browser does not show or play.
+UNPLAYABLE_EXTENSIONS = ["mkv", "avi", "mov"]
+UNPLAYABLE_VIDEO_CODECS = ["hevc", "mpeg1video", "mpeg2video", "wmv3"]
+UNPLAYABLE_IMAGE_CODECS = ["tiff", "raw", "ppm"]
+
+
 def hit_props(df: DataFrame) -> DataFrame:
     """Derived display flags of a hit."""
     cols = set(df.columns)
@@ -151,9 +161,9 @@ def hit_props(df: DataFrame) -> DataFrame:
     is_image = (cat == "image") & (F.coalesce(videoc, F.lit("")) != "gif")
     is_video = (cat == "video") & has("videoc")
     playable_video = is_video & F.col("mime").startswith("video/") & ~sub & \
-        ~F.coalesce(ext, F.lit("")).isin("mkv", "avi", "mov") & \
-        ~F.coalesce(videoc, F.lit("")).isin("hevc", "mpeg1video", "mpeg2video", "wmv3")
-    playable_image = (cat == "image") & has("width") & ~sub & ~F.coalesce(videoc, F.lit("")).isin("tiff", "raw", "ppm")
+        ~F.coalesce(ext, F.lit("")).isin(UNPLAYABLE_EXTENSIONS) & \
+        ~F.coalesce(videoc, F.lit("")).isin(UNPLAYABLE_VIDEO_CODECS)
+    playable_image = (cat == "image") & has("width") & ~sub & ~F.coalesce(videoc, F.lit("")).isin(UNPLAYABLE_IMAGE_CODECS)
     aspect = F.when((cat == "image") & has("width") & has("height"),
                     F.round(val("width").cast("double") / val("height").cast("double"), 6))
     return df.select(

@@ -14,6 +14,8 @@ Rule = Callable[[], Column]
 YEAR_PATTERN = r"[\(\.+](20[0-9]{2})[\)\.+]"  # fixed value
 CODE_PATTERN = r"([A-Z]{4})-[0-9]{3} (.*)"  # fixed value
 EXIF_DATE_FORMAT = "yyyy:MM:dd HH:mm:ss"  # fixed value
+# The tag texts that the rules below write ("genre.", "year.", "author.",
+# "studio.", "actress.", "Aperture.f/", "Year.", "Month.") are fixed values.
 
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions.paths import path_ancestors, path_depth, path_parent
-from docsift.session import ensure_checkpoint_dir
+from docsift.session import ensure_checkpoint_dir, scratch_dir
 
 TREEMAP_THRESHOLD = 0.0005  # fixed value: fraction of the total size
 
@@ -37,9 +37,12 @@ def treemap(docs: DataFrame, threshold: float = TREEMAP_THRESHOLD, path_col: str
     one level to the next, so the table is not re-shuffled once per level."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    # entries materialised once: the input (often a join) is read a single time
-    flat = (docs.groupBy(F.col(path_col).alias("path")).agg(F.sum(size_col).cast("long").alias("size"))
-            .withColumn("depth", path_depth(F.col("path")))).checkpoint(eager=True)
+    # entries written once, by depth: the input (often a join) is read a single
+    # time, and each level below reads the folder of its own depth only
+    stored = scratch_dir(spark, "treemap")
+    (docs.groupBy(F.col(path_col).alias("path")).agg(F.sum(size_col).cast("long").alias("size"))
+     .withColumn("depth", path_depth(F.col("path"))).write.partitionBy("depth").parquet(stored))
+    flat = spark.read.schema("path string, size long, depth long").parquet(stored)
     top = flat.agg(F.max("depth").alias("d"), F.sum("size").cast("double").alias("t")).first()
     max_depth = top["d"] or 0
     # threshold in bytes: floor(total x threshold)

@@ -177,11 +177,11 @@ def scan_list(spark, sf_dir):
 @query("expand_archives", "S10", with_fixtures(["corpus"], f"""
 SELECT CASE WHEN length(path) = 0 THEN name || '.zip' ELSE path || '/' || name || '.zip' END AS archive,
        {REL_SQL.replace('path || ', "'' || ").replace("length(path) = 0", "true")} AS member,
-       CAST(strlen(content) AS BIGINT) AS size, CAST(1 AS INT) AS depth
+       CAST(strlen(content) AS BIGINT) AS size, CAST(1 AS INT) AS depth, 'ok' AS status
 FROM corpus"""))
 def expand_archives(spark, sf_dir):
     _, root = _tree(spark, sf_dir, archive=True)
-    return FS.read_archives(spark, root, "shallow").select("archive", "member", "size", "depth")
+    return FS.read_archives(spark, root, "shallow").select("archive", "member", "size", "depth", "status")
 
 
 @query("scan_documents", "S1/S2/S3/S5/S6/S7/P5", with_fixtures(["corpus", "mime"], f"""

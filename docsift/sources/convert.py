@@ -25,10 +25,29 @@ def markup_to_text(html) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
-def json_to_text(js) -> Column:
-    """The values of a JSON object - or of every object of an NDJSON text,
-    one per line - in document order, joined by spaces."""
+# A string (with the colon behind it, if it is a key), a number or a truth value.
+SCALAR = r'"(?:[^"\\]|\\.)*"(?:\s*:)?|-?[0-9][0-9.eE+-]*|true|false'
+
+
+def _json_lines(js) -> Column:
     c = F.col(js) if isinstance(js, str) else js
-    lines = F.filter(F.split(c, "\n"), lambda line: F.trim(line) != "")
-    values = F.transform(lines, lambda line: F.array_join(F.map_values(F.from_json(line, "map<string,string>")), " "))
-    return F.array_join(values, " ")
+    return F.filter(F.split(c, "\n"), lambda line: F.trim(line) != "")
+
+
+def json_to_text(js) -> Column:
+    """The scalar values of a JSON text - or of every line of an NDJSON
+    text - in document order, joined by spaces, those of nested objects and
+    arrays included; keys and nulls are left out.  A line that does not parse
+    gives nothing (see ``json_bad_lines``)."""
+    def values(line: Column) -> Column:
+        found = F.filter(F.regexp_extract_all(line, F.lit(SCALAR), F.lit(0)), lambda t: ~t.endswith(":"))
+        return F.transform(found, lambda t: F.when(
+            t.startswith('"'), F.element_at(F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>"), 1)).otherwise(t))
+
+    good = F.filter(_json_lines(js), lambda line: F.try_parse_json(line).isNotNull())
+    return F.array_join(F.flatten(F.transform(good, values)), " ")
+
+
+def json_bad_lines(js) -> Column:
+    """How many lines do not parse."""
+    return F.size(F.filter(_json_lines(js), lambda line: F.try_parse_json(line).isNull())).cast("long")

@@ -98,7 +98,7 @@ def truncate_content(df: DataFrame, n: int = DEFAULT_CONTENT_SIZE, col: str = "c
 
 ARCHIVE_MODES = ("skip", "list", "shallow", "recurse")
 MEMBERS_PER_BATCH = 256
-MEMBER_SCHEMA = "archive string, member string, size long, depth int, content binary"
+MEMBER_SCHEMA = "archive string, member string, size long, depth int, content binary, status string"
 
 
 def _members(data: bytes, prefix: str, depth: int, mode: str):
@@ -120,44 +120,53 @@ def _members(data: bytes, prefix: str, depth: int, mode: str):
                     yield from _members(body, prefix + name + "/", depth + 1, mode)
         return
     buf.seek(0)
-    try:
-        with tarfile.open(fileobj=buf) as t:
-            for m in t.getmembers():
-                if not m.isfile():
-                    continue
-                body = t.extractfile(m).read() if mode != "list" else None
-                yield prefix + m.name, m.size, depth, body
-                if mode == "recurse" and body is not None and m.name.lower().endswith((".zip", ".tar", ".tgz")):
-                    yield from _members(body, prefix + m.name + "/", depth + 1, mode)
-    except tarfile.TarError:
-        return
+    with tarfile.open(fileobj=buf) as t:
+        for m in t.getmembers():
+            if not m.isfile():
+                continue
+            body = t.extractfile(m).read() if mode != "list" else None
+            yield prefix + m.name, m.size, depth, body
+            if mode == "recurse" and body is not None and m.name.lower().endswith((".zip", ".tar", ".tgz")):
+                yield from _members(body, prefix + m.name + "/", depth + 1, mode)
 
 
 def expand_archives(archives: DataFrame, mode: str = "shallow") -> DataFrame:
     """One row per archive member (``archive``, ``member`` path inside
     it, ``size``, nesting ``depth``, ``content`` unless mode is 'list').
     Modes: skip (no rows), list, shallow (members of the archive itself),
-    recurse (members of nested archives too).  Input: (rel_path, content)."""
+    recurse (members of nested archives too).  Input: (rel_path, content).
+
+    ``status`` is 'ok' for a member.  An archive that cannot be read to its end
+    (damaged, or no archive at all) adds one row without a member whose status
+    says why; the members before the damage are listed."""
     if mode not in ARCHIVE_MODES:
         raise ValueError(mode)
     if mode == "skip":
         return archives.sparkSession.createDataFrame([], MEMBER_SCHEMA)
 
-    cols = ["archive", "member", "size", "depth", "content"]
+    cols = ["archive", "member", "size", "depth", "content", "status"]
 
     def run(batches):
+        import tarfile
+        import zipfile
+        import zlib
+
         import pandas as pd
 
+        damaged = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError, OSError)
         for pdf in batches:
             rows = []
             for rel, data in zip(pdf["rel_path"], pdf["content"]):
-                for member, size, depth, body in _members(bytes(data), "", 1, mode):
-                    rows.append((rel, member, int(size), depth, body))
-                    if len(rows) >= MEMBERS_PER_BATCH:  # stream members out, never a whole archive set
-                        yield pd.DataFrame(rows, columns=cols)
-                        rows = []
+                try:
+                    for member, size, depth, body in _members(bytes(data), "", 1, mode):
+                        rows.append((rel, member, int(size), depth, body, "ok"))
+                        if len(rows) >= MEMBERS_PER_BATCH:  # stream members out, never a whole archive set
+                            yield pd.DataFrame(rows, columns=cols)
+                            rows = []
+                except damaged as e:
+                    rows.append((rel, None, None, 1, None, f"{type(e).__name__}: {e}"))
             if rows:
-                yield pd.DataFrame(rows, columns=cols)
+                yield pd.DataFrame(rows, columns=cols).astype({"size": "Int64"})
 
     return archives.select("rel_path", "content").mapInPandas(run, MEMBER_SCHEMA)
 

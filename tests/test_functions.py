@@ -78,6 +78,10 @@ def test_markup_and_json_text(spark):
     assert _one(spark, C.markup_to_text(F.col("v")), html) == "Fish &chips <b> x"
     assert _one(spark, C.json_to_text(F.col("v")), '{"a": "one two", "b": 3}') == "one two 3"
     assert _one(spark, C.json_to_text(F.col("v")), '{"a": "x"}\n{"b": 2, "c": "y"}\n') == "x 2 y"
+    for text, want in (("[1,2]", "1 2"), ('"s"', "s"), ('{"a":{"b":"x: y","c":[true,null,-1.5e3]}}', "x: y true -1.5e3"),
+                       ('{"q":"say \\"hi\\" \\u00e9"}', 'say "hi" é'), ('{"a":', ""), ('{"a":', "")):
+        assert _one(spark, C.json_to_text(F.col("v")), text) == want
+    assert _one(spark, C.json_bad_lines(F.col("v")), '{"a":1}\n{"a":\n[1]\n') == 1
 
 
 def test_tar_archives(spark):

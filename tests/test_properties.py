@@ -269,10 +269,27 @@ def test_limit_depth(spark):
     assert FS.limit_depth(df, None).count() == 3
 
 
-def test_knn_join_refuses_unbounded_batch(spark):
+def test_knn_join_in_shards_and_blocks(spark):
+    """Any number of queries: every document asks, over several shards."""
     fx = Fixtures(spark, SF_SMALL)
-    with pytest.raises(ValueError):
-        V.knn_join(fx.emb.select("id").distinct(), fx.emb, 3, max_queries=5)
+    ids = fx.emb.select("id").distinct()
+    whole = V.knn_join(ids, fx.emb, 3)
+    assert sorted(V.knn_join(ids, fx.emb, 3, shard_rows=17, block_rows=5).collect()) == sorted(whole.collect())
+    vec = {r["id"]: r["embedding"] for r in V.model_vectors(fx.emb, 1).collect()}
+    assert whole.count() == 3 * len(vec)
+
+
+def test_broken_archives_are_reported(spark):
+    import io
+    import zipfile
+
+    good = io.BytesIO()
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("a.txt", "alpha")
+    rows = [("good.zip", good.getvalue()), ("cut.zip", good.getvalue()[:30]), ("text.zip", b"no archive"), ("empty.tar", b"")]
+    got = FS.expand_archives(spark.createDataFrame(rows, "rel_path string, content binary")).collect()
+    assert [(r.archive, r.member) for r in got if r.status == "ok"] == [("good.zip", "a.txt")]
+    assert {r.archive for r in got if r.status != "ok"} == {"cut.zip", "text.zip", "empty.tar"}
 
 
 def test_entry_smoke(spark):
