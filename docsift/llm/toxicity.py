@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import LOWER_SPACE_BYTES, byte_block, chunked, crc32_remainder, field_type, materialise, only
+from docsift.llm.common import LOWER_SPACE_BYTES, byte_block, chunked, crc32_remainder, field_type, give_back, materialise, only, tidy
 
 ORDERS = (4, 5, 6, 7)
 BITS = 22
 BLOCKS = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 SAMPLE_TASKS = 16
+CHUNK_FEATURES = 1 << 19
 _LOWER = np.frombuffer(LOWER_SPACE_BYTES, dtype=np.uint8)
 _MULTIPLIERS = {4: 0x9E3779B97F4A7C15, 5: 0xC2B2AE3D27D4EB4F, 6: 0x165667B19E3779F9, 7: 0xA0761D6478BD642F}
 
@@ -87,22 +88,33 @@ def training_sample(labels: DataFrame, max_rows: int, folds: int = 5, id_col: st
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
-def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, penalty: float, steps: int = 100) -> tuple[np.ndarray, float]:
+def fit_logistic(rows: list[np.ndarray], labels: np.ndarray, times: np.ndarray, ratio: np.ndarray, penalty: float,
+                 steps: int = 100) -> tuple[np.ndarray, float]:
     """Weights (of x) and bias of a logistic regression on x * ratio, by
     gradient steps on the mean loss with an L2 penalty; every weight has its
-    own step size, so that rare and frequent features learn alike."""
+    own step size, so that rare and frequent features learn alike.  Row i holds
+    the features of ``times[i]`` documents.  Works through the rows in chunks of
+    ``CHUNK_FEATURES`` features."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    row_of = np.repeat(np.arange(len(rows)), lengths)
-    value = ratio[flat]
-    n, w = max(len(rows), 1), np.zeros(len(ratio))
-    bias = float(np.log((labels.sum() + 0.5) / ((1 - labels).sum() + 0.5)))
+    chunks, start = [], 0
+    ends = np.cumsum(lengths)
+    while start < len(rows):
+        base = ends[start] - lengths[start]
+        stop = max(int(np.searchsorted(ends, base + CHUNK_FEATURES, side="right")), start + 1)
+        chunks.append((start, stop, np.concatenate(rows[start:stop])))
+        start = stop
+    n, w = max(times.sum(), 1.0), np.zeros(len(ratio))
+    bias = float(np.log(((labels * times).sum() + 0.5) / (((1 - labels) * times).sum() + 0.5)))
     sum_w, sum_b = np.full(len(ratio), 1e-8), 1e-8
-    for i in range(steps):
-        z = bias + (np.bincount(row_of, weights=w[flat] * value, minlength=n) if len(flat) else 0.0)
-        error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
-        grad_w = (np.bincount(flat, weights=error[row_of] * value, minlength=len(ratio)) if len(flat) else 0.0) / n + penalty * w
-        grad_b = error.mean() if len(labels) else 0.0
+    for _ in range(steps if chunks else 0):
+        scaled, grad_w, grad_b = w * ratio, np.zeros(len(ratio)), 0.0
+        for start, stop, flat in chunks:
+            row_of = np.repeat(np.arange(stop - start), lengths[start:stop])
+            z = bias + np.bincount(row_of, weights=scaled[flat], minlength=stop - start)
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[start:stop]) * times[start:stop]
+            grad_w += np.bincount(flat, weights=error[row_of], minlength=len(ratio))
+            grad_b += error.sum()
+        grad_w, grad_b = grad_w * ratio / n + penalty * w, grad_b / n
         sum_w += grad_w * grad_w
         sum_b += grad_b * grad_b
         w -= 0.1 * grad_w / np.sqrt(sum_w)
@@ -142,7 +154,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
                     pa.array([part[:, used].tobytes()], pa.binary()), pa.array([sizes[0] if block == 0 else 0], pa.int64()),
                     pa.array([sizes[1] if block == 0 else 0], pa.int64())], names=["block", "used", "counts", "other", "toxic"])
 
-    counted = materialise(rows.mapInArrow(count, "block int, used binary, counts binary, other long, toxic long"))
+    counted = materialise(rows.mapInArrow(tidy(count), "block int, used binary, counts binary, other long, toxic long"))
     other, toxic = counted.agg(F.coalesce(F.sum("other"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
 
     def merge(table: pa.Table) -> pa.Table:
@@ -161,6 +173,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
 
     best = (counted.groupBy("block").applyInArrow(merge, "bucket int, p double, q double, chi double")
             .orderBy(F.desc("chi"), "bucket").limit(max_features).collect())
+    if max_features > 1 << 16:
+        raise ValueError("features are numbered with two bytes")
     best.sort(key=lambda r: r.bucket)
     buckets = np.array([r.bucket for r in best], dtype=np.int32)
     p, q = np.array([r.p for r in best]), np.array([r.q for r in best])
@@ -172,14 +186,17 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, m
             data, out = _LOWER[data], []
             for i in range(batch.num_rows):
                 found = np.intersect1d(document_buckets(data[offsets[i]:offsets[i + 1]]), buckets, assume_unique=True)
-                out.append(np.searchsorted(buckets, found).astype(np.int32).tobytes())
+                out.append(np.searchsorted(buckets, found).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["label", "features"])
 
-    # at most max_rows short lists of selected features
-    picked = rows.mapInArrow(select, "label int, features binary").collect()
-    picked.sort(key=lambda r: (r.label, bytes(r.features)))  # the same sums in every run
-    lists = [np.frombuffer(r.features, np.int32).astype(np.int64) for r in picked]
-    weights, bias = fit_logistic(lists, np.array([r.label for r in picked], dtype=np.float64), ratio, penalty)
+    # at most max_rows lists of selected features, two bytes each; copies of a text are one
+    picked = rows.mapInArrow(tidy(select), "label int, features binary").groupBy("label", "features").count().collect()
+    picked.sort(key=lambda r: (r["label"], bytes(r["features"])))  # the same sums in every run
+    lists = [np.frombuffer(r["features"], "<u2") for r in picked]
+    labels, times = (np.array([r[c] for r in picked], dtype=np.float64) for c in ("label", "count"))
+    weights, bias = fit_logistic(lists, labels, times, ratio, penalty)
+    del picked, lists
+    give_back()
     return ToxicityModel(buckets, weights.astype(np.float32), bias)
 
 
@@ -210,7 +227,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, folds: int = 5, id_col
             scores = block_scores(model, dense, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = only(docs, id_col, text_col).toDF("doc_id", "text").mapInArrow(run, schema)
+    scored = only(docs, id_col, text_col).toDF("doc_id", "text").mapInArrow(tidy(run), schema)
     return scored.select("doc_id", F.coalesce(crc32_remainder(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"),
                          "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -224,4 +241,4 @@ def filter_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5,
         for batch in chunked(batches, BLOCK_BYTES, text_col):
             yield batch.filter(pa.array(block_scores(model, dense, batch.column(where)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
