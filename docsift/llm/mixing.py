@@ -103,7 +103,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = materialise(rows.drop("row"))
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = source_targets(sizes, weights, share, most).withColumn("_all", F.lit(0)).withColumn(
-        "_seats", F.round(F.sum("target").over(Window.partitionBy("_all")) / block_words).cast("long"))
+        # the budget, which the targets share out, from whole numbers: sums of targets depend on their order
+        "_seats", F.round(min(share, most) * F.sum("source_size").over(Window.partitionBy("_all")) / block_words).cast("long"))
     sources = sainte_lague(sources, ["_all"], ["source_no"], "target", "_seats", "_source_quota")
     sources = materialise(sources.select("source", "source_no", "source_size", "target", "_source_quota"))
 

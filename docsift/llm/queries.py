@@ -82,7 +82,7 @@ levels AS (  -- the level if exactly the sources that fill up before this one ar
   GROUP BY a.no, a.cap, a.w),
 final AS (SELECT arg_min(level, fill) AS level FROM levels WHERE fill > level),
 tgt AS (SELECT *, least(cap, w * coalesce((SELECT level FROM final), 1e300)) AS target FROM weighed),
-seats AS (SELECT round(sum(target) / 4)::BIGINT AS n FROM tgt),
+seats AS (SELECT round(1.5::DOUBLE * sum(source_size)::DOUBLE / 4)::BIGINT AS n FROM tgt),
 quot AS (SELECT no, target / (2 * s + 1) AS q FROM tgt, range(0, (target / 4)::BIGINT * 2 + 8) r(s) WHERE target > 0),
 won AS (SELECT no, count(*) AS quota FROM
         (SELECT no, row_number() OVER (ORDER BY q DESC, no) AS rank FROM quot) WHERE rank <= (SELECT n FROM seats) GROUP BY no),
