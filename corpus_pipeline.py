@@ -31,7 +31,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 50 bytes or more that one with a
     smaller id has; a document may be left without text."""
-    return without_repeats(docs)
+    return without_repeats(docs, bucket_bytes=8 << 20)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

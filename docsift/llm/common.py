@@ -93,7 +93,7 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a worker process serves many tasks,
     and what one has used would otherwise add to what the next one needs."""
     pa.default_memory_pool().release_unused()
@@ -109,7 +109,7 @@ def tidy(task):
         try:
             yield from task(batches)
         finally:
-            _give_back()
+            give_back()
 
     return run
 

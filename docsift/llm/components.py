@@ -4,8 +4,10 @@ Large star: every node hands its larger neighbours to the smallest node it
 knows; small star: it hands its smaller neighbours there.  The number of links
 never grows, and after a logarithmic number of rounds every node hangs on the
 smallest node of its component.  Links that meet in one task are first cut down
-to a forest there.  Every round is written to the shared checkpoint folder; the
-driver sees two numbers a round."""
+to a forest there.  Every round is written as a table to the shared folder and
+read again, which cuts the lineage and gives the next round true sizes (sizes
+estimated from round to round would multiply); the driver sees two numbers a
+round."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import materialise
+from docsift.llm.common import shared_path
 
 FOREST_LINKS = 1 << 18
 
@@ -59,21 +61,28 @@ def _local_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield emit(held)
 
 
+def _written(links: DataFrame) -> DataFrame:
+    path = shared_path(links.sparkSession, "links")
+    links.write.parquet(path)
+    return links.sparkSession.read.schema("a long, b long").parquet(path)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(``node``, ``component``): the smallest node of its component for every
     node of the links, whose ends are longs; links with a null end or to
     themselves say nothing.  Nodes without links are not listed."""
     pairs = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     pairs = pairs.where(F.col("a") != F.col("b"))
-    edges = materialise(pairs.mapInArrow(_local_forests, "a long, b long"))
+    edges = _written(pairs.mapInArrow(_local_forests, "a long, b long"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+        # a table of its own, so that the join below may split a hub's links
+        low = _written(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("b"))).toDF("a", "low")
         large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
-        edges = materialise(small.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        edges = _written(small.where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
                             .unionByName(low.select("a", F.col("low").alias("b"))).distinct())
         after = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == after:

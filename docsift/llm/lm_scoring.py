@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.llm import mixing_model as model
-from docsift.llm.common import LOWER_SPACE_BYTES, byte_block, chunked, crc32_remainder, field_type, materialise, only
+from docsift.llm.common import LOWER_SPACE_BYTES, byte_block, chunked, crc32_remainder, field_type, materialise, only, tidy
 from docsift.llm.suffix_dedup import pack, unpack
 
 CHUNK_BYTES = 8 << 20
@@ -65,7 +65,7 @@ def _pack_chunks(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.mapInArrow(run, ROWS)
+    return rows.mapInArrow(tidy(run), ROWS)
 
 
 def _texts(data: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -106,7 +106,7 @@ def _train_code(chunks: DataFrame) -> model.Code:
             yield pa.RecordBatch.from_arrays([pa.array(pair[part].astype(np.int32)), pa.array(symbol[part].astype(np.int32)),
                                               pa.array(counts[key[part]].astype(np.int64))], names=["pair", "symbol", "n"])
 
-    counted = materialise(chunks.mapInArrow(run, "pair int, symbol int, n long").groupBy("pair", "symbol").agg(F.sum("n").alias("n")))
+    counted = materialise(chunks.mapInArrow(tidy(run), "pair int, symbol int, n long").groupBy("pair", "symbol").agg(F.sum("n").alias("n")))
     singles = np.zeros((256, model.SYMBOLS), dtype=np.int64)
     for r in counted.groupBy(F.shiftright("pair", 8).alias("last"), "symbol").agg(F.sum("n").alias("n")).collect():  # 256 x 257 at most
         singles[r["last"], r.symbol] = r.n
@@ -151,7 +151,7 @@ def _train_tables(chunks: DataFrame, code) -> list[np.ndarray]:
             yield _row(now, 0, 0, model.stretched(*total).tobytes())
 
     tables = [np.zeros(s, dtype=np.int8) for s in model.SLOTS]
-    summed = chunks.mapInArrow(count, ROWS).repartition(RANGES * model.HASHED, "key").sortWithinPartitions("key").mapInArrow(add, ROWS)
+    summed = chunks.mapInArrow(tidy(count), ROWS).repartition(RANGES * model.HASHED, "key").sortWithinPartitions("key").mapInArrow(tidy(add), ROWS)
     for r in summed.select("key", "data").collect():  # one byte a slot: the model, of fixed size
         i, part = divmod(r.key, RANGES)
         tables[i][part * spans[i]:(part + 1) * spans[i]] = np.frombuffer(r.data, np.int8)
@@ -228,8 +228,8 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from close()
 
-    sent = chunks.mapInArrow(send, ROWS).repartition(buckets, "key").sortWithinPartitions("key")
-    return materialise(sent.mapInArrow(add, ROWS))
+    sent = chunks.mapInArrow(tidy(send), ROWS).repartition(buckets, "key").sortWithinPartitions("key")
+    return materialise(sent.mapInArrow(tidy(add), ROWS))
 
 
 def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10,
@@ -298,4 +298,4 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     both = chunks.unionByName(counts.where(F.col("key") >= 0))
     dealt = both.repartition(max(n_chunks, 1), "key").sortWithinPartitions("key", "kind")
-    return dealt.mapInArrow(score, schema).withColumn("doc_id", F.col("doc_id").cast(field_type(docs, id_col)))
+    return dealt.mapInArrow(tidy(score), schema).withColumn("doc_id", F.col("doc_id").cast(field_type(docs, id_col)))

@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docsift.llm.common import chunked, field_type, only, tokenizer_path
+from docsift.llm.common import chunked, field_type, only, tidy, tokenizer_path
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 # Characters on which both libraries split words alike; other texts, and texts
 # with very long unbroken runs, go to the slower library (same ids).
 _OTHER = re.compile("[^\t\n\r -~\xa1-\xac\xae-ſ–—‘-„…€]")
@@ -164,7 +164,7 @@ def balance(sizes: list[int], step_tokens: int) -> list[int]:
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048,
                    shortest: int = 256, end_id: int = 1, step_tokens: int = 16 * 2048,
-                   block_tokens: int = 1 << 21) -> DataFrame:
+                   block_tokens: int = 1 << 20) -> DataFrame:
     """Pieces of packed windows, one row each: ``doc_id``, ``start`` (tokens
     of its document before it), ``length``, ``ids`` (little-endian unsigned
     32-bit), ``doc_tokens`` (with the end id), ``sequence_id``, ``offset``
@@ -229,4 +229,4 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from flush(id_type, True)
 
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

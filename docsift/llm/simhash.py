@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import LOWER_SPACE_BYTES, chunked, field_type, materialise, only, texts_of
+from docsift.llm.common import LOWER_SPACE_BYTES, chunked, field_type, materialise, only, texts_of, tidy
 from docsift.llm.components import connected_components
 
 SEED = 42
@@ -70,7 +70,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 4, text_col: str = "text",
             prints = np.array([fingerprint(t, shingle) for t in texts_of(batch.column(where))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def variants(prints: DataFrame) -> DataFrame:
@@ -182,14 +182,14 @@ def near_links(prints: DataFrame, bits: int = 4, run_max: int = RUN_MAX) -> Data
             yield _rows(*_links(np.full(sum(map(len, held)), now[0]), np.concatenate(held), bits), -1)
 
     rows = variants(prints).repartition("variant").sortWithinPartitions("variant")
-    found = materialise(rows.mapInArrow(scan, "a long, b long, chunk int"))
+    found = materialise(rows.mapInArrow(tidy(scan), "a long, b long, chunk int"))
     links = found.where(F.col("chunk") < 0).select("a", "b")
     parts = found.where(F.col("chunk") >= 0).select(F.col("a").alias("variant"), F.col("b").alias("fp"), "chunk")
     sizes = parts.groupBy("variant").agg(F.max("chunk").alias("top"))
     pairs = parts.join(sizes, "variant").withColumn("other", F.explode(F.expr("sequence(0, top)"))).select(
         "variant", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "fp")
     group = ["variant", "low", "high"]
-    crossed = pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(cross, "a long, b long, chunk int")
+    crossed = pairs.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(cross), "a long, b long, chunk int")
     return links.unionByName(crossed.select("a", "b")) if parts.limit(1).count() else links
 
 
@@ -246,6 +246,8 @@ def simhash_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col:
     gives no rows; other columns are not read."""
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
     prints = materialise(with_fingerprints(rows, shingle, out="fp").select("doc_id", "fp"))
-    found = prints.join(fingerprint_components(prints, bits).drop("component"), "fp")
+    # a table of its own, so that the join below may split a hot fingerprint
+    groups = materialise(fingerprint_components(prints, bits).drop("component"))
+    found = prints.join(groups, "fp")
     return found.select(F.col("doc_id").cast(field_type(docs, id_col)), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")

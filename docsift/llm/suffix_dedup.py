@@ -22,7 +22,8 @@ Of documents with one text only that with the smallest id is compared with
 others; the rest are covered whole.
 
 Rows travel as packed blocks of arrays.  Buckets and blocks grow in number with
-the input, so one bucket holds about ``BUCKET_BYTES`` of text.
+the input, so one bucket holds about ``bucket_bytes`` of text; fewer, larger
+buckets pack better, more of them need less memory.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import byte_block, chunked, field_type, materialise
+from docsift.llm.common import byte_block, chunked, field_type, materialise, tidy
 from docsift.llm.suffix_sort import sort_suffixes
 
 SPAN, SEED = 50, 20
@@ -46,7 +47,6 @@ BEFORE = SPAN - SEED
 BUCKET_BYTES = 16 << 20
 CHUNK_BYTES = 4 << 20
 SEGMENT = 1 << 20      # of a long text, looked at at a time
-RECORDS = 1 << 17      # surroundings packed at a time
 LOW40 = np.uint64((1 << 40) - 1)
 
 
@@ -208,18 +208,18 @@ def _block(kind: int, key: int, other: int, data: bytes, rows: bytes | None = No
 BLOCKS = "key long, kind int, other long, data binary, rows binary"
 
 
-def _packed_documents(rows: DataFrame, blocks: int) -> DataFrame:
+def _packed_documents(rows: DataFrame, blocks: int, block_bytes: int) -> DataFrame:
     """Documents by block: ids, text lengths and texts, kind 1; the columns of
     ``rows`` behind the first two travel along as an Arrow stream."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, 4 * CHUNK_BYTES):
+        for batch in chunked(batches, block_bytes):
             ids, (data, offsets) = batch.column(0).to_numpy(), byte_block(batch.column(1))
             for block, (rows_of,) in _split(block_of(ids, blocks), np.arange(len(ids))):
                 texts = [data[offsets[i]:offsets[i + 1]] for i in rows_of.tolist()]
                 yield _block(1, block, 0, pack(ids[rows_of], np.array([len(t) for t in texts], np.int64),
                                                 np.concatenate(texts), level=5), _stream(batch, rows_of))
 
-    return rows.mapInArrow(run, BLOCKS)
+    return rows.mapInArrow(tidy(run), BLOCKS)
 
 
 def _stream(batch: pa.RecordBatch, rows: np.ndarray) -> bytes | None:
@@ -272,7 +272,8 @@ def later_copies(rows: DataFrame) -> DataFrame:
     meta = rows.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("size"),
                        F.crc32("text").alias("tag")).where(F.col("size") >= SPAN)
     first = meta.groupBy("digest", "size").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    first = first.where(F.col("first_id") < F.col("last_id"))
+    # a table of its own, so that the join below may split a hot text
+    first = materialise(first.where(F.col("first_id") < F.col("last_id")))
     return meta.join(first, ["digest", "size"]).where(F.col("doc_id") > F.col("first_id")).select("doc_id", "tag", "size")
 
 
@@ -287,12 +288,14 @@ def _copy_blocks(copies: DataFrame, buckets: int, stretches: bool) -> DataFrame:
             for block, found in _split(block_of(doc, buckets), doc, tag, *rest):
                 yield _block(0, block, 0 if stretches else -1, pack(*found))
 
-    return copies.mapInArrow(run, BLOCKS)
+    return copies.mapInArrow(tidy(run), BLOCKS)
 
 
-def repeated_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> DataFrame:
+def repeated_stretches(rows: DataFrame, copies: DataFrame, buckets: int, bucket_bytes: int) -> DataFrame:
     """Blocks (kind 0) of document id, text tag, start and end of stretches
     that an earlier document has; ``rows``: (doc_id, text), no nulls."""
+    records = max(bucket_bytes >> 7, 1)  # surroundings packed at a time
+
     def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, CHUNK_BYTES):
             ids, (data, offsets) = batch.column(0).to_numpy(), byte_block(batch.column(1))
@@ -344,15 +347,15 @@ def repeated_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> Data
                 continue
             _, tag, pos, h, bucket = found
             pos = pos.astype(np.int64)
-            for s in range(0, len(pos), RECORDS):
-                p = pos[s:s + RECORDS]
+            for s in range(0, len(pos), records):
+                p = pos[s:s + records]
                 where = p[:, None] + reach
                 inside = (where >= 0) & (where < len(text))
                 around = np.where(inside, text[np.clip(where, 0, len(text) - 1)], 0).astype(np.uint8)
-                held.append((bucket[s:s + RECORDS], h[s:s + RECORDS], np.full(len(p), doc), tag[s:s + RECORDS], p.astype(np.uint32),
+                held.append((bucket[s:s + records], h[s:s + records], np.full(len(p), doc), tag[s:s + records], p.astype(np.uint32),
                              np.minimum(p, BEFORE).astype(np.uint8), np.minimum(len(text) - p, SPAN).astype(np.uint8), around))
                 n += len(p)
-                if n >= RECORDS:
+                if n >= records:
                     yield from flush()
                     held, n = [], 0
         if held:
@@ -375,10 +378,10 @@ def repeated_stretches(rows: DataFrame, copies: DataFrame, buckets: int) -> Data
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(buckets, "key").sortWithinPartitions("key", "kind")
 
-    anchors = dealt(rows.mapInArrow(list_anchors, BLOCKS)).mapInArrow(keep_shared, BLOCKS)
-    parts = anchors.unionByName(_packed_documents(rows, buckets)).unionByName(_copy_blocks(copies, buckets, False))
-    around = dealt(parts).mapInArrow(surroundings, BLOCKS)
-    return dealt(around).mapInArrow(compare, BLOCKS).unionByName(_copy_blocks(copies, buckets, True))
+    anchors = dealt(rows.mapInArrow(tidy(list_anchors), BLOCKS)).mapInArrow(tidy(keep_shared), BLOCKS)
+    parts = anchors.unionByName(_packed_documents(rows, buckets, bucket_bytes)).unionByName(_copy_blocks(copies, buckets, False))
+    around = dealt(parts).mapInArrow(tidy(surroundings), BLOCKS)
+    return dealt(around).mapInArrow(tidy(compare), BLOCKS).unionByName(_copy_blocks(copies, buckets, True))
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,11 +393,12 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES,
-                   carry: bool = False) -> DataFrame:
+                   carry: bool = False, as_text: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``,
     ``spans`` (the maximal removed runs, as start and end) and ``kept`` (the
-    bytes that stay, joined).  With ``carry`` the other columns of the input
-    are in the struct ``row``.
+    bytes that stay, joined; with ``as_text`` as a string, without the bytes of
+    characters that were cut in two).  With ``carry`` the other columns of the
+    input are in the struct ``row``.
 
     A null text is an empty one.  A row with a null id stands outside the order
     of ids: nothing is removed from it and it covers nothing.  Rows with one id
@@ -407,10 +411,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = known.select("doc_id", "text")
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, -(-total // bucket_bytes))
-    stretches = repeated_stretches(plain, materialise(later_copies(plain)), buckets)
+    stretches = repeated_stretches(plain, materialise(later_copies(plain)), buckets, bucket_bytes)
     fields = [T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
               T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("ends", T.ArrayType(T.LongType())),
-              T.StructField("kept", T.BinaryType())]
+              T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     out = T.StructType(fields + ([rows.schema["row"]] if others else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,20 +427,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for a, b in zip(s.tolist(), e.tolist()):
                     stay[a:b] = False
                 starts, ends, kept = s.tolist(), e.tolist(), text[stay]
-            held.append((doc, len(text), len(text) - len(kept), starts, ends, kept.tobytes()))
+            held.append((doc, len(text), len(text) - len(kept), starts, ends,
+                         kept.tobytes().decode("utf-8", "ignore") if as_text else kept.tobytes()))
             carried.append(place)
             n += len(kept) + 64
             if n >= CHUNK_BYTES:
-                yield _out(held, carried)
+                yield _out(held, carried, as_text)
                 held, carried, n = [], [], 0
         if held:
-            yield _out(held, carried)
+            yield _out(held, carried, as_text)
 
-    both = stretches.unionByName(_packed_documents(known, buckets)).repartition(buckets, "key").sortWithinPartitions("key", "kind")
-    found = both.mapInArrow(cut, out)
+    both = stretches.unionByName(_packed_documents(known, buckets, bucket_bytes)).repartition(buckets, "key").sortWithinPartitions("key", "kind")
+    found = both.mapInArrow(tidy(cut), out)
     nameless = rows.where(F.col("doc_id").isNull()).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
-        F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends"), F.col("text").cast("binary").alias("kept"),
+        F.array().cast("array<long>").alias("starts"), F.array().cast("array<long>").alias("ends"), (F.col("text") if as_text else F.col("text").cast("binary")).alias("kept"),
         *(["row"] if others else []))
     result = found.unionByName(nameless)
     return result.select(F.col("doc_id").cast(field_type(docs, id_col)), "n_bytes", "n_removed",
@@ -444,8 +449,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                          *(["row"] if others else []))
 
 
-def _out(rows: list[tuple], carried: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+def _out(rows: list[tuple], carried: list[tuple], as_text: bool) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()]
     names = ["doc_id", "n_bytes", "n_removed", "starts", "ends", "kept"]
     arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
     if carried[0][0] is not None:
@@ -466,17 +471,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs`` with the repeats cut out of ``text_col``
     (``length_col`` becomes its length in characters); bytes of a character
     that was cut in two go as well.  A null text comes back empty."""
-    found = remove_repeats(docs, id_col, text_col, bucket_bytes, carry=True)
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunked(batches, CHUNK_BYTES, "kept"):
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            columns = [pa.array(texts, pa.string()) if n == "kept" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = [c for c in found.columns if c in ("doc_id", "kept", "row")]
-    schema = T.StructType([T.StructField("kept", T.StringType()) if n == "kept" else found.schema[n] for n in names])
-    texts = found.select(*names).mapInArrow(decode, schema)
+    texts = remove_repeats(docs, id_col, text_col, bucket_bytes, carry=True, as_text=True)
     columns = []
     for c in docs.columns:
         if c == text_col:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from docsift.llm.common import byte_block, chunked, field_type, only, tokenizer_path
+from docsift.llm.common import byte_block, chunked, field_type, only, tidy, tokenizer_path
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -183,4 +183,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                              names=schema.names)
 
     rows = only(docs, id_col, text_col).toDF("doc_id", "text")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

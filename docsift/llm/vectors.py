@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import field_type, materialise, only
+from docsift.llm.common import field_type, materialise, only, tidy
 
 
 def component_type(df: DataFrame, col: str) -> str:
@@ -39,7 +39,7 @@ def packed_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                 out.append((x + 0.0).astype(kind).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
-    return only(df, id_col, vector_col).toDF("vec_id", "vec").mapInArrow(run, schema)
+    return only(df, id_col, vector_col).toDF("vec_id", "vec").mapInArrow(tidy(run), schema)
 
 
 def vector_classes(packed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import field_type, materialise
+from docsift.llm.common import field_type, materialise, tidy
 from docsift.llm.vectors import component_type, cosines, matrix, packed_vectors, unit, vector_classes
 
 LEAF = 48
@@ -150,7 +150,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, factor:
                     pa.array([d], pa.int32()), pa.array([ids[of == d].tobytes()], pa.binary()),
                     pa.array([b"".join(vecs[of == d])], pa.binary())], names=["dims", "ids", "vec"])
 
-    blocks = asked.mapInArrow(block, "dims int, ids binary, vec binary")
+    blocks = asked.mapInArrow(tidy(block), "dims int, ids binary, vec binary")
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
         F.lit(1).alias("kind"), F.lit(None).cast("long").alias("class_no"), "vec", "dims", "shard", "ids")
     both = place.withColumn("ids", F.lit(None).cast("binary")).unionByName(sent)
@@ -183,7 +183,7 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, factor:
 
     order = ["dims", "shard", "kind"]
     found = (both.select(*order, "class_no", "vec", "ids").repartition("dims", "shard").sortWithinPartitions(*order, "class_no")
-             .mapInArrow(search, "query_id long, class_no long, score double"))
+             .mapInArrow(tidy(search), "query_id long, class_no long, score double"))
 
     # classes to rows: of a class at most k + 1 ids can be among the k nearest others
     by_id = Window.partitionBy("vec").orderBy("vec_id")

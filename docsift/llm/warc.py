@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import chunked, materialise, only
+from docsift.llm.common import chunked, materialise, only, tidy
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -166,7 +166,7 @@ def write_archive(pages: DataFrame, path: str, revisit_bytes: int = 1000, id_col
         yield from _write_part(path, batches)
 
     schema = "first string, first_id long, last string, last_id long, index string, archive string, captures long"
-    parts = ranged.mapInArrow(write, schema)
+    parts = ranged.mapInArrow(tidy(write), schema)
     # one row per written file; the listing decides which files count
     listing = materialise(parts).collect()
     listing.sort(key=lambda r: (r["first"].encode(), _order(r.first_id)))
@@ -317,7 +317,7 @@ def read_captures(archive: Archive, requests: DataFrame, url_col: str = "url", i
         if rows:
             yield _rows(rows)
 
-    return wanted.mapInArrow(read, SCHEMA)
+    return wanted.mapInArrow(tidy(read), SCHEMA)
 
 
 def _record(member: bytes) -> tuple:
