@@ -1,10 +1,11 @@
 """Language-model scores of texts, and a unigram score beside them.
 
 The model (``mixing_model``) learns by counting over all training texts: first
-what follows each byte and each pair of bytes, for its codes, then every binary
-decision in its hashed contexts.  Tasks count what they read and hand on sparse
-tables; the sums become one table of fixed size per context, which all tasks
-get for scoring.  Scoring refines the mixing per text, so a score depends on the
+what follows each byte and each pair of bytes, for its codes, then the symbols
+in its hashed contexts.  Contexts go with their symbols, by key and once per
+chunk of texts, to the bucket that sums them, and the predictions come back to
+the chunk in the same order; their number grows with the texts and no table of
+them is held whole anywhere.  Scoring refines the mixing per text, so a score depends on the
 model and the text alone.
 
 The unigram score needs the training count of every word.  Words go, by hash and
@@ -34,7 +35,6 @@ from docsift.llm.suffix_dedup import pack, unpack
 
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 19
-RANGES = 32
 SMOOTH = 0.1
 ROWS = "key long, kind int, other long, data binary"
 
@@ -117,45 +117,59 @@ def _train_code(chunks: DataFrame) -> model.Code:
     return model.huffman_code(singles, pairs)
 
 
-def _train_tables(chunks: DataFrame, code) -> list[np.ndarray]:
-    """Stretched prediction of every slot, summed over all training texts."""
-    spans = [s // RANGES for s in model.SLOTS]
+def _chunk_keys(code: model.Code, flags: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct context keys of a chunk, in order, and their training counts."""
+    learned, other = ([t for t, f in zip(texts, (flags & 4).tolist()) if bool(f) == want] for want in (True, False))
+    return model.count_keys(code, [*((b, True) for b in _blocks(learned)), *((b, False) for b in _blocks(other))])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 * s, dtype=np.uint32) for s in model.SLOTS]
+
+def _key_parts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of a context's hash: where each begins in ``keys``,
+    and the end."""
+    bounds = [(b << 64) // buckets >> 1 + model.ROW_BITS << 1 + model.ROW_BITS for b in range(1, buckets)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(bounds, dtype=np.uint64)), [len(keys)]])
+
+
+def _path_predictions(chunks: DataFrame, code, buckets: int) -> DataFrame:
+    """Predictions on the paths of every chunk's context keys, in their order,
+    by chunk (kind -1; ``other`` is the bucket)."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(3).to_pylist():
-                for texts in _blocks(_learned(data)):
-                    model.count_block(code.value, texts, counts)
-        for i, flat in enumerate(counts):
-            both = flat.reshape(-1, 2)
-            for r in range(RANGES):
-                part = both[r * spans[i]:(r + 1) * spans[i]]
-                used = np.flatnonzero(part.any(axis=1))
-                if len(used):
-                    yield _row(i * RANGES + r, 0, 0, pack(np.diff(used, prepend=0).astype(np.uint32), part[used, 0], part[used, 1]))
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+                _, flags, texts = _texts(data)
+                keys, counts = _chunk_keys(code.value, flags, texts)
+                parts = _key_parts(keys, buckets)
+                for b in np.flatnonzero(np.diff(parts)).tolist():
+                    mine = slice(parts[b], parts[b + 1])
+                    yield _row(b, 0, chunk, pack(np.diff(keys[mine] >> np.uint64(1), prepend=np.uint64(0)), counts[mine].astype(np.uint32)))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+        def close():
+            distinct, place = np.unique(np.concatenate([k for _, k, _ in held]), return_inverse=True)
+            total = np.bincount(place, weights=np.concatenate([n for _, _, n in held]), minlength=len(distinct))
+            values = model.path_predictions(code.value, distinct, total)
+            length = model.key_lengths(code.value, distinct)
+            start = (np.cumsum(length) - length).astype(np.int32)
+            at = 0
+            for chunk, k, _ in held:
+                mine = place[at:at + len(k)]
+                yield _row(chunk, -1, now, pack(values[model.runs_of(start[mine], length[mine])]))
+                at += len(k)
+
+        now, held = None, []
         for batch in batches:
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
-                if key != now:
-                    if now is not None:
-                        yield _row(now, 0, 0, model.stretched(*total).tobytes())
-                    now, total = key, np.zeros((2, spans[key // RANGES]), dtype=np.float64)
-                used, zeros, ones = unpack(data)
-                used = np.cumsum(used, dtype=np.int64)
-                total[0, used] += zeros
-                total[1, used] += ones
-        if now is not None:
-            yield _row(now, 0, 0, model.stretched(*total).tobytes())
-
-    tables = [np.zeros(s, dtype=np.int8) for s in model.SLOTS]
-    summed = chunks.mapInArrow(tidy(count), ROWS).repartition(RANGES * model.HASHED, "key").sortWithinPartitions("key").mapInArrow(tidy(add), ROWS)
-    for r in summed.select("key", "data").collect():  # one byte a slot: the model, of fixed size
-        i, part = divmod(r.key, RANGES)
-        tables[i][part * spans[i]:(part + 1) * spans[i]] = np.frombuffer(r.data, np.int8)
-    return tables
+            for bucket, chunk, data in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if bucket != now:
+                    if held:
+                        yield from close()
+                    now, held = bucket, []
+                steps, counts = unpack(data)
+                held.append((chunk, np.cumsum(steps) << np.uint64(1), counts))
+        if held:
+            yield from close()
+
+    sent = chunks.mapInArrow(tidy(send), ROWS).repartition(buckets, "key").sortWithinPartitions("key")
+    return sent.mapInArrow(tidy(add), ROWS)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -252,16 +266,15 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     chunks = materialise(_pack_chunks(rows))
     code = spark.sparkContext.broadcast(_train_code(chunks))
-    tables = spark.sparkContext.broadcast(_train_tables(chunks, code))
     train_texts, total = rows.agg(F.coalesce(F.sum(F.when(F.col("flag") == 4, 1)), F.lit(0)),
                                   F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_chunks = chunks.count()
-    counts = _word_counts(chunks, max(4, -(-total // bucket_bytes)))
+    buckets = max(4, -(-total // bucket_bytes))
+    counts = _word_counts(chunks, buckets)
     known = dict(counts.where(F.col("key") == -1).groupBy("kind").agg(F.sum("other")).collect())
     tokens = known.get(3, 0) + train_texts
     vocabulary = known.get(2, 0) + (train_texts > 0)
     whole = tokens + SMOOTH * (vocabulary + 1)
-    buckets = max(4, -(-total // bucket_bytes))
     start = model.start_weights()
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()),
                            *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")],
@@ -270,11 +283,15 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replies: dict[int, np.ndarray] = {}
+        paths: dict[int, np.ndarray] = {}
         now = None
         for batch in batches:
             for chunk, kind, other, data in zip(*(c.to_pylist() for c in batch.columns)):
                 if chunk != now:
-                    now, replies = chunk, {}
+                    now, replies, paths = chunk, {}, {}
+                if kind == -1:
+                    paths[other] = unpack(data)[0].view(np.int8)
+                    continue
                 if kind == 0:
                     replies[other] = unpack(data)[0]
                     continue
@@ -289,13 +306,15 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 text_of = np.repeat(np.arange(len(texts)), sizes)
                 base = np.bincount(text_of, weights=logs[place], minlength=len(texts)) + end
                 seen = np.bincount(text_of, weights=c[place] > 0, minlength=len(texts)).astype(np.int64) + (train_texts > 0)
-                bits = np.concatenate([model.score_block(code.value, tables.value, b, start) for b in _blocks(texts)])
+                keys, _ = _chunk_keys(code.value, flags, texts)
+                known = model.Known(code.value, keys, np.concatenate([paths[b] for b in sorted(paths)]))
+                bits = np.concatenate([model.score_known(code.value, known, b, start) for b in _blocks(texts)])
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2).astype(bool)),
                     pa.array(sizes + 1), pa.array(seen),
                     pa.array(np.full(len(texts), tokens, dtype=np.int64)), pa.array(base), pa.array(-bits * math.log10(2)),
                     pa.array(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))], names=schema.names)
 
-    both = chunks.unionByName(counts.where(F.col("key") >= 0))
+    both = chunks.unionByName(counts.where(F.col("key") >= 0)).unionByName(_path_predictions(chunks, code, buckets))
     dealt = both.repartition(max(n_chunks, 1), "key").sortWithinPartitions("key", "kind")
     return dealt.mapInArrow(tidy(score), schema).withColumn("doc_id", F.col("doc_id").cast(field_type(docs, id_col)))

@@ -5,7 +5,11 @@ code that depends on the one or two bytes before it, so a symbol takes about
 three binary decisions.  Every decision is predicted by several contexts: those
 one or two bytes (whose counts are those of the code), and, hashed, the last four
 bytes and the word so far.  A context's counts of zeros and ones give its
-prediction as a log-odds ("stretched") input.  The inputs are
+prediction as a log-odds ("stretched") input.  Hashed contexts are counted by
+symbol under a key of the context and the symbol (``context_keys``); the counts
+of all keys of a context give the predictions on the path of each symbol
+(``path_predictions``), and a block is scored with those of its own keys
+(``Known``).  Tables of a fixed number of slots do for a few texts.  The inputs are
 combined by a weight vector that a gate chooses (which of the longer contexts
 have been seen at all), plus a correction of the text's own, which is refined by
 the gradient of the coding cost after every ``STEP`` bytes.  A long text is
@@ -33,6 +37,9 @@ SCALE = 12.0             # stretched predictions are kept as integers / SCALE
 LIMIT = 127
 RATE = 0.008
 PAIRS = 1024             # two-byte contexts, most frequent first, with a code of their own
+ROW_BITS = 19            # of a key: a row of the code, 1280 x 257 at most
+KEYS = 1 << 17           # expanded to decisions at a time
+LEARNED = np.uint64(1)   # lowest bit of a key while it is counted
 _GAP = bytes(8)
 _LOWER = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
 # keeps the last 0 to 8 of eight bytes
@@ -118,8 +125,8 @@ def layout(texts: list[bytes]) -> Block:
     return Block(symbol, valid, room[7:-1], before, starts - 8, sizes)
 
 
-def contexts(block: Block, i: int) -> np.ndarray:
-    """Hash of hashed context ``i`` at every place."""
+def _hashed(block: Block, i: int) -> np.ndarray:
+    """Hashed context ``i`` at every place, spread over 64 bits."""
     if i == 0:
         key = block.before >> np.uint64(64 - 8 * ORDER)
     else:  # the bytes since the last white space (or gap), up to eight
@@ -130,8 +137,24 @@ def contexts(block: Block, i: int) -> np.ndarray:
     key = key * _MIX[i]
     key ^= key >> np.uint64(31)
     key *= _MIX[i + 1]
-    key >>= np.uint64(33)
-    return key.astype(np.uint32)
+    return key
+
+
+def contexts(block: Block, i: int) -> np.ndarray:
+    """Hash of hashed context ``i`` at every place."""
+    return (_hashed(block, i) >> np.uint64(33)).astype(np.uint32)
+
+
+def context_keys(code: Code, block: Block, i: int) -> np.ndarray:
+    """Key of context ``i`` with the symbol at every place: ``i``, 43 bits of
+    the context's hash, the symbol's row of ``code``, and a zero."""
+    key = _hashed(block, i)
+    key >>= np.uint64(1 + ROW_BITS + 1)
+    key |= np.uint64(i << (64 - 1 - 1 - ROW_BITS))
+    key <<= np.uint64(ROW_BITS)
+    key |= code_symbols(code, block).astype(np.uint64)
+    key <<= np.uint64(1)
+    return key
 
 
 def code_symbols(code: Code, block: Block) -> np.ndarray:
@@ -139,14 +162,19 @@ def code_symbols(code: Code, block: Block) -> np.ndarray:
     return code.code_of[block.before >> np.uint64(48)] * np.int32(SYMBOLS) + block.symbol
 
 
-def decisions(code: Code, rows: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Places in ``code.item`` of all decisions of some symbols."""
+def runs_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All places of runs of ``length`` from ``start`` on."""
     ends = np.cumsum(length, dtype=np.int32)
-    flat = np.repeat(code.start[rows] - (ends - length), length)
+    flat = np.repeat(start - (ends - length), length)
     flat += np.arange(len(flat), dtype=np.int32)
     return flat
 
 
+def decisions(code: Code, rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Places in ``code.item`` of all decisions of some symbols."""
+    return runs_of(code.start[rows], length)
+
+
 def pair_counts(texts: list[bytes], counts: np.ndarray) -> None:
     """Add the counts of (two bytes before, symbol) to ``counts``, flat."""
     block = layout(texts)
@@ -180,6 +208,83 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.where(seen & (x == 0), 1, x).astype(np.int8)
 
 
+def count_keys(code: Code, blocks: list[tuple[list[bytes], bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all contexts of some blocks of texts, in order, and how
+    often each occurs in the blocks that are learned from (the flag)."""
+    keys, counts = [], []
+    for i in range(HASHED):
+        parts = []
+        for texts, learned in blocks:
+            block = layout(texts)
+            parts.append(context_keys(code, block, i)[block.valid])
+            if learned:
+                parts[-1] |= LEARNED
+        key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        del parts
+        key.sort()
+        first = np.ones(len(key), dtype=bool)
+        np.greater(key[1:] ^ key[:-1], LEARNED, out=first[1:])
+        first = np.flatnonzero(first)
+        keys.append(key[first] & ~LEARNED)
+        key &= LEARNED
+        counts.append(np.add.reduceat(key, first) if len(first) else key)
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def key_lengths(code: Code, keys: np.ndarray) -> np.ndarray:
+    """Decisions on the path of each key's symbol."""
+    return code.length[(keys >> np.uint64(1)) & np.uint64((1 << ROW_BITS) - 1)]
+
+
+def path_predictions(code: Code, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Stretched predictions on the paths of all keys, one path after the
+    other; ``keys`` are distinct, in order, and all that their contexts have."""
+    rows = ((keys >> np.uint64(1)) & np.uint64((1 << ROW_BITS) - 1)).astype(np.int32)
+    context, number = keys >> np.uint64(1 + ROW_BITS), rows // np.int32(SYMBOLS)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (context[1:] != context[:-1]) | (number[1:] != number[:-1])
+    group, cuts, out = np.cumsum(new), np.flatnonzero(new), []
+    at = 0
+    while at < len(keys):  # whole contexts
+        later = np.searchsorted(cuts, at + KEYS)
+        stop = int(cuts[later]) if later < len(cuts) else len(keys)
+        length = code.length[rows[at:stop]]
+        item = code.item[decisions(code, rows[at:stop], length)]
+        node = np.repeat(group[at:stop].astype(np.uint64), length) << np.uint64(31) | item & np.uint32((1 << 31) - 1)
+        _, of = np.unique(node, return_inverse=True)
+        n, bit = np.repeat(counts[at:stop], length).astype(np.float64), item >> np.uint32(31)
+        ones = np.bincount(of, weights=n * bit)
+        out.append(stretched(np.bincount(of, weights=n) - ones, ones)[of])
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.int8)
+
+
+class Known:
+    """Predictions (``values``) on the paths of distinct ``keys``."""
+
+    def __init__(self, code: Code, keys: np.ndarray, values: np.ndarray):
+        length = key_lengths(code, keys)
+        self.keys, self.values, self.start = keys, values, (np.cumsum(length) - length).astype(np.int32)
+        self.shift = np.uint64(64 - max(len(keys) * 4, 1).bit_length())
+        self.tables, rest = [], np.arange(len(keys), dtype=np.int32)
+        for odd in _MIX:  # what finds its slot taken goes to the next table
+            slot = (keys[rest] * odd) >> self.shift
+            table = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32)
+            table[slot] = rest
+            self.tables.append(table)
+            rest = rest[table[slot] != rest]
+
+    def paths(self, keys: np.ndarray) -> np.ndarray:
+        """Where in ``values`` the paths of some keys (all known) begin."""
+        at = self.tables[0][(keys * _MIX[0]) >> self.shift]
+        for table, odd in zip(self.tables[1:], _MIX[1:]):
+            other = np.flatnonzero(self.keys[at] != keys)
+            at[other] = table[(keys[other] * odd) >> self.shift]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at[other] = np.searchsorted(self.keys, keys[other])
+        return self.start[at]
+
+
 def start_weights(main: float = 0.45, rest: float = 0.35, share: float = 0.25) -> np.ndarray:
     """Weights by gate: the longest context that has been seen leads."""
     out = np.zeros((1 << HASHED, INPUTS), dtype=np.float32)
@@ -192,12 +297,37 @@ def start_weights(main: float = 0.45, rest: float = 0.35, share: float = 0.25) -
     return out
 
 
-def score_block(code: Code, tables: list[np.ndarray], texts: list[bytes], start: np.ndarray, rate: float = RATE) -> np.ndarray:
+def score_known(code: Code, known: Known, texts: list[bytes], start: np.ndarray, rate: float = RATE) -> np.ndarray:
     """Bits of every text of a block under the mixed model."""
     if not texts:
         return np.zeros(0)
     block = layout(texts)
-    code_rows, hashes = code_symbols(code, block), [contexts(block, i) for i in range(HASHED)]
+    paths = []
+    for i in range(HASHED):
+        paths.append(np.zeros(len(block.symbol), dtype=np.int32))
+        paths[i][block.valid] = known.paths(context_keys(code, block, i)[block.valid])
+    return _score(code, block, lambda i, places, length, item: np.take(known.values, runs_of(paths[i][places], length)), start, rate)
+
+
+def score_block(code: Code, tables: list[np.ndarray], texts: list[bytes], start: np.ndarray, rate: float = RATE) -> np.ndarray:
+    """The same with tables of slots (``count_block``)."""
+    if not texts:
+        return np.zeros(0)
+    block = layout(texts)
+    hashes = [contexts(block, i) for i in range(HASHED)]
+
+    def look(i, places, length, item):
+        slot = np.repeat(hashes[i][places], length)
+        slot ^= item
+        slot &= np.uint32(SLOTS[i] - 1)
+        return np.take(tables[i], slot)
+
+    return _score(code, block, look, start, rate)
+
+
+def _score(code: Code, block: Block, look, start: np.ndarray, rate: float) -> np.ndarray:
+    """``look``: predictions of a context for all decisions at some places."""
+    code_rows = code_symbols(code, block)
     lanes_of = -(-block.sizes // LANE)
     first_lane = np.cumsum(lanes_of) - lanes_of
     inner = (np.arange(int(lanes_of.sum())) - np.repeat(first_lane, lanes_of)) * LANE
@@ -219,10 +349,7 @@ def score_block(code: Code, tables: list[np.ndarray], texts: list[bytes], start:
         runs = np.diff(np.append(begin, len(item)))
         inputs, gate = [code.guess[flat]], np.zeros(len(item), dtype=np.uint8)
         for i in range(HASHED):
-            slot = np.repeat(hashes[i][places], length)
-            slot ^= item
-            slot &= np.uint32(SLOTS[i] - 1)
-            inputs.append(np.take(tables[i], slot))
+            inputs.append(look(i, places, length, item))
             gate |= (inputs[-1] != 0).view(np.uint8) << np.uint8(i)
         z = np.zeros(len(item), dtype=np.float32)
         for i in range(INPUTS):

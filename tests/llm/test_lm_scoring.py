@@ -136,3 +136,39 @@ def test_scores_equal_a_plain_computation():
         assert abs(plain_bits(code, tables, text, start) - bits) <= 1e-3 * max(1, bits)
         alone = mm.score_block(code, tables, [text], start)[0]
         assert abs(alone - bits) <= 1e-5 * max(1, bits)
+
+
+def test_known_paths_equal_counts_by_context():
+    code, _, _ = code_and_tables(TEXTS)
+    new = b"The mat sat on the dog, zzz unseen. " * 30
+    keys, counts = mm.count_keys(code, [(TEXTS, True), ([new], False)])
+    assert counts.sum() == mm.HASHED * sum(len(t) + 1 for t in TEXTS) and (keys[1:] > keys[:-1]).all()
+    known = mm.Known(code, keys, mm.path_predictions(code, keys, counts))
+    seen, asked = [Counter(), Counter()], []
+    for text in [*TEXTS, new]:
+        block = mm.layout([text])
+        rows = mm.code_symbols(code, block)
+        for i in range(mm.HASHED):
+            paths, context = known.paths(mm.context_keys(code, block, i)[block.valid]), mm._hashed(block, i)[block.valid]
+            for r, path, c in zip(rows[block.valid].tolist(), paths.tolist(), context.tolist()):
+                for n in range(code.length[r]):
+                    item = int(code.item[code.start[r] + n])
+                    node = (i, c, r // mm.SYMBOLS, item & (1 << 31) - 1)
+                    asked.append((node, known.values[path + n]))
+                    if text is not new:
+                        seen[item >> 31][node] += 1
+    assert any(v == 0 for _, v in asked)
+    want = mm.stretched(*(np.array([s[node] for node, _ in asked], float) for s in seen))
+    assert (want == np.array([v for _, v in asked])).all()
+
+
+def test_contexts_grow_with_the_training_texts(spark):
+    """Of many more contexts than any fixed number of slots, an unseen one
+    still counts as unseen: random letters cost what the code alone asks."""
+    rng = np.random.default_rng(9)
+    letters = np.frombuffer(bytes(range(35, 65)) + bytes(range(91, 125)), np.uint8)
+    rows = [(i, letters[rng.integers(0, 64, size=40000)].tobytes().decode()) for i in range(100)]
+    got = score_language(docs(spark, rows)).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 3
+    assert sum(-r.score for r in held) / math.log10(2) / sum(r.n_bytes for r in held) < 6.05
