@@ -3,8 +3,10 @@
 Equal vectors are one class.  In every pass a class gets a key, the signs of
 its projections on random directions, concatenated; the classes are ordered by
 key and each is compared with the next ``window`` of its order.  All passes are
-sorted in one shuffle.  The number of passes follows from the number of classes:
-as many as find a pair at the design similarity with the wanted probability.
+sorted in one shuffle.  The number of passes follows from the keys of the first
+few: how many bits cut the surroundings of a class down to a window is measured,
+since alike vectors need more of them, and as many passes are made as find a
+pair at the design similarity with the wanted probability.
 Pairs verified at the threshold are united across passes.
 
 Inside a component links are then counted exactly, block against block of
@@ -29,16 +31,62 @@ from docsift.llm.vectors import component_type, matrix, packed_vectors, unit, ve
 
 KEY_BITS = 63
 CHUNK = 1024
+MEASURED = 4             # passes whose keys are measured
 LINK = "a long, b long"
 
 
-def passes_needed(n: int, window: int, similarity: float, recall: float) -> int:
+def passes_needed(bits: dict[int, int], similarity: float, recall: float) -> int:
     """Passes after which a pair at ``similarity`` has met in a window with
-    probability ``recall``: in one pass it does if the bits agree that cut
-    ``n`` classes down to a window."""
-    bits = math.log2(max(n / window, 1))
-    met = (1 - math.acos(similarity) / math.pi) ** bits
-    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+    probability ``recall``, over all classes; ``bits``: how many classes have
+    so many bits that must agree for it (``window_bits``)."""
+    need, rows = np.array(list(bits), dtype=float), np.array(list(bits.values()), dtype=float)
+    if not len(need):
+        return 1
+    met = (1 - math.acos(min(similarity, 1.0)) / math.pi) ** need
+
+    def found(passes: int) -> float:
+        return float(rows @ (1 - (1 - met) ** passes) / rows.sum())
+
+    high = 1
+    while found(high) < recall:
+        high *= 2
+    low = high // 2  # too few, or 0
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if found(middle) >= recall else (middle, high)
+    return high
+
+
+def window_bits(classes: DataFrame, kind: str, threshold: float, window: int, seed: int) -> dict[int, int]:
+    """Rows of the first passes by the number of leading bits of the key that
+    fewer than ``window`` neighbours on a side share.  A row that is linked
+    with the one ``window`` places on is in a group that windows chain, and
+    does not count; nor do the last ``window`` rows of a partition."""
+    order = ["lane", "key", "class_no"]
+    rows = _keyed(classes, kind, MEASURED, seed).repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held = np.zeros(KEY_BITS + 1, dtype=np.int64), None
+        for batch in (b.slice(s, 4096) for b in batches for s in range(0, b.num_rows, 4096)):
+            batch = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            held = batch.slice(max(batch.num_rows - window, 0))
+            lanes, keys = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            at = np.arange(max(batch.num_rows - window, 0))
+            same = lanes[at] == lanes[at + window]
+            counts[0] += (~same).sum()  # the end of a lane
+            at = at[same]
+            for lane in np.unique(lanes[at]).tolist():
+                mine = at[lanes[at] == lane]
+                x, y = (unit(matrix(batch.column(1).take(pa.array(m)), kind)) for m in (mine, mine + window))
+                mine = mine[np.einsum("ij,ij->i", x, y) < threshold]
+                differ = keys[mine] ^ keys[mine + window]
+                shared = KEY_BITS - np.array([d.bit_length() for d in differ.tolist()], dtype=np.int64)
+                counts += np.bincount(np.minimum(shared + 1, KEY_BITS), minlength=KEY_BITS + 1)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bits", "n"])
+
+    found = rows.mapInArrow(tidy(run), "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n"))
+    return {r.bits: r.n for r in found.collect()}  # KEY_BITS + 1 at most
 
 
 def directions(dims: int, number: int, seed: int) -> np.ndarray:
@@ -215,13 +263,14 @@ def _counts(ids: np.ndarray, links: np.ndarray) -> pa.RecordBatch:
 
 
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9,
-                         window: int = 32, similarity: float = 0.92, recall: float = 0.99, seed: int = 11) -> DataFrame:
+                         window: int = 32, similarity: float | None = None, recall: float = 0.99, seed: int = 11) -> DataFrame:
     """One row per input row: ``vec_id``, ``n_links`` (other rows linked
     directly), ``component_id`` (smallest id reachable by links, itself
     included) and ``kept`` (``vec_id`` is ``component_id``).
 
-    Links are cosines of at least ``threshold``.  ``similarity`` and ``recall``
-    set the number of passes (``passes_needed``).  Null, empty, zero and
+    Links are cosines of at least ``threshold``.  ``similarity`` (of the pairs
+    to be found; the threshold if None) and ``recall`` set the number of passes
+    (``passes_needed``).  Null, empty, zero and
     non-finite vectors link with nothing; vectors of different dimensions do
     not link.  Rows with equal vectors link, repeated rows included.  A null id
     is never the smallest and is never kept; an empty table gives no rows;
@@ -229,7 +278,8 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     kind = component_type(vectors, vector_col)
     packed = materialise(packed_vectors(vectors, id_col, vector_col))
     classes = vector_classes(packed)
-    passes = passes_needed(classes.count(), window, similarity, recall)
+    bits = window_bits(classes, kind, threshold, window, seed)
+    passes = passes_needed(bits, threshold if similarity is None else similarity, recall)
     links = projection_links(classes, kind, threshold, window, passes, seed)
     labels = materialise(connected_components(links).toDF("class_no", "component"))
     members = classes.join(labels, "class_no")

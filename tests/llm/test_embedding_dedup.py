@@ -83,3 +83,23 @@ def test_many_copies(spark):
 def test_query(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
     assert flat(queries.QUERIES["op7_embedding_dedup"](spark, SF_SMALL)) == brute(rows)
+
+
+def alike(seed, n=3000, dims=64, pairs=400, cosine=0.9005):
+    """A third of the rows at mutual cosine 0.7, isolated pairs among them."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x, c = unit(rng.normal(size=(n, dims))), unit(rng.normal(size=dims))
+    x[:n // 3] = unit(np.sqrt(0.7) * c + np.sqrt(0.3) * unit(rng.normal(size=(n // 3, dims))))
+    y = rng.normal(size=(pairs, dims))
+    y = unit(y - (y * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    y = cosine * x[:pairs] + np.sqrt(1 - cosine ** 2) * y
+    return np.concatenate([x, y]).astype(np.float32)
+
+
+def test_recall_among_alike_vectors(spark):
+    x = alike(3)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.9).sum(1) - 1).sum()
+    got = ed.embedding_duplicates(frame(spark, list(enumerate(x.tolist()))), window=8).collect()
+    assert want >= 700 and 0.97 * want <= sum(r.n_links for r in got) <= want
