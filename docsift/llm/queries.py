@@ -158,3 +158,61 @@ def op2_lm_scoring(spark, sf_dir):
     from docsift.llm.lm_scoring import score_language
 
     return score_language(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_clusters(spark, sf_dir):
+    from docsift.llm.zone_clusters import cluster_vectors
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, scale=1024, dims=64, seed=3)
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, scale: int = 1024, dims: int = 64, seed: int = 3) -> str:
+    """Every round as two tables: nearest centroids, then their floored means."""
+    nearest = """near{r} AS MATERIALIZED (
+  SELECT no, arg_min(j, d * {k} + j) AS j, min(d) AS d FROM (
+    SELECT x.no, c.j, list_sum(list_transform(range(1, {dims} + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::HUGEINT AS d
+    FROM x, cent{r} c) GROUP BY no)"""
+    means = """cent{s} AS MATERIALIZED (
+  SELECT c.j, coalesce(m.v, c.v) AS v FROM cent{r} c LEFT JOIN (
+    SELECT j, list(CASE WHEN total % n < 0 THEN total // n - 1 ELSE total // n END ORDER BY i)::BIGINT[] AS v FROM (
+      SELECT near{r}.j, p.i, sum(p.c)::HUGEINT AS total, count(*)::HUGEINT AS n
+      FROM near{r} JOIN (SELECT no, unnest(v) AS c, unnest(range(1, {dims} + 1)) AS i FROM x) p USING (no) GROUP BY near{r}.j, p.i)
+    GROUP BY j) m USING (j))"""
+    steps = [f"""WITH x AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, vec_id, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims}),
+cent0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS j, v FROM x ORDER BY sha256('{seed}:' || vec_id) LIMIT {k})"""]
+    for r in range(rounds):
+        steps += [nearest.format(r=r, k=k, dims=dims), means.format(r=r, s=r + 1, dims=dims)]
+    steps.append(nearest.format(r=rounds, k=k, dims=dims))
+    return ",\n".join(steps) + f"""
+SELECT x.vec_id, n.j::INT AS cluster, n.d::BIGINT AS distance, (sum(n.d) OVER (PARTITION BY n.j))::BIGINT AS cluster_inertia,
+       (sum(n.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM x JOIN near{rounds} n USING (no) JOIN cent{rounds} c ON c.j = n.j
+"""
+
+
+ORACLES["op11_clusters"] = _clusters_sql()
+
+
+@_query
+def op13_top_k(spark, sf_dir):
+    from docsift.llm.top_k import exact_top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_top_k(rows, rows.where(F.col("vec_id") % 50 == 0), k=5, scale=256)
+
+
+ORACLES["op13_top_k"] = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+pairs AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_dot_product(q.v, x.v)::BIGINT AS score
+  FROM x q JOIN x ON x.vec_id <> q.vec_id AND len(x.v) = len(q.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
+"""
