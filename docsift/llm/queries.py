@@ -216,3 +216,11 @@ pairs AS (
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 5
 """
+
+
+@_query
+def op12_spelling(spark, sf_dir):
+    from docsift.llm.spelling import spelling_variants, word_counts
+
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents"), min_length=7, min_count=2, damage=31),
+                             ratio=10, min_length=7)
