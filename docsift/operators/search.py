@@ -245,11 +245,11 @@ def search_page(docs: DataFrame, req: SearchRequest, scores: DataFrame | None =
     if req.sort == "embedding":
         from docsift.operators.vectors import _arr, cosine_sim, model_vectors
 
-        vec = model_vectors(emb, req.model).select(F.col("id").alias("_vid"), F.col("embedding").alias("_v"))
-        hits = hits.join(vec, hits["id"] == vec["_vid"], "left").withColumn("_q", _arr(req.embedding))
-        hits = hits.withColumn("similarity", F.round(F.when(F.col("_v").isNull(), F.lit(-1.0))
-                                                     .otherwise(cosine_sim(F.col("_q"), F.col("_v"))), 6))
-        hits = hits.drop("_vid", "_v", "_q")
+        # similarities are taken on the vector rows, so the join carries numbers, not vectors
+        vec = model_vectors(emb, req.model).withColumn("_q", _arr(req.embedding))
+        vec = vec.select(F.col("id").alias("_vid"), cosine_sim(F.col("_q"), F.col("embedding")).alias("_sim"))
+        hits = hits.join(vec, hits["id"] == vec["_vid"], "left").withColumn("similarity", F.coalesce("_sim", F.lit(-1.0)))
+        hits = hits.drop("_vid", "_sim")
     hits = hits.withColumn("sort_var", sort_value(req, score_col))
     hits = page_after(hits, req.after, req.sort_asc)
     page = sort_page(hits, req.sort_asc, req.page_size)

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KNN_CANDIDATES = 600  # fixed value: approximate kNN candidates
-ANN_BITS = 6  # hyperplanes of the approximate index: 64 buckets
 JOIN_SHARD = 16_384  # vectors one task of the kNN join holds
+TIE = 1e-9  # cosines that may differ by less than this are compared exactly
 
 
 def _arr(v) -> Column:
@@ -81,7 +80,7 @@ def knn_exact(docs: DataFrame, emb: DataFrame, q, k: int, model_id: int = 1,
     without a vector of the model score -1 and sort last; ties by id."""
     # the query vector becomes a column first: a subquery may not sit inside a lambda
     vec = model_vectors(emb, model_id).select("id", "embedding").withColumn("_q", _arr(q))
-    scored = vec.select("id", F.round(cosine_sim(F.col("_q"), F.col("embedding")), 6).alias("similarity"))
+    scored = vec.select("id", cosine_sim(F.col("_q"), F.col("embedding")).alias("similarity"))
     return nearest_documents(docs, scored, k, id_col)
 
 
@@ -167,74 +166,35 @@ def knn_join(queries: DataFrame, emb: DataFrame, k: int, model_id: int = 1, shar
 
     order = ["shard", "kind"]
     found = (held.unionByName(asked).repartition("shard").sortWithinPartitions(*order)
-             .mapInArrow(search, "qid long, id long, similarity double").withColumn("similarity", F.round("similarity", 6)))
+             .mapInArrow(search, "qid long, id long, similarity double"))
     return top_k_per_group(found, ["qid"], [F.col("similarity").desc(), F.col("id").asc()], k, "id")
 
 
 def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best rows of a shard for each query, itself left out."""
+    """The k best rows of a shard for each query, itself left out; ties by id."""
     sim = q @ x.T
     sim[np.isnan(sim)] = -1.0
     sim = np.where(ids[None, :] == qid[:, None], -np.inf, sim)
-    rank = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, 6)), axis=1)[:, :k]
-    best = np.take_along_axis(sim, rank, axis=1)
-    at, column = np.nonzero(np.isfinite(best))
-    return pa.RecordBatch.from_arrays([pa.array(qid[at]), pa.array(ids[rank[at, column]]), pa.array(best[at, column])],
-                                      names=["qid", "id", "similarity"])
-
-
-def ann_planes(dims: int, bits: int = ANN_BITS) -> list[list[int]]:
-    """Normals of the fixed hyperplanes: small integers by rule, so that any
-    engine computes the same buckets."""
-    return [[(31 * j + 17 * d + 7 * j * d + d * d) % 11 - 5 for d in range(dims)] for j in range(bits)]
-
-
-def ann_bucket(v, dims: int, bits: int = ANN_BITS) -> Column:
-    """Bucket of a vector: bit j tells on which side of hyperplane j it lies."""
-    out = F.lit(0)
-    for j, plane in enumerate(ann_planes(dims, bits)):
-        out = out + F.when(dot(v, F.array(*[F.lit(float(x)) for x in plane])) >= 0, 1 << j).otherwise(0)
-    return out.cast("int")
-
-
-def write_ann_index(emb: DataFrame, path: str, dims: int, bits: int = ANN_BITS) -> None:
-    """V3 index: vectors with their bucket, partitioned by it, so that a
-    search reads only the folders of the buckets that it probes."""
-    rows = emb.withColumn("bucket", ann_bucket(F.col("embedding"), dims, bits))
-    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def knn_approx(index: DataFrame, q: list[float], k: int, model_id: int = 1, candidates: int = KNN_CANDIDATES,
-               docs: DataFrame | None = None, bits: int = ANN_BITS) -> DataFrame:
-    """V3: approximate nearest neighbours on the stored index (id,
-    similarity).  Buckets are probed by the number of hyperplanes that part
-    them from the query, ring by ring, until ``candidates`` (at least ``k``)
-    vectors are there or all are; these are re-ranked exactly.  With ``docs``
-    only vectors of those documents count, before the k nearest are taken."""
-    vec = model_vectors(index, model_id)
-    if docs is not None:
-        vec = vec.join(docs.select("id"), "id", "left_semi")
-    qb = 0
-    for j, plane in enumerate(ann_planes(len(q), bits)):
-        qb |= (sum(a * b for a, b in zip(q, plane)) >= 0) << j
-    sizes = vec.groupBy("bucket").count().collect()  # a row a bucket: 2**bits at most
-    probed, total = [], 0
-    for ring in range(bits + 1):
-        if total >= max(candidates, k):
-            break
-        here = [r for r in sizes if (r["bucket"] ^ qb).bit_count() == ring]
-        probed += [r["bucket"] for r in here]
-        total += sum(r["count"] for r in here)
-    return (vec.where(F.col("bucket").isin(probed))
-            .select("id", F.round(cosine_sim(q, F.col("embedding")), 6).alias("similarity"))
-            .orderBy(F.col("similarity").desc(), F.col("id")).limit(k))
+    least = np.partition(sim, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(qid), -np.inf)
+    at, place, best = [], [], []
+    for i in range(len(qid)):
+        # a matrix product may differ in the last digits for equal vectors, so what
+        # is near the k-th best is computed again, row by row
+        near = np.flatnonzero((sim[i] >= least[i] - TIE) & np.isfinite(sim[i]))
+        exact = (x[near] * q[i]).sum(axis=1)
+        exact[np.isnan(exact)] = -1.0
+        order = np.lexsort((ids[near], -exact))[:k]
+        at.append(np.full(len(order), qid[i]))
+        place.append(ids[near[order]])
+        best.append(exact[order])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (at, place, best)], names=["qid", "id", "similarity"])
 
 
 def best_chunk(emb: DataFrame, q, model_id: int = 2) -> DataFrame:
     """V6: per document, the chunk (start) most similar to ``q``; ties keep
     the earliest start.  An aggregate (max of a struct), not a window."""
     e = model_vectors(emb, model_id, start=None).withColumn("_q", _arr(q))
-    s = e.select("id", "start", F.round(cosine_sim(F.col("_q"), F.col("embedding")), 6).alias("sim"))
+    s = e.select("id", "start", cosine_sim(F.col("_q"), F.col("embedding")).alias("sim"))
     best = s.groupBy("id").agg(F.max(F.struct(F.col("sim"), (-F.col("start")).alias("ns"))).alias("b"))
     return best.select("id", (-F.col("b.ns")).alias("start"), F.col("b.sim").alias("similarity"))
 
@@ -299,4 +259,4 @@ def knn_unit(docs: DataFrame, vectors: DataFrame, q_unit, k: int, model_id: int
     without a vector of the model score -1), best first, ties by id."""
     vec = model_vectors(vectors, model_id).select("id", F.col("unit").alias("_u")).withColumn("_q", _arr(q_unit))
     sim = F.when(F.col("_u").isNull() | F.col("_q").isNull(), F.lit(-1.0)).otherwise(dot(F.col("_q"), F.col("_u")))
-    return nearest_documents(docs, vec.select("id", F.round(sim, 6).alias("similarity")), k, id_col)
+    return nearest_documents(docs, vec.select("id", sim.alias("similarity")), k, id_col)
