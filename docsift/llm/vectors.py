@@ -19,10 +19,11 @@ def component_type(df: DataFrame, col: str) -> str:
     return "<f4" if isinstance(kind, T.FloatType) else "<f8"
 
 
-def packed_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def packed_vectors(df: DataFrame, id_col: str, vector_col: str, direction: bool = False) -> DataFrame:
     """(``vec_id``, ``vec``): components as bytes of ``component_type``; ``vec``
     is null where the vector is null, empty, zero or holds null or non-finite
-    components.  Negative zeros are written as zeros."""
+    components.  Negative zeros are written as zeros.  ``direction``: doubles,
+    divided by the largest of them, which is the same for parallel vectors."""
     kind = component_type(df, vector_col)
     schema = T.StructType([T.StructField("vec_id", field_type(df, id_col)), T.StructField("vec", T.BinaryType())])
 
@@ -36,7 +37,10 @@ def packed_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
             for ok, s, e in zip(valid, offsets[:-1], offsets[1:]):
                 x = values[s:e]
                 ok = ok and e > s and finite[s:e].all() and not null[s:e].any() and x.any()
-                out.append((x + 0.0).astype(kind).tobytes() if ok else None)
+                if ok and direction:
+                    x = x.astype(np.float64)
+                    x = x / np.abs(x).max()
+                out.append((x + 0.0).astype("<f8" if direction else kind).tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
     return only(df, id_col, vector_col).toDF("vec_id", "vec").mapInArrow(tidy(run), schema)

@@ -1,7 +1,7 @@
 """Nearest neighbours by vantage-point trees, one tree a shard.
 
-Equal vectors are one class that keeps its smallest ids.  Classes are dealt to
-shards of about ``shard_rows``; each shard is one task that builds its tree: a
+Parallel vectors, which are equally near to any query, are one class that keeps
+its smallest ids.  Classes are dealt to shards of about ``shard_rows``; each shard is one task that builds its tree: a
 vantage point splits the others at the median distance into an inner and an
 outer half, down to leaves.  Queries travel in blocks to every shard; a block
 first goes down to each query's own leaf, which gives a first radius (the
@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsift.llm.common import field_type, materialise, tidy
-from docsift.llm.vectors import component_type, cosines, matrix, packed_vectors, unit, vector_classes
+from docsift.llm.vectors import cosines, matrix, packed_vectors, unit, vector_classes
 
 LEAF = 48
-# Classes kept beyond the wanted ones, against last-digit differences between
-# the search and the final scores.
+# Classes kept beyond the wanted ones; a query that might need more is compared
+# with the whole shard.
 SPARE = 8
+TILE = 64
+# Largest difference between the cosines of the search and the final ones.
+TIE = 1e-9
 # Distances near zero are square roots of rounded differences.
 ROUNDING = 1e-7
 
@@ -109,6 +112,35 @@ class VantageTree:
                 self._visit(child, active[need])
 
 
+def best_classes(tree: VantageTree, original: np.ndarray, first_id: np.ndarray, single: np.ndarray,
+                 q: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the ``k`` best classes found for each query, ties
+    to the class with the smaller ``first_id``; those that hold nothing but the
+    query's own id are left out."""
+    queries = unit(q)
+    best, rows = tree.search(queries, k, factor, k + SPARE)
+    real = rows >= 0
+    other = real & ~(single[rows] & (first_id[rows] == own[:, None]))
+    last = np.where((np.cumsum(other, axis=1) == k) & other, best, np.inf).min(axis=1)  # inf: fewer than k
+    more = np.flatnonzero(real[:, -1] & (best[:, -1] >= np.where(np.isinf(last), -np.inf, last) - TIE))
+    other[more] = False
+    at, column = np.nonzero(other)
+    found = [(at, rows[at, column])]
+    for s in range(0, len(more), TILE):
+        some = more[s:s + TILE]
+        score = queries[some] @ tree.x.T
+        score[single[None, :] & (first_id[None, :] == own[some, None])] = -np.inf
+        least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] >= k else np.full(len(some), -np.inf)
+        at, row = np.nonzero((score >= least[:, None] - TIE) & np.isfinite(score))
+        found.append((some[at], row))
+    at, row = (np.concatenate(x) for x in zip(*found))
+    cosine = cosines(original[row], q[at])
+    order = np.lexsort((first_id[row], -cosine, at))
+    at, row, cosine = at[order], row[order], cosine[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[first], row[first], cosine[first]
+
+
 def distances(cosine: np.ndarray) -> np.ndarray:
     """Distance of unit vectors with some cosine; infinite if there is none yet."""
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
@@ -126,18 +158,19 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, factor:
     rows count once; empty tables give no rows; other columns are not read."""
     if not 0 < factor <= 1:
         raise ValueError("factor must be above 0 and at most 1")
-    kind = component_type(vectors, vector_col)
-    size = np.dtype(kind).itemsize
-    rows = packed_vectors(vectors, id_col, vector_col)
+    kind, size = "<f8", 8
+    rows = packed_vectors(vectors, id_col, vector_col, direction=True)
     rows = materialise(rows.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()).distinct())
     classes = vector_classes(rows)
-    asked = packed_vectors(queries, id_col, vector_col)
+    asked = packed_vectors(queries, id_col, vector_col, direction=True)
     asked = asked.where(F.col("vec").isNotNull() & F.col("vec_id").isNotNull()).distinct()
 
     # dimension and shard; the number of shards follows from the number of classes
     dims = (F.octet_length("vec") / size).cast("int")
     shards = max(1, -(-classes.count() // shard_rows))
-    place = classes.select(F.lit(0).alias("kind"), "class_no", "vec", dims.alias("dims"),
+    # a class of one id is none of that id's neighbours
+    alone = F.when(F.col("copies") == 1, b"1").otherwise(b"")
+    place = classes.select(F.lit(0).alias("kind"), "class_no", F.col("first_id").cast("long").alias("first_id"), alone.alias("ids"), "vec", dims.alias("dims"),
                            F.pmod(F.xxhash64("class_no"), F.lit(shards)).cast("int").alias("shard"))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,45 +185,41 @@ def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int = 5, factor:
 
     blocks = asked.mapInArrow(tidy(block), "dims int, ids binary, vec binary")
     sent = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select(
-        F.lit(1).alias("kind"), F.lit(None).cast("long").alias("class_no"), "vec", "dims", "shard", "ids")
-    both = place.withColumn("ids", F.lit(None).cast("binary")).unionByName(sent)
-    keep = k + 1 + SPARE
+        F.lit(1).alias("kind"), F.lit(None).cast("long").alias("class_no"), F.lit(None).cast("long").alias("first_id"), "vec", "dims", "shard", "ids")
+    both = place.unionByName(sent)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard and dimension, its vectors before the blocks."""
-        now, ids, vecs, tree, original = None, [], [], None, None
+        now, ids, vecs, tree = None, [], [], None
         for batch in batches:
-            for dim, shard, what, class_no, vec, query_ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for dim, shard, what, class_no, first_id, vec, query_ids in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != (dim, shard):
                     now, ids, vecs, tree = (dim, shard), [], [], None
                 if what == 0:
-                    ids.append(class_no)
+                    ids.append((class_no, first_id, bool(query_ids)))
                     vecs.append(vec)
                     continue
                 if not ids:
                     continue
                 if tree is None:
                     original = matrix(pa.array(vecs, pa.binary()), kind)
-                    vecs, class_of = [], np.array(ids)
+                    vecs, (class_of, first_of, single) = [], (np.array(x) for x in zip(*ids))
                     tree = VantageTree(unit(original), seed + shard)
-                q = np.frombuffer(vec, dtype=kind).astype(np.float64).reshape(-1, dim)
-                _, found = tree.search(unit(q), k + 1, factor, keep)
-                at, column = np.nonzero(found >= 0)
-                row = found[at, column]
-                scores = cosines(original[row], q[at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(query_ids, np.int64)[at]), pa.array(class_of[row]),
-                                                  pa.array(scores)], names=["query_id", "class_no", "score"])
+                q, own = np.frombuffer(vec, dtype=kind).reshape(-1, dim), np.frombuffer(query_ids, np.int64)
+                at, row, scores = best_classes(tree, original, first_of, single, q, own, k + 1, factor)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(class_of[row]), pa.array(first_of[row]), pa.array(scores)],
+                                                 names=["query_id", "class_no", "first_id", "score"])
 
     order = ["dims", "shard", "kind"]
-    found = (both.select(*order, "class_no", "vec", "ids").repartition("dims", "shard").sortWithinPartitions(*order, "class_no")
-             .mapInArrow(tidy(search), "query_id long, class_no long, score double"))
+    found = (both.select(*order, "class_no", "first_id", "vec", "ids").repartition("dims", "shard").sortWithinPartitions(*order, "class_no")
+             .mapInArrow(tidy(search), "query_id long, class_no long, first_id long, score double"))
 
     # classes to rows: of a class at most k + 1 ids can be among the k nearest others
     by_id = Window.partitionBy("vec").orderBy("vec_id")
     smallest = rows.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1)
     members = smallest.join(classes.select("vec", "class_no"), "vec").select("class_no", F.col("vec_id").cast("long").alias("vec_id"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "class_no")
-    near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep).drop("place")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_id")
+    near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).select("query_id", "class_no", "score")
     pairs = near.join(members, "class_no").where(F.col("vec_id") != F.col("query_id"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(ranked))

@@ -70,6 +70,25 @@ def test_awkward(spark):
     assert found(nearest_vectors(few, few.where("vec_id = 0"), factor=1.0)) == {0: [451, 450]}
 
 
+def test_ties_go_to_the_smaller_id(spark):
+    """Far more tied vectors than the search keeps: multiples of one vector,
+    and different directions with one and the same cosine."""
+    rows = [(i, [0.25 * (1 + (i * 37) % 60), -0.5 * (1 + (i * 37) % 60), 0.125 * (1 + (i * 37) % 60)]) for i in range(60)]
+    df = frame(spark, rows).repartition(7)
+    got = found(nearest_vectors(df, df.where("vec_id % 50 = 0"), factor=0.2, shard_rows=7))
+    assert got == {0: [1, 2, 3, 4, 5], 50: [0, 1, 2, 3, 4]}
+    rng = np.random.default_rng(5)
+    ring = [(100 + int(i), [1.0 if j == n % 40 else 0.0 for j in range(40)] + [1.0]) for n, i in enumerate(rng.permutation(40))]
+    ring += [(50, [0.0] * 40 + [1.0])]
+    df = frame(spark, ring).repartition(5)
+    for shard_rows in (8192, 20):
+        assert found(nearest_vectors(df, df.where("vec_id = 50"), factor=1.0, shard_rows=shard_rows)) == {50: [100, 101, 102, 103, 104]}
+    # an id with more vectors than are kept beyond the wanted ones
+    own = [(50, [1.0, 0.001 * j]) for j in range(30)] + [(i, [1.0, -0.1 * i]) for i in range(1, 8)]
+    df = frame(spark, own)
+    assert set(found(nearest_vectors(df, df.where("vec_id = 50").limit(1), factor=1.0))[50]) == {1, 2, 3, 4, 5}
+
+
 def test_query_recall_and_scores(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").collect()]
     got = queries.QUERIES["op4_vp_tree"](spark, SF_SMALL)
