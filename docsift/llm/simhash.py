@@ -219,21 +219,24 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: s
     Rows that share an id are one document, of which the first by text stays.
     Of a component without any id the first row by text stays.  Null texts are
     texts without words; an empty table stays empty."""
-    prints = materialise(with_fingerprints(only(docs, id_col, text_col).toDF("doc_id", "text"), shingle, out="fp").select("doc_id", "fp"))
+    # whole rows in one struct, so that no column of theirs meets one of this function's
+    boxed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
+                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = F.min_by("row", F.struct("text")).alias("row")
+    prints = materialise(with_fingerprints(boxed.select("doc_id", "text"), shingle, out="fp").select("doc_id", "fp"))
     groups = materialise(fingerprint_components(prints, bits))
-    kept = prints.join(groups, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
-    repeated = prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    if repeated.limit(1).count():
-        one = Window.partitionBy(id_col).orderBy(F.col(f"`{text_col}`"))
-        named = named.withColumn("_place", F.row_number().over(one)).where(F.col("_place") == 1).drop("_place")
-    lost = groups.where(F.col("component_id").isNull()).select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
-    if not lost.limit(1).count():
-        return named
-    nameless = with_fingerprints(docs.where(F.col(f"`{id_col}`").isNull()), shingle, text_col, "_print")
-    first = Window.partitionBy("_component").orderBy(F.col(f"`{text_col}`"))
-    nameless = nameless.join(lost, F.col("_print") == F.col("_fp")).withColumn("_place", F.row_number().over(first))
-    return named.unionByName(nameless.where(F.col("_place") == 1).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = prints.join(groups, "fp").where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = boxed.join(kept, "doc_id", "left_semi")
+    repeated = materialise(prints.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
+    if not repeated.isEmpty():
+        again = named.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first)
+        named = named.join(repeated, "doc_id", "left_anti").select("doc_id", "row").unionByName(again)
+    lost = materialise(groups.where(F.col("component_id").isNull()).select("fp", "component"))
+    out = named.select("row")
+    if not lost.isEmpty():
+        nameless = with_fingerprints(boxed.where(F.col("doc_id").isNull()), shingle, out="fp")
+        out = out.unionByName(nameless.join(lost, "fp").groupBy("component").agg(first).select("row"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def simhash_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

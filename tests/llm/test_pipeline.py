@@ -105,9 +105,9 @@ def test_near_duplicates_awkward(spark):
     words = ["".join(rnd.choice("abcdefg") for _ in range(5)) for _ in range(300)]
     near = [(100 + i, " ".join(words[:i] + ["edit"] + words[i:])) for i in range(30)]
     rows = AWKWARD + near + [(None, near[0][1]), (None, "lost and alone in the world"), (None, "lost and alone in the world"), (50, "tie tie tie")]
-    df = docs(spark, rows, EXTRA)
+    df = docs(spark, rows, EXTRA + ("_place", "_print", "_fp", "_component", "_kept", "fp", "component", "row"))
     kept = keep_one_of_each(df)
-    assert kept.schema == df.schema
+    assert kept.schema == df.schema and all(r["_place"] == r["_fp"] == r["row"] == 7 for r in kept.collect())
     # ids stand for documents; rows without id are compared by their component
     prints = [(i, plain(t)) for i, t in rows]
     groups = components(prints)
