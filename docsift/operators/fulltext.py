@@ -92,7 +92,8 @@ def _weight(weights: dict[str, float]) -> Column:
 
 def bm25(postings: DataFrame, lengths: DataFrame | None, terms: list[str], weights: dict[str, float] | None = None,
          fields: list[str] | None = None, require_all: bool = True,
-         k1: float = BM25_K1, b: float = BM25_B, stats: DataFrame | None = None) -> DataFrame:
+         k1: float = BM25_K1, b: float = BM25_B, stats: DataFrame | None = None,
+         frequency: DataFrame | None = None) -> DataFrame:
     """Weighted BM25 of the documents matching ``terms``.
 
     idf = ln((N - n + 0.5) / (n + 0.5)) floored at 1e-6; the field weight
@@ -116,14 +117,16 @@ def bm25(postings: DataFrame, lengths: DataFrame | None, terms: list[str], weigh
         f = f.join(lengths, "id")
     if stats is None:
         stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return score_matches(f, stats, len(qterms) if require_all else None, k1, b)
+    return score_matches(f, stats, len(qterms) if require_all else None, k1, b, frequency)
 
 
-def score_matches(f: DataFrame, stats: DataFrame, all_of: int | None = None, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+def score_matches(f: DataFrame, stats: DataFrame, all_of: int | None = None, k1: float = BM25_K1, b: float = BM25_B,
+                  frequency: DataFrame | None = None) -> DataFrame:
     """BM25 (id, score) of the matches (id, token, dl, f), where ``token`` is
     a term, a phrase or a prefix and ``f`` its weighted count in the document;
-    with ``all_of`` only documents that match so many of them."""
-    n = f.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    with ``all_of`` only documents that match so many of them.  ``frequency``:
+    stored (token, n); without it the matches are counted."""
+    n = f.groupBy("token").agg(F.count(F.lit(1)).alias("n")) if frequency is None else frequency
     n_docs = stats.select("n_docs").scalar()
     avgdl = stats.select("avgdl").scalar()
     idf_raw = F.ln((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -140,15 +143,22 @@ def score_matches(f: DataFrame, stats: DataFrame, all_of: int | None = None, k1:
 
 
 class TextIndex:
-    """A persisted text index: postings (token, id, field, tf, dl) laid out
-    range-partitioned and sorted by token, plus a one-row stats table."""
+    """A text index: postings (token, id, field, tf, dl), laid out
+    range-partitioned and sorted by token, with positions (``pos``) if it has
+    them, a one-row stats table, and the 3-grams (gram, id, field) if stored."""
 
-    def __init__(self, postings: DataFrame, stats: DataFrame):
+    def __init__(self, postings: DataFrame, stats: DataFrame, grams: DataFrame | None = None):
         self.postings = postings
         self.stats = stats
+        self.grams = grams
+
+    def document_frequency(self, tokens: list[str], fields: list[str] | None = None) -> DataFrame | None:
+        """Stored (token, n); None if the index has no such counts."""
+        return None
 
     def bm25(self, terms, **kw) -> DataFrame:
-        return bm25(self.postings, None, terms, stats=self.stats, **kw)
+        tokens = sorted(set(fold_terms(terms)))
+        return bm25(self.postings, None, terms, stats=self.stats, frequency=self.document_frequency(tokens, kw.get("fields")), **kw)
 
     def prefix_scores(self, prefix: str, fields: list[str] | None = None) -> DataFrame:
         """T9 ranked: all tokens with the prefix count as one term."""
@@ -159,36 +169,55 @@ class TextIndex:
         f = p.groupBy("id", "dl").agg(F.sum(F.col("tf") * _weight(FIELD_WEIGHTS)).alias("f"))
         return score_matches(f.withColumn("token", F.lit(start)), self.stats)
 
-    def phrase_scores(self, docs: DataFrame, phrase: list[str], field: str = "content") -> DataFrame:
-        """T8 ranked: the occurrences of the phrase in ``field`` count as those
-        of one term; only texts that hold all its words are read."""
+    def phrase_scores(self, docs: DataFrame, phrase: list[str], fields: list[str] | None = None) -> DataFrame:
+        """T8 ranked: the occurrences of the phrase in the fields (all, or the
+        given ones) count as those of one term.  With positions the postings
+        alone decide; else the texts that hold all its words are read."""
         words = fold_terms(phrase)
-        cand = match_all(self.postings, words, [field])
-        found = docs.join(cand, "id", "left_semi").select("id", F.regexp_count(
-            fold(F.col(field)), F.lit(phrase_pattern(words, False))).alias("tf")).where(F.col("tf") > 0)
-        lengths = self.postings.where((F.col("token") == words[0]) & (F.col("field") == field)).select("id", "dl")
-        f = found.join(lengths, "id").select("id", F.lit(" ".join(words)).alias("token"), "dl",
-                                             (F.col("tf") * FIELD_WEIGHTS[field]).alias("f"))
-        return score_matches(f, self.stats)
+        fields = list(FIELD_WEIGHTS) if fields is None else list(fields)
+        if "pos" in self.postings.columns:
+            found = phrase_matches(self.postings, words, fields)
+        else:
+            found = functools.reduce(lambda a, b: a.unionByName(b), [
+                docs.join(match_all(self.postings, words, [x]), "id", "left_semi").select("id", F.lit(x).alias("field"), F.regexp_count(
+                    fold(F.col(x)), F.lit(phrase_pattern(words, False))).cast("long").alias("tf")) for x in fields]).where(F.col("tf") > 0)
+            lengths = self.postings.where((F.col("token") == words[0]) & F.col("field").isin(fields)).select("id", "dl").distinct()
+            found = found.join(lengths, "id")
+        f = found.groupBy("id", "dl").agg(F.sum(F.col("tf") * _weight(FIELD_WEIGHTS)).alias("f"))
+        return score_matches(f.withColumn("token", F.lit(" ".join(words))), self.stats)
+
+
+def _moved(places: Column, back: int) -> Column:
+    return F.transform(places, lambda p: p - back)
+
+
+def phrase_matches(postings: DataFrame, words: list[str], fields: list[str] | None = None) -> DataFrame:
+    """(id, field, dl, tf): where the words stand next to each other, in order,
+    and how often.  Decided on positions: the places of the i-th word, moved
+    back by i, that all words share are the starts of the phrase."""
+    wanted = sorted(set(words))
+    p = postings.where(F.col("token").isin(wanted))
+    if fields is not None:
+        p = p.where(F.col("field").isin(list(fields)))
+    # one row for each different word, so a group is as small as the phrase
+    per = (p.groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("token", "pos"))).alias("m"), F.max("dl").alias("dl"))
+           .where(F.size("m") == len(wanted)))
+    shared = functools.reduce(F.array_intersect, [_moved(F.col("m")[w], i) for i, w in enumerate(words)])
+    return per.select("id", "field", "dl", F.size(shared).cast("long").alias("tf")).where(F.col("tf") > 0)
 
 
 def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id_col: str = "id",
                      positions: bool = False) -> TextIndex:
-    """T4 + I12: tokenize every field once, carry the document length (and,
-    with ``positions``, the token positions) on each posting, so no query
-    joins back to a length table or re-reads text; write the postings
-    token-ordered, and write N / avgdl as a one-row table.  Positions roughly
-    double the build cost; they let phrase queries run on the index alone.
-
-    The length is computed on the document row from the same token arrays
-    the postings come from, so the text is tokenized a single time."""
-    toks = docs.select(F.col(id_col).alias("id"),
-                       *[standard_tokens(F.col(f)).alias(f"_t{i}") for i, f in enumerate(fields)])
-    dl = functools.reduce(lambda a, b: a + b, [_size0(F.col(f"_t{i}")) for i in range(len(fields))])
-    arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_t{i}").alias("toks")) for i, f in enumerate(fields)])
-    rows = toks.select("id", dl.cast("long").alias("dl"), F.inline(arr))
-    post = _document_postings(rows, positions)
-    write_postings(post, f"{path}/postings")
+    """T4 + I12 for a text index that stays as it is (``segments`` has one that
+    is kept current): every document is tokenized and counted in its row, the
+    postings carry the document's length (and, with ``positions``, the places of
+    the token), so no query joins back to a length table or reads a text.  One
+    range shuffle lays them out in (token, id) order; N / avgdl are a one-row
+    table."""
+    from docsift.operators.segments import document_postings, spread
+
+    post = document_postings(spread(docs.select(id_col, *fields)), fields, id_col)
+    write_postings(post.select("token", "id", "field", "tf", "dl", *(["pos"] if positions else [])), f"{path}/postings")
     spark = docs.sparkSession
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     total = spark.read.parquet(f"{path}/postings").select(F.sum("tf").cast("double")).scalar()
@@ -197,23 +226,6 @@ def build_text_index(docs: DataFrame, path: str, fields=tuple(FIELD_WEIGHTS), id
     return open_text_index(spark, path)
 
 
-def _document_postings(rows: DataFrame, positions: bool) -> DataFrame:
-    """Postings of the (document, field) token rows: one explode and a
-    ``groupBy`` whose map-side partial aggregation already yields the final
-    counts (all tokens of a document come from one row, hence one task), so
-    the shuffle carries postings, not token occurrences.  With ``positions``
-    the positions of each posting are collected as a set (phrase matching
-    only tests membership)."""
-    if positions:
-        return (rows.select("id", "dl", "field", F.posexplode("toks").alias("p", "token"))
-                .groupBy("token", "id", "field", "dl")
-                .agg(F.collect_list(F.col("p").cast("int")).alias("pos"))
-                .select("token", "id", "field", F.size("pos").cast("long").alias("tf"), "dl", "pos"))
-    return (rows.select("id", "dl", "field", F.explode("toks").alias("token"))
-            .groupBy("token", "id", "field", "dl").agg(F.count(F.lit(1)).alias("tf"))
-            .select("token", "id", "field", "tf", "dl"))
-
-
 def open_text_index(spark, path: str) -> TextIndex:
     return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
@@ -248,20 +260,11 @@ def match_prefix(postings: DataFrame, prefix: str) -> DataFrame:
 
 def match_phrase(docs: DataFrame, postings: DataFrame, phrase: list[str], field: str = "content") -> DataFrame:
     """Adjacent tokens in order.  With positional postings (``pos``) the
-    match is decided on the postings alone: per document, some position p of
-    the first word has word i at p + i for every i.  Without positions the
-    candidates (all words present) are verified with one regex on their
-    folded text."""
+    match is decided on the postings alone; without positions the candidates
+    (all words present) are verified with one regex on their folded text."""
     words = fold_terms(phrase)
     if "pos" in postings.columns:
-        uniq = sorted(set(words))
-        p = postings.where(F.col("token").isin(uniq) & (F.col("field") == field)).select("id", "token", "pos")
-        per_doc = (p.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "pos"))).alias("m"))
-                   .where(F.size("m") == len(uniq)))
-        ok = F.exists(F.col("m")[words[0]], lambda q: functools.reduce(
-            lambda a, b: a & b,
-            [F.array_contains(F.col("m")[w], q + i) for i, w in enumerate(words) if i > 0], F.lit(True)))
-        return per_doc.where(ok).select("id")
+        return phrase_matches(postings, words, [field]).select("id")
     cand = match_all(postings, words, [field])
     return docs.join(cand, "id", "left_semi").where(fold(F.col(field)).rlike(phrase_pattern(words))).select("id")
 
@@ -293,10 +296,10 @@ def match_fuzzy(docs: DataFrame, text: str, in_path: bool = False) -> DataFrame:
 
 
 def trigram_postings(docs: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """T2 index: distinct (gram, id, field)."""
+    """T2 index: distinct (gram, id, field), made distinct in the row."""
     arr = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("txt")) for f in fields])
     rows = docs.select(F.col(id_col).alias("id"), F.inline(arr))
-    return rows.select("id", "field", F.explode(trigrams("txt")).alias("gram")).distinct()
+    return rows.select("id", "field", F.explode(F.array_distinct(trigrams("txt"))).alias("gram"))
 
 
 def write_trigram_index(docs: DataFrame, path: str, fields=tuple(FUZZY_BOOSTS), id_col: str = "id") -> None:

@@ -4,15 +4,20 @@ between a scan and searches).
 ``build_index`` writes every table a search request or a statistics page
 reads, each laid out for its access path:
 
-* ``documents``  - the document rows with media type and packed id,
-  partitioned by ``index_id`` (index filters prune whole folders);
-* ``text``       - the text index (token-ordered postings + N/avgdl);
-* ``mime_index``, ``path_index``, ``date_range``, ``size_histogram``,
-  ``date_histogram``, ``mime_totals``, ``treemap`` - precomputed facets and
-  statistics (a facet request reads a few rows instead of the documents);
+* ``text`` - segments with the document rows (media type and packed id, in id
+  order, partitioned by ``index_id`` so that index filters prune whole folders),
+  token-ordered postings with positions, document counts, and the 3-grams;
+* ``facets/run=N`` - ``mime_index``, ``path_index``, ``date_range``,
+  ``size_histogram``, ``date_histogram``, ``mime_totals``, ``treemap``:
+  facets and statistics (a facet request reads a few rows instead of the
+  documents);
 * ``tags``, ``vectors`` - tag rows and vectors keyed by document id, the
   vectors with a pre-normalised copy so similarity is one dot product.
 
+``SearchIndex.upsert`` takes new, changed and deleted documents: texts follow as
+a new segment and tombstones, facets are computed anew from the narrow columns of
+the live documents.
+
 Each table is one Spark job with its own partitioning; nothing passes
 through the driver except the treemap's per-level scalars.
 """
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from docsift.functions.paths import full_rel_path
 from docsift.operators import facets as A
 from docsift.operators.documents import index_documents, mime_dimension
-from docsift.operators.fulltext import TextIndex, build_text_index, open_text_index
+from docsift.operators.segments import SegmentedIndex, create_index, open_index
 from docsift.operators.treemap import treemap
 from docsift.operators.vectors import knn_unit, model_vectors, unit_vectors
 
@@ -37,15 +42,18 @@ class SearchIndex:
     """Handle on a built index: one DataFrame per table, plus the text index."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.path = path
-        self.documents = spark.read.parquet(f"{path}/documents")
-        self.text: TextIndex = open_text_index(spark, f"{path}/text")
-        for t in FACET_TABLES + ("tags", "vectors"):
+        self.spark, self.path = spark, path
+        self.text: SegmentedIndex = open_index(spark, f"{path}/text")
+        self.documents = self.text.documents
+        self.run = spark.read.parquet(f"{path}/runs").agg(F.max("run")).first()[0]
+        for t in FACET_TABLES:
+            setattr(self, t, spark.read.parquet(f"{path}/facets/run={self.run}/{t}"))
+        for t in ("tags", "vectors"):
             setattr(self, t, spark.read.parquet(f"{path}/{t}"))
 
     def search(self, req, columns: list[str] | None = None):
         """O6 against the stored tables: an ``index_ids`` filter prunes the
-        document partitions; text terms read only their postings."""
+        document partitions; words, phrases and 3-grams read only their rows."""
         from docsift.operators.search import search
 
         return search(self.documents, req, index=self.text, tags=self.tags, emb=self.vectors, columns=columns)
@@ -57,25 +65,35 @@ class SearchIndex:
              .select(F.col("unit")).scalar())
         return knn_unit(self.documents.select(*(columns or ["id", "name"])), self.vectors, q, k, model_id)
 
+    def upsert(self, docs: DataFrame | None = None, deletes: DataFrame | None = None, mime_dim: DataFrame | None = None) -> SearchIndex:
+        """The index after a run that adds or replaces ``docs`` (columns
+        of the corpus) and deletes the ids of ``deletes``."""
+        mime_dim = mime_dim if mime_dim is not None else mime_dimension(self.spark)
+        rows = None if docs is None else index_documents(docs, mime_dim).select(*self.documents.columns)
+        text = self.text.upsert(rows, deletes)
+        _write_facets(text.documents, self.path, self.run + 1, mime_dim)
+        return SearchIndex(self.spark, self.path)
+
+
+def _write_facets(stored: DataFrame, out: str, run: int, mime_dim: DataFrame) -> None:
+    """Facets of a run; the run counts once its last table is there."""
+    files = stored.where(F.col("parent").isNull()).select(full_rel_path("path", "name", "extension").alias("path"), "size")
+    tables = {
+        "mime_index": A.mime_index(stored), "path_index": A.path_index(stored), "date_range": A.date_range(stored),
+        "size_histogram": A.size_histogram(stored), "date_histogram": A.date_histogram(stored),
+        "mime_totals": A.mime_totals(stored, mime_dim), "treemap": treemap(files)}
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{out}/facets/run={run}/{name}")
+    stored.sparkSession.range(1).select(F.lit(run).alias("version")).write.mode("overwrite").parquet(f"{out}/runs/run={run}")
+
 
 def build_index(corpus: DataFrame, out: str, mime_dim: DataFrame | None = None, tags: DataFrame | None = None,
                 emb: DataFrame | None = None) -> SearchIndex:
     """Write all index tables under ``out`` and return a handle on them."""
     spark = corpus.sparkSession
     mime_dim = mime_dim if mime_dim is not None else mime_dimension(spark)
-    docs = index_documents(corpus, mime_dim)
-    docs.write.mode("overwrite").partitionBy("index_id").parquet(f"{out}/documents")
-    stored = spark.read.parquet(f"{out}/documents")  # later tables read the written rows, not the scan
-    build_text_index(stored, f"{out}/text")
-    A.mime_index(stored).write.mode("overwrite").parquet(f"{out}/mime_index")
-    A.path_index(stored).write.mode("overwrite").parquet(f"{out}/path_index")
-    A.date_range(stored).write.mode("overwrite").parquet(f"{out}/date_range")
-    A.size_histogram(stored).write.mode("overwrite").parquet(f"{out}/size_histogram")
-    A.date_histogram(stored).write.mode("overwrite").parquet(f"{out}/date_histogram")
-    A.mime_totals(stored, mime_dim).write.mode("overwrite").parquet(f"{out}/mime_totals")
-    files = stored.where(F.col("parent").isNull()).select(
-        full_rel_path("path", "name", "extension").alias("path"), "size")
-    treemap(files).write.mode("overwrite").parquet(f"{out}/treemap")
+    text = create_index(index_documents(corpus, mime_dim), f"{out}/text", grams=True, partition_by=("index_id",))
+    _write_facets(text.documents, out, 1, mime_dim)  # from the written rows, not the scan
     empty_tags = spark.createDataFrame([], "id long, index_id int, tag string")
     (tags if tags is not None else empty_tags).write.mode("overwrite").parquet(f"{out}/tags")
     empty_emb = spark.createDataFrame([], "id long, model_id int, start int, embedding array<float>")

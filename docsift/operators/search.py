@@ -324,9 +324,11 @@ TEXT_FIELDS_NO_PATH = ["name", "content", "title"]
 def text_scores(docs: DataFrame, req: SearchRequest, index, grams: DataFrame | None = None) -> DataFrame | None:
     """(id, score) of the documents that match the text parts of a request,
     the scores of the parts added up; None if it has none.  ``grams`` is the
-    stored 3-gram index; without it a fuzzy part reads the texts."""
+    stored 3-gram index (by default that of ``index``); without it a fuzzy part
+    reads the texts."""
     from docsift.operators import fulltext as T
 
+    grams = index.grams if grams is None and index is not None else grams
     fields = None if req.search_in_path else TEXT_FIELDS_NO_PATH
     parts = []
     if req.terms:
@@ -336,7 +338,7 @@ def text_scores(docs: DataFrame, req: SearchRequest, index, grams: DataFrame | N
     if req.prefix:
         parts.append(index.prefix_scores(req.prefix, fields))
     if req.phrase:
-        parts.append(index.phrase_scores(docs, req.phrase))
+        parts.append(index.phrase_scores(docs, req.phrase, fields))
     if req.fuzzy:
         parts.append(T.match_fuzzy(docs, req.fuzzy, req.search_in_path) if grams is None
                      else T.match_fuzzy_index(grams, req.fuzzy, req.search_in_path))

@@ -31,7 +31,7 @@ def text_index(spark, sf_dir) -> T.TextIndex:
     key = (spark.conf.get("spark.app.id", "app"), sf_dir)
     if key not in _INDEXES:
         path = scratch_dir(spark, "text-index")
-        T.build_text_index(Fixtures(spark, sf_dir).corpus, path)
+        T.build_text_index(Fixtures(spark, sf_dir).corpus, path, positions=True)
         _INDEXES[key] = path
     return T.open_text_index(spark, _INDEXES[key])
 

@@ -81,8 +81,9 @@ RANKED_PHRASE = S.SearchRequest(phrase=["of", "the"], sort="score", sort_asc=Fal
 
 
 @query("search_ranked_phrase_page", "O6/T8", with_fixtures(["corpus", "mime"], _page("true"), IDX_CTE + ",\n" + _postings_cte() + ",\n"
-       + _scored(f"""SELECT id, f FROM (SELECT id, {T.FIELD_WEIGHTS['content']} * len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) AS f
-    FROM (SELECT id, {Q.tokens('content')} AS t FROM corpus)) WHERE f > 0""", "sc")))
+       + _scored("SELECT id, f FROM (SELECT id, " + " + ".join(
+           f"{T.FIELD_WEIGHTS[x]} * len(list_filter(range(1, len({x}_t)), lambda i: {x}_t[i] = 'of' AND {x}_t[i + 1] = 'the'))" for x in S.TEXT_FIELDS_NO_PATH)
+           + " AS f FROM (SELECT id, " + ", ".join(f"{Q.tokens(x)} AS {x}_t" for x in S.TEXT_FIELDS_NO_PATH) + " FROM corpus)) WHERE f > 0", "sc")))
 def search_ranked_phrase_page(spark, sf_dir):
     return _ask(spark, sf_dir, RANKED_PHRASE)
 

@@ -145,7 +145,8 @@ SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, round(CASE WHE
 FROM idx i LEFT JOIN (SELECT * FROM emb WHERE model_id = 1 AND start = 0) e ON i.id = e.id,
      (SELECT embedding AS v FROM emb WHERE id = 7 AND model_id = 1 AND start = 0) q
 WHERE i.mime IN ('text/plain', 'text/html', 'application/pdf')
-ORDER BY sort_var DESC, i.id ASC LIMIT 30""", IDX_CTE))
+ORDER BY CASE WHEN e.embedding IS NULL THEN -1.0
+       ELSE coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])), -1.0) END DESC, i.id ASC LIMIT 30""", IDX_CTE))
 def search_by_embedding_page(spark, sf_dir):
     from docsift.operators.vectors import vector_of
 
@@ -153,4 +154,4 @@ def search_by_embedding_page(spark, sf_dir):
     req = S.SearchRequest(mime_types=["text/plain", "text/html", "application/pdf"], sort="embedding",
                           sort_asc=False, page_size=30, model=1)
     req.embedding = vector_of(fx.emb, 7)
-    return S.search_page(doc_index(fx), req, emb=fx.emb)
+    return S.search_page(doc_index(fx), req, emb=fx.emb).withColumn("sort_var", F.round("sort_var", 6))

@@ -281,7 +281,7 @@ PHRASE_REQ = S.SearchRequest(terms=["the"], phrase=["of", "the"], sort="size", s
 SELECT i.id, i.index_id, i.name, i.path, i.size, i.mtime, i.mime, i.size AS sort_var
 FROM idx i JOIN sc ON i.id = sc.id
 WHERE i.size >= 100000
-  AND contains(' ' || array_to_string({Q.tokens('i.content')}, ' ') || ' ', ' of the ')
+  AND ({" OR ".join(f"contains(' ' || array_to_string({Q.tokens('i.' + f)}, ' ') || ' ', ' of the ')" for f in S.TEXT_FIELDS_NO_PATH)})
 ORDER BY sort_var ASC, i.id ASC LIMIT 50""",
     IDX_CTE + ",\n" + _postings_cte() + ",\n" + bm25_cte(["the"], fields=S.TEXT_FIELDS_NO_PATH)))
 def search_phrase_page(spark, sf_dir):
