@@ -34,9 +34,12 @@ from docsift.llm.common import LOWER_SPACE_BYTES, byte_block, chunked, crc32_rem
 from docsift.llm.suffix_dedup import pack, unpack
 
 CHUNK_BYTES = 8 << 20
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 20
 SMOOTH = 0.1
 ROWS = "key long, kind int, other long, data binary"
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+# keeps the first 0 to 8 of eight bytes
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def _row(key: int, kind: int, other: int, data: bytes) -> pa.RecordBatch:
@@ -174,31 +177,45 @@ def _path_predictions(chunks: DataFrame, code, buckets: int) -> DataFrame:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, and the words of each text.
-    A hash is the sum of the word's bytes, each times the random number of its
-    place, spread over all bits."""
-    room = np.frombuffer((b" ".join(texts) + b" ").translate(LOWER_SPACE_BYTES), dtype=np.uint8)
+    A word enters eight bytes at a time; words of one length up to eight bytes
+    never share a hash."""
+    room = np.frombuffer((b" ".join(texts) + b" " * 8).translate(LOWER_SPACE_BYTES), dtype=np.uint8)
     letter = room != 32
-    before = np.concatenate([[False], letter[:-1]])
-    start, end = np.flatnonzero(letter & ~before), np.flatnonzero(~letter & before)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    at = np.arange(len(room), dtype=np.int32)
-    place = at - np.maximum.accumulate(np.where(letter & ~before, at, np.int32(0)))
-    longest = int((end - start).max())
-    factors = np.random.default_rng(20).integers(0, 1 << 63, size=longest + 1, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-    terms = factors[np.minimum(place, longest)]
-    terms *= room.astype(np.uint64) + np.uint64(1)
-    bounds = np.empty(2 * len(start), dtype=np.int64)
-    bounds[0::2], bounds[1::2] = start, end
-    h = np.add.reduceat(terms, bounds)[0::2]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
+    start, end = (np.flatnonzero(x) + 1 for x in (letter[1:] > letter[:-1], letter[1:] < letter[:-1]))
+    if letter[0]:
+        start = np.concatenate([[0], start])
+    eight = np.ndarray((len(room) - 7,), dtype="<u8", buffer=room, strides=(1,))
+    h, left, place, active = (end - start).astype(np.uint64) * _ODD[0], end - start, start, None
+    while True:
+        x = eight[place] & _KEEP[np.minimum(left, 8)]
+        x = (x ^ (h if active is None else h[active])) * _ODD[0]
+        x ^= x >> np.uint64(32)
+        x *= _ODD[1]
+        x ^= x >> np.uint64(29)
+        if active is None:
+            h, active = x, np.arange(len(x))
+        else:
+            h[active] = x
+        more = left > 8
+        active, place, left = active[more], place[more] + 8, left[more] - 8
+        if not len(active):
+            break
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     stops = np.searchsorted(start, np.cumsum(sizes))
     return h, np.diff(stops, prepend=0)
 
 
+def _distinct_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of some texts, in order, the place of every word
+    among them, and the words of each text."""
+    words, sizes = word_hashes(texts)
+    found, number = model.numbered(words)
+    order = np.argsort(found)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], place[number], sizes
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
@@ -211,8 +228,7 @@ def _word_counts(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 _, flags, texts = _texts(data)
-                words, sizes = word_hashes(texts)
-                hashes, place = np.unique(words, return_inverse=True)
+                hashes, place, sizes = _distinct_words(texts)
                 counts = np.bincount(place, weights=np.repeat((flags & 4) > 0, sizes), minlength=len(hashes))
                 bucket = _bucket(hashes, buckets)
                 for b in np.unique(bucket).tolist():
@@ -296,8 +312,7 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     replies[other] = unpack(data)[0]
                     continue
                 ids, flags, texts = _texts(data)
-                words, sizes = word_hashes(texts)
-                hashes, place = np.unique(words, return_inverse=True)
+                hashes, place, sizes = _distinct_words(texts)
                 bucket, c = _bucket(hashes, buckets), np.zeros(len(hashes), dtype=np.int64)
                 for b, n in replies.items():
                     c[bucket == b] = n
@@ -306,9 +321,8 @@ def score_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 text_of = np.repeat(np.arange(len(texts)), sizes)
                 base = np.bincount(text_of, weights=logs[place], minlength=len(texts)) + end
                 seen = np.bincount(text_of, weights=c[place] > 0, minlength=len(texts)).astype(np.int64) + (train_texts > 0)
-                keys, _ = _chunk_keys(code.value, flags, texts)
-                known = model.Known(code.value, keys, np.concatenate([paths[b] for b in sorted(paths)]))
-                bits = np.concatenate([model.score_known(code.value, known, b, start) for b in _blocks(texts)])
+                values = np.concatenate([paths[b] for b in sorted(paths)])
+                bits = model.score_texts(code.value, list(_blocks(texts)), lambda keys: values, start)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, mask=(flags & 1).astype(bool)), pa.array((flags & 2).astype(bool)),
                     pa.array(sizes + 1), pa.array(seen),

@@ -3,14 +3,13 @@
 A symbol (a byte, or the end of the text) is spelled as the bits of a Huffman
 code that depends on the one or two bytes before it, so a symbol takes about
 three binary decisions.  Every decision is predicted by several contexts: those
-one or two bytes (whose counts are those of the code), and, hashed, the last four
-bytes and the word so far.  A context's counts of zeros and ones give its
-prediction as a log-odds ("stretched") input.  Hashed contexts are counted by
-symbol under a key of the context and the symbol (``context_keys``); the counts
-of all keys of a context give the predictions on the path of each symbol
-(``path_predictions``), and a block is scored with those of its own keys
-(``Known``).  Tables of a fixed number of slots do for a few texts.  The inputs are
-combined by a weight vector that a gate chooses (which of the longer contexts
+one or two bytes (whose counts are those of the code), and, hashed, the last
+``ORDER`` bytes and the word so far (its last eight bytes).  A context's counts of
+zeros and ones give its prediction as a log-odds ("stretched") input.  Hashed
+contexts are counted by symbol under a key of the context and the symbol
+(``context_keys``); the counts of all keys of a context give the predictions on
+the path of each symbol (``path_predictions``), and texts are scored with those
+of their own keys (``score_texts``).  The inputs are combined by a weight vector that a gate chooses (which of the longer contexts
 have been seen at all), plus a correction of the text's own, which is refined by
 the gradient of the coding cost after every ``STEP`` bytes.  A long text is
 scored in lanes of ``LANE`` bytes; each lane starts its correction anew but
@@ -29,8 +28,6 @@ END = 256
 SYMBOLS = 257
 ORDER = 5                # bytes of the first hashed context; the second is the word so far
 HASHED, INPUTS = 2, 3    # the first input is the code's own prediction
-SLOT_BITS = (22, 22)
-SLOTS = tuple(1 << b for b in SLOT_BITS)
 LANE, STEP = 4096, 64
 PRIOR = 0.1              # added to both counts of a context
 SCALE = 12.0             # stretched predictions are kept as integers / SCALE
@@ -39,7 +36,6 @@ RATE = 0.008
 PAIRS = 1024             # two-byte contexts, most frequent first, with a code of their own
 ROW_BITS = 19            # of a key: a row of the code, 1280 x 257 at most
 KEYS = 1 << 17           # expanded to decisions at a time
-LEARNED = np.uint64(1)   # lowest bit of a key while it is counted
 _GAP = bytes(8)
 _LOWER = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
 # keeps the last 0 to 8 of eight bytes
@@ -52,7 +48,8 @@ class Code:
     """``code_of``: number of the code after the last two bytes (as their
     little-endian value).  Decisions of every (code, symbol): ``length`` of
     them from ``start`` on in ``item``, each a hash of the decision's node with
-    the bit that was taken on top, and in ``guess``, the code's prediction."""
+    the bit that was taken on top, and in ``guess``, the code's prediction of
+    that bit."""
     code_of: np.ndarray
     length: np.ndarray
     start: np.ndarray
@@ -93,8 +90,9 @@ def huffman_code(singles: np.ndarray, pairs: dict[int, np.ndarray]) -> Code:
             guess.extend(odds)
     h = (np.array(nodes, np.uint64) + np.uint64(1)) * _MIX[0]
     h = ((h ^ h >> np.uint64(29)) * _MIX[1] >> np.uint64(33)).astype(np.uint32)
-    guess = np.clip(np.rint(np.log(np.array(guess)) * SCALE), -LIMIT, LIMIT).astype(np.int8)
-    return Code(code_of, np.array(lengths, np.int32), np.array(starts, np.int32), h | np.array(bits, np.uint32) << np.uint32(31), guess)
+    taken = np.array(bits, np.int8)
+    guess = np.clip(np.rint(np.log(np.array(guess)) * SCALE), -LIMIT, LIMIT).astype(np.int8) * (2 * taken - 1)
+    return Code(code_of, np.array(lengths, np.int32), np.array(starts, np.int32), h | taken.astype(np.uint32) << np.uint32(31), guess)
 
 
 @dataclass
@@ -140,19 +138,15 @@ def _hashed(block: Block, i: int) -> np.ndarray:
     return key
 
 
-def contexts(block: Block, i: int) -> np.ndarray:
-    """Hash of hashed context ``i`` at every place."""
-    return (_hashed(block, i) >> np.uint64(33)).astype(np.uint32)
-
-
-def context_keys(code: Code, block: Block, i: int) -> np.ndarray:
+def context_keys(code: Code, block: Block, i: int, rows: np.ndarray | None = None) -> np.ndarray:
     """Key of context ``i`` with the symbol at every place: ``i``, 43 bits of
-    the context's hash, the symbol's row of ``code``, and a zero."""
+    the context's hash, the symbol's row of ``code`` (``rows``, if known), and a
+    zero."""
     key = _hashed(block, i)
     key >>= np.uint64(1 + ROW_BITS + 1)
     key |= np.uint64(i << (64 - 1 - 1 - ROW_BITS))
     key <<= np.uint64(ROW_BITS)
-    key |= code_symbols(code, block).astype(np.uint64)
+    key |= (code_symbols(code, block) if rows is None else rows).astype(np.uint64)
     key <<= np.uint64(1)
     return key
 
@@ -163,11 +157,14 @@ def code_symbols(code: Code, block: Block) -> np.ndarray:
 
 
 def runs_of(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """All places of runs of ``length`` from ``start`` on."""
-    ends = np.cumsum(length, dtype=np.int32)
-    flat = np.repeat(start - (ends - length), length)
-    flat += np.arange(len(flat), dtype=np.int32)
-    return flat
+    """All places of runs of ``length`` (at least one) from ``start`` on."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(length, dtype=np.int64)
+    flat = np.ones(ends[-1], dtype=np.int64)
+    flat[0], start = start[0], start.astype(np.int64)
+    flat[ends[:-1]] = start[1:] - start[:-1] - length[:-1] + 1
+    return np.cumsum(flat, out=flat)
 
 
 def decisions(code: Code, rows: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -184,22 +181,6 @@ def pair_counts(texts: list[bytes], counts: np.ndarray) -> None:
     np.add.at(counts, key[block.valid], np.uint32(1))
 
 
-def count_block(code: Code, texts: list[bytes], counts: list[np.ndarray]) -> None:
-    """Add the decisions of some texts to ``counts`` (per input, 2 a slot)."""
-    block = layout(texts)
-    rows = code_symbols(code, block)
-    length = code.length[rows] * block.valid
-    item = code.item[decisions(code, rows, length)]
-    bit = item >> np.uint32(31)
-    for i in range(HASHED):
-        at = np.repeat(contexts(block, i), length)
-        at ^= item
-        at &= np.uint32(SLOTS[i] - 1)
-        at <<= np.uint32(1)
-        at |= bit
-        np.add.at(counts[i], at, np.uint32(1))
-
-
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log-odds of a context's counts as small integers; 0 if never seen."""
     x = np.log((ones + PRIOR) / (zeros + PRIOR)) * SCALE
@@ -211,24 +192,29 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 def count_keys(code: Code, blocks: list[tuple[list[bytes], bool]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of all contexts of some blocks of texts, in order, and how
     often each occurs in the blocks that are learned from (the flag)."""
+    found, often = [[] for _ in range(HASHED)], [[] for _ in range(HASHED)]
+    for texts, learned in blocks:
+        block = layout(texts)
+        rows = code_symbols(code, block)
+        for i in range(HASHED):
+            key = context_keys(code, block, i, rows)[block.valid]
+            key.sort()
+            first = np.flatnonzero(_news(key))
+            found[i].append(key[first])
+            often[i].append(np.diff(first, append=len(key)) * learned)
     keys, counts = [], []
-    for i in range(HASHED):
-        parts = []
-        for texts, learned in blocks:
-            block = layout(texts)
-            parts.append(context_keys(code, block, i)[block.valid])
-            if learned:
-                parts[-1] |= LEARNED
-        key = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        del parts
-        key.sort()
-        first = np.ones(len(key), dtype=bool)
-        np.greater(key[1:] ^ key[:-1], LEARNED, out=first[1:])
-        first = np.flatnonzero(first)
-        keys.append(key[first] & ~LEARNED)
-        key &= LEARNED
-        counts.append(np.add.reduceat(key, first) if len(first) else key)
-    return np.concatenate(keys), np.concatenate(counts)
+    for i in range(HASHED if blocks else 0):
+        distinct, place = np.unique(np.concatenate(found[i]), return_inverse=True)
+        keys.append(distinct)
+        counts.append(np.bincount(place, weights=np.concatenate(often[i]), minlength=len(distinct)).astype(np.int64))
+    return (np.concatenate(keys), np.concatenate(counts)) if blocks else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _news(keys: np.ndarray) -> np.ndarray:
+    """True where a key differs from the one before it."""
+    new = np.ones(len(keys), dtype=bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    return new
 
 
 def key_lengths(code: Code, keys: np.ndarray) -> np.ndarray:
@@ -237,8 +223,9 @@ def key_lengths(code: Code, keys: np.ndarray) -> np.ndarray:
 
 
 def path_predictions(code: Code, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Stretched predictions on the paths of all keys, one path after the
-    other; ``keys`` are distinct, in order, and all that their contexts have."""
+    """Stretched predictions of the bits on the paths of all keys, one path
+    after the other; ``keys`` are distinct, in order, and all that their
+    contexts have."""
     rows = ((keys >> np.uint64(1)) & np.uint64((1 << ROW_BITS) - 1)).astype(np.int32)
     context, number = keys >> np.uint64(1 + ROW_BITS), rows // np.int32(SYMBOLS)
     new = np.ones(len(keys), dtype=bool)
@@ -252,37 +239,55 @@ def path_predictions(code: Code, keys: np.ndarray, counts: np.ndarray) -> np.nda
         item = code.item[decisions(code, rows[at:stop], length)]
         node = np.repeat(group[at:stop].astype(np.uint64), length) << np.uint64(31) | item & np.uint32((1 << 31) - 1)
         _, of = np.unique(node, return_inverse=True)
-        n, bit = np.repeat(counts[at:stop], length).astype(np.float64), item >> np.uint32(31)
+        n, bit = np.repeat(counts[at:stop], length).astype(np.float64), (item >> np.uint32(31)).astype(np.int8)
         ones = np.bincount(of, weights=n * bit)
-        out.append(stretched(np.bincount(of, weights=n) - ones, ones)[of])
+        out.append(stretched(np.bincount(of, weights=n) - ones, ones)[of] * (2 * bit - 1))
         at = stop
     return np.concatenate(out) if out else np.zeros(0, np.int8)
 
 
-class Known:
-    """Predictions (``values``) on the paths of distinct ``keys``."""
-
-    def __init__(self, code: Code, keys: np.ndarray, values: np.ndarray):
-        length = key_lengths(code, keys)
-        self.keys, self.values, self.start = keys, values, (np.cumsum(length) - length).astype(np.int32)
-        self.shift = np.uint64(64 - max(len(keys) * 4, 1).bit_length())
-        self.tables, rest = [], np.arange(len(keys), dtype=np.int32)
-        for odd in _MIX:  # what finds its slot taken goes to the next table
-            slot = (keys[rest] * odd) >> self.shift
-            table = np.zeros(1 << (64 - int(self.shift)), dtype=np.int32)
-            table[slot] = rest
-            self.tables.append(table)
-            rest = rest[table[slot] != rest]
-
-    def paths(self, keys: np.ndarray) -> np.ndarray:
-        """Where in ``values`` the paths of some keys (all known) begin."""
-        at = self.tables[0][(keys * _MIX[0]) >> self.shift]
-        for table, odd in zip(self.tables[1:], _MIX[1:]):
-            other = np.flatnonzero(self.keys[at] != keys)
-            at[other] = table[(keys[other] * odd) >> self.shift]
-        other = np.flatnonzero(self.keys[at] != keys)
-        at[other] = np.searchsorted(self.keys, keys[other])
-        return self.start[at]
+def key_ranks(code: Code, texts: list[list[bytes]], i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of context ``i`` in some blocks of texts, in the order in
+    which they first occur, and the number of the key at every valid place."""
+    key = np.empty(sum(len(t) + 1 for block in texts for t in block), dtype=np.uint64)
+    at = 0
+    for block in map(layout, texts):
+        part = context_keys(code, block, i)[block.valid]
+        key[at:at + len(part)] = part
+        at += len(part)
+    return numbered(key)
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in the order in which they first occur, and the number of
+    the key at every place."""
+    # sorting hashes that carry their places finds equal keys without an argsort of all
+    places = np.uint64((1 << max(1, int(len(key) - 1).bit_length())) - 1)
+    packed = key * _MIX[0]
+    packed &= ~places
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    new = np.ones(len(key), dtype=bool)
+    np.greater(packed[1:] ^ packed[:-1], places, out=new[1:])
+    packed &= places
+    place = packed.view(np.int64)
+    first, group = place[new], np.cumsum(new, dtype=np.int32) - np.int32(1)
+    distinct, number = _by_first(key, first)
+    of = np.empty(len(key), dtype=np.int32)
+    of[place] = number[group]
+    if not (distinct[of] == key).all():  # two keys of one hash
+        _, first, group = np.unique(key, return_index=True, return_inverse=True)
+        distinct, number = _by_first(key, first)
+        of = number[group]
+    return distinct, of
+
+
+def _by_first(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in the order of their first places, and each one's number in it."""
+    order = np.argsort(first)
+    number = np.empty(len(order), dtype=np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    return key[first[order]], number
 
 
 def start_weights(main: float = 0.45, rest: float = 0.35, share: float = 0.25) -> np.ndarray:
@@ -297,36 +302,39 @@ def start_weights(main: float = 0.45, rest: float = 0.35, share: float = 0.25) -
     return out
 
 
-def score_known(code: Code, known: Known, texts: list[bytes], start: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """Bits of every text of a block under the mixed model."""
+def score_texts(code: Code, texts: list[list[bytes]], predictions, start: np.ndarray, rate: float = RATE) -> np.ndarray:
+    """Bits of every text of some blocks under the mixed model.
+    ``predictions``: from the distinct keys of all blocks, in order, to those on
+    the paths of all keys, one after the other (``path_predictions``)."""
+    texts = [t for t in texts if t]
     if not texts:
         return np.zeros(0)
-    block = layout(texts)
-    paths = []
-    for i in range(HASHED):
-        paths.append(np.zeros(len(block.symbol), dtype=np.int32))
-        paths[i][block.valid] = known.paths(context_keys(code, block, i)[block.valid])
-    return _score(code, block, lambda i, places, length, item: np.take(known.values, runs_of(paths[i][places], length)), start, rate)
-
-
-def score_block(code: Code, tables: list[np.ndarray], texts: list[bytes], start: np.ndarray, rate: float = RATE) -> np.ndarray:
-    """The same with tables of slots (``count_block``)."""
-    if not texts:
-        return np.zeros(0)
-    block = layout(texts)
-    hashes = [contexts(block, i) for i in range(HASHED)]
-
-    def look(i, places, length, item):
-        slot = np.repeat(hashes[i][places], length)
-        slot ^= item
-        slot &= np.uint32(SLOTS[i] - 1)
-        return np.take(tables[i], slot)
-
-    return _score(code, block, look, start, rate)
+    found = [key_ranks(code, texts, i) for i in range(HASHED)]
+    orders = [np.argsort(distinct) for distinct, _ in found]
+    keys = np.concatenate([distinct[order] for (distinct, _), order in zip(found, orders)])
+    known, length = predictions(keys), key_lengths(code, keys)
+    begin = np.cumsum(length) - length
+    values, starts, before = [], [], 0
+    for order in orders:  # predictions in the order of the text, where those of near places are near
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(before, before + len(order))
+        values.append(known[runs_of(begin[place], length[place])])
+        starts.append((np.cumsum(length[place]) - length[place]).astype(np.int32))
+        before += len(order)
+    out, at = [], 0
+    for block in map(layout, texts):
+        stop, paths = at + int(np.count_nonzero(block.valid)), []
+        for i in range(HASHED):
+            paths.append(np.zeros(len(block.symbol), dtype=np.int32))
+            paths[i][block.valid] = starts[i][found[i][1][at:stop]]
+        out.append(_score(code, block, paths, values, start, rate))
+        at = stop
+    return np.concatenate(out)
 
 
-def _score(code: Code, block: Block, look, start: np.ndarray, rate: float) -> np.ndarray:
-    """``look``: predictions of a context for all decisions at some places."""
+def _score(code: Code, block: Block, paths: list[np.ndarray], values: list[np.ndarray], start: np.ndarray, rate: float) -> np.ndarray:
+    """``paths``: where in ``values`` the predictions of each context for the
+    bits at every place begin."""
     code_rows = code_symbols(code, block)
     lanes_of = -(-block.sizes // LANE)
     first_lane = np.cumsum(lanes_of) - lanes_of
@@ -335,6 +343,7 @@ def _score(code: Code, block: Block, look, start: np.ndarray, rate: float) -> np
     lane_size = np.minimum(np.repeat(block.sizes, lanes_of) - inner, LANE)
     weights, bits = np.zeros((INPUTS, len(lane_start)), dtype=np.float32), np.zeros(len(lane_start))
     start = np.ascontiguousarray(start.T) / np.float32(SCALE)
+    gates = start.shape[1]
     for at in range(0, int(lane_size.max()), STEP):
         now = np.flatnonzero(lane_size > at)
         places = (lane_start[now, None] + at) + np.arange(STEP)
@@ -342,33 +351,28 @@ def _score(code: Code, block: Block, look, start: np.ndarray, rate: float) -> np
         places = places[np.arange(STEP) < sizes[:, None]]
         rows = code_rows[places]
         length = code.length[rows]
-        flat = decisions(code, rows, length)
-        item = code.item[flat]
-        first = np.cumsum(sizes) - sizes
-        begin = (np.cumsum(length) - length)[first]
-        runs = np.diff(np.append(begin, len(item)))
-        inputs, gate = [code.guess[flat]], np.zeros(len(item), dtype=np.uint8)
+        ends = np.cumsum(length, dtype=np.int64)
+        begin = (ends - length)[np.cumsum(sizes) - sizes]
+        runs = np.diff(np.append(begin, ends[-1]))
+        inputs = [code.guess[runs_of(code.start[rows], length)].astype(np.float32)]
+        of = np.repeat(np.arange(len(now)) * gates, runs)  # row of the lane and gate
         for i in range(HASHED):
-            inputs.append(look(i, places, length, item))
-            gate |= (inputs[-1] != 0).view(np.uint8) << np.uint8(i)
-        z = np.zeros(len(item), dtype=np.float32)
+            seen = values[i][runs_of(paths[i][places], length)]
+            of += (seen != 0).view(np.int8) << np.int8(i)
+            inputs.append(seen.astype(np.float32))
+        z = np.zeros(ends[-1], dtype=np.float32)  # log-odds of the bits that came
         for i in range(INPUTS):
-            w = np.take(start[i], gate)
-            w += np.repeat(weights[i][now], runs)
+            w = (weights[i][now, None] + start[i]).ravel()[of]
             w *= inputs[i]
             z += w
-        sign = (item >> np.uint32(31)).astype(np.float32)
-        sign *= 2
-        sign -= 1
-        z *= sign                                # log-odds of the bit that came
         e = np.exp(-np.abs(z))
         cost = np.log1p(e)
         cost -= np.minimum(z, 0)
         bits[now] += np.add.reduceat(cost, begin)
-        e1 = 1 + e
         wrong = np.where(z < 0, 1, e)
-        wrong /= e1
-        wrong *= sign
+        e += 1
+        wrong /= e
         for i in range(INPUTS):
-            weights[i][now] += np.float32(rate / SCALE**2) * np.add.reduceat(wrong * inputs[i], begin)
+            inputs[i] *= wrong
+            weights[i][now] += np.float32(rate / SCALE**2) * np.add.reduceat(inputs[i], begin)
     return np.add.reduceat(bits, first_lane) / np.log(2)

@@ -64,102 +64,135 @@ def test_word_hashes_tell_words_apart():
     assert word_hashes([b" ", b""])[1].tolist() == [0, 0] and word_hashes([])[1].tolist() == []
 
 
-def code_and_tables(texts):
+def code_of(texts, most=5):
     flat = np.zeros(mm.SYMBOLS << 16, dtype=np.uint32)
     mm.pair_counts(texts, flat)
     by_pair = flat.reshape(1 << 16, -1).astype(np.int64)
-    code = mm.huffman_code(by_pair.reshape(256, 256, -1).sum(1), {int(p): by_pair[p] for p in np.argsort(-by_pair.sum(1), kind="stable")[:5]})
-    counts = [np.zeros(2 * s, dtype=np.uint32) for s in mm.SLOTS]
-    mm.count_block(code, texts, counts)
-    return code, counts, [mm.stretched(c[0::2].astype(float), c[1::2].astype(float)) for c in counts]
+    total = by_pair.sum(1)
+    common = [int(p) for p in np.lexsort((np.arange(1 << 16), -total))[:most] if total[p]]
+    return mm.huffman_code(by_pair.reshape(256, 256, -1).sum(1), {p: by_pair[p] for p in common})
 
 
 TEXTS = [b"", b"a", b"The cat sat on the mat.\nThe dog sat. " * 20, bytes(range(256)), "héé 日本".encode() * 9, b"x" * 9000]
+NEW = b"The mat sat on the dog, zzz unseen. " * 30
 
 
-def test_code_is_a_code():
-    code, _, _ = code_and_tables(TEXTS)
-    for row in (0, ord("t"), 256):
-        words = set()
-        for s in range(mm.SYMBOLS):
-            at = row * mm.SYMBOLS + s
-            words.add(tuple((code.item[code.start[at]:code.start[at] + code.length[at]] >> 31).tolist()))
-        assert len(words) == mm.SYMBOLS and abs(sum(2.0 ** -len(w) for w in words) - 1) < 1e-9
+def nodes(code, text):
+    """Per place of a text: its decisions as (place in the code, nodes of all contexts, bit)."""
+    block = mm.layout([text])
+    assert block.symbol[:len(text)].tolist() == list(text.translate(mm.LOWER_BYTES)) and block.symbol[len(text)] == mm.END
+    rows, hashes = mm.code_symbols(code, block), [mm._hashed(block, i) >> np.uint64(21) for i in range(mm.HASHED)]
+    for place in np.flatnonzero(block.valid):
+        r = int(rows[place])
+        yield [(at, [(i, int(h[place]), r // mm.SYMBOLS, int(code.item[at]) & (1 << 31) - 1) for i, h in enumerate(hashes)],
+                int(code.item[at]) >> 31) for at in range(code.start[r], code.start[r] + code.length[r])]
+
+
+def plain_counts(code, texts):
+    seen = [Counter(), Counter()]
+    for text in texts:
+        for place in nodes(code, text):
+            for _, contexts, bit in place:
+                seen[bit].update(contexts)
+    return seen
 
 
-def test_counts_equal_place_by_place():
-    code, counts, _ = code_and_tables(TEXTS)
-    want = [Counter(), Counter()]
-    for text in TEXTS:
-        one = mm.layout([text])
-        rows, hashes = mm.code_symbols(code, one), [mm.contexts(one, i) for i in range(2)]
-        assert one.symbol[:len(text)].tolist() == list(text.lower()) and one.symbol[len(text)] == mm.END
-        for place in np.flatnonzero(one.valid):
-            r = rows[place]
-            for item in code.item[code.start[r]:code.start[r] + code.length[r]]:
-                for i in range(2):
-                    want[i][int(((hashes[i][place] ^ item) & np.uint32(mm.SLOTS[i] - 1)) << np.uint32(1) | item >> np.uint32(31))] += 1
-    for i in range(2):
-        used = np.flatnonzero(counts[i])
-        assert dict(zip(used.tolist(), counts[i][used].tolist())) == dict(want[i])
-
-
-def plain_bits(code, tables, text, start):
+def prediction(seen, node, bit):
+    zeros, ones = seen[0][node], seen[1][node]
+    if not zeros + ones:
+        return 0
+    x = int(np.clip(np.rint(math.log((ones + mm.PRIOR) / (zeros + mm.PRIOR)) * mm.SCALE), -mm.LIMIT, mm.LIMIT)) or 1
+    return x if bit else -x
+
+
+def plain_bits(code, seen, text, start):
     """One text, decision by decision."""
-    block, bits = mm.layout([text]), 0.0
-    rows, hashes = mm.code_symbols(code, block), [mm.contexts(block, i) for i in range(2)]
-    for lane in range(0, len(text) + 1, mm.LANE):
+    places, bits = list(nodes(code, text)), 0.0
+    for lane in range(0, len(places), mm.LANE):
         w = np.zeros(mm.INPUTS)
-        for step in range(lane, min(lane + mm.LANE, len(text) + 1), mm.STEP):
+        for step in range(lane, min(lane + mm.LANE, len(places)), mm.STEP):
             grad = np.zeros(mm.INPUTS)
-            for place in range(step, min(step + mm.STEP, lane + mm.LANE, len(text) + 1)):
-                r = rows[place]
-                for at in range(code.start[r], code.start[r] + code.length[r]):
-                    item = code.item[at]
-                    raw = [code.guess[at]] + [tables[i][(hashes[i][place] ^ item) & np.uint32(mm.SLOTS[i] - 1)] for i in range(2)]
+            for decisions in places[step:min(step + mm.STEP, lane + mm.LANE)]:
+                for at, contexts, bit in decisions:
+                    raw = [int(code.guess[at])] + [prediction(seen, c, bit) for c in contexts]
                     x = np.array(raw, dtype=float) / mm.SCALE
                     gate = (raw[1] != 0) + 2 * (raw[2] != 0)
-                    bit = int(item >> np.uint32(31))
                     p = 1 / (1 + math.exp(-float((start[gate] + w) @ x)))
-                    bits -= math.log2(p if bit else 1 - p)
-                    grad += (bit - p) * x
+                    bits -= math.log2(p)
+                    grad += (1 - p) * x
             w += mm.RATE * grad
     return bits
 
 
-def test_scores_equal_a_plain_computation():
-    code, _, tables = code_and_tables(TEXTS[:5])
-    start = mm.start_weights()
-    texts = [*TEXTS, b"zzz unseen words here " * 30]
-    got = mm.score_block(code, tables, texts, start)
-    for text, bits in zip(texts, got):
-        assert abs(plain_bits(code, tables, text, start) - bits) <= 1e-3 * max(1, bits)
-        alone = mm.score_block(code, tables, [text], start)[0]
-        assert abs(alone - bits) <= 1e-5 * max(1, bits)
+def test_code_is_a_code():
+    code = code_of(TEXTS)
+    for row in (0, ord("t"), 256):
+        words = set()
+        for s in range(mm.SYMBOLS):
+            at = row * mm.SYMBOLS + s
+            words.add(tuple((code.item[code.start[at]:code.start[at] + code.length[at]] >> 31).tolist()))
+        assert len(words) == mm.SYMBOLS and abs(sum(2.0 ** -len(w) for w in words) - 1) < 1e-9
 
 
-def test_known_paths_equal_counts_by_context():
-    code, _, _ = code_and_tables(TEXTS)
-    new = b"The mat sat on the dog, zzz unseen. " * 30
-    keys, counts = mm.count_keys(code, [(TEXTS, True), ([new], False)])
+def test_keys_and_predictions_equal_counts_by_context():
+    code = code_of(TEXTS)
+    keys, counts = mm.count_keys(code, [(TEXTS, True), ([NEW], False)])
     assert counts.sum() == mm.HASHED * sum(len(t) + 1 for t in TEXTS) and (keys[1:] > keys[:-1]).all()
-    known = mm.Known(code, keys, mm.path_predictions(code, keys, counts))
-    seen, asked = [Counter(), Counter()], []
-    for text in [*TEXTS, new]:
-        block = mm.layout([text])
-        rows = mm.code_symbols(code, block)
-        for i in range(mm.HASHED):
-            paths, context = known.paths(mm.context_keys(code, block, i)[block.valid]), mm._hashed(block, i)[block.valid]
-            for r, path, c in zip(rows[block.valid].tolist(), paths.tolist(), context.tolist()):
-                for n in range(code.length[r]):
-                    item = int(code.item[code.start[r] + n])
-                    node = (i, c, r // mm.SYMBOLS, item & (1 << 31) - 1)
-                    asked.append((node, known.values[path + n]))
-                    if text is not new:
-                        seen[item >> 31][node] += 1
-    assert any(v == 0 for _, v in asked)
-    want = mm.stretched(*(np.array([s[node] for node, _ in asked], float) for s in seen))
-    assert (want == np.array([v for _, v in asked])).all()
+    ranks = []
+    for i in range(mm.HASHED):
+        distinct, rank = mm.key_ranks(code, [TEXTS, [NEW]], i)
+        want = [mm.context_keys(code, b, i)[b.valid] for b in (mm.layout(TEXTS), mm.layout([NEW]))]
+        assert (distinct[rank] == np.concatenate(want)).all() and len(np.unique(distinct)) == len(distinct)
+        assert (np.diff(np.unique(rank, return_index=True)[1]) > 0).all()  # in the order of the text
+        ranks.append(np.searchsorted(keys, distinct)[rank])
+        assert (keys[ranks[i]] == distinct[rank]).all()
+    values, length = mm.path_predictions(code, keys, counts), mm.key_lengths(code, keys)
+    start, seen = np.cumsum(length) - length, plain_counts(code, TEXTS)
+    at = 0
+    for text in [*TEXTS, NEW]:
+        for decisions in nodes(code, text):
+            for i in range(mm.HASHED):
+                path = values[start[ranks[i][at]]:][:len(decisions)]
+                assert path.tolist() == [prediction(seen, contexts[i], bit) for _, contexts, bit in decisions]
+            at += 1
+    assert (values == 0).any()
+
+
+def test_scores_equal_a_plain_computation():
+    code = code_of(TEXTS)
+    seen, start = plain_counts(code, TEXTS[:5]), mm.start_weights()
+    keys, counts = mm.count_keys(code, [(TEXTS[:5], True), ([TEXTS[5], NEW], False)])
+    totals = dict(zip(keys.tolist(), counts.tolist()))
+
+    def predict(asked):
+        values, length = mm.path_predictions(code, keys, counts), mm.key_lengths(code, keys)
+        begin = (np.cumsum(length) - length)[np.searchsorted(keys, asked)]
+        assert all(k in totals for k in asked.tolist())
+        return values[mm.runs_of(begin, mm.key_lengths(code, asked))]
+
+    texts = [[*TEXTS[:3]], [], [*TEXTS[3:], NEW]]
+    got = mm.score_texts(code, texts, predict, start)
+    for text, bits in zip(sum(texts, []), got):
+        assert abs(plain_bits(code, seen, text, start) - bits) <= 1e-3 * max(1, bits)
+        alone = mm.score_texts(code, [[text]], predict, start)[0]
+        assert abs(alone - bits) <= 1e-5 * max(1, bits)
+    assert len(mm.score_texts(code, [], predict, start)) == 0
+
+
+def test_query_score_equals_a_plain_model(spark):
+    """The whole operator against the model written out: the fold, the code
+    and counts of all training texts, chunks and buckets of any size."""
+    rng = np.random.default_rng(4)
+    vocabulary = [bytes(rng.integers(97, 110, size=n)).decode() for n in rng.integers(2, 12, size=60)] + ["été", "日本", "Zug."]
+    rows = [(i, " ".join(rng.choice(vocabulary, size=int(rng.integers(0, 60))))) for i in range(40)] + [(50, None), (None, "zug zug"), (51, "q" * 5000)]
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    train = [t for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 10]
+    code = code_of(train, mm.PAIRS)
+    seen, start = plain_counts(code, train), mm.start_weights()
+    want = sorted((str(i), plain_bits(code, seen, t, start)) for i, t in texts)
+    got = sorted((str(r.doc_id), -r.score / math.log10(2)) for r in score_language(docs(spark, rows).repartition(3), bucket_bytes=2000).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[1] - w[1]) <= 1e-3 * max(1, w[1]) for g, w in zip(got, want))
 
 
 def test_contexts_grow_with_the_training_texts(spark):
