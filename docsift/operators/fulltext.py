@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -330,36 +331,70 @@ def _is_term(tok: Column, terms: list[str]) -> Column:
 
 
 def highlight(docs: DataFrame, terms: list[str], field: str = "content", n: int = SNIPPET_TOKENS) -> DataFrame:
-    """Best window of ``n`` tokens with hits wrapped in <mark>.
-
-    The window starts at a hit token; the chosen start is the first hit whose
-    window holds the most hits.  With no hit the first ``n`` tokens are shown.
-    Tokens are joined by single spaces.
-    """
-    q = fold_terms(terms)
+    """Best window of ``n`` tokens with the words of hits wrapped in <mark>.
+
+    A hit is a word of ``terms`` or, where a term has several words, those words
+    next to each other.  The window begins at a hit and scores 1000 for every
+    different term of which a hit lies whole in it, and 1 for every further hit;
+    the first of the best is shown, without any hit the first ``n`` tokens.
+    Tokens are joined by single spaces.  Only the places of query words leave the
+    JVM; scoring is one pass over them."""
+    parts = [w.split() for w in fold_terms(terms)]
     col = F.col(field)
     # Arrays are materialised as columns first: a lambda that refers to an
     # expression (not a column) would re-evaluate it for every element.
     base = docs.select("id", F.regexp_extract_all(col, F.lit(WORD_TOKEN), 0).alias("_ot"),
                        F.regexp_extract_all(fold(col), F.lit(WORD_TOKEN), 0).alias("_ft"))
-    base = base.select("id", "_ot", "_ft", F.filter(
-        F.sequence(F.lit(1), F.greatest(F.size("_ft"), F.lit(1))),
-        lambda i: _is_term(F.try_element_at(F.col("_ft"), i), q)).alias("_hits"))
-    # hits are ascending and at most n of them fit in a window of n tokens, so
-    # the count for the hit at index k only looks at the n hits from k on
-    base = base.select("id", "_ot", "_ft", "_hits", F.transform(
-        "_hits", lambda p, k: F.size(F.filter(F.slice("_hits", k + 1, n), lambda r: r < p + n))).alias("_cnt"))
-    otoks, ftoks, hits, counts = F.col("_ot"), F.col("_ft"), F.col("_hits"), F.col("_cnt")
-    start = F.when(F.size(hits) == 0, F.lit(1)).otherwise(
-        F.try_element_at(hits, F.array_position(counts, F.array_max(counts)).cast("int")))
+    words = sorted({w for p in parts for w in p})
+    base = base.withColumn("_at", F.filter(F.transform("_ft", lambda t, i: F.struct(i.alias("place"), t.alias("word"))),
+                                           lambda s: _is_term(s["word"], words) if words else F.lit(False)))
+
+    @F.pandas_udf("struct<start:int,marked:array<int>>")
+    def window(places: pd.Series) -> pd.DataFrame:
+        shown = [best_window([(x["place"], x["word"]) for x in row] if row is not None else [], parts, n) for row in places]
+        return pd.DataFrame({"start": [s for s, _ in shown], "marked": [m for _, m in shown]})
+
+    base = base.withColumn("_w", window("_at"))
+    otoks, start, marked = F.col("_ot"), F.col("_w.start") + 1, F.col("_w.marked")
     idx = F.sequence(start, F.least(start + n - 1, F.size(otoks)))
-    marked = F.transform(idx, lambda i: F.when(_is_term(F.try_element_at(ftoks, i), q),
-                                               F.concat(F.lit("<mark>"), F.try_element_at(otoks, i), F.lit("</mark>")))
+    pieces = F.transform(idx, lambda i: F.when(F.array_contains(marked, i - 1), F.concat(F.lit("<mark>"), F.try_element_at(otoks, i), F.lit("</mark>")))
                          .otherwise(F.try_element_at(otoks, i)))
-    snippet = F.when(F.size(otoks) == 0, F.lit("")).otherwise(F.array_join(marked, " "))
+    snippet = F.when(F.size(otoks) == 0, F.lit("")).otherwise(F.array_join(pieces, " "))
     return base.select("id", snippet.alias("snippet"))
 
 
+def best_window(places: list[tuple[int, str]], parts: list[list[str]], n: int) -> tuple[int, list[int]]:
+    """Start of the best window of ``n`` tokens and the places in it to mark,
+    from the places of all query words, in order."""
+    at = dict(places)
+    hits = []  # (start, end, part)
+    for part, words in enumerate(parts):
+        hits += [(p, p + len(words), part) for p, w in places if w == words[0] and all(at.get(p + i) == x for i, x in enumerate(words))]
+    hits.sort()
+    by_end = sorted(hits, key=lambda h: h[1])
+    held: dict[int, int] = {}
+    best, top, total, added, gone = 0, -1, 0, 0, 0
+    for start, _, _ in hits:
+        while added < len(by_end) and by_end[added][1] <= start + n:
+            begin, _, part = by_end[added]
+            if begin >= start:
+                held[part] = held.get(part, 0) + 1
+                total += 1
+            added += 1
+        while hits[gone][0] < start:
+            _, end, part = hits[gone]
+            if end <= hits[gone][0] + n:  # it was held
+                held[part] -= 1
+                total -= 1
+            gone += 1
+        different = sum(c > 0 for c in held.values())
+        score = 1000 * different + total - different
+        if score > top:
+            best, top = start, score
+    inside = sorted({i for s, e, _ in hits if s >= best and e <= best + n for i in range(s, e)})
+    return best, inside
+
+
 def highlight_page(docs: DataFrame, page: DataFrame, terms: list[str], field: str = "content",
                    n: int = SNIPPET_TOKENS, id_col: str = "id") -> DataFrame:
     """T13 for one result page: the page (at most ``MAX_PAGE`` rows, a bounded

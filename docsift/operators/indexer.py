@@ -11,7 +11,7 @@ reads, each laid out for its access path:
   ``size_histogram``, ``date_histogram``, ``mime_totals``, ``treemap``:
   facets and statistics (a facet request reads a few rows instead of the
   documents);
-* ``tags``, ``vectors`` - tag rows and vectors keyed by document id, the
+* ``tags/run=N``, ``vectors`` - tag rows and vectors keyed by document id, the
   vectors with a pre-normalised copy so similarity is one dot product.
 
 ``SearchIndex.upsert`` takes new, changed and deleted documents: texts follow as
@@ -33,6 +33,7 @@ from docsift.operators.documents import index_documents, mime_dimension
 from docsift.operators.segments import SegmentedIndex, create_index, open_index
 from docsift.operators.treemap import treemap
 from docsift.operators.vectors import knn_unit, model_vectors, unit_vectors
+from docsift.session import ensure_checkpoint_dir
 
 FACET_TABLES = ("mime_index", "path_index", "date_range", "size_histogram", "date_histogram", "mime_totals",
                 "treemap")
@@ -45,18 +46,21 @@ class SearchIndex:
         self.spark, self.path = spark, path
         self.text: SegmentedIndex = open_index(spark, f"{path}/text")
         self.documents = self.text.documents
-        self.run = spark.read.parquet(f"{path}/runs").agg(F.max("run")).first()[0]
+        self.run, self.tags_run = spark.read.parquet(f"{path}/runs").orderBy(F.desc("run")).select("run", "tags_run").first()
         for t in FACET_TABLES:
             setattr(self, t, spark.read.parquet(f"{path}/facets/run={self.run}/{t}"))
-        for t in ("tags", "vectors"):
-            setattr(self, t, spark.read.parquet(f"{path}/{t}"))
+        self.tags = spark.read.parquet(f"{path}/tags/run={self.tags_run}")
+        self.vectors = spark.read.parquet(f"{path}/vectors")
 
     def search(self, req, columns: list[str] | None = None):
         """O6 against the stored tables: an ``index_ids`` filter prunes the
         document partitions; words, phrases and 3-grams read only their rows."""
         from docsift.operators.search import search
+        from docsift.operators.top_page import best_scores
 
-        return search(self.documents, req, index=self.text, tags=self.tags, emb=self.vectors, columns=columns)
+        req.validate()
+        scores = best_scores(self.text, req, self.documents, self.tags, self.vectors)
+        return search(self.documents, req, index=self.text, tags=self.tags, emb=self.vectors, columns=columns, scores=scores)
 
     def more_like(self, doc_id: int, k: int, model_id: int = 1, columns: list[str] | None = None) -> DataFrame:
         """V4 on the stored vectors: the document's unit vector (a scalar
@@ -71,11 +75,28 @@ class SearchIndex:
         mime_dim = mime_dim if mime_dim is not None else mime_dimension(self.spark)
         rows = None if docs is None else index_documents(docs, mime_dim).select(*self.documents.columns)
         text = self.text.upsert(rows, deletes)
-        _write_facets(text.documents, self.path, self.run + 1, mime_dim)
+        _write_facets(text.documents, self.path, self.run + 1, mime_dim, self.tags_run)
+        return SearchIndex(self.spark, self.path)
+
+    def apply_script(self, script, mime_dim: DataFrame | None = None) -> SearchIndex:
+        """The index after a script has changed records: changed documents
+        are upserted, and their tags are those that the record holds."""
+        from docsift.operators import scripts as X
+
+        ensure_checkpoint_dir(self.spark)
+        records = X.as_records(self.documents, self.tags)
+        changed = X.run_script(records, script)[1].select("id", F.col("record").cast("string").alias("json")).checkpoint(eager=True)
+        changed = changed.select("id", F.parse_json("json").alias("record"))
+        run, of = self.run + 1, self.documents.select("id", "index_id")
+        fresh = X.record_tags(changed).join(of, "id").select(*self.tags.columns)
+        kept = self.tags.join(changed.select("id"), "id", "left_anti").select(*self.tags.columns)
+        kept.unionByName(fresh).write.mode("overwrite").parquet(f"{self.path}/tags/run={run}")
+        text = self.text.upsert(X.as_documents(changed, self.documents))
+        _write_facets(text.documents, self.path, run, mime_dim if mime_dim is not None else mime_dimension(self.spark), run)
         return SearchIndex(self.spark, self.path)
 
 
-def _write_facets(stored: DataFrame, out: str, run: int, mime_dim: DataFrame) -> None:
+def _write_facets(stored: DataFrame, out: str, run: int, mime_dim: DataFrame, tags_run: int) -> None:
     """Facets of a run; the run counts once its last table is there."""
     files = stored.where(F.col("parent").isNull()).select(full_rel_path("path", "name", "extension").alias("path"), "size")
     tables = {
@@ -84,7 +105,7 @@ def _write_facets(stored: DataFrame, out: str, run: int, mime_dim: DataFrame) ->
         "mime_totals": A.mime_totals(stored, mime_dim), "treemap": treemap(files)}
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{out}/facets/run={run}/{name}")
-    stored.sparkSession.range(1).select(F.lit(run).alias("version")).write.mode("overwrite").parquet(f"{out}/runs/run={run}")
+    stored.sparkSession.range(1).select(F.lit(tags_run).alias("tags_run")).write.mode("overwrite").parquet(f"{out}/runs/run={run}")
 
 
 def build_index(corpus: DataFrame, out: str, mime_dim: DataFrame | None = None, tags: DataFrame | None = None,
@@ -93,9 +114,9 @@ def build_index(corpus: DataFrame, out: str, mime_dim: DataFrame | None = None,
     spark = corpus.sparkSession
     mime_dim = mime_dim if mime_dim is not None else mime_dimension(spark)
     text = create_index(index_documents(corpus, mime_dim), f"{out}/text", grams=True, partition_by=("index_id",))
-    _write_facets(text.documents, out, 1, mime_dim)  # from the written rows, not the scan
     empty_tags = spark.createDataFrame([], "id long, index_id int, tag string")
-    (tags if tags is not None else empty_tags).write.mode("overwrite").parquet(f"{out}/tags")
+    (tags if tags is not None else empty_tags).write.mode("overwrite").parquet(f"{out}/tags/run=1")
     empty_emb = spark.createDataFrame([], "id long, model_id int, start int, embedding array<float>")
     unit_vectors(emb if emb is not None else empty_emb).write.mode("overwrite").parquet(f"{out}/vectors")
+    _write_facets(text.documents, out, 1, mime_dim, 1)  # from the written rows, not the scan
     return SearchIndex(spark, out)

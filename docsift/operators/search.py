@@ -28,9 +28,11 @@ SCORE_PLACES = 14  # fixed value: decimal places of a score used as sort value
 @dataclass
 class SearchRequest:
     """One search request; absent fields add no predicate.  Documents match
+    the ``query`` (a search expression, written or as a tree of ``matching``),
     all of ``terms``, the ``phrase``, some word with the ``prefix``, any of
     ``any_terms``, none of ``none_terms`` and the 3-grams of ``fuzzy``."""
 
+    query: object | None = None
     terms: list[str] | None = None
     phrase: list[str] | None = None
     any_terms: list[str] | None = None
@@ -69,9 +71,13 @@ class SearchRequest:
         if self.sort == "embedding" and self.embedding is None:
             raise ValueError("sorting by embedding needs one")
 
-    def words(self) -> list[str]:
-        """Words that a snippet marks."""
-        return [*(self.terms or []), *(self.any_terms or []), *(self.phrase or [])]
+    def marked(self) -> list[str]:
+        """Words and phrases that a snippet shows."""
+        from docsift.operators.matching import Phrase, _ranked, parse_query
+
+        tree = parse_query(self.query) if isinstance(self.query, str) else self.query
+        asked = [" ".join(leaf.words) for leaf, _ in (_ranked(tree, None) if tree else []) if isinstance(leaf, Phrase)]
+        return list(dict.fromkeys([*asked, *(self.terms or []), *(self.any_terms or []), *([" ".join(self.phrase)] if self.phrase else [])]))
 
 
 # ---------------------------------------------------------------- predicates
@@ -331,6 +337,10 @@ def text_scores(docs: DataFrame, req: SearchRequest, index, grams: DataFrame | N
     grams = index.grams if grams is None and index is not None else grams
     fields = None if req.search_in_path else TEXT_FIELDS_NO_PATH
     parts = []
+    if req.query:
+        from docsift.operators.matching import query_scores
+
+        parts.append(query_scores(index, req.query, fields))
     if req.terms:
         parts.append(index.bm25(req.terms, fields=fields))
     if req.any_terms:
@@ -351,23 +361,25 @@ def text_scores(docs: DataFrame, req: SearchRequest, index, grams: DataFrame | N
 
 
 def search(docs: DataFrame, req: SearchRequest, index=None, tags: DataFrame | None = None,
-           emb: DataFrame | None = None, columns: list[str] | None = None, grams: DataFrame | None = None):
+           emb: DataFrame | None = None, columns: list[str] | None = None, grams: DataFrame | None = None,
+           scores: DataFrame | None = None):
     """O6 in one call: the request's text parts (BM25 over the text index,
     path field only when ``search_in_path``), its filters, tag and vector
     parts, the page with the snippets asked for, and - when
     ``fetch_aggregations`` - the totals (A9).  Returns ``(page,
-    totals_or_None)``; ``highlight`` adds ``snippet`` and the marked name."""
+    totals_or_None)``; ``highlight`` adds ``snippet`` and the marked name.
+    ``scores``: (id, score) of the text parts, if they are known already."""
     from docsift.operators import fulltext as T
 
     req.validate()
-    scores = text_scores(docs, req, index, grams)
+    scores = text_scores(docs, req, index, grams) if scores is None else scores
     if req.none_terms:
         docs = T.match_not(docs, index.postings, req.none_terms)
     page = search_page(docs, req, scores=scores, tags=tags, columns=columns, emb=emb)
     if req.highlight:
-        words = req.words()
-        page = T.highlight_page(docs, page, words, n=req.context)
-        names = T.highlight_full(page.select("id", "name"), words, "name").withColumnRenamed("marked", "name_marked")
+        marked = req.marked()
+        page = T.highlight_page(docs, page, marked, n=req.context)
+        names = T.highlight_full(page.select("id", "name"), [w for m in marked for w in m.split()], "name").withColumnRenamed("marked", "name_marked")
         page = page.join(names, "id", "left")
     totals = hit_totals(docs, req, scores=scores, tags=tags, emb=emb) if req.fetch_aggregations else None
     return page, totals

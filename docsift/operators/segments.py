@@ -13,7 +13,8 @@ mostly tombstones is written again, so a posting is rewritten about log(size)
 times in all: what a run writes follows what it changes.  Data is written first
 and its manifest last; what a failed run leaves behind is never read.
 
-    postings/segment=S   token, id, field, tf, dl, mask, first, pos
+    postings/segment=S   token, id, field, tf, dl, mask, first, weighted, pos
+    blocks/segment=S     token, block, most, mean, n
     terms/segment=S      token, mask, n
     docs/segment=S       the document rows, in id order
     grams/segment=S      gram, id, field
@@ -39,11 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import standard_tokens
-from docsift.operators.fulltext import FIELD_WEIGHTS, FUZZY_BOOSTS, TextIndex, trigram_postings
+from docsift.operators.fulltext import BM25_B, BM25_K1, FIELD_WEIGHTS, FUZZY_BOOSTS, TextIndex, trigram_postings
 
 FAN = 4  # segments of like size that are merged into one
 FIELDS = tuple(FIELD_WEIGHTS)
-POSTINGS = "token string, id long, field string, tf long, dl long, mask int, first boolean, pos array<int>"
+POSTINGS = "token string, id long, field string, tf long, dl long, mask int, first boolean, weighted double, pos array<int>"
+BLOCK = 64  # ids of a block, for which the index keeps bounds of the scores
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -55,7 +57,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 def document_postings(docs: DataFrame, fields=FIELDS, id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Postings of documents, each counted in its own row without a shuffle
-    (``POSTINGS``, and the string columns ``keep`` of the row)."""
+    (``POSTINGS``, and the string columns ``keep`` of the row).  ``weighted``, on
+    the first posting of a token in a document, is its count over all fields by
+    the weights of the ranking."""
+    weights = np.array([FIELD_WEIGHTS.get(f, 1.0) for f in fields])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *keep, *[standard_tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
     n_keep = len(keep)
 
@@ -86,13 +91,15 @@ def document_postings(docs: DataFrame, fields=FIELDS, id_col: str = "id", keep:
             first = word[start]
             begin = np.flatnonzero(first)
             mask = np.repeat(np.bitwise_or.reduceat(1 << field[start], begin), np.diff(np.append(begin, len(start))))
+            weighted = np.zeros(len(start))
+            weighted[begin] = np.add.reduceat(np.diff(ends) * weights[field[start]], begin)
             row, at = row[start], pa.array(row[start])
             yield pa.RecordBatch.from_arrays([
                 words.dictionary.take(pa.array(code[start])), batch.column(0).take(at), pa.array(np.array(fields, dtype=object)[field[start]]),
                 pa.array(np.diff(ends).astype(np.int64)), pa.array(total[row]), pa.array(mask.astype(np.int32)), pa.array(first),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))),
+                pa.array(weighted, mask=~first), pa.ListArray.from_arrays(pa.array(ends), pa.array(place.astype(np.int32))),
                 *[batch.column(1 + i).take(at) for i in range(n_keep)]],
-                names=["token", "id", "field", "tf", "dl", "mask", "first", "pos", *keep])
+                names=["token", "id", "field", "tf", "dl", "mask", "first", "weighted", "pos", *keep])
 
     return rows.mapInArrow(count, POSTINGS + "".join(f", {c} string" for c in keep))
 
@@ -168,13 +175,34 @@ class SegmentedIndex(TextIndex):
         return (self.terms(tokens).where(F.col("mask").bitwiseAND(F.lit(wanted)) != 0)
                 .groupBy("token").agg(F.sum("n").alias("n")))
 
+    def blocks(self, tokens: list[str]) -> DataFrame:
+        """(token, block, most, n): of the documents with a token among ``BLOCK``
+        ids their number and a bound of f / (f + k1 (1 - b + b dl / avgdl)), the
+        part of a score that depends on the document (tombstones included, all
+        fields: bounds stay bounds).  The largest one is stored for the mean
+        length of its segment; for a mean that is m times as long it is at most
+        m times as large."""
+        segments = self.segments
+        avgdl = sum(s.total - s.dead_total for s in segments) / max(1, sum(s.n_docs - s.dead_docs for s in segments))
+        rows = self._stored("blocks", [s.segment for s in segments]).where(F.col("token").isin(tokens))
+        most = F.col("most") * F.greatest(F.lit(1.0), F.lit(float(avgdl)) / F.col("mean"))
+        return rows.groupBy("token", "block").agg(F.max(most).alias("most"), F.sum("n").alias("n"))
+
     # -------------------------------------------------------------- writing
 
     def _write_texts(self, name: str, postings: DataFrame, grams: DataFrame | None) -> None:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        columns = ["token", "id", "field", "tf", "dl", "mask", "first", "pos"]
+        columns = ["token", "id", "field", "tf", "dl", "mask", "first", "weighted", "pos"]
         (postings.select(*columns).repartitionByRange(n, "token", "id").sortWithinPartitions("token", "id", "field")
          .write.mode("overwrite").parquet(f"{self.path}/postings/segment={name}"))
+        written = self.spark.read.parquet(f"{self.path}/postings/segment={name}")
+        n_docs = self.spark.read.parquet(f"{self.path}/docs/segment={name}").count()
+        mean = max(1.0, (written.agg(F.sum("tf")).first()[0] or 0) / max(n_docs, 1))
+        ratio = F.col("weighted") / (F.col("weighted") + BM25_K1 * (1 - BM25_B) + BM25_K1 * BM25_B / mean * F.col("dl"))
+        (written.where("first").groupBy("token", F.floor(F.col("id") / BLOCK).cast("long").alias("block"))
+         .agg(F.max(ratio).alias("most"), F.lit(mean).alias("mean"), F.count(F.lit(1)).alias("n"))
+         .repartitionByRange("token", "block").sortWithinPartitions("token", "block")
+         .write.mode("overwrite").parquet(f"{self.path}/blocks/segment={name}"))
         if grams is not None:
             (grams.select("gram", "id", "field").repartitionByRange(n, "gram", "id").sortWithinPartitions("gram", "id")
              .write.mode("overwrite").parquet(f"{self.path}/grams/segment={name}"))

@@ -4,6 +4,7 @@ from docsift.plans import search_queries  # noqa: F401
 from docsift.plans import text_queries  # noqa: F401
 from docsift.plans import request_queries  # noqa: F401
 from docsift.plans import segment_queries  # noqa: F401
+from docsift.plans import matching_queries  # noqa: F401
 from docsift.plans import facet_queries  # noqa: F401
 from docsift.plans import tag_queries  # noqa: F401
 from docsift.plans import vector_queries  # noqa: F401

@@ -224,7 +224,8 @@ SELECT id, CASE WHEN len(ot) = 0 THEN '' ELSE array_to_string(list_transform(
        AS snippet
 FROM (SELECT id, ot, ft, CASE WHEN len(hits) = 0 THEN 1 ELSE hits[list_position(cnt, list_max(cnt))] END AS st
       FROM (SELECT id, ot, ft, hits,
-                   list_transform(hits, lambda p: len(list_filter(hits, lambda r: r >= p AND r < p + {n}))) AS cnt
+                   list_transform(hits, lambda p: 999 * len(list_distinct(list_transform(list_filter(hits, lambda r: r >= p AND r < p + {n}), lambda r: ft[r])))
+                                                  + len(list_filter(hits, lambda r: r >= p AND r < p + {n}))) AS cnt
             FROM (SELECT id, ot, ft,
                          list_filter(range(1, greatest(len(ft), 1) + 1), lambda i: list_contains({qt}, ft[i])) AS hits
                   FROM (SELECT c.id, {ot} AS ot, {ft} AS ft FROM corpus c JOIN m ON c.id = m.id))))"""
@@ -256,6 +257,33 @@ def search_page_highlight(spark, sf_dir):
     return T.highlight_page(docs, page, QUERY_TERMS).select("id", "name", F.round("sort_var", 6).alias("sort_var"), "snippet")
 
 
+SNIPPET_PARTS = ["of the", "for", "with"]
+
+
+def _phrase_snippet_sql() -> str:
+    """Hits as (place, words, part); a window scores its different parts first."""
+    n = T.SNIPPET_TOKENS
+    return f"""
+SELECT id, CASE WHEN len(ot) = 0 THEN '' ELSE array_to_string(list_transform(range(st, least(st + {n} - 1, len(ot)) + 1),
+         lambda i: CASE WHEN len(list_filter(hits, lambda h: h.p >= st AND h.p + h.n <= st + {n} AND i >= h.p AND i < h.p + h.n)) > 0
+                        THEN '<mark>' || ot[i] || '</mark>' ELSE ot[i] END), ' ') END AS snippet
+FROM (SELECT id, ot, hits, CASE WHEN len(hits) = 0 THEN 1 ELSE hits[list_position(cnt, list_max(cnt))].p END AS st
+  FROM (SELECT id, ot, hits, list_transform(hits, lambda x:
+          999 * len(list_distinct(list_transform(list_filter(hits, lambda h: h.p >= x.p AND h.p + h.n <= x.p + {n}), lambda h: h.part)))
+          + len(list_filter(hits, lambda h: h.p >= x.p AND h.p + h.n <= x.p + {n}))) AS cnt
+    FROM (SELECT id, ot, list_filter(list_transform(range(1, len(ft) + 1), lambda i: {{'p': i,
+            'n': CASE WHEN ft[i] = 'of' THEN 2 ELSE 1 END,
+            'part': CASE WHEN ft[i] = 'of' AND ft[i + 1] = 'the' THEN 0 WHEN ft[i] = 'for' THEN 1 WHEN ft[i] = 'with' THEN 2 ELSE -1 END}}),
+            lambda h: h.part >= 0) AS hits
+          FROM (SELECT id, {Q.words('content')} AS ot, {Q.folded_words('content')} AS ft FROM corpus))))"""
+
+
+@query("snippet_phrase", "T13", with_fixtures(["corpus"], _phrase_snippet_sql()))
+def snippet_phrase(spark, sf_dir):
+    """Whole texts; a phrase is a hit where its words stand together."""
+    return T.highlight(Fixtures(spark, sf_dir).corpus, SNIPPET_PARTS)
+
+
 def _highlight_full_sql() -> str:
     qt = Q.str_list(T.fold_terms(QUERY_TERMS))
     return f"""

@@ -106,7 +106,8 @@ def _brute_snippet(text, terms, n):
     if not hits:
         start = 0
     else:
-        counts = [sum(1 for r in hits if p <= r < p + n) for p in hits]
+        inside = [[words[r].lower() for r in hits if p <= r < p + n] for p in hits]
+        counts = [1000 * len(set(w)) + len(w) - len(set(w)) for w in inside]  # different words first
         start = hits[counts.index(max(counts))]
     window = words[start:start + n]
     return " ".join(f"<mark>{w}</mark>" if w.lower() in terms else w for w in window)
