@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsift.operators import rules as R
+from docsift.operators import scripts as X
 from docsift.plans.registry import query
 from docsift.sources.fixtures import Fixtures, with_fixtures
 
@@ -87,3 +88,33 @@ def apply_script(spark, sf_dir):
     rules = [R.tag_genre, R.tag_author, lambda: R.tag_code_and_names("code_name"), R.tag_aperture,
              R.tag_year_month, lambda: R.tag_constant("batch.#2196f3")]
     return _run(spark, sf_dir, "meta", rules).select("id", F.col("tag"))
+
+
+@query("apply_record_script", "X1", with_fixtures(["meta"], """
+SELECT id, upper(name) || ' (' || extension || ')' AS name, genre, CAST(width * height AS BIGINT) AS pixels,
+       CASE WHEN genre IS NULL THEN 'artist,code_name,exif_datetime,extension,gps_latitude_dms,gps_latitude_ref,height,media,mime,name,size,tag,videoc,width'
+            ELSE 'artist,code_name,exif_datetime,extension,genre,gps_latitude_dms,gps_latitude_ref,height,media,mime,name,size,tag,videoc,width' END AS keys,
+       'big.#ff8800,' || CASE WHEN genre IS NULL THEN '' ELSE 'genre.' || genre || ',' END || 'seen.#00ff00' AS tags
+FROM meta WHERE width * height >= 480 * 64 * 20
+UNION ALL
+SELECT id, name, genre, NULL, CASE WHEN genre IS NULL THEN 'artist,code_name,exif_datetime,exif_fnumber,extension,gps_latitude_dms,gps_latitude_ref,height,mime,name,size,videoc,width'
+            ELSE 'artist,code_name,exif_datetime,exif_fnumber,extension,genre,gps_latitude_dms,gps_latitude_ref,height,mime,name,size,tag,videoc,width' END,
+       CASE WHEN genre IS NOT NULL THEN 'genre.' || genre END
+FROM meta WHERE width * height < 480 * 64 * 20"""))
+def apply_record_script(spark, sf_dir):
+    """A script that sets, removes and reads keys of the record, and its tags."""
+    meta = Fixtures(spark, sf_dir).meta
+    own = meta.where(F.col("genre").isNotNull()).select("id", F.concat(F.lit("genre."), "genre").alias("tag"))
+
+    def script(records):
+        n = X.get_key("record", "width", "long") * X.get_key("record", "height", "long")
+        name = F.concat(F.upper(X.get_key("record", "name")), F.lit(" ("), X.get_key("record", "extension"), F.lit(")"))
+        rec = X.remove_key(X.set_key(X.set_key("record", "name", name), "media.pixels", n), "exif_fnumber")
+        return records.where(n >= 480 * 64 * 20).select("id", X.add_tags(rec, F.array(F.lit("seen.#00ff00"), F.lit("big.#ff8800"))).alias("record"))
+
+    records, _ = X.run_script(X.as_records(meta, own), script)
+    tags = X.record_tags(records).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("tags"))
+    out = records.select("id", X.get_key("record", "name").alias("name"), X.get_key("record", "genre").alias("genre"),
+                         X.get_key("record", "media.pixels", "long").alias("pixels"),
+                         F.array_join(F.array_sort(F.map_keys(X.members("record"))), ",").alias("keys"))
+    return out.join(tags, "id", "left")
