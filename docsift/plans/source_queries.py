@@ -22,12 +22,18 @@ from docsift.sources import sinks as K
 from docsift.sources.fixtures import Fixtures, with_fixtures
 
 
+# For the oracle: blocks, tags with quoted values, and the references that pages have.
+BLOCKS = [r"(?is)<script\b.*?</script[^>]*>", r"(?is)<style\b.*?</style[^>]*>", r"(?s)<!--.*?-->"]
+TAG = r"""(?i)<[a-z/!?]([^=>]|=\s*"[^"]*"|=\s*'[^']*'|=)*>"""
+REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _markup_sql(x: str) -> str:
     out = x
-    for pat in C.DROP_BLOCKS:
+    for pat in BLOCKS:
         out = f"regexp_replace({out}, {Q.q(pat)}, ' ', 'g')"
-    out = f"regexp_replace({out}, {Q.q(C.TAG)}, ' ', 'g')"
-    for ent, ch in C.ENTITIES:
+    out = f"regexp_replace({out}, {Q.q(TAG)}, ' ', 'g')"
+    for ent, ch in REFERENCES:
         out = f"replace({out}, {Q.q(ent)}, {Q.q(ch)})"
     return f"trim(regexp_replace({out}, {Q.q(C.SPACE)}, ' ', 'g'))"
 
@@ -38,6 +44,18 @@ def markup_to_text(spark, sf_dir):
     return u.select("id", C.markup_to_text("html").alias("text"))
 
 
+# Around every page: a quoted ">", an inner and an open comment, CDATA, all kinds of references.
+BEFORE = """<i a="1>2" b='>' c=3>&#65;<!-- <b> -->"""
+AFTER = " <![CDATA[1<2&amp;]]>&#233;&#x20AC;&hellip;&copy;&bogus; a < b &amp;lt; <p <!-- open > <!-- left > open"
+
+
+@query("markup_broken", "S8", with_fixtures(["urls"], f"""
+SELECT id, trim(regexp_replace('A ' || {_markup_sql('html')} || ' 1<2&amp;é€…©&bogus; a < b &lt;', {Q.q(C.SPACE)}, ' ', 'g')) AS text FROM urls"""))
+def markup_broken(spark, sf_dir):
+    u = Fixtures(spark, sf_dir).urls
+    return u.select("id", C.markup_to_text(F.concat(F.lit(BEFORE), "html", F.lit(AFTER))).alias("text"))
+
+
 @query("json_to_text", "S9", """
 SELECT event_id AS id,
        array_to_string(list_transform(json_keys(props), lambda k: json_extract_string(props, '$.' || k)), ' ') AS text
@@ -174,6 +192,30 @@ def scan_list(spark, sf_dir):
     return FS.scan_list(spark.read.text(list_path), files, plain, EXCLUDE).select("rel_path")
 
 
+@query("walk_files", "S1/S2/S3", with_fixtures(["corpus"], f"""
+SELECT rel_path, size, mtime FROM (SELECT {REL_SQL} AS rel_path, CAST(strlen(content) AS BIGINT) AS size, mtime FROM corpus)
+WHERE length(rel_path) - length(replace(rel_path, '/', '')) <= 2 AND NOT regexp_matches(rel_path, '{EXCLUDE}')
+  AND NOT coalesce(list_bool_or(list_transform({Q.ancestors('rel_path')}[1:-2], lambda a: regexp_matches(a, '{EXCLUDE}'))), false)"""))
+def walk_files(spark, sf_dir):
+    """Listed directory by directory in tasks, pruned before listing."""
+    from docsift.sources.walk import walk_files as walk
+
+    _, root = _tree(spark, sf_dir)
+    return walk(spark, root, depth=2, exclude=EXCLUDE)
+
+
+@query("walk_list", "S4", with_fixtures(["corpus"], f"""
+SELECT rel_path, size FROM (SELECT {REL_SQL} AS rel_path, CAST(strlen(content) AS BIGINT) AS size, id FROM corpus) WHERE id % 3 = 0"""))
+def walk_list(spark, sf_dir):
+    """Only the directories that the list names are looked at."""
+    from docsift.sources.walk import walk_list as walk
+
+    c, root = _tree(spark, sf_dir)
+    listed = c.where(F.col("id") % 3 == 0).select(full_rel_path("path", "name", "extension").alias("value"))
+    ghosts = c.select(F.concat(F.lit("ghost/"), F.col("id").cast("string")).alias("value"))
+    return walk(spark, listed.unionByName(ghosts), root).select("rel_path", "size")
+
+
 @query("expand_archives", "S10", with_fixtures(["corpus"], f"""
 SELECT CASE WHEN length(path) = 0 THEN name || '.zip' ELSE path || '/' || name || '.zip' END AS archive,
        {REL_SQL.replace('path || ', "'' || ").replace("length(path) = 0", "true")} AS member,
