@@ -10,6 +10,7 @@ from docsift.operators import treemap as TM
 from docsift.plans import sqlfrag as Q
 from docsift.plans.common import IDX_CTE, doc_index
 from docsift.plans.registry import query
+from docsift.session import scratch_dir
 from docsift.sources.fixtures import Fixtures, with_fixtures
 
 PI_CTE = (IDX_CTE + ",\n" + f"""pi AS (
@@ -135,6 +136,26 @@ def suggest_paths_contains(spark, sf_dir):
     return S.suggest_paths(paths, "DE/Y")
 
 
+def _paths_index(spark, sf_dir):
+    from docsift.operators.completion import write_completions
+
+    return write_completions(_pi(spark, sf_dir), scratch_dir(spark, "completions"), "path")
+
+
+@query("suggest_paths_stored", "O7", with_fixtures(["corpus", "mime"], """
+SELECT path AS value FROM (SELECT DISTINCT path FROM pi) WHERE starts_with(path, 'src0/')
+""", PI_CTE))
+def suggest_paths_stored(spark, sf_dir):
+    return _paths_index(spark, sf_dir).suggest_paths("src0/")
+
+
+@query("suggest_paths_contains_stored", "O7", with_fixtures(["corpus", "mime"], """
+SELECT path AS value FROM (SELECT DISTINCT path FROM pi) WHERE contains(lower(path), 'de/y')
+""", PI_CTE))
+def suggest_paths_contains_stored(spark, sf_dir):
+    return _paths_index(spark, sf_dir).suggest_paths("DE/Y")
+
+
 def _treemap_sql(levels: int = 5, src: str = "tree") -> str:
     """Unrolled bottom-up merge over ``src`` (path, size) whose paths have at
     most ``levels`` segments (the tree fixture has five)."""
@@ -168,9 +189,10 @@ def treemap_tree(spark, sf_dir):
 @query("date_histogram_peaks", "A20", with_fixtures(["corpus"], f"""
 SELECT bucket, count FROM h WHERE count > (SELECT quantile_cont(count, 0.9) FROM h)""",
     f"h AS (SELECT CAST(mtime // {A.DATE_BUCKET} * {A.DATE_BUCKET} AS BIGINT) AS bucket, count(*) AS count "
-    f"FROM corpus GROUP BY 1)"))
+    f"FROM corpus WHERE size >= 20000000 GROUP BY 1)"))
 def date_histogram_peaks(spark, sf_dir):
-    return A.date_histogram_peaks(A.date_histogram(Fixtures(spark, sf_dir).corpus))
+    """Peaks among large documents (over all documents the dates are even)."""
+    return A.date_histogram_peaks(A.date_histogram(Fixtures(spark, sf_dir).corpus.where(F.col("size") >= 20_000_000)))
 
 
 @query("top_size_bins", "O10", with_fixtures(["corpus"], f"""

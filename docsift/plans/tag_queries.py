@@ -147,6 +147,15 @@ def suggest_tags(spark, sf_dir):
     return G.suggest_tags(Fixtures(spark, sf_dir).tags, "lang.", 100)
 
 
+@query("suggest_tags_stored", "O8", with_fixtures(["tags"], """
+SELECT tag AS value, count(*) AS weight FROM tags WHERE starts_with(tag, 'lang.') GROUP BY tag"""))
+def suggest_tags_stored(spark, sf_dir):
+    from docsift.operators.completion import write_completions
+    from docsift.session import scratch_dir
+
+    return write_completions(Fixtures(spark, sf_dir).tags, scratch_dir(spark, "completions"), "tag", contains=False).suggest("lang.")
+
+
 @query("suggest_tags_no_colour", "O9", with_fixtures(["tags"], f"""
 SELECT tag_id, min(tag) AS tag FROM (SELECT DISTINCT tag, {TAG_ID} AS tag_id FROM tags WHERE starts_with(tag, 'q'))
 GROUP BY tag_id ORDER BY tag_id LIMIT 100"""))

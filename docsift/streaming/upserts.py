@@ -95,18 +95,31 @@ def upsert_documents_batch(spark: SparkSession, batch: DataFrame, batch_id: int,
 LOG_SCHEMA_COLS = ["id", "path", "name", "mtime", "size", "key"]
 
 
-def stream_documents(spark: SparkSession, source_dir: str, schema, base: DataFrame, work_dir: str,
-                     files_per_trigger: int = 1) -> DataFrame:
-    """ST1: run the stream to completion (availableNow) and return the table."""
+def start_documents(spark: SparkSession, base: DataFrame, work_dir: str) -> None:
+    """ST1: lay down the log and the key table before the first run."""
     ensure_checkpoint_dir(spark)
-    log_dir, keys_dir = f"{work_dir}/log", f"{work_dir}/keys"
     # an empty partition makes the log exist before the first batch reads it
     spark.createDataFrame([], "id long, path string, name string, mtime long, size long, key string") \
-        .write.mode("overwrite").parquet(f"{log_dir}/batch=-1")
-    write_key_table(base, keys_dir)
+        .write.mode("overwrite").parquet(f"{work_dir}/log/batch=-1")
+    write_key_table(base, f"{work_dir}/keys")
+
+
+def stream_documents(spark: SparkSession, source_dir: str, schema, base: DataFrame, work_dir: str,
+                     files_per_trigger: int | None = 1) -> DataFrame:
+    """ST1: run the stream to completion (availableNow) and return the table."""
+    start_documents(spark, base, work_dir)
+    return continue_documents(spark, source_dir, schema, base, work_dir, files_per_trigger)
+
+
+def continue_documents(spark: SparkSession, source_dir: str, schema, base: DataFrame, work_dir: str,
+                       files_per_trigger: int | None = None) -> DataFrame:
+    """ST1: take up what has arrived since the last run (from the stream's own
+    checkpoint), ``files_per_trigger`` files a batch or all at once."""
+    log_dir, keys_dir = f"{work_dir}/log", f"{work_dir}/keys"
     base_max = base.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]  # one scalar, once
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_dir))
+    reader = spark.readStream.schema(schema)
+    reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(source_dir)
     q = (stream.writeStream
          .foreachBatch(lambda df, bid: upsert_documents_batch(spark, df, bid, keys_dir, log_dir, base_max))
          .option("checkpointLocation", f"{work_dir}/checkpoint")
