@@ -38,6 +38,9 @@ HEADLINE = [
     "treemap",
     "knn_exact",
     "knn_join",
+    "knn_approx",
+    "search_ranked_phrase_page",
+    "search_query_page",
     "apply_snapshot",
     "apply_tag_edits",
     "markup_to_text",

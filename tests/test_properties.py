@@ -414,7 +414,8 @@ def test_unit_vector_knn_equals_cosine(spark):
     units = V.unit_vectors(fx.emb)
     qu = units.where("id = 7 AND model_id = 1 AND start = 0").select("unit").scalar()
     fast = [(r["id"], r["similarity"]) for r in V.knn_unit(docs, units, qu, 15).collect()]
-    assert exact == fast
+    # the same neighbours; the two products differ in their last digits
+    assert [i for i, _ in exact] == [i for i, _ in fast] and all(abs(a - b) < 1e-12 for (_, a), (_, b) in zip(exact, fast))
 
 
 def test_tag_edit_fold_is_order_independent(spark):
