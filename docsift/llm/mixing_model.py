@@ -36,6 +36,7 @@ RATE = 0.008
 PAIRS = 1024             # two-byte contexts, most frequent first, with a code of their own
 ROW_BITS = 19            # of a key: a row of the code, 1280 x 257 at most
 KEYS = 1 << 17           # expanded to decisions at a time
+PART = 1 << 20           # places whose keys are numbered at a time
 _GAP = bytes(8)
 _LOWER = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
 # keeps the last 0 to 8 of eight bytes
@@ -248,14 +249,19 @@ def path_predictions(code: Code, keys: np.ndarray, counts: np.ndarray) -> np.nda
 
 def key_ranks(code: Code, texts: list[list[bytes]], i: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of context ``i`` in some blocks of texts, in the order in
-    which they first occur, and the number of the key at every valid place."""
-    key = np.empty(sum(len(t) + 1 for block in texts for t in block), dtype=np.uint64)
-    at = 0
-    for block in map(layout, texts):
-        part = context_keys(code, block, i)[block.valid]
-        key[at:at + len(part)] = part
-        at += len(part)
-    return numbered(key)
+    which they first occur, and the number of the key at every valid place.
+    Works through about ``PART`` places at a time, so that what is sorted stays
+    near the processor."""
+    found, held, size = [], [], 0
+    for at, block in enumerate(map(layout, texts)):
+        held.append(context_keys(code, block, i)[block.valid])
+        size += len(held[-1])
+        if size >= PART or at == len(texts) - 1:
+            found.append(numbered(np.concatenate(held) if len(held) > 1 else held[0]))
+            held, size = [], 0
+    distinct, number = numbered(np.concatenate([d for d, _ in found]))
+    starts = np.cumsum([0] + [len(d) for d, _ in found])
+    return distinct, np.concatenate([number[s:][of] for s, (_, of) in zip(starts, found)])
 
 
 def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -365,7 +371,9 @@ def _score(code: Code, block: Block, paths: list[np.ndarray], values: list[np.nd
             w = (weights[i][now, None] + start[i]).ravel()[of]
             w *= inputs[i]
             z += w
-        e = np.exp(-np.abs(z))
+        e = np.abs(z)
+        np.negative(e, out=e)
+        np.exp(e, out=e)
         cost = np.log1p(e)
         cost -= np.minimum(z, 0)
         bits[now] += np.add.reduceat(cost, begin)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm_fixtures import AWKWARD, EXTRA, docs
 
 from conftest import SF_SMALL
@@ -134,13 +135,15 @@ def test_code_is_a_code():
         assert len(words) == mm.SYMBOLS and abs(sum(2.0 ** -len(w) for w in words) - 1) < 1e-9
 
 
-def test_keys_and_predictions_equal_counts_by_context():
+@pytest.mark.parametrize("part", [mm.PART, 100])
+def test_keys_and_predictions_equal_counts_by_context(monkeypatch, part):
+    monkeypatch.setattr(mm, "PART", part)
     code = code_of(TEXTS)
     keys, counts = mm.count_keys(code, [(TEXTS, True), ([NEW], False)])
     assert counts.sum() == mm.HASHED * sum(len(t) + 1 for t in TEXTS) and (keys[1:] > keys[:-1]).all()
     ranks = []
     for i in range(mm.HASHED):
-        distinct, rank = mm.key_ranks(code, [TEXTS, [NEW]], i)
+        distinct, rank = mm.key_ranks(code, [TEXTS[:3], TEXTS[3:], [NEW]], i)
         want = [mm.context_keys(code, b, i)[b.valid] for b in (mm.layout(TEXTS), mm.layout([NEW]))]
         assert (distinct[rank] == np.concatenate(want)).all() and len(np.unique(distinct)) == len(distinct)
         assert (np.diff(np.unique(rank, return_index=True)[1]) > 0).all()  # in the order of the text
