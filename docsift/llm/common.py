@@ -117,7 +117,3 @@ def tidy(task):
 def crc32_remainder(col, n: int):
     """crc32 of the id as text, modulo ``n`` (null id: null)."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)
-
-
-def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    return df.withColumn(name, F.monotonically_increasing_id())
