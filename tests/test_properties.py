@@ -150,6 +150,21 @@ def test_date_histogram_peaks(spark):
     assert [r["bucket"] for r in A.date_histogram_peaks(hist).collect()] == [9]
 
 
+def test_date_histogram_peaks_of_all_documents(spark, tmp_path):
+    from docsift.plans.registry import registry
+
+    # ids that differ by 900 share a date; the documents are small
+    ids = [900 * i for i in range(9)] + list(range(1, 40))
+    rows = [(i, f"text {i}", "en", "web", 10) for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spec = registry()["date_histogram_peaks"]
+    every = {r["bucket"]: r["count"] for r in A.date_histogram(Fixtures(spark, str(tmp_path)).corpus).collect()}
+    peaks = {r["bucket"]: r["count"] for r in spec.build(spark, str(tmp_path)).collect()}
+    assert max(every.values()) >= 9 and peaks and all(every[b] == n for b, n in peaks.items())
+    assert max(every, key=every.get) in peaks
+    assert "WHERE size" not in spec.oracle
+
+
 def _js_size(b):
     if b == 0:
         return "0 B"
