@@ -62,3 +62,13 @@ def test_blocks_without_a_shuffle(spark, tmp_path):
     key = lambda df: sorted((r.token, r.block, round(r.most, 12), r.n) for r in df.collect())
     assert key(ix.blocks(list("abcdefg"))) == key(want)
     assert "Exchange" not in SG.score_blocks(ix.postings, mean)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_a_token_share_a_row(spark, tmp_path):
+    docs = spark.range(20_000).select("id", F.concat(F.lit("word w"), (F.col("id") % 5).cast("string")).alias("name"))
+    ix = SG.create_index(docs, str(tmp_path / "ix"), fields=("name",))
+    blocks = ix.blocks(["word", "w1"])
+    assert blocks.where("token = 'word'").agg(F.count("block"), F.sum("n")).first() == (313, 20_000)
+    assert blocks.where("token = 'w1'").agg(F.count("block"), F.sum("n")).first() == (313, 4_000)
+    # 6 x 313 rows before
+    assert spark.read.parquet(str(tmp_path / "ix" / "blocks")).count() < 100
