@@ -41,6 +41,7 @@ RECALL = 0.95         # share of their neighbours that the probed buckets must h
 PART_VECTORS = 4096   # vectors of a cell that one task holds
 KEPT = 1 << 20        # pairs a task holds before it cuts them down
 PAIRS = 1 << 16       # pairs compared row by row at a time
+ASKED_ROWS = 1 << 12  # copies of a query handed on at once
 
 
 def hash_planes(dims: int, tables: int, bits: int, seed: int = 0) -> np.ndarray:
@@ -212,18 +213,26 @@ def _asked_cells(index: NeighbourIndex, queries: DataFrame) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, v in enumerate(_rows(batch.column(1))):
-                x = np.zeros(dims)
-                x[:min(len(v), dims)] = np.nan_to_num(v[:dims], nan=0.0, posinf=0.0, neginf=0.0)
-                cells = np.concatenate([(t << bits) + probed_buckets(x, p, probes) for t, p in enumerate(planes)])
-                same = pa.array(np.full(len(cells), i, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), pa.array(cells.astype(np.int32)), batch.column(1).take(same)],
-                                                 names=["qid", "cell", "embedding"])
+            yield from _cells_asked(batch, planes, dims, bits, probes)
 
     kind = next(f.dataType for f in queries.schema.fields if f.name == "embedding").simpleString()
     return queries.select("id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(ask, f"qid long, cell int, embedding {kind}")
 
 
+def _cells_asked(batch: pa.RecordBatch, planes: np.ndarray, dims: int, bits: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """(qid, cell, embedding) of the queries of a batch, table by table and some
+    rows at a time, as the cells that a query probes grow with the index."""
+    for i, v in enumerate(_rows(batch.column(1))):
+        x = np.zeros(dims)
+        x[:min(len(v), dims)] = np.nan_to_num(v[:dims], nan=0.0, posinf=0.0, neginf=0.0)
+        for t, p in enumerate(planes):
+            cells = ((t << bits) + probed_buckets(x, p, probes)).astype(np.int32)
+            for s in range(0, len(cells), ASKED_ROWS):
+                same = pa.array(np.full(len(cells[s:s + ASKED_ROWS]), i, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(same), pa.array(cells[s:s + ASKED_ROWS]), batch.column(1).take(same)],
+                                                 names=["qid", "cell", "embedding"])
+
+
 def knn_approx_join(index: NeighbourIndex, queries: DataFrame, k: int) -> DataFrame:
     """V3 for many queries (id, embedding): the ``k`` nearest other vectors
     found for each (qid, id, similarity, rank).  Queries go to the cells that

@@ -83,3 +83,28 @@ def test_similarities_that_differ_in_the_seventh_place(spark):
     assert [r.id for r in V.knn_join(emb.where("id = 50").select("id"), emb, 3).orderBy("rank").collect()] == [9, 5, 1]
     chunks = spark.createDataFrame([(1, 2, 0, [1.0, 3e-4]), (1, 2, 9, [1.0, 1e-4])], SCHEMA)
     assert V.best_chunk(chunks, q).first().start == 9
+
+
+def test_copies_of_a_query_leave_in_small_batches():
+    import pyarrow as pa
+
+    planes = N.hash_planes(8, 3, 15)
+    rng = np.random.default_rng(5)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 9]), pa.array(list(rng.normal(size=(2, 8))), pa.list_(pa.float32()))], names=["id", "embedding"])
+    out = list(N._cells_asked(batch, planes, 8, 15, 20_000))
+    assert max(b.num_rows for b in out) <= 4096  # 60000 before
+    got = [(r["qid"], r["cell"]) for b in out for r in b.select(["qid", "cell"]).to_pylist()]
+    assert len(got) == len(set(got)) == 2 * 3 * 20_000 and {c >> 15 for _, c in got} == {0, 1, 2}
+
+
+def test_products_of_a_join_are_small(spark):
+    vectors = np.random.default_rng(6).normal(size=(1000, 4)).tolist()
+    emb = frame(spark, list(enumerate(vectors)))
+    got = V.knn_join(emb.select("id"), emb, 3, shard_rows=600).collect()
+    unit = np.array(vectors, dtype=np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    sim = unit @ unit.T
+    np.fill_diagonal(sim, -2)
+    want = np.argsort(-sim, axis=1)[:, :3]
+    assert {(r.qid, r["rank"]): r.id for r in got} == {(i, j + 1): int(want[i, j]) for i in range(1000) for j in range(3)}
+    assert V.PRODUCT_ROWS <= 128
