@@ -1,24 +1,21 @@
 """ST2 with keyed state: tag edits folded by a stateful stream.
 
-``transformWithState`` keeps, per (id, tag), the newest edit that has been seen,
+A streaming aggregate keeps, per (id, tag), the newest edit that has been seen,
 in a state store that is checkpointed with the stream; a batch costs what its
-edits cost, whatever has been folded before.  Edits that win are handed to a
-change log.  The log is a ``TieredLog``: every batch adds one folder, folders of
-like size are merged by eights (newest edit per key), so the number of folders
-grows with the logarithm of the batches and old rows are rewritten seldom.  A
-batch that is retried after a failure writes its own folder again; a restarted
-stream goes on from its checkpoint.
+edits cost, whatever has been folded before, and no key is handed to Python.
+Edits that win are handed to a change log.  The log is a ``TieredLog``: every
+batch adds one folder, folders of like size are merged by eights (newest edit
+per key), so the number of folders grows with the logarithm of the batches and
+old rows are rewritten seldom.  A batch that is retried after a failure writes
+its own folder again; a restarted stream goes on from its checkpoint.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docsift.operators.tags import apply_tag_edits
 from docsift.session import ensure_checkpoint_dir
@@ -97,24 +94,15 @@ class TieredLog:
         return len(self._last()[1])
 
 
-class NewestEdit(StatefulProcessor):
-    """Per (id, tag): hands on an edit that is newer than all before it."""
+def newest_edits(edits: DataFrame) -> DataFrame:
+    """Per (id, tag) of a stream: hands on an edit that is newer than all before
+    it (of the same number, the one of the earlier batch stays).
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "seq long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for batch in rows:
-            top = batch.loc[batch["seq"].idxmax()]
-            if best is None or top["seq"] > best["seq"]:
-                best = top
-        if best is not None and (not self.seen.exists() or int(best["seq"]) > self.seen.get()[0]):
-            self.seen.update((int(best["seq"]),))
-            yield pd.DataFrame({"id": [key[0]], "tag": [key[1]], "op": [best["op"]], "seq": [int(best["seq"])]})
-
-    def close(self) -> None:
-        pass
+    The state holds the newest edit and, as ``age``, the negated time of the
+    batch that brought it; a batch that is retried has the same time again."""
+    age = -F.unix_micros(F.current_timestamp())
+    newest = edits.withColumn("age", age).groupBy("id", "tag").agg(F.max(F.struct("seq", "age", "op")).alias("r"))
+    return newest.where(F.col("r.age") == age).select("id", "tag", "r.op", "r.seq")
 
 
 def edit_log(spark: SparkSession, work_dir: str) -> TieredLog:
@@ -137,9 +125,7 @@ def continue_tag_edits(spark: SparkSession, source_dir: str, work_dir: str, file
         reader = spark.readStream.schema(EDITS)
         reader = reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
         edits = reader.parquet(source_dir).where(F.col("id").isNotNull() & F.col("tag").isNotNull() & F.col("seq").isNotNull())
-        won = edits.groupBy("id", "tag").transformWithStateInPandas(
-            statefulProcessor=NewestEdit(), outputStructType=EDITS, outputMode="Append", timeMode="None")
-        query = (won.writeStream.outputMode("append").foreachBatch(lambda df, batch: log.append(df, batch))
+        query = (newest_edits(edits).writeStream.outputMode("update").foreachBatch(lambda df, batch: log.append(df, batch))
                  .option("checkpointLocation", f"{work_dir}/checkpoint").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:

@@ -46,3 +46,25 @@ def test_log_stays_small_and_retries_replace(spark, tmp_path):
     assert {(r.id, r.tag): (r.op, r.seq) for r in log.latest(log.rows()).collect()} == newest
     log.append(spark.createDataFrame(new, K.EDITS), 19)  # the last batch again
     assert {(r.id, r.tag): (r.op, r.seq) for r in log.latest(log.rows()).collect()} == newest
+
+
+def test_state_is_kept_without_python_and_only_winners_are_logged(spark, tmp_path, monkeypatch):
+    plans, append = [], K.TieredLog.append
+
+    def noted(log, rows, batch):
+        plans.append(spark.streams.active[0]._jsq.explainInternal(False))
+        append(log, rows, batch)
+
+    monkeypatch.setattr(K.TieredLog, "append", noted)
+    src, work = str(tmp_path / "in"), str(tmp_path / "work")
+    K.start_tag_edits(spark, work)
+    logged = []
+    for part in ([(1, "a", "add", 5), (1, "a", "delete", 3), (2, "a", "add", 1), (3, "a", None, 1), (4, "a", "add", 7)],
+                 [(1, "a", "delete", 4), (2, "a", "delete", 2), (2, "a", "add", 0), (4, "a", "delete", 7), (5, "b", "add", 0)]):
+        spark.createDataFrame(part, K.EDITS).write.mode("append").parquet(src)
+        K.continue_tag_edits(spark, src, work)
+        logged.append(sorted(map(tuple, spark.read.schema(K.EDITS).parquet(f"{work}/log/b{len(logged)}").collect())))
+    assert logged == [[(1, "a", "add", 5), (2, "a", "add", 1), (3, "a", None, 1), (4, "a", "add", 7)],
+                      [(2, "a", "delete", 2), (5, "b", "add", 0)]]
+    assert len(plans) == 2  # the batch's own plan: a Python call for each key made its time grow with the keys
+    assert all("StateStoreSave" in p and "Pandas" not in p and "Python" not in p for p in plans)
