@@ -1,11 +1,10 @@
 """File-system sources (S1-S7, S10): listing, depth limit, exclusion, explicit
 file lists, path splitting, checksums, content bounds and archive members.
 
-Listing uses Spark's ``binaryFile`` source with recursive lookup; selecting
-only path, length and modification time leaves file contents unread.
-Two functions here run Python inside tasks, both through ``mapInPandas``:
-archive expansion (``zipfile``/``tarfile``, per archive, members streamed out
-in bounded batches) and ``write_tree``, which materialises documents as files
+Directories are listed and files read inside tasks (``walk``), so the driver
+never holds a list of the files.  Two more functions here run Python inside
+tasks, both through ``mapInPandas``: archive expansion (``zipfile``/``tarfile``,
+per archive, members streamed out in bounded batches) and ``write_tree``, which materialises documents as files
 for the listing queries.
 """
 
@@ -26,8 +25,21 @@ def _root_uri(root: str) -> str:
     return r if ":" in r.split("/")[0] else "file:" + r
 
 
-def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Regular files below ``root``: relative path, size, mtime (epoch s)."""
+def _files(spark: SparkSession, root: str, depth: int | None = None, exclude: str | None = None, glob: str | None = None,
+           content: bool = False) -> DataFrame:
+    """``rel_path``, ``size``, ``mtime`` and, if wanted, ``content`` of the files
+    that S1 to S3 leave.  Directories are listed and files read in tasks; only
+    stores that the workers don't reach, and a root that is no directory, are
+    listed on the driver by Spark's ``binaryFile`` source (which passes over
+    empty files and names that begin with a dot or an underscore)."""
+    from docsift.sources import walk as W
+
+    if W.walkable(spark, root):
+        files = W.walk_files(spark, root, depth, exclude)
+        if glob:
+            name = spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()
+            files = files.where(W.file_name(F.col("rel_path")).rlike(f"^(?s:{name})$"))
+        return W.with_content(files, root) if content else files
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -35,8 +47,14 @@ def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     prefix = _root_uri(root) + "/"
     rel = F.when(F.col("path").startswith(prefix), F.substring(F.col("path"), len(prefix) + 1, 1 << 30)) \
         .otherwise(F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/") + "/", ""))
-    return df.select(rel.alias("rel_path"), F.col("length").alias("size"),
-                     F.unix_timestamp(F.col("modificationTime")).alias("mtime"))
+    files = df.select(rel.alias("rel_path"), F.col("length").alias("size"),
+                      F.unix_timestamp(F.col("modificationTime")).alias("mtime"), *(["content"] if content else []))
+    return exclude_paths(limit_depth(files, depth), exclude)
+
+
+def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """Regular files below ``root``: relative path, size, mtime (epoch s)."""
+    return _files(spark, root, glob=glob)
 
 
 def dir_depth(rel: Column) -> Column:

@@ -5,7 +5,8 @@ through a file system that the workers reach by URI (pyarrow's: local, HDFS, S3,
 GCS); what they find is written to the shared folder, and the directories among
 it are the next level.  Nothing is listed on the driver, and the depth bound and
 the exclusion rule prune a directory before it is listed.  Entries arrive in
-batches, so the length of a directory is no bound.
+batches, so the length of a directory is no bound.  The contents of what was
+found are read in tasks too, from a shuffle of the paths.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.session import ensure_checkpoint_dir
@@ -23,6 +25,7 @@ from docsift.sources.files import exclude_paths, scan_list
 
 ENTRY = "rel_path string, is_dir boolean, size long, mtime long"
 BATCH = 10_000  # entries a task hands on at a time
+CONTENT = 8 << 20  # bytes of files a task hands on at a time, but for the last of them
 
 
 def _opened(root: str):
@@ -35,6 +38,21 @@ def _opened(root: str):
     return system, base.rstrip("/")
 
 
+def walkable(spark: SparkSession, root: str) -> bool:
+    """Whether ``root`` is a directory of a store that the workers reach."""
+    try:
+        _opened(root)
+    except (pa.ArrowException, OSError, ImportError):
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.exists(path) and system.getFileStatus(path).isDirectory()
+
+
+def file_name(rel: Column) -> Column:
+    return F.substring_index(rel, "/", -1)
+
+
 def list_directories(dirs: DataFrame, root: str) -> DataFrame:
     """Entries (``ENTRY``) of the directories ``rel_path`` below ``root``; a
     directory that has gone meanwhile has none."""
@@ -81,6 +99,35 @@ def walk_files(spark: SparkSession, root: str, depth: int | None = None, exclude
     return found.where(~F.col("is_dir")).select("rel_path", "size", "mtime")
 
 
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """The files ``rel_path`` below ``root`` with their ``content``, read where
+    their rows are; a file that has gone meanwhile is an error."""
+    spark = files.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at, schema = files.columns.index("rel_path"), ", ".join([f"`{c}` {kind}" for c, kind in files.dtypes] + ["content binary"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _opened(root)
+
+        def cut(batch: pa.RecordBatch, start: int, found: list[bytes]) -> pa.RecordBatch:
+            part = batch.slice(start, len(found))
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, "content"])
+
+        for batch in batches:
+            start, found, n_bytes = 0, [], 0
+            for rel in batch.column(at).to_pylist():
+                with system.open_input_file(f"{base}/{rel}") as f:
+                    found.append(f.read())
+                n_bytes += len(found[-1])
+                if n_bytes >= CONTENT:
+                    yield cut(batch, start, found)
+                    start, found, n_bytes = start + len(found), [], 0
+            if found:
+                yield cut(batch, start, found)
+
+    return files.repartition(n, "rel_path").mapInArrow(read, schema)
+
+
 def walk_list(spark: SparkSession, listing: DataFrame, root: str, exclude: str | None = None) -> DataFrame:
     """S4 without a walk of everything: only the directories that the listing
     (``value``: paths, absolute or relative to ``root``) names are listed."""
