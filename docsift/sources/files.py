@@ -241,19 +241,14 @@ def write_tree(docs: DataFrame, root: str, archive: bool = False) -> None:
 def scan_documents(spark: SparkSession, root: str, mime_dim: DataFrame, depth: int | None = None,
                    exclude: str | None = None, content_size: int = DEFAULT_CONTENT_SIZE,
                    checksums: bool = True) -> DataFrame:
-    """The scan step as one plan over one file scan: list the regular files
-    below ``root`` (S1), keep those within ``depth`` (S2) and not excluded
-    (S3), split each path (S5), look up the media type (P5), read the text
-    content bounded to ``content_size`` characters (S7) and hash the bytes
-    (S6).  The path predicates run on the listing columns before the content
-    is decoded or hashed; file bytes are read once."""
+    """The scan step: list the regular files below ``root`` (S1), those within
+    ``depth`` (S2) and not excluded (S3), split each path (S5), look up the
+    media type (P5), read the text content bounded to ``content_size``
+    characters (S7) and hash the bytes (S6).  Only the files that the path
+    predicates leave are read, once each."""
     from docsift.operators.documents import mime_by_extension
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    prefix = _root_uri(root) + "/"
-    files = raw.select(F.substring(F.col("path"), len(prefix) + 1, 1 << 30).alias("rel_path"),
-                       F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
-    kept = exclude_paths(limit_depth(files, depth), exclude)
+    kept = _files(spark, root, depth, exclude, content=True)
     docs = mime_by_extension(split_paths(kept), mime_dim)
     text = F.col("content").cast("string")
     return docs.select("rel_path", "path", "name", "extension", "size", "mtime", "mime",

@@ -4,7 +4,9 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from docsift.operators.documents import mime_dimension
 from docsift.sources import files as FS
 from docsift.sources import walk as W
 
@@ -49,6 +51,23 @@ def test_listing_equals_that_of_spark(spark, tree, monkeypatch, glob):
     assert len(scan().inputFiles()) < 60  # 150 files and more before: the driver held them all
 
 
+@pytest.mark.parametrize("depth", [None, 0, 2])
+@pytest.mark.parametrize("exclude", [None, "skip|y/z"])
+def test_documents_equal_those_of_spark(spark, tree, monkeypatch, depth, exclude):
+    scan = lambda: FS.scan_documents(spark, tree, mime_dimension(spark), depth, exclude).withColumn("mime", F.coalesce("mime", F.lit("-")))
+    got = rows(scan())
+    assert [r for r in got if not LEFT_OUT.search(r[0])] == by_spark(monkeypatch, scan)
+    assert [r[0] for r in got] == [f for f in plain(tree) if (depth is None or f.count("/") <= depth) and not (exclude and re.search(exclude, f))]
+    assert len(scan().inputFiles()) < 60
+
+
+def test_contents_leave_in_bounded_batches(spark, tree, monkeypatch):
+    monkeypatch.setattr(W, "CONTENT", 64)
+    got = W.with_content(FS.scan_files(spark, tree), tree)
+    assert {r.rel_path: bytes(r.content) for r in got.collect()} == {f: open(f"{tree}/{f}", "rb").read() for f in plain(tree)}
+    assert got.where(F.octet_length("content") != F.col("size")).isEmpty()
+
+
 def test_roots_that_are_not_walked(spark, tree):
     assert not W.walkable(spark, "viewfs://store/in") and not W.walkable(spark, f"{tree}/a.txt") and not W.walkable(spark, f"{tree}/none")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
