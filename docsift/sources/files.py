@@ -190,11 +190,7 @@ def expand_archives(archives: DataFrame, mode: str = "shallow") -> DataFrame:
 
 
 def read_archives(spark: SparkSession, root: str, mode: str = "shallow") -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", "*.{zip,tar,tgz}").load(root)
-    prefix = _root_uri(root) + "/"
-    df = files.select(F.substring(F.col("path"), len(prefix) + 1, 1 << 30).alias("rel_path"), "content")
-    return expand_archives(df, mode)
+    return expand_archives(_files(spark, root, glob="*.{zip,tar,tgz}", content=True).select("rel_path", "content"), mode)
 
 
 # ----------------------------------------------------- materialising a tree

@@ -2,6 +2,7 @@
 
 import os
 import re
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,19 @@ def test_contents_leave_in_bounded_batches(spark, tree, monkeypatch):
     assert got.where(F.octet_length("content") != F.col("size")).isEmpty()
 
 
+def test_archives_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    for i in range(120):
+        (tmp_path / f"d{i % 3}").mkdir(exist_ok=True)
+        with zipfile.ZipFile(tmp_path / f"d{i % 3}" / f"{i}.zip", "w") as z:
+            z.writestr("in/a.txt", "x" * i)
+    (tmp_path / "d0" / "bad.zip").write_bytes(b"nothing")
+    (tmp_path / "d0" / "a.txt").write_bytes(b"no archive")
+    read = lambda: FS.read_archives(spark, str(tmp_path)).select("archive", F.coalesce("member", F.lit("-")), F.coalesce("size", F.lit(-1)), "depth", "status", F.md5(F.coalesce("content", F.lit(b""))))
+    want = by_spark(monkeypatch, read)
+    assert rows(read()) == want and len(want) == 121
+    assert len(read().inputFiles()) < 60
+
+
 def test_roots_that_are_not_walked(spark, tree):
     assert not W.walkable(spark, "viewfs://store/in") and not W.walkable(spark, f"{tree}/a.txt") and not W.walkable(spark, f"{tree}/none")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
