@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift.operators import fulltext as T
+from docsift.operators import runs as R
 from docsift.operators import segments as SG
 from docsift.session import short_rows
 
@@ -72,3 +73,32 @@ def test_bounds_of_long_tokens(spark, tmp_path):
     ix = SG.create_index(docs, str(tmp_path / "ix"), fields=("name",))
     found = ix.blocks(["all", long, "y"]).groupBy("token").agg(F.sum("n").alias("n"), F.count("block").alias("blocks")).collect()
     assert {r.token: (r.n, r.blocks) for r in found} == {"all": (200, 4), long: (100, 4), "y": (100, 4)}
+
+
+def test_stored_grams_are_merged_in_packed_rows(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcdé 日\U0001F600") for _ in range(rng.randint(0, 60)))
+    docs = spark.createDataFrame([(i, text(), rng.choice([None, text()])) for i in range(700)], "id long, name string, content string")
+    want = T.trigram_postings(docs, ["content", "name"]).select("gram", "id", "field")
+    fields = tuple(T.FUZZY_BOOSTS)
+    for k in range(3):  # segments of any documents
+        R.write_document_grams(docs.where(f"id % 3 = {k}"), str(tmp_path / f"g/segment={k}"), ("content", "name"), "id", 3)
+    stored = spark.read.parquet(str(tmp_path / "g"))
+    R.write_stored_grams(stored, str(tmp_path / "m"), fields, 6, 700)
+    got = spark.read.parquet(str(tmp_path / "m"))
+    assert got.count() == want.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    files = sorted(got.groupBy(F.input_file_name().alias("f")).agg(F.min(F.struct("gram", "id")).alias("a"), F.max(F.struct("gram", "id")).alias("b"), F.collect_list(F.struct("gram", "id", "field")).alias("rows")).collect(), key=lambda x: x.a)
+    assert len(files) > 2 and all(x.b < y.a for x, y in zip(files, files[1:]))
+    assert all(x.rows == sorted(x.rows) for x in files)
+    assert R.stored_gram_rows(stored.where("field = 'name'").orderBy("gram", "id"), fields, []).count() < got.count() / 10  # a row each before
+
+
+def test_a_merge_moves_packed_grams(spark, tmp_path, monkeypatch):
+    docs = spark.range(300).selectExpr("id", "concat('some words w', id % 9) AS name", "'' AS content", "'' AS path")
+    ix = SG.create_index(docs, str(tmp_path / "ix"), fields=("name", "content"), grams=True).upsert(docs.where("id >= 290"), merge=False)
+    ordered = []
+    monkeypatch.setattr(SG, "write_in_order", lambda *a, **b: (ordered.append(a[1].split("/")[-2]), T.write_in_order(*a, **b)))
+    merged = ix.compact()
+    assert ordered == ["postings"]  # and "grams" before, a row for each of them
+    rows = lambda df: sorted(map(tuple, df.select("gram", "id", "field").collect()))
+    assert rows(merged.grams) == rows(T.trigram_postings(docs, ["name", "content"])) and len(merged.segments) == 1
